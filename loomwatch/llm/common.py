@@ -38,22 +38,39 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "rank", buckets: int = 64) -> DataFrame:
+def same_keys(left: list[str], right: list[str]) -> Column:
+    """Equality of the columns in pairs, null equal to null."""
+    found = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        found = found & F.col(a).eqNullSafe(F.col(b))
+    return found
+
+
+def buckets_for(rows: int, each: int = 50_000) -> int:
+    """How many buckets a group of so many rows may need, a power of two from 64."""
+    return 1 << max(6, (rows // each).bit_length())
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], buckets: int = 64, out: str = "rank", attach: DataFrame | None = None) -> DataFrame:
     """Adds each row's rank (from 0) among the rows of its keys, without bringing a key's rows to one task.
 
-    Rows are dealt to buckets by a hash of the order columns; a key's buckets follow one another.
-    The rank is the number of the key's rows in earlier buckets plus the place within the bucket.
-    Null keys count as a key of their own. Rows that tie in all order columns take adjacent ranks.
+    Rows are dealt to buckets by a hash of the order columns, and a key's buckets follow one another: a rank
+    is the number of the key's rows in earlier buckets plus the place within the bucket. Null keys count as
+    keys of their own; rows that tie in all order columns take adjacent ranks. ``attach`` has the columns of
+    keys, once each, and more that are added to the key's rows.
     """
     dealt = df.withColumn("__b", F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(buckets)).cast("int"))
     inner = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)))
-    sizes = dealt.groupBy(*keys, "__b").count()
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__kb"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before")
+    names = [f"__k{i}" for i in range(len(keys))]
+    offsets = (
+        dealt.groupBy(*keys, "__b").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+        .select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("__b").alias("__kb"), "__before")
     )
-    same = F.col("__b") == F.col("__kb")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = inner.join(offsets, same)
-    return joined.withColumn(out, F.col("__before") + F.col("__n") - 1).drop("__b", "__n", "__before", "__kb", *[f"__k{i}" for i in range(len(keys))])
+    more = []
+    if attach is not None:
+        more = [c for c in attach.columns if c not in keys]
+        others = [f"__a{i}" for i in range(len(keys))]
+        offsets = offsets.join(attach.withColumnsRenamed(dict(zip(keys, others, strict=True))), same_keys(names, others), "left").drop(*others)
+    joined = inner.join(offsets, same_keys([*keys, "__b"], [*names, "__kb"]))
+    return joined.withColumn(out, F.col("__before") + F.col("__n") - 1).select(*df.columns, out, *more)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from loomwatch.llm import url_filter
+from loomwatch.llm import mixing, packing, simhash, url_filter
 
-QUERIES = {"op1_url_filter": url_filter.op1_url_filter}
+QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op2_packing": packing.op2_packing,
+    "op3_mixing": mixing.op3_mixing,
+    "op7_simhash": simhash.op7_simhash,
+}
 ORACLE_SQL = {"op1_url_filter": url_filter.SQL}
