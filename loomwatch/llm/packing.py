@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from loomwatch.llm.common import buckets_for, ranked, table, written
 
-#: Chunks whose ids a task keeps, and slots that are broadcast at most (about 60 bytes each).
-KEPT_CHUNKS, BROADCAST_SLOTS = 200_000, 400_000
+#: Chunks whose ids a worker keeps, and slots that are broadcast at most (about 60 bytes each).
+KEPT_CHUNKS, BROADCAST_SLOTS = 400_000, 400_000
 
 
 class ChunkEncoder:
@@ -68,11 +69,17 @@ class ChunkEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """One for all tasks of a worker."""
+    return ChunkEncoder(path)
+
+
 def token_pieces(documents: DataFrame, tokenizer: str, closing_id: int, size: int) -> DataFrame:
     """doc_id, start, length, doc_tokens and ids (binary, little-endian unsigned 32-bit) of pieces of at most size tokens."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = ChunkEncoder(tokenizer), np.asarray([closing_id], "<u4").tobytes()
+        encoder, end = chunk_encoder(tokenizer), np.asarray([closing_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part, rows = batch.iloc[at : at + 500], []
