@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomwatch.llm import embedding_dedup, mixing, neighbours, packing, secrets, simhash, url_filter
+from loomwatch.llm import class_lm, embedding_dedup, mixing, neighbours, packing, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_packing": packing.op2_packing,
     "op3_mixing": mixing.op3_mixing,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_class_lm": class_lm.op6_class_lm,
     "op7_simhash": simhash.op7_simhash,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_neighbours": neighbours.op9_neighbours,
