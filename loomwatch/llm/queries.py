@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwatch.llm import class_lm, embedding_dedup, mixing, neighbours, packing, secrets, simhash, url_filter
+from loomwatch.llm import class_lm, embedding_dedup, mixing, neighbours, packing, quality, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_neighbours": neighbours.op9_neighbours,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {"op1_url_filter": url_filter.SQL, "op8_embedding_dedup": embedding_dedup.SQL, "op9_neighbours": neighbours.SQL}
