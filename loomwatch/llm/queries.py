@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomwatch.llm import class_lm, embedding_dedup, mixing, neighbours, packing, quality, secrets, simhash, url_filter
+from loomwatch.llm import class_lm, embedding_dedup, mixing, neighbours, packing, quality, secrets, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_packing": packing.op2_packing,
     "op3_mixing": mixing.op3_mixing,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_class_lm": class_lm.op6_class_lm,
     "op7_simhash": simhash.op7_simhash,
