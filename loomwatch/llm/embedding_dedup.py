@@ -149,6 +149,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     good = F.col("label").isNotNull() & usable(F.col("embedding"))
     classes = written(rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "vectors")
     shards = classes.groupBy("label", F.size("embedding").alias("dims")).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    shards = written(shards, "shards")
+    groups = shards.agg(F.sum(F.col("shards") * F.col("parts"))).first()[0] or 1
     dealt = classes.withColumn("dims", F.size("embedding")).join(shards, ["label", "dims"])
     shard = F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards")).cast("int")
 
@@ -158,7 +160,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         held = pickle.dumps((group["node"].to_numpy(), group["n"].to_numpy(), exact, *build(exact.astype(np.float32), least - 1e-5)))
         return pd.DataFrame({"label": [key[0]], "dims": [key[1]], "shard": [key[2]], "parts": [int(group["parts"].iloc[0])], "graph": [held]})
 
-    graphs = dealt.withColumn("shard", shard).groupBy("label", "dims", "shard").applyInPandas(make, "label string, dims int, shard int, parts int, graph binary")
+    # Few bytes, much work: as many tasks as groups, several times over so that few share one.
+    tasks = 4 * groups
+    graphs = dealt.withColumn("shard", shard).repartition(tasks, "label", "dims", "shard").groupBy("label", "dims", "shard").applyInPandas(make, "label string, dims int, shard int, parts int, graph binary")
     graphs = written(graphs, "graphs").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asked = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
 
@@ -192,6 +196,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         return pd.DataFrame(out).astype("int64")
 
     keys = ["label", "dims", "shard", "part"]
+    graphs, asked = graphs.repartition(tasks, *keys), asked.repartition(tasks, *keys)
     met = graphs.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(meet, "node long, links long, to long")
     met = written(met, "met")
     found = components(met.select(F.col("node").alias("a"), F.col("to").alias("b")))

@@ -101,6 +101,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 out.append(pd.DataFrame({"query_id": q, "vec_id": found, "score": scores}))
         return pd.concat(out)
 
+    # Few bytes, much work: as many tasks as groups, several times over so that few share one.
+    left, right = left.repartition(4 * chunks * blocks, "chunk", "block"), right.repartition(4 * chunks * blocks, "chunk", "block")
     near = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
