@@ -290,7 +290,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield solve(held)
 
     small = texts.where(F.col("of") <= MOST).select("doc_id", "version", "start", "times", "gram", "left", "right")
-    found = small.repartition("gram").sortWithinPartitions("gram").mapInPandas(by_sorting, SPAN)
+    work = small.agg(F.sum(F.length("left") + F.length("right") + 2)).first()[0] or 0
+    tasks = -(-work // SYMBOLS) + 1  # the work is long for its bytes, by which Spark would deal it
+    found = small.repartition(tasks, "gram").sortWithinPartitions("gram").mapInPandas(by_sorting, SPAN)
     return whole.union(found).union(by_counting(texts.where(F.col("of") > MOST)))
 
 
@@ -301,7 +303,7 @@ def by_counting(texts: DataFrame) -> DataFrame:
         "own", F.concat(F.substring(F.col("left"), F.col("at") + 1, F.col("lead") - F.col("at")), F.substring(F.col("right"), F.lit(1), F.lit(LENGTH - GRAM) - F.col("lead") + F.col("at")))
     )
     keyed = windows.select("doc_id", "version", "start", "times", "at", "gram", (F.col("lead") - F.col("at")).alias("before"), F.xxhash64("own").alias("h"), F.xxhash64(F.lit(1), "own").alias("i"))
-    twice = keyed.groupBy("gram", "before", "h", "i").count().where("count > 1").drop("count")
+    twice = written(keyed.groupBy("gram", "before", "h", "i").count().where("count > 1").drop("count"), "windows")  # a scan, so that Spark can split a hot window
     hit = keyed.where("times = 1").join(twice, ["gram", "before", "h", "i"])
     return hit.select("doc_id", "version", (F.col("start") + F.col("at")).alias("a"), (F.col("start") + F.col("at") + LENGTH).alias("b"))
 
