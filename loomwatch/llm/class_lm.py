@@ -53,7 +53,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 if len(counts) > FLUSH:
                     yield out()
                     counts.clear()
-        yield out()
+        if counts:
+            yield out()
 
     return texts.select("text").mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 

@@ -45,7 +45,7 @@ class Scanner:
         import zstandard
 
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compress = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False).compress
+        self.compress = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False).compress
 
     def novelty(self, text: str, start: int, end: int) -> float:
         """Bytes that the span adds to its compressed surroundings, a character."""
