@@ -22,69 +22,55 @@ from pyspark.sql import functions as F
 
 from loomwatch.llm.common import buckets_for, ranked, table, written
 
-#: Chunks whose ids a worker keeps, and slots that are broadcast at most (about 60 bytes each).
-KEPT_CHUNKS, BROADCAST_SLOTS = 400_000, 400_000
+#: Slots that are broadcast at most (about 60 bytes each).
+BROADCAST_SLOTS = 400_000
+# Fixed values of byte-level vocabularies: what merges don't cross, and the characters that stand for bytes:
+# printable ones for themselves, the others, in order, from U+0100.
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
-class ChunkEncoder:
-    """The tokenizer's ids of whole texts, from the ids of their chunks.
+class Encoder:
+    """The tokenizer's ids of whole texts.
 
-    The byte-level vocabulary splits a text before each space that follows and precedes other characters, so
-    chunks between single spaces encode on their own. A text with other white space around a space, or with
-    the name of a special token, is encoded whole.
+    A byte-level vocabulary of ranked merges can be given to a faster encoder of the same kind; its ids are
+    those of the tokenizer for all text without the names of special tokens, which only the tokenizer knows.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        kept, out = self.kept, [b""] * len(texts)
-        split = [t.split(" ") for t in texts]
-        new = {c for parts in split for c in parts[1:] if c not in kept}
-        dirty = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
-        clean = list(new - dirty)
-        found = dict(zip(clean, self.encode([" " + c for c in clean]), strict=True))
-        for c, ids in found.items():
-            if len(kept) >= KEPT_CHUNKS:
-                break
-            kept[c] = ids
-        starts = self.encode([p[0] for p in split])
-        whole = []
-        for i, parts in enumerate(split):
-            if parts[0][-1:].isspace() or (dirty and not dirty.isdisjoint(parts[1:])) or any(s in texts[i] for s in self.special):
-                whole.append(i)
-                continue
-            out[i] = starts[i] + b"".join([kept[c] if c in kept else found[c] for c in parts[1:]])
-        for i, ids in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        self.load = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))
+        tokenizer = Tokenizer.from_file(path)  # not kept: few texts need it
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        ranks = {bytes(BYTES[c] for c in t): i for t, i in tokenizer.get_vocab().items() if t not in self.special}
+        self.encode = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __call__(self, text: str) -> list[int]:
+        if any(s in text for s in self.special):
+            return self.load().encode(text, add_special_tokens=False).ids
+        return self.encode(text)
 
 
 @lru_cache(maxsize=1)
-def chunk_encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> Encoder:
     """One for all tasks of a worker."""
-    return ChunkEncoder(path)
+    return Encoder(path)
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, closing_id: int, size: int) -> DataFrame:
     """doc_id, start, length, doc_tokens and ids (binary, little-endian unsigned 32-bit) of pieces of at most size tokens."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = chunk_encoder(tokenizer), np.asarray([closing_id], "<u4").tobytes()
+        encode = encoder(tokenizer)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part, rows = batch.iloc[at : at + 500], []
-                for doc_id, ids in zip(part["doc_id"], encoder([t or "" for t in part["text"]]), strict=True):
-                    ids += end
+                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+                    ids = np.asarray([*encode(text or ""), closing_id], "<u4").tobytes()
                     n = len(ids) // 4
                     rows += [(doc_id, s, min(size, n - s), n, ids[4 * s : 4 * (s + size)]) for s in range(0, n, size)]
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])

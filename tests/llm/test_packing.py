@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from loomwatch.llm import packing
 
@@ -16,10 +18,17 @@ def tokenizer():
 TEXTS = ["", "one", "a  b", " lead", "trail ", "tab\tx  y\n z", "a \n b", "don't stop", "ünï cödé ", "x<|endoftext|>y", "a  b", "word " * 3000, None, "one", "\x00 z", "1 2  3", "a. B\nC d"]
 
 
-def test_chunks_encode_like_whole_texts(tokenizer):
-    texts = [t or "" for t in TEXTS]
-    got = [np.frombuffer(b, "<u4").tolist() for b in packing.ChunkEncoder(packing.tokenizer_path())(texts)]
-    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+def test_ids_are_the_tokenizers(tokenizer):
+    encode = packing.Encoder(packing.tokenizer_path())
+    for t in TEXTS:
+        assert encode(t or "") == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \n\t'\u00a0\u2003\x1c\x85stde1²Ⅷ中é́\u200d😀"), st.characters(exclude_categories=["Cs", "Cn"])), max_size=40))
+def test_ids_of_odd_characters(text):
+    e = packing.encoder(packing.tokenizer_path())
+    assert e(text) == e.load().encode(text, add_special_tokens=False).ids
 
 
 def test_pack_round_trip(spark, tokenizer):
