@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ SINGLE, SHAPES, CLASSES, ROUNDS = 8192, 256, 48, 3
 LEXICON = 200_000
 #: Distinct words a task counts before it passes the counts on, and items of a block of the statistics.
 FLUSH, ITEMS = 300_000, 256
+#: Tasks whose statistics are first added up.
+LOT = 256
 #: Weight of the class's own probability in that after another.
 BETA = 10.0
 END = SINGLE + SHAPES
@@ -123,16 +126,19 @@ def class_statistics(codes: DataFrame, classes: np.ndarray) -> tuple[np.ndarray,
                 sums[way] += np.bincount(item * width + neighbour, minlength=sums.shape[1])
         parts = sums.reshape(2, blocks, -1)
         some = [(w, b) for w in range(2) for b in range(blocks) if parts[w, b].any()]
-        yield pd.DataFrame({"way": [w for w, _ in some], "block": [b for _, b in some], "sums": [parts[w, b].astype("<i8").tobytes() for w, b in some]})
+        lot = TaskContext.get().partitionId() // LOT
+        yield pd.DataFrame({"way": [w for w, _ in some], "block": [b for _, b in some], "lot": lot, "sums": [parts[w, b].astype("<i8").tobytes() for w, b in some]})
 
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(ITEMS * width, np.int64)
-        for b in group["sums"]:  # one a task
+        for b in group["sums"]:
             total += np.frombuffer(b, "<i8")
         return pd.DataFrame({"way": [key[0]], "block": [key[1]], "sums": [total.tobytes()]})
 
-    made = codes.select("codes").mapInPandas(run, "way int, block int, sums binary")
-    got = made.groupBy("way", "block").applyInPandas(add, "way int, block int, sums binary").toPandas()
+    made = codes.select("codes").mapInPandas(run, "way int, block int, lot int, sums binary")
+    # First the tasks of a lot, then the lots: no group has a row of every task.
+    lots = made.groupBy("way", "block", "lot").applyInPandas(add, "way int, block int, sums binary")
+    got = lots.groupBy("way", "block").applyInPandas(add, "way int, block int, sums binary").toPandas()
     out = np.zeros((2, blocks, ITEMS * width), np.int64)
     for way, block, sums in got.itertuples(index=False):
         out[way, block] = np.frombuffer(sums, "<i8")
