@@ -212,3 +212,47 @@ def test_readers_and_stores(spark, tmp_path):
     with pytest.raises(Exception, match="ambiguous"):
         stores.one_by_event(inbox, "e").collect()
     assert stores.without(inbox.withColumnRenamed("event_id", "id"), spark.createDataFrame([("e",)], "id string")).count() == 1
+
+
+def test_case_log(spark):
+    from loomwatch.operators import cases
+
+    at = lambda i: datetime(2026, 1, 1, 0, i)
+    log = [("c", at(1), "claim", "ann"), ("c", at(2), "claim", "bob"), ("c", at(3), "transition", "in_progress"), ("c", at(4), "transition", "in_progress"), ("c", at(5), "resolve", "done"), ("c", at(6), "close", None), ("c", at(7), "transition", "reopened"), ("c", at(8), "assign", "eve"), ("d", at(1), "transition", "reopened")]
+    got = {r["case_id"]: tuple(r)[1:] for r in cases.state(spark.createDataFrame(log, "case_id string, ts timestamp, kind string, value string")).collect()}
+    assert got == {"c": ("reopened", "eve", "done", at(6), 1), "d": ("open", None, None, None, 1)}
+    rows = spark.createDataFrame([("c", at(1), "file", "x"), ("c", at(2), "log", "x"), ("c", at(3), "odd", "y")], "case_id string, ts timestamp, kind string, label string")
+    good, bad = cases.evidence(rows)
+    assert good.first()["kind"] == "file" and bad.count() == 1
+    t = spark.createDataFrame([("c", 1, at(1), "created", "A"), ("c", 1, at(2), "completed", None), ("c", 2, at(1), "created", "B")], "case_id string, task_id int, ts timestamp, action string, title string")
+    assert {(r["task_id"], r["title"], r["done"]) for r in cases.tasks(t).collect()} == {(1, "A", True), (2, "B", False)}
+    o = spark.createDataFrame([("c", at(1), "ann"), ("c", at(2), "ann"), ("c", at(3), "bob")], "case_id string, ts timestamp, owner string")
+    assert [(r["before"], r["after"]) for r in cases.owners(o).orderBy("ts").collect()] == [(None, "ann"), ("ann", "bob")]
+    n = spark.createDataFrame([("i", "x", at(2)), ("i", "y", at(1)), ("j", "z", at(1))], "incident_id string, case_id string, created_at timestamp")
+    assert [r["case_id"] for r in cases.open_once(n, n.where("incident_id = 'j'")).collect()] == ["y"]
+    assert list(spark.range(1).select(cases.duration(F.lit(90061)), cases.duration(F.lit(7260)), cases.duration(F.lit(59))).first()) == ["1d 1h", "2h 1m", "0m"]
+    e = spark.createDataFrame([(7, "HIGH", at(1)), (8, None, at(1))], "event_id int, severity string, ts timestamp")
+    assert [(r["incident_id"], r["risk"], r["priority"]) for r in cases.incident_of_event(e).orderBy("incident_id").collect()] == [("sensor-event:7", 80, "p1"), ("sensor-event:8", 60, "p2")]
+
+
+def test_plugins_and_health(spark, tmp_path):
+    import pandas as pd
+
+    from loomwatch.operators.plugins import Plugins
+    from loomwatch.streaming.health import Reports
+
+    p = Plugins()
+    p.parsers["words"] = (lambda b: pd.DataFrame({"w": [w for t in b["t"] for w in t.split()]}), "w string")
+    df = spark.createDataFrame([("a b",), ("",), ("c",)], "t string")
+    assert sorted(r["w"] for r in p.parse("words", df).collect()) == ["a", "b", "c"]
+    p.exporters = {"bad": lambda d, i: 1 / 0, "good": lambda d, i: d.write.parquet(str(tmp_path / "out"))}
+    outcome = p.export(df, 0)
+    assert outcome["good"] == "exported" and outcome["bad"].startswith("failed")
+    assert Reports().table(spark).count() == 0
+
+
+def test_queue_falls_back_to_alerts(spark):
+    from loomwatch.operators import kpi
+
+    a, none = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([], "id string")
+    assert kpi.queue_sources(none, none, a).count() == 1 and kpi.queue_sources(a.withColumn("id", F.lit("i")), none, a).first()["id"] == "i"
