@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +31,27 @@ def window_ids(keys: list[str], ts: str, order: str, seconds: int) -> Column:
     return F.transform(F.filter(F.array_sort(seen), lambda x: x <= own), lambda x: x["id"])
 
 
+def with_window_count(events: DataFrame, keys: list[str], seconds: int, ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """Adds window_count (see above) without bringing all of a key's rows to one task.
+
+    Time is cut into spans of the window's length. Each row counts in its own span and is there for the next
+    one, so a window never needs more than the two, and a busy key is dealt to as many tasks as it has spans.
+    """
+    span = seconds * 1_000_000
+    dealt = events.withColumn("__t", F.unix_micros(ts)).withColumn("__later", F.explode(F.array(F.lit(0), F.lit(1))))
+    dealt = dealt.withColumn("__span", F.floor(F.col("__t") / F.lit(span)) + F.col("__later"))
+    group = [*keys, "__span"]
+    in_range = F.count("*").over(Window.partitionBy(*group).orderBy("__t").rangeBetween(-span, 0))
+    peers = Window.partitionBy(*group, "__t")
+    after = F.count("*").over(peers) - F.row_number().over(peers.orderBy(order))
+    return dealt.withColumn("window_count", in_range - after).where("__later = 0").drop("__t", "__later", "__span")
+
+
 def over_threshold(events: DataFrame, keys: list[str], threshold: int, seconds: int, strict: bool = False, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Every event at (strict: above) the threshold of its key's window, with window_count. Null keys take no part."""
     for k in keys:
         events = events.where(F.col(k).isNotNull())
-    counted = events.withColumn("window_count", window_count(keys, ts, order, seconds))
+    counted = with_window_count(events, keys, seconds, ts, order)
     return counted.where(F.col("window_count") > threshold if strict else F.col("window_count") >= threshold)
 
 
@@ -55,52 +75,61 @@ def sessions(events: DataFrame, keys: list[str], gap: str = "30 minutes", ts: st
     return events.groupBy(*keys, s).agg(F.count("*").alias("events")).select(*keys, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "events")
 
 
-def _fold(step):
-    """A function for applyInPandas that folds a key's rows in order of time: it sees one key's state only."""
+class SlidingLimit:
+    """At most ``most`` allowed hits in any window; refused hits don't count."""
 
-    def run(batch):
-        batch = batch.sort_values(["t", "id"])
-        return batch.assign(allowed=step(batch["t"].to_numpy()))[["key", "id", "allowed"]]
+    def __init__(self, most: int, seconds: float):
+        self.most, self.seconds, self.held = most, seconds, deque()
 
-    return run
+    def __call__(self, t: float) -> bool:
+        while self.held and self.held[0] <= t - self.seconds:
+            self.held.popleft()
+        allowed = len(self.held) < self.most
+        if allowed:
+            self.held.append(t)
+        return allowed
 
 
-def sliding_limit(events: DataFrame, key: str, most: int, seconds: float, ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """key, id, allowed: at most ``most`` allowed hits in any window; refused hits don't count."""
+class TokenBucket:
+    """Tokens refill at ``rate`` a second up to ``burst``; each allowed event takes one."""
+
+    def __init__(self, rate: float, burst: float):
+        self.rate, self.burst, self.tokens, self.last = rate, burst, burst, None
 
-    def step(times):
-        from collections import deque
+    def __call__(self, t: float) -> bool:
+        if self.last is not None:
+            self.tokens = min(self.burst, self.tokens + (t - self.last) * self.rate)
+        self.last = t
+        allowed = self.tokens >= 1
+        self.tokens -= allowed
+        return allowed
 
-        held, out = deque(), []
-        for t in times:
-            while held and held[0] <= t - seconds:
-                held.popleft()
-            out.append(len(held) < most)
-            if out[-1]:
-                held.append(t)
-        return out
 
-    return _folded(events, key, ts, order, step)
+def sliding_limit(events: DataFrame, key: str, most: int, seconds: float, ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """key, id, allowed by a SlidingLimit of each key."""
+    return _folded(events, key, ts, order, lambda: SlidingLimit(most, seconds))
 
 
 def token_bucket(events: DataFrame, key: str, rate: float, burst: float, ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """key, id, allowed: tokens refill at ``rate`` a second up to ``burst``; each allowed event takes one."""
+    """key, id, allowed by a TokenBucket of each key."""
+    return _folded(events, key, ts, order, lambda: TokenBucket(rate, burst))
 
-    def step(times):
-        tokens, last, out = burst, None, []
-        for t in times:
-            tokens = min(burst, tokens + (t - last) * rate) if last is not None else tokens
-            last = t
-            out.append(tokens >= 1)
-            tokens -= out[-1]
-        return out
 
-    return _folded(events, key, ts, order, step)
+def _folded(events: DataFrame, key: str, ts: str, order: str, make: Callable[[], Callable[[float], bool]]) -> DataFrame:
+    """Rows in order of key and time go by one after another; only the state of the key at hand is held."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for batch in batches:
+            allowed = []
+            for k, t in zip(batch["key"], batch["t"], strict=True):
+                if k != at:
+                    at, state = k, make()
+                allowed.append(state(t))
+            yield batch[["key", "id"]].assign(allowed=allowed)
 
-def _folded(events: DataFrame, key: str, ts: str, order: str, step) -> DataFrame:
     rows = events.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("id"), (F.unix_micros(ts) / 1e6).alias("t"))
-    return rows.groupBy("key").applyInPandas(_fold(step), "key string, id long, allowed boolean")
+    return rows.repartition("key").sortWithinPartitions("key", "t", "id").mapInPandas(run, "key string, id long, allowed boolean")
 
 
 def backpressure(sizes: DataFrame, high: int = 8000, low: int = 2000, ts: str = "ts", size: str = "size") -> DataFrame:
