@@ -90,7 +90,7 @@ def build_level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     if bits > MAX_BITS:
         raise ValueError(f"a level of {bits} bits exceeds MAX_BITS")
     hashes = max(1, round(bits / max(1, n) * math.log(2))) if n else 1
-    hashes = min(hashes, 16)
+    hashes = min(hashes, 32)
     set_bits = keys.select(F.explode(F.array(*positions(F.col("key"), bits, hashes, seed))).alias("p"))
     words = set_bits.groupBy(F.shiftright("p", 6).alias("w")).agg(
         F.bit_or(bit(F.col("p"))).alias("v")
@@ -111,12 +111,19 @@ class Cascade:
         return answer
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 0.01, rate: float = 0.5, seed: int = 11) -> Cascade:
-    """listed, universe: one column key. The universe is scanned once; later levels are made of the mistakes of earlier ones."""
+def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float | None = None, rate: float = 0.5, seed: int = 11) -> Cascade:
+    """listed, universe: one column key. The universe is scanned for its size and for the first level's mistakes; later levels are made of those.
+
+    Without a first_rate the first level lets through about as many keys of the universe as are listed, so
+    that all levels together grow with the list, and with the universe only by its logarithm.
+    """
     listed = listed.where("key is not null").distinct()
     n = listed.count()
     if not n:
         return Cascade(())
+    if first_rate is None:
+        size = universe.agg(F.approx_count_distinct("key")).first()[0]
+        first_rate = min(0.5, max(1e-12, n / max(1, size)))
     levels = [build_level(listed, n, first_rate, seed)]
     wrong = universe.where(levels[0].passes(F.col("key"))).distinct().join(listed, "key", "left_anti").checkpoint()
     inside, outside = listed, wrong

@@ -29,7 +29,7 @@ def test_against_plain_rules(spark):
     assert {r["verdict"] for r in uf.url_filter(df, rules=()).collect()} == {"allow"}
 
 
-@pytest.mark.parametrize("first_rate", [0.01, 0.9])
+@pytest.mark.parametrize("first_rate", [None, 0.01, 0.9])
 def test_cascade_is_exact_over_its_universe(spark, first_rate):
     universe = spark.range(3000).selectExpr("concat('k', id) as key")
     listed = spark.range(0, 3000, 7).selectExpr("concat('k', id) as key")
