@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwatch.llm.common import ascii_lower, table
+from loomwatch.llm.common import ascii_lower, shared_dir, table
 
 #: Cascades whose bits would need more than this are refused: beyond it, join the keys instead (see url_filter).
 MAX_BITS = 1 << 24
@@ -117,6 +117,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float | No
     Without a first_rate the first level lets through about as many keys of the universe as are listed, so
     that all levels together grow with the list, and with the universe only by its logarithm.
     """
+    shared_dir(listed.sparkSession)  # where the checkpoints go
     listed = listed.where("key is not null").distinct()
     n = listed.count()
     if not n:
