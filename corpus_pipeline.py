@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwatch.llm import common, mixing, packing, quality, secrets, simhash
+from loomwatch.llm import common, mixing, packing, quality, secrets, similar
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,9 +14,9 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles in 256 bits, of which a similarity of 0.8 changes 40 on average."""
-    found = simhash.near_duplicates(docs, radius=46, shingle=5, words=4, blocks=None)
-    gone = common.written(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    """One document of each group stays: those linked by five-word shingles that are at least 0.8 alike."""
+    found = similar.groups(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("row")).agg(F.min("text").alias("text")))
+    gone = common.written(found.where("row <> component").select(F.col("row").alias("doc_id")), "copies")
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
 
 
