@@ -14,10 +14,17 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: those linked by five-word shingles that are at least 0.8 alike."""
-    found = similar.groups(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("row")).agg(F.min("text").alias("text")))
-    gone = common.written(found.where("row <> component").select(F.col("row").alias("doc_id")), "copies")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """One row of each group stays: those linked by five-word shingles that are at least 0.8 alike.
+
+    Rows are told apart by a key of their own, not by doc_id: rows that share an id are judged by their texts,
+    and the row with the smallest id (then a hash of all columns) stays. Rows without doc_id take no part and stay.
+    """
+    rows = common.written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = similar.groups(rows.where("doc_id is not null").select(F.col("__row").alias("row"), "text"))
+    order = rows.select(F.col("__row").alias("row"), F.struct("doc_id", F.xxhash64(*docs.columns).alias("h"), "__row").alias("order"))
+    heads = found.join(order, "row").groupBy("component").agg(F.min("order")["__row"].alias("head"))
+    gone = common.written(found.join(heads, "component").where("row <> head").select(F.col("row").alias("__row")), "copies")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,14 @@ def test_stage_drops_what_the_shingles_say(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.stage_near_dedup(spark, docs, "").collect()}
     assert kept == set(brute(texts))
+
+
+def test_stage_tells_rows_apart_without_ids(spark):
+    r = random.Random(9)
+    a, b, c, d, e = (" ".join(f"w{r.randrange(5000)}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a, "x"), (None, b, "x"), (None, c, "x"), (1, a, "x"), (7, c, "x"), (7, d, "x"), (7, d, "x"), (8, d + " more", "x"), (2, c, "y"), (9, e, "x"), (9, e, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, again = (sorted(map(tuple, corpus_pipeline.stage_near_dedup(spark, docs.repartition(n), "").collect()), key=str) for n in (1, 3))
+    assert first == again
+    assert [x for x in first if x[0] is None] == sorted([(None, a, "x"), (None, b, "x"), (None, c, "x")])
+    assert [(i, t) for i, t, _ in first if i is not None] == [(1, a), (2, c), (7, d), (9, e)]
