@@ -3,11 +3,13 @@
 Beside the patterns, a run of key-like characters that follows a sensitive word is a candidate. It is
 compressed together with the code around it, with and without the candidate, by a compressor primed with
 a dictionary of code and identifiers. The bytes that it adds measure how new it is: names, words and values
-that the surroundings or the dictionary know add few, random material adds nearly its own length.
+that the surroundings or the dictionary know add few, random material adds nearly its own length. A mean per character
+sinks with length, so from LONG characters on it is held against the bits of the candidate's alphabet.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,6 +30,11 @@ SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Characters between sensitive word and candidate, of context on either side, and least novelty (bytes a character).
 REACH, AROUND, NOVELTY = 40, 200, 0.75
+#: Characters from which novelty need not exceed what random text of the same alphabet holds.
+LONG = 64
+#: A name of letters that something is assigned to, or the rest of one.
+NAME = re.compile(r"""[A-Za-z_/-]+["']?\s*[:=]""")
+HEX_DIGITS = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: What code and configuration are made of: words, identifiers, digits and alphabets.
 IDENTIFIERS = """
 def class return import from self None True False if else elif for while try except finally with as lambda yield assert raise pass
@@ -40,6 +47,16 @@ path file name value type size length count index start end data result response
 """
 
 
+def least_novelty(own: str) -> float:
+    """NOVELTY, or for a long candidate the bytes a character of random text of its alphabet if that is less."""
+    if len(own) < LONG:
+        return NOVELTY
+    digits, small, large = (any(map(test, own)) for test in (str.isdigit, str.islower, str.isupper))
+    letters = 26 * max(1, small + large) if digits else 26
+    alphabet = 16 if HEX_DIGITS.fullmatch(own) else letters + 10 * digits
+    return min(NOVELTY, math.log2(alphabet) / 8)
+
+
 class Scanner:
     def __init__(self) -> None:
         import zstandard
@@ -47,11 +64,16 @@ class Scanner:
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compress = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False).compress
 
-    def novelty(self, text: str, start: int, end: int) -> float:
-        """Bytes that the span adds to its compressed surroundings, a character."""
+    def added(self, text: str, start: int, end: int, own: str) -> float:
+        """Bytes that the span, written as own, adds to its compressed surroundings, a character."""
         before, after = text[max(0, start - AROUND) : start].encode(), text[end : end + AROUND].encode()
-        own = text[start:end].encode()
-        return (len(self.compress(before + after + own)) - len(self.compress(before + after))) / len(own)
+        return (len(self.compress(before + own.encode() + after)) - len(self.compress(before + after))) / len(own)
+
+    def novelty(self, text: str, start: int, end: int) -> float:
+        """What the span adds; of spans without digits, which may be names in capitals, at most what their small letters add."""
+        own = text[start:end]
+        found = self.added(text, start, end, own)
+        return found if any(x.isdigit() for x in own) or own == own.lower() else min(found, self.added(text, start, end, own.lower()))
 
     def base(self, text: str, low: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the three patterns, per kind leftmost and without overlap; those too short are dropped after matching."""
@@ -68,17 +90,16 @@ class Scanner:
         if any(w in low for w in SENSITIVE_WORDS):
             seen: dict[int, int] = {}
             for m in SENSITIVE.finditer(text):
-                c = CANDIDATE.search(text, m.end(), m.end() + REACH + 16)
-                if c and c.start() <= m.end() + REACH and c.start() not in seen:
-                    seen[c.start()] = CANDIDATE.match(text, c.start()).end()
+                for c in CANDIDATE.finditer(text, m.end(), m.end() + REACH + 16):
+                    if c.start() <= m.end() + REACH and c.start() not in seen:
+                        seen[c.start()] = CANDIDATE.match(text, c.start()).end()
             last = -1
             for start, end in sorted(seen.items()):
-                own = text[start:end]
-                if start < last or not (any(x.isdigit() for x in own) and any(x.isalpha() for x in own)):
+                if start < last or NAME.match(text, start):
                     continue
                 if any(s < end and start < e for s, _, e in found):
                     continue
-                if self.novelty(text, start, end) >= NOVELTY:
+                if self.novelty(text, start, end) >= least_novelty(text[start:end]):
                     found.append((start, 3, end))
                     last = end
         return sorted(found)

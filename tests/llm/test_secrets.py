@@ -1,3 +1,4 @@
+import random
 import re
 
 from loomwatch.llm import secrets
@@ -34,3 +35,22 @@ def test_redaction(spark):
     assert got[2]["text"] == "[secret]" and got[2]["n_chars"] == 8 and got[0]["text"] is None and got[3]["text"] == TEXTS[3]
     assert got[15]["text"] == "é [secret] \U0001f600 [secret]'" and "ede43f42" not in got[7]["text"]
     assert secrets.redacted(df).columns == df.columns
+
+
+def novel(text):
+    return [text[s:e] for s, k, e in secrets.Scanner().spans(text) if k == 3]
+
+
+def test_every_candidate_in_reach_is_measured():
+    value = "f8Kd93mQz71LpXv0TnBw52Yc"
+    for text in ('SECRET_KEY_BASE_PRODUCTION = "%s"', 'encryption_key_for_user_uploads_bucket: "%s"', 'private_configuration_settings_path, "%s"'):
+        assert novel(text % value) == [value]
+
+
+def test_keys_without_digits_and_long_keys():
+    r = random.Random(4)
+    for letters, n, least in (("abcdefghijklmnopqrstuvwxyz", 16, 0.8), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 32, 0.9), ("0123456789ABCDEF", 256, 1), ("abcdefghijklmnopqrstuvwxyz234567", 512, 1)):
+        keys = ["".join(r.choice(letters) for _ in range(n)) for _ in range(40)]
+        assert sum(novel(f'app.session_store = open_store(signature, "{k}", retries=3)') == [k] for k in keys) >= least * len(keys)
+    for text in ("session key production_environment_settings", "SECRET_KEY_AUTHORIZATION_SETTINGS = load()", "token = connection_settings_configuration", "the cookie aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"):
+        assert novel(text) == []
