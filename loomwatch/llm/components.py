@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwatch.llm.common import written
+from loomwatch.llm.common import join_counted, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round points every node to its smallest neighbour where that is smaller, follows the pointers twice,
     and replaces the ends of the links by what they point to; links within a node go. A star, however large,
-    takes two rounds and a chain shrinks to less than a quarter each round. Null ends and loops are left out.
+    takes two rounds and a chain shrinks to less than a quarter each round; busy nodes join by broadcast, so that
+    a star does not end in one task. Null ends and loops are left out.
     """
     edges = written(links.select("a", "b").where("a <> b").distinct(), "links")
     steps: list[DataFrame] = []
@@ -21,14 +22,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if edges.isEmpty():
             break
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("degree")), "degrees")
+        point = least.select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
         for _ in range(2):
-            further = point.select(F.col("node").alias("to"), F.col("to").alias("onto"))
-            point = point.join(further, "to").select("node", F.col("onto").alias("to"))
-        point = written(point, "pointers")
+            pointed = written(point.groupBy("to").agg(F.count("*").alias("from")), "pointed")
+            further = written(pointed.join(point.select(F.col("node").alias("to"), F.col("to").alias("onto")), "to"), "further")
+            point = written(join_counted(point, further, ["to"], "from").select("node", F.col("onto").alias("to")), "pointers")
         steps.append(point)
+        ends = written(point.join(least.select(F.col("a").alias("node"), "degree"), "node"), "ends")
         for end in ("a", "b"):
-            edges = edges.join(point.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("to", end)
+            edges = written(join_counted(edges, ends.withColumnRenamed("node", end), [end], "degree").drop(end, "degree").withColumnRenamed("to", end), "moved")
         edges = written(edges.select("a", "b").where("a <> b").distinct(), "links")
     else:
         raise RuntimeError("components did not settle")
@@ -36,5 +39,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = steps[-1]
     for point in reversed(steps[:-1]):
-        found = point.join(found.select(F.col("node").alias("to"), F.col("to").alias("onto")), "to", "left").select("node", F.coalesce("onto", "to").alias("to"))
+        pointed = point.groupBy("to").agg(F.count("*").alias("from"))
+        further = pointed.join(found.select(F.col("node").alias("to"), F.col("to").alias("onto")), "to", "left").withColumn("onto", F.coalesce("onto", "to"))
+        found = written(join_counted(point, written(further, "further"), ["to"], "from").select("node", F.col("onto").alias("to")), "pointers")
     return found.select("node", F.col("to").alias("component"))

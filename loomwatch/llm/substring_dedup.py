@@ -3,9 +3,10 @@
 Every window of ``length`` bytes has one anchor: where the smallest hash of a shorter gram lies in it. Equal
 windows have equal anchors at the same place, so only anchors whose gram occurs twice can lie in a repeat.
 The windows of one anchor occurrence follow one another; their context is the bytes that they cover. Contexts
-that occur twice are repeated whole. The other contexts of a gram meet in one group, where the gram, which
+that occur twice are repeated whole. The other contexts of a gram meet in one part, where the gram, which
 they share, counts as one symbol; a suffix array over them shows at each start whether a neighbour agrees to
-the window's end.
+the window's end. A gram with too many contexts for one array is halved first: windows that reach far to the
+left of the gram by the bytes that they then share there, the others by those on its right.
 
 The suffix array is made by grouping. Suffixes with one first symbol are a group; groups are taken from the
 highest down, and the previous smaller suffix of each member is moved to a new group whose prefix is longer
@@ -16,17 +17,17 @@ group. Nothing is renamed and no smaller string is sorted.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwatch.llm.common import table, written
+from loomwatch.llm.common import join_counted, table, written
 
-#: Bytes of an anchor's gram, of a repeat; contexts of one gram that are sorted in one task at most; symbols of one suffix array.
+#: Bytes of an anchor's gram, of a repeat; contexts of a part that are sorted at once at most; symbols of one suffix array.
 GRAM, LENGTH, MOST, SYMBOLS = 300, 400, 500, 200_000
 #: Bytes of a text that are hashed at once.
 SEGMENT = 1 << 22
@@ -168,44 +169,41 @@ def data_of(text: str | None) -> np.ndarray:
 ANCHOR = "doc_id long, version long, start long, n int, lead int, gram long, context long"
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
+ANCHOR = "tid long, start long, n int, lead int, gram long, context long"
+
+
+def anchor_rows(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def out() -> pd.DataFrame:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
-            return pd.DataFrame(dict(zip(["doc_id", "version", "start", "n", "lead", "gram", "context"], columns, strict=True)))
+            return pd.DataFrame(dict(zip(["tid", "start", "n", "lead", "gram", "context"], columns, strict=True)))
 
         for batch in batches:
-            for doc_id, version, text in batch.itertuples(index=False):
+            for tid, text in batch.itertuples(index=False):
                 for start, n, lead, gram, context in anchors(data_of(text)):
-                    held.append((np.full(len(n), doc_id), np.full(len(n), version), start, n, lead, gram.view(np.int64), context.view(np.int64)))
+                    held.append((np.full(len(n), tid), start, n, lead, gram.view(np.int64), context.view(np.int64)))
                 if len(held) >= 2000:
                     yield out()
         if held:
             yield out()
 
-    return docs.select("doc_id", "version", "text").mapInPandas(run, ANCHOR)
+    return texts.select("tid", "text").mapInPandas(run, ANCHOR)
 
 
-def context_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of the wanted contexts (doc_id, version, start, n, lead and more), the gram left out: left and right of it."""
-    more = [f for f in wanted.schema.fields if f.name not in ("doc_id", "version")]
-    per_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct(*[f.name for f in more])).alias("contexts"))  # within one text
+def context_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bytes of the wanted contexts (tid, start, n, lead and more), the gram left out: left and right of it."""
+    more = [f for f in wanted.columns if f != "tid"]
+    per_text = wanted.groupBy("tid").agg(F.collect_list(F.struct(*more)).alias("contexts"))  # within one text
 
-    @F.udf("array<binary>")
-    def cut(text, contexts):
-        data = text.encode()
-        out = []
-        for c in contexts:
-            gram = c["start"] + c["lead"]
-            out += [data[c["start"] : gram], data[gram + GRAM : c["start"] + c["n"] + LENGTH - 1]]
-        return out
+    def cut(c: Column) -> Column:
+        right = F.substring(F.col("data"), (c["start"] + c["lead"] + GRAM + 1).cast("int"), c["n"] + LENGTH - 1 - c["lead"] - GRAM)
+        return F.struct(*[c[m].alias(m) for m in more], F.substring(F.col("data"), (c["start"] + 1).cast("int"), c["lead"]).alias("left"), right.alias("right"))
 
-    found = docs.join(per_doc, ["doc_id", "version"]).select("doc_id", "version", "contexts", cut("text", "contexts").alias("cut"))
-    one = found.select("doc_id", "version", F.posexplode("contexts").alias("i", "c"), "cut")
-    return one.select("doc_id", "version", "c.*", F.get("cut", F.col("i") * 2).alias("left"), F.get("cut", F.col("i") * 2 + 1).alias("right"))
+    found = texts.select("tid", F.col("text").cast("binary").alias("data")).join(per_text, "tid")
+    return found.select("tid", F.inline(F.transform("contexts", cut)))
 
 
 def sorted_repeats(lefts: list[bytes], rights: list[bytes], grams: list[int]) -> list[list[int]]:
@@ -245,42 +243,30 @@ def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]]
 
 
-SPAN = "doc_id long, version long, a long, b long"
+SPAN = "tid long, a long, b long"
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, a, b): bytes a to b (exclusive) that lie in repeats; spans of a text may overlap."""
-    grams = written(anchor_rows(docs).select("gram").groupBy("gram").count().where("count > 1").select("gram"), "grams")
-    alive = written(anchor_rows(docs).join(grams, "gram"), "anchors")
-
-    contexts = alive.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "version", "start", "n", "lead")).alias("first"))
-    contexts = written(contexts, "contexts")
-    whole = alive.join(contexts.where("times > 1").select("gram", "context"), ["gram", "context"])
-    whole = whole.select("doc_id", "version", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
-
-    several = contexts.groupBy("gram").agg(F.count("*").alias("of"), F.count_if(F.col("times") == 1).alias("open")).where("of > 1 and open > 0").select("gram", "of")
-    several = written(several, "several")
-    some = contexts.join(several, "gram").select("gram", "times", "of", "first.*")
-    texts = written(context_texts(docs, some), "context-texts")
+def solved(rows: DataFrame) -> DataFrame:
+    """Spans of the rows (tid, start, times, part, gram, left, right) that are repeated within their part, by suffix arrays."""
 
     def by_sorting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by gram; grams share a suffix array until it has enough symbols."""
+        """Rows come sorted by part; parts share a suffix array until it has enough symbols."""
 
         def solve(rows: pd.DataFrame) -> pd.DataFrame:
-            found = sorted_repeats(rows["left"].to_list(), rows["right"].to_list(), rows["gram"].to_list())
-            out = [np.empty((0, 4), np.int64)]
-            for (doc_id, version, start, times), at in zip(rows[["doc_id", "version", "start", "times"]].itertuples(index=False), found, strict=True):
+            found = sorted_repeats(rows["left"].to_list(), rows["right"].to_list(), rows["part"].to_list())
+            out = [np.empty((0, 3), np.int64)]
+            for (tid, start, times), at in zip(rows[["tid", "start", "times"]].itertuples(index=False), found, strict=True):
                 if at and times == 1:
                     first, last = runs(np.array(at) + start)
-                    out.append(np.stack([np.full(len(first), doc_id), np.full(len(first), version), first, last + LENGTH], 1))
-            return pd.DataFrame(np.concatenate(out), columns=["doc_id", "version", "a", "b"])
+                    out.append(np.stack([np.full(len(first), tid), first, last + LENGTH], 1))
+            return pd.DataFrame(np.concatenate(out), columns=["tid", "a", "b"])
 
         held: pd.DataFrame | None = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
             while True:
                 sizes = (held["left"].map(len) + held["right"].map(len) + 2).cumsum().to_numpy()
-                ends = np.flatnonzero(held["gram"].to_numpy()[1:] != held["gram"].to_numpy()[:-1]) + 1
+                ends = np.flatnonzero(held["part"].to_numpy()[1:] != held["part"].to_numpy()[:-1]) + 1
                 full = ends[sizes[ends - 1] >= SYMBOLS]
                 if not len(full):
                     break
@@ -289,42 +275,100 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         if held is not None and len(held):
             yield solve(held)
 
-    small = texts.where(F.col("of") <= MOST).select("doc_id", "version", "start", "times", "gram", "left", "right")
-    work = small.agg(F.sum(F.length("left") + F.length("right") + 2)).first()[0] or 0
+    work = rows.agg(F.sum(F.length("left") + F.length("right") + 2)).first()[0] or 0
     tasks = -(-work // SYMBOLS) + 1  # the work is long for its bytes, by which Spark would deal it
-    found = small.repartition(tasks, "gram").sortWithinPartitions("gram").mapInPandas(by_sorting, SPAN)
-    return whole.union(found).union(by_counting(texts.where(F.col("of") > MOST)))
+    return rows.select("tid", "start", "times", "part", "left", "right").repartition(tasks, "part").sortWithinPartitions("part").mapInPandas(by_sorting, SPAN)
+
 
+def halves(rows: DataFrame) -> DataFrame:
+    """The rows of parts (part, low, high) in the two halves of each.
+
+    A window has ``before`` bytes on the left of the gram, low to high in a part. Windows of the upper half all
+    hold the bytes just left of the gram, those of the lower half the bytes just right of it: what two contexts
+    share in a half they share with these bytes, which name the new part.
+    """
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    near_left = F.substring("left", F.greatest(F.col("lead") - middle, F.lit(1)), F.lit(LENGTH))
+    near_right = F.substring("right", F.lit(1), LENGTH - GRAM - middle)
+    upper = F.struct(F.xxhash64("part", F.lit(1), near_left).alias("part"), (middle + 1).alias("low"), F.col("high").alias("high"))
+    lower = F.struct(F.xxhash64("part", F.lit(0), near_right).alias("part"), F.col("low").alias("low"), middle.alias("high"))
+    both = F.array_compact(F.array(F.when(F.col("lead") > middle, upper), F.when(F.col("lead") - F.col("n") + 1 <= middle, lower)))
+    return rows.select(*[c for c in rows.columns if c not in ("part", "low", "high")], F.inline(both))
 
-def by_counting(texts: DataFrame) -> DataFrame:
-    """The same for grams with so many contexts that no task should hold them: windows are counted by two hashes of their bytes."""
-    place = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")
-    windows = texts.select("doc_id", "version", "start", "times", "gram", "left", "right", "lead", place).withColumn(
-        "own", F.concat(F.substring(F.col("left"), F.col("at") + 1, F.col("lead") - F.col("at")), F.substring(F.col("right"), F.lit(1), F.lit(LENGTH - GRAM) - F.col("lead") + F.col("at")))
-    )
-    keyed = windows.select("doc_id", "version", "start", "times", "at", "gram", (F.col("lead") - F.col("at")).alias("before"), F.xxhash64("own").alias("h"), F.xxhash64(F.lit(1), "own").alias("i"))
-    twice = written(keyed.groupBy("gram", "before", "h", "i").count().where("count > 1").drop("count"), "windows")  # a scan, so that Spark can split a hot window
-    hit = keyed.where("times = 1").join(twice, ["gram", "before", "h", "i"])
-    return hit.select("doc_id", "version", (F.col("start") + F.col("at")).alias("a"), (F.col("start") + F.col("at") + LENGTH).alias("b"))
+
+def split_repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of parts of at most MOST contexts, and spans that were found on the way, from rows of larger parts.
+
+    A part is halved as often as it takes. Contexts of a part that agree in all its windows repeat each other
+    and one goes on for them; a part with one window left has none that differ, so the halving ends.
+    """
+    parts, spans = [], []
+    width = LENGTH - GRAM
+    for _ in range(width.bit_length()):
+        rows = halves(rows)
+        # What of the context the part's windows cover.
+        most, least = F.least("lead", "high"), F.greatest(F.col("lead") - F.col("n") + 1, F.col("low"))
+        left, right = F.substring("left", F.col("lead") - most + 1, most), F.substring("right", F.lit(1), width - least)
+        same = [F.xxhash64(most, least, left, right, F.lit(i)).alias(f"same{i}") for i in (1, 2)]
+        rows = written(rows.select("*", most.alias("most"), least.alias("least"), *same), "halves")
+        keys = ["part", "low", "high", "same1", "same2"]
+        of = [c for c in rows.columns if c not in keys]
+        met = written(rows.groupBy(*keys).agg(F.count("*").alias("met"), F.min(F.struct("tid", "start", *[c for c in of if c not in ("tid", "start")])).alias("row")), "met")
+        whole = join_counted(rows.where("times = 1"), met.where("met > 1").select(*keys, "met"), keys, "met")
+        spans.append(whole.select("tid", (F.col("start") + F.col("lead") - F.col("most")).alias("a"), (F.col("start") + F.col("lead") - F.col("least") + LENGTH).alias("b")))
+        one = met.select("part", "low", "high", "row.*", "met").withColumn("times", F.when(F.col("met") > 1, F.lit(2)).otherwise(F.col("times"))).drop("met", "most", "least")
+        counted = written(one.groupBy("part").agg(F.count("*").alias("of")).where("of > 1"), "parts")
+        rows = written(join_counted(one, counted, ["part"], "of"), "split")
+        parts.append(rows.where(F.col("of") <= MOST).drop("of"))
+        rows = rows.where((F.col("of") > MOST) & (F.col("low") < F.col("high"))).drop("of")
+        if rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, spans)
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(tid, a, b): bytes a to b (exclusive) of the texts (tid, text), all different, that lie in repeats; spans may overlap."""
+    grams = written(anchor_rows(texts).select("gram").groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "grams")
+    alive = written(join_counted(anchor_rows(texts), grams, ["gram"], "times").drop("times"), "anchors")
+
+    contexts = alive.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("tid", "start", "n", "lead")).alias("first"))
+    contexts = written(contexts, "contexts")
+    whole = join_counted(alive, contexts.where("times > 1").select("gram", "context", "times"), ["gram", "context"], "times")
+    spans = whole.select("tid", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
+
+    several = contexts.groupBy("gram").agg(F.count("*").alias("of"), F.count_if(F.col("times") == 1).alias("open")).where("of > 1 and open > 0").select("gram", "of")
+    some = join_counted(contexts, written(several, "several"), ["gram"], "of").select(F.col("gram").alias("part"), "times", "of", "first.*")
+    found = written(context_texts(texts, some), "context-texts")
+    rows = found.where(F.col("of") <= MOST).drop("of", "n", "lead")
+    large = found.where(F.col("of") > MOST).drop("of")
+    if not large.isEmpty():
+        parts, more = split_repeats(large.withColumns({"low": F.lit(0), "high": F.lit(LENGTH - GRAM)}))
+        rows, spans = rows.unionByName(parts.select(*rows.columns)), spans.unionByName(more)
+    return spans.unionByName(solved(rows))
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, removed (array of (a, b), maximal and in order) and kept (binary) of every text.
 
     A byte goes if a string of LENGTH bytes that covers it starts anywhere else too, in this or another text.
-    Null and empty texts keep nothing and lose nothing. Repeated rows repeat each other and come out each.
-    Rows without doc_id take no part. Other columns are left out. An empty table stays empty.
+    Null and empty texts keep nothing and lose nothing. Repeated rows and texts repeat each other and come out
+    each; they are looked at once. Rows without doc_id take no part. Other columns are left out. An empty table stays empty.
     """
-    docs = documents.where("doc_id is not null").select("doc_id", F.xxhash64("text", F.lit(2)).alias("version"), "text")
-    spans = repeated_spans(docs.where(F.octet_length("text") >= LENGTH))
-    per_doc = written(spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")  # within one text
-
-    @F.pandas_udf("n_bytes long, n_removed long, removed array<struct<a:long,b:long>>, kept binary")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    docs = documents.where("doc_id is not null").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    short, long = docs.where(F.col("n_bytes") < LENGTH), docs.where(F.col("n_bytes") >= LENGTH).withColumn("same", F.unhex(F.md5("text")))
+    texts = long.groupBy("same").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
+    spans = written(repeated_spans(texts.select("tid", "text")), "spans")
+    # A text that is there twice goes as a whole; of the others each has its spans in one row.
+    per_text = spans.groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+
+    @F.pandas_udf("removed array<struct<a:long,b:long>>, kept binary")
+    def cut(texts: pd.Series, copies: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, found in zip(texts, spans, strict=True):
-            data, merged = (text or "").encode(), []
-            for s in sorted((s["a"], s["b"]) for s in found) if found is not None else ():
+        for text, n, found in zip(texts, copies, spans, strict=True):
+            data, merged = text.encode(), []
+            found = [{"a": 0, "b": len(data)}] if n > 1 else [] if found is None else found
+            for s in sorted((s["a"], s["b"]) for s in found):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -333,12 +377,14 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             for a, b in merged:
                 kept.append(data[at:a])
                 at = b
-            kept = b"".join([*kept, data[at:]])
-            rows.append((len(data), len(data) - len(kept), [{"a": a, "b": b} for a, b in merged], kept))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "removed", "kept"])
-
-    joined = docs.join(per_doc, ["doc_id", "version"], "left").withColumn("cut", cut("text", "spans"))
-    return joined.select("doc_id", "cut.n_bytes", "cut.n_removed", F.size("cut.removed").cast("long").alias("n_spans"), "cut.removed", "cut.kept")
+            rows.append(([{"a": a, "b": b} for a, b in merged], b"".join([*kept, data[at:]])))
+        return pd.DataFrame(rows, columns=["removed", "kept"])
+
+    judged = texts.join(per_text, "tid", "left").select("same", "copies", cut("text", "copies", "spans").alias("cut")).select("same", "copies", "cut.*")
+    done = join_counted(long.select("doc_id", "n_bytes", "same"), written(judged, "judged"), ["same"], "copies").drop("same", "copies")
+    whole = short.select("doc_id", "n_bytes", F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)").alias("removed"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"))
+    out = done.unionByName(whole)
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "removed", "kept")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
