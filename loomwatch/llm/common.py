@@ -51,15 +51,14 @@ def buckets_for(rows: int, each: int = 50_000) -> int:
     return 1 << max(6, (rows // each).bit_length())
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, share: int = 4096) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, most: int = 1024) -> DataFrame:
     """Inner join with right, which has every key once and in ``count`` how many rows of left have it.
 
-    Keys with more than a share-th of all those rows, of which there are fewer than ``share``, join by
-    broadcast where their rows lie; so no task gets more than its part of a busy key. Right's rows must be narrow.
+    The ``most`` keys with most rows join by broadcast where their rows lie, so a key that is shuffled has at most
+    its 1024th part of them. left is read twice and best a written table; right's rows must be narrow.
     """
-    total = right.agg(F.sum(count)).first()[0] or 0
-    busy = right.where(F.col(count) > total // share)
-    quiet = left.join(F.broadcast(busy.select(*on)), on, "left_anti").join(right.where(F.col(count) <= total // share), on)
+    busy = right.orderBy(F.desc(count), *on).limit(most)
+    quiet = left.join(F.broadcast(busy.select(*on)), on, "left_anti").join(right, on)
     return left.join(F.broadcast(busy), on).unionByName(quiet)
 
 

@@ -22,24 +22,22 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if edges.isEmpty():
             break
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("degree")), "degrees")
-        point = least.select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
+        point = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"), F.count("*").alias("degree")).withColumnRenamed("a", "node"), "pointers")
         for _ in range(2):
-            pointed = written(point.groupBy("to").agg(F.count("*").alias("from")), "pointed")
-            further = written(pointed.join(point.select(F.col("node").alias("to"), F.col("to").alias("onto")), "to"), "further")
-            point = written(join_counted(point, further, ["to"], "from").select("node", F.col("onto").alias("to")), "pointers")
+            pointed = point.groupBy("to").agg(F.count("*").alias("from"))
+            further = pointed.join(point.select(F.col("node").alias("to"), F.col("to").alias("onto")), "to")
+            point = written(join_counted(point, further, ["to"], "from").select("node", F.col("onto").alias("to"), "degree"), "pointers")
         steps.append(point)
-        ends = written(point.join(least.select(F.col("a").alias("node"), "degree"), "node"), "ends")
         for end in ("a", "b"):
-            edges = written(join_counted(edges, ends.withColumnRenamed("node", end), [end], "degree").drop(end, "degree").withColumnRenamed("to", end), "moved")
+            edges = join_counted(edges, point.withColumnRenamed("node", end), [end], "degree").drop(end, "degree").withColumnRenamed("to", end)
         edges = written(edges.select("a", "b").where("a <> b").distinct(), "links")
     else:
         raise RuntimeError("components did not settle")
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    found = steps[-1]
+    found = steps[-1].select("node", "to")
     for point in reversed(steps[:-1]):
         pointed = point.groupBy("to").agg(F.count("*").alias("from"))
         further = pointed.join(found.select(F.col("node").alias("to"), F.col("to").alias("onto")), "to", "left").withColumn("onto", F.coalesce("onto", "to"))
-        found = written(join_counted(point, written(further, "further"), ["to"], "from").select("node", F.col("onto").alias("to")), "pointers")
+        found = written(join_counted(point, further, ["to"], "from").select("node", F.col("onto").alias("to")), "pointers")
     return found.select("node", F.col("to").alias("component"))

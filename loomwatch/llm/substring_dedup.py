@@ -317,7 +317,7 @@ def split_repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         whole = join_counted(rows.where("times = 1"), met.where("met > 1").select(*keys, "met"), keys, "met")
         spans.append(whole.select("tid", (F.col("start") + F.col("lead") - F.col("most")).alias("a"), (F.col("start") + F.col("lead") - F.col("least") + LENGTH).alias("b")))
         one = met.select("part", "low", "high", "row.*", "met").withColumn("times", F.when(F.col("met") > 1, F.lit(2)).otherwise(F.col("times"))).drop("met", "most", "least")
-        counted = written(one.groupBy("part").agg(F.count("*").alias("of")).where("of > 1"), "parts")
+        counted = one.groupBy("part").agg(F.count("*").alias("of")).where("of > 1")
         rows = written(join_counted(one, counted, ["part"], "of"), "split")
         parts.append(rows.where(F.col("of") <= MOST).drop("of"))
         rows = rows.where((F.col("of") > MOST) & (F.col("low") < F.col("high"))).drop("of")
@@ -337,7 +337,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     spans = whole.select("tid", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
 
     several = contexts.groupBy("gram").agg(F.count("*").alias("of"), F.count_if(F.col("times") == 1).alias("open")).where("of > 1 and open > 0").select("gram", "of")
-    some = join_counted(contexts, written(several, "several"), ["gram"], "of").select(F.col("gram").alias("part"), "times", "of", "first.*")
+    some = join_counted(contexts, several, ["gram"], "of").select(F.col("gram").alias("part"), "times", "of", "first.*")
     found = written(context_texts(texts, some), "context-texts")
     rows = found.where(F.col("of") <= MOST).drop("of", "n", "lead")
     large = found.where(F.col("of") > MOST).drop("of")
