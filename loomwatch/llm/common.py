@@ -55,13 +55,18 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, m
     """Inner join with right, which has every key once and in ``count`` how many rows of left have it.
 
     The ``most`` keys with most rows join by broadcast where their rows lie, so a key that is shuffled has at most
-    its 1024th part of them. left is read twice and best a written table; right's rows must be narrow.
+    its 1024th part of them. left is read twice and best a written table; rows of right that count more than once must be narrow.
     """
-    busy = right.orderBy(F.desc(count), *on).limit(most)
+    busy = right.where(F.col(count) > 1).orderBy(F.desc(count), *on).limit(most)
     quiet = left.join(F.broadcast(busy.select(*on)), on, "left_anti").join(right, on)
     return left.join(F.broadcast(busy), on).unionByName(quiet)
 
 
+def tasks_for(groups: int, rows: int) -> int:
+    """Tasks for groups that are few bytes but much work: several a group, so that few share one, and no more than the rows need."""
+    return min(4 * groups, max(64, rows // 256))
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], buckets: int = 64, out: str = "rank", attach: DataFrame | None = None) -> DataFrame:
     """Adds each row's rank (from 0) among the rows of its keys, without bringing a key's rows to one task.
 

@@ -1,10 +1,10 @@
 """Embedding near-duplicates over navigable small-world graphs, one per shard.
 
 Vectors of a label fall into shards by a hash; each shard gets a hierarchical graph, kept as one row of a
-written table. Every vector queries every shard of its label. A beam that ends among links is widened, up to
-the whole shard; before that, a sample of the shard's vectors is audited against brute force and the beam
-widened until it finds enough. Links are verified by cosine in double precision; one link per vector and
-group goes on to the components.
+written table. Every vector queries every shard of its label. Where queries meet a shard, a sample of them, of
+that shard or another, is audited against brute force: the beam widens until it finds enough of their links
+to others, and if the widest does not, the whole shard is compared. A beam that ends among links is widened
+too. Links are verified by cosine in double precision; one link per vector and group goes on to the components.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwatch.llm.common import table, written
+from loomwatch.llm.common import table, tasks_for, written
 from loomwatch.llm.components import components
 from loomwatch.llm.neighbours import usable
 
-#: Vectors of a shard, queries that meet a shard in one group, vectors audited, and the share of links they must find.
-SHARD, PART, AUDIT, RECALL = 8192, 8192, 64, 0.99
-#: A beam that is wider gives way to the whole shard.
-WIDEST = 256
+#: Vectors of a shard, queries that meet a shard in one group, queries looked at for links, those of them audited, and the share of links they must find.
+SHARD, PART, LOOKED, AUDIT, RECALL = 8192, 8192, 1024, 64, 0.99
+#: Beams, and where none is wide enough the whole shard.
+NARROWEST, WIDEST = 16, 256
 
 
 class Graph:
@@ -124,17 +124,18 @@ def unit(embeddings: pd.Series) -> np.ndarray:
     return held / np.linalg.norm(held, axis=1)[:, None]
 
 
-def build(vectors: np.ndarray, least: float) -> tuple[Graph, int]:
-    """The shard's graph and the beam width that passes the audit."""
-    graph, width = Graph(vectors), 16
-    sample = np.random.default_rng(1).permutation(len(vectors))[:AUDIT]
-    true = [set(np.flatnonzero(vectors @ vectors[i] >= least).tolist()) for i in sample]
-    while width < min(len(vectors), WIDEST):
-        found = sum(len(t & set(graph.above(vectors[i], least, width).tolist())) for i, t in zip(sample, true, strict=True))
-        if found >= RECALL * sum(map(len, true)):
+def audited(graph: Graph, nodes: np.ndarray, ids: np.ndarray, queries: np.ndarray, least: float) -> tuple[int, float]:
+    """The beam width at which queries find RECALL of their links to others, and the share found; beyond WIDEST the whole shard is compared."""
+    at = np.random.default_rng(1).permutation(len(ids))[:LOOKED]
+    linked = (queries[at] @ graph.vectors.T >= least) & (ids[at, None] != nodes)
+    some = np.flatnonzero(linked.any(1))[:AUDIT]
+    total, width, share = int(linked[some].sum()), NARROWEST, 1.0
+    while total and width <= WIDEST:
+        share = sum(int(linked[i, graph.above(queries[at[i]], least, width)].sum()) for i in some) / total
+        if share >= RECALL:
             break
         width *= 2
-    return graph, width
+    return width, share if width <= WIDEST else 1.0
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
@@ -148,20 +149,20 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     rows = vectors.where("vec_id is not null").select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
     good = F.col("label").isNotNull() & usable(F.col("embedding"))
     classes = written(rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "vectors")
-    shards = classes.groupBy("label", F.size("embedding").alias("dims")).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    shards = classes.groupBy("label", F.size("embedding").alias("dims")).agg(F.count("*").alias("n"), F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     shards = written(shards, "shards")
-    groups = shards.agg(F.sum(F.col("shards") * F.col("parts"))).first()[0] or 1
-    dealt = classes.withColumn("dims", F.size("embedding")).join(shards, ["label", "dims"])
+    sizes = shards.agg(F.sum(F.col("shards") * F.col("parts")).alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    groups = sizes["groups"] or 1
+    dealt = classes.withColumn("dims", F.size("embedding")).join(shards.drop("n"), ["label", "dims"])
     shard = F.pmod(F.xxhash64("node", F.lit(1)), F.col("shards")).cast("int")
 
     def make(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
         exact = unit(group["embedding"])
-        held = pickle.dumps((group["node"].to_numpy(), group["n"].to_numpy(), exact, *build(exact.astype(np.float32), least - 1e-5)))
+        held = pickle.dumps((group["node"].to_numpy(), group["n"].to_numpy(), exact, Graph(exact.astype(np.float32))))
         return pd.DataFrame({"label": [key[0]], "dims": [key[1]], "shard": [key[2]], "parts": [int(group["parts"].iloc[0])], "graph": [held]})
 
-    # Few bytes, much work: as many tasks as groups, several times over so that few share one.
-    tasks = 4 * groups
+    tasks = tasks_for(groups, sizes["n"])
     graphs = dealt.withColumn("shard", shard).repartition(tasks, "label", "dims", "shard").groupBy("label", "dims", "shard").applyInPandas(make, "label string, dims int, shard int, parts int, graph binary")
     graphs = written(graphs, "graphs").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asked = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
@@ -169,8 +170,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     def meet(index: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = {"node": [], "links": [], "to": []}
         if len(index) and len(wanted):
-            nodes, sizes, exact, graph, width = pickle.loads(index["graph"].iloc[0])
+            nodes, sizes, exact, graph = pickle.loads(index["graph"].iloc[0])
             ids, queries = wanted["node"].to_numpy(), unit(wanted["embedding"])
+            width, _ = audited(graph, nodes, ids, queries.astype(np.float32), least - 1e-5)
             root: dict[int, int] = {}
 
             def top(x: int) -> int:

@@ -3,23 +3,28 @@
 A vector becomes, relative to its chunk's centre, a unit vector that is rotated at random; the code is the
 sign of each coordinate, packed, with two correction scalars: the distance to the centre and the inner
 product of code and vector. The inner product of code and rotated query, divided by the latter scalar,
-estimates that of vector and query, within a bound that shrinks with the dimension. Vectors whose bound
-cannot exclude them from a query's nearest are reranked on the original vectors.
+estimates that of vector and query, within a bound that shrinks with the dimension. Codes are made once and
+gone through twice: first the vectors that each chunk estimates to be nearest tell how far a query's nearest
+can be at most; then all vectors whose bound does not exclude them within that distance are reranked on the
+original vectors.
 """
 
 from __future__ import annotations
 
+import pickle
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwatch.llm.common import table
+from loomwatch.llm.common import table, tasks_for, written
 
 #: Rows of a chunk of the index and queries of a block: what meets in one group.
 CHUNK, BLOCK = 4096, 4096
-#: Width of the error bound in standard deviations of the estimate.
-WIDTH = 4.0
+#: Width of the error bound in standard deviations of the estimate, and least bits of a code: vectors of fewer dimensions are rotated with zeros behind them.
+WIDTH, BITS = 4.0, 512
 
 
 def usable(vector: Column) -> Column:
@@ -28,84 +33,122 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def rotation(dimension: int, seed: int = 5) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimension, dimension)))
-    return q * np.sign(np.diag(r))
+@lru_cache(4)
+def rotation(dimension: int, bits: int, seed: int = 5) -> np.ndarray:
+    """What turns vectors of the dimension, zeros behind them, at random."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
+    return (q * np.sign(np.diag(r)))[:dimension]
 
 
 class Codes:
     """One-bit codes of vectors (rows) with their correction scalars."""
 
     def __init__(self, vectors: np.ndarray):
-        self.dimension = vectors.shape[1]
-        self.rotation, self.centre = rotation(self.dimension), vectors.mean(0)
+        self.dimension, self.centre = vectors.shape[1], vectors.mean(0)
+        self.bits = max(self.dimension, BITS)
         moved = vectors - self.centre
         self.norms = np.linalg.norm(moved, axis=1)
-        turned = moved / np.maximum(self.norms, 1e-300)[:, None] @ self.rotation
+        turned = moved / np.maximum(self.norms, 1e-300)[:, None] @ rotation(self.dimension, self.bits)
         self.packed = np.packbits(turned > 0, axis=1)
-        self.aligned = np.maximum(np.abs(turned).sum(1) / np.sqrt(self.dimension), 1e-9)
-
-    def bounds(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated squared distances of all vectors to the query and what they can be at least."""
-        moved = query - self.centre
-        length = np.linalg.norm(moved)
-        turned = moved / max(length, 1e-300) @ self.rotation
-        signs = np.unpackbits(self.packed, axis=1, count=self.dimension).astype(np.float32) * 2 - 1
-        product = signs @ turned.astype(np.float32) / np.sqrt(self.dimension) / self.aligned
-        error = np.sqrt(np.maximum(0, 1 - self.aligned**2)) / self.aligned * WIDTH / np.sqrt(max(1, self.dimension - 1))
-        both, cross = self.norms**2 + length**2, 2 * self.norms * length
+        self.aligned = np.maximum(np.abs(turned).sum(1) / np.sqrt(self.bits), 1e-9)
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated squared distances of all vectors (columns) to the queries (rows), and what they can be at least."""
+        moved = queries - self.centre
+        lengths = np.linalg.norm(moved, axis=1)
+        turned = (moved / np.maximum(lengths, 1e-300)[:, None] @ rotation(self.dimension, self.bits)).astype(np.float32)
+        # With bits as 0 and 1 the sum over signs is twice that over set bits less that over all.
+        bits = np.unpackbits(self.packed, axis=1, count=self.bits).astype(np.float32)
+        product = (2 * (turned @ bits.T) - turned.sum(1)[:, None]) / np.float32(np.sqrt(self.bits)) / self.aligned.astype(np.float32)
+        error = np.sqrt(np.maximum(0, 1 - self.aligned**2)) / self.aligned * WIDTH / np.sqrt(max(1, self.bits - 1))
+        both, cross = self.norms**2 + (lengths**2)[:, None], 2 * self.norms * lengths[:, None]
         return both - cross * product, both - cross * np.minimum(1, product + error)
 
 
-def nearest(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, codes: Codes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and distances of the k nearest but the query's own, nearest first, ties to the smaller id."""
-    distance = lambda at: np.sqrt(np.cumsum((vectors[at] - query) ** 2, axis=1)[:, -1])
-    estimate, least = codes.bounds(query)
-    estimate[ids == own] = np.inf
-    first = np.argpartition(estimate, min(k, len(ids)) - 1)[:k]
-    first = first[ids[first] != own]
-    worst = distance(first).max() if len(first) == k else np.inf
-    chosen = np.flatnonzero((least <= worst**2 * (1 + 1e-9) + 1e-12) & (ids != own))
-    scores = distance(chosen) if len(chosen) else np.empty(0)
-    best = np.lexsort((ids[chosen], scores))[:k]
-    return ids[chosen][best], scores[best]
+def distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.cumsum((vectors - query) ** 2, axis=1)[:, -1])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k nearest of vectors (vec_id, embedding) to each query (query_id, embedding).
+def nearest(queries: np.ndarray, own: np.ndarray, within: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: Codes, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For each query ids and distances of its k nearest but its own, ties to the smaller id, and how many were reranked.
 
-    Chunks of vectors meet blocks of queries, so no group grows with the table and nothing goes through the
-    driver. Unusable vectors (see usable) and null ids take no part; rows with the query's id are its own;
-    repeated ids count once. Vectors compare only with those of their dimension. Fewer than k candidates give
-    fewer rows; an empty table gives none.
+    ``within`` is how far the nearest can be at most; where it is infinite, only the k that are estimated nearest are reranked.
     """
+    out = []
+    for at in range(0, len(queries), 256):
+        estimate, least = codes.bounds(queries[at : at + 256])
+        for query, me, most, estimated, bound in zip(queries[at : at + 256], own[at : at + 256], within[at : at + 256], estimate, least, strict=True):
+            if np.isinf(most):
+                estimated[ids == me] = np.inf
+                chosen = np.argpartition(estimated, min(k, len(ids)) - 1)[:k]
+            else:
+                chosen = np.flatnonzero(bound <= most**2 * (1 + 1e-6))
+            chosen = chosen[ids[chosen] != me]
+            scores = distances(query, vectors[chosen].astype(np.float64)) if len(chosen) else np.empty(0)
+            best = np.lexsort((ids[chosen], scores))[:k]
+            out.append((ids[chosen][best], scores[best], len(chosen)))
+    return out
+
+
+def top(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+FOUND = "query_id long, vec_id long, score double, reranked long"
+
+
+def reranked(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, vec_id, score, reranked: of each chunk the k nearest to each query and how many of it were reranked (in its first row)."""
     good = vectors.where("vec_id is not null").where(usable(F.col("embedding"))).select("vec_id", "embedding")
-    asked = queries.where("query_id is not null").where(usable(F.col("embedding"))).select("query_id", "embedding")
-    chunks, blocks = -(-max(1, good.count()) // CHUNK), -(-max(1, asked.count()) // BLOCK)
+    asked = queries.where("query_id is not null").where(usable(F.col("embedding"))).select("query_id", "embedding").dropDuplicates(["query_id"])
+    rows, n = good.count(), asked.count()
+    chunks, blocks = -(-max(1, rows) // CHUNK), -(-max(1, n) // BLOCK)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = good.select("vec_id", "embedding", deal("vec_id", chunks).alias("chunk"), every(blocks).alias("block"))
-    right = asked.select("query_id", "embedding", deal("query_id", blocks).alias("block"), every(chunks).alias("chunk"))
+
+    def make(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("vec_id")
+        exact = np.stack(group["embedding"].to_list())
+        held = pickle.dumps((group["vec_id"].to_numpy(), exact, Codes(exact.astype(np.float64))))
+        return pd.DataFrame({"chunk": [key[0]], "dims": [key[1]], "codes": [held]})
+
+    tasks = tasks_for(chunks * blocks, rows)
+    dealt = good.select("vec_id", "embedding", deal("vec_id", chunks).alias("chunk"), F.size("embedding").alias("dims"))
+    index = written(dealt.repartition(tasks_for(chunks, rows), "chunk").groupBy("chunk", "dims").applyInPandas(make, "chunk int, dims int, codes binary"), "codes")
+    index = index.withColumn("block", every(blocks)).repartition(tasks, "chunk", "dims", "block")
 
     def meet(index: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})]
-        index, wanted = index.drop_duplicates("vec_id"), wanted.drop_duplicates("query_id")
-        for d, same in index.groupby(index["embedding"].map(len)):
-            of = wanted[wanted["embedding"].map(len) == d]
-            if of.empty:
-                continue
-            ids, held = same["vec_id"].to_numpy(), np.stack(same["embedding"].to_list()).astype(np.float64)
-            codes = Codes(held)
-            for q, v in zip(of["query_id"], of["embedding"], strict=True):
-                found, scores = nearest(np.asarray(v, np.float64), q, ids, held, codes, k)
-                out.append(pd.DataFrame({"query_id": q, "vec_id": found, "score": scores}))
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "reranked": []})]
+        if len(index) and len(wanted):
+            ids, held, codes = pickle.loads(index["codes"].iloc[0])
+            asked = np.stack(wanted["embedding"].to_list()).astype(np.float64)
+            own = wanted["query_id"].to_numpy()
+            for q, (found, scores, n) in zip(own, nearest(asked, own, wanted["within"].to_numpy(np.float64), ids, held, codes, k), strict=True):
+                out.append(pd.DataFrame({"query_id": q, "vec_id": found, "score": scores, "reranked": np.where(np.arange(len(found)) == 0, n, 0)}))
         return pd.concat(out)
 
-    # Few bytes, much work: as many tasks as groups, several times over so that few share one.
-    left, right = left.repartition(4 * chunks * blocks, "chunk", "block"), right.repartition(4 * chunks * blocks, "chunk", "block")
-    near = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def searched(asked: DataFrame) -> DataFrame:
+        sent = asked.select("query_id", "embedding", "within", F.size("embedding").alias("dims"), deal("query_id", blocks).alias("block"), every(chunks).alias("chunk"))
+        sent = sent.repartition(tasks, "chunk", "dims", "block")
+        return index.groupBy("chunk", "dims", "block").cogroup(sent.groupBy("chunk", "dims", "block")).applyInPandas(meet, FOUND)
+
+    first = top(written(searched(asked.withColumn("within", F.lit(float("inf")))), "first"), k)
+    limits = written(first.groupBy("query_id").agg(F.max("score").alias("of"), F.count("*").alias("n")), "limits")
+    # Fewer than k candidates at all: each of them was reranked, and any distance will do.
+    within = F.when(F.col("n") >= k, F.col("of")).otherwise(F.lit(1e150))
+    return searched(asked.join(limits, "query_id").withColumn("within", within).drop("of", "n"))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k nearest of vectors (vec_id, embedding) to each query (query_id, embedding).
+
+    Chunks of vectors meet blocks of queries, so no group grows with the table and nothing goes through the
+    driver. Unusable vectors (see usable) and null ids take no part; rows with the query's id are its own;
+    repeated ids count once. Vectors compare only with those of their dimension. Fewer than k candidates give
+    fewer rows; an empty table gives none.
+    """
+    return top(reranked(vectors, queries, k), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

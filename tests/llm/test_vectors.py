@@ -21,8 +21,10 @@ def good(r):
     return r[0] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])
 
 
-@pytest.mark.parametrize(("shard", "widest"), [(8192, 256), (40, 256), (8192, 16)])
-def test_embedding_dedup(spark, monkeypatch, shard, widest):
+@pytest.mark.parametrize(("shard", "widest", "recall"), [(8192, 256, 0.99), (40, 256, 0.99), (40, 16, 2.0)])
+def test_embedding_dedup(spark, monkeypatch, shard, widest, recall):
+    """A recall beyond 1 fails every audit, so that all links are found."""
+    monkeypatch.setattr(embedding_dedup, "RECALL", recall)
     monkeypatch.setattr(embedding_dedup, "SHARD", shard)
     monkeypatch.setattr(embedding_dedup, "PART", shard)
     monkeypatch.setattr(embedding_dedup, "WIDEST", widest)
@@ -42,7 +44,7 @@ def test_embedding_dedup(spark, monkeypatch, shard, widest):
         for a, bs in links.items():
             for b in bs:
                 label[a] = label[b] = min(label[a], label[b])
-    assert sum(got[i]["n_links"] for i in links) >= 0.97 * sum(map(len, links.values()))
+    assert sum(got[i]["n_links"] for i in links) >= (0.97 if recall < 1 else 1) * sum(map(len, links.values()))
     assert all(got[i]["n_links"] <= len(links[i]) for i in links)
     assert sum(got[i]["component_id"] == label[i] for i in links) >= 0.98 * len(links)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
@@ -72,3 +74,31 @@ def test_neighbours(spark, monkeypatch, chunk, block):
         assert len(got.get(q, [])) == len(want)
         found, total = found + len({i for _, i in want} & {i for _, i in got.get(q, [])}), total + len(want)
     assert found >= 0.99 * total
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    data = [(i, [float(i % 3), 1.0], 1, 1) for i in range(30)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = neighbours.search(df, df.where("vec_id = 0").withColumnRenamed("vec_id", "query_id"), k=12).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 0.0) for i in range(3, 30, 3)] + [(i, 1.0) for i in (1, 4, 7)]
+
+
+def test_few_are_reranked(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, [float(np.float32(x)) for x in v], 1, 1) for i, v in enumerate(rng.standard_normal((3000, 64)))]
+    df = spark.createDataFrame(data, SCHEMA)
+    found = neighbours.reranked(df, df.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10).groupBy().sum("reranked").first()[0]
+    assert found < 0.3 * 30 * 3000
+
+
+def test_audit_of_others_and_failed():
+    rng = np.random.default_rng(4)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    held = unit(rng.standard_normal((600, 8)))
+    asked = unit(held[:50] + 0.01 * rng.standard_normal((50, 8)))
+    graph = embedding_dedup.Graph(held)
+    width, share = embedding_dedup.audited(graph, np.arange(600), np.arange(1000, 1050), asked, 0.98)
+    assert share >= 0.99 and width <= embedding_dedup.WIDEST
+    graph.near = [[[] for _ in levels] for levels in graph.near]  # no beam gets anywhere
+    width, share = embedding_dedup.audited(graph, np.arange(600), np.arange(1000, 1050), asked, 0.98)
+    assert width > embedding_dedup.WIDEST and len(graph.above(asked[0], 0.98, width)) == (held @ asked[0] >= 0.98).sum()
