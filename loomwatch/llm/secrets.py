@@ -1,8 +1,8 @@
 """Secret scans: three patterns and dictionary-primed zstandard novelty.
 
-Beside the patterns, a run of key-like characters that follows a sensitive word is a candidate. It is
+Beside the patterns, a run of key-like characters near a sensitive word, on either side, is a candidate. It is
 compressed together with the code around it, with and without the candidate, by a compressor primed with
-a dictionary of code and identifiers. The bytes that it adds measure how new it is: names, words and values
+a dictionary of code and of the identifiers that many documents of the corpus use. The bytes that it adds measure how new it is: names, words and values
 that the surroundings or the dictionary know add few, random material adds nearly its own length. A mean per character
 sinks with length, so from LONG characters on it is held against the bits of the candidate's alphabet.
 """
@@ -28,6 +28,7 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 SENSITIVE_WORDS = ("key", "token", "secret", "passw", "pwd", "auth", "cred", "bearer", "private", "signature", "session", "cookie", "salt", "nonce")
 SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE_CHARACTER = re.compile("[A-Za-z0-9+/_=-]")
 #: Characters between sensitive word and candidate, of context on either side, and least novelty (bytes a character).
 REACH, AROUND, NOVELTY = 40, 200, 0.75
 #: Characters from which novelty need not exceed what random text of the same alphabet holds.
@@ -35,6 +36,8 @@ LONG = 64
 #: A name of letters that something is assigned to, or the rest of one.
 NAME = re.compile(r"""[A-Za-z_/-]+["']?\s*[:=]""")
 HEX_DIGITS = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+#: Words of the corpus in the dictionary at most, and documents that use such a word at least, lest it be a secret.
+LEXICON, LEAST = 8192, 20
 #: What code and configuration are made of: words, identifiers, digits and alphabets.
 IDENTIFIERS = """
 def class return import from self None True False if else elif for while try except finally with as lambda yield assert raise pass
@@ -58,10 +61,11 @@ def least_novelty(own: str) -> float:
 
 
 class Scanner:
-    def __init__(self) -> None:
+    def __init__(self, lexicon: str = "") -> None:
         import zstandard
 
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed = zstandard.ZstdCompressionDict((lexicon + IDENTIFIERS).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=9)
         self.compress = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False).compress
 
     def added(self, text: str, start: int, end: int, own: str) -> float:
@@ -93,6 +97,12 @@ class Scanner:
                 for c in CANDIDATE.finditer(text, m.end(), m.end() + REACH + 16):
                     if c.start() <= m.end() + REACH and c.start() not in seen:
                         seen[c.start()] = CANDIDATE.match(text, c.start()).end()
+                for c in CANDIDATE.finditer(text, max(0, m.start() - REACH - 16), m.start()):
+                    if m.start() - REACH <= c.end() < m.start():  # what runs into the word is a name
+                        start = c.start()
+                        while start and CANDIDATE_CHARACTER.match(text, start - 1):
+                            start -= 1
+                        seen[start] = c.end()
             last = -1
             for start, end in sorted(seen.items()):
                 if start < last or NAME.match(text, start):
@@ -105,16 +115,25 @@ class Scanner:
         return sorted(found)
 
 
-def scan(documents: DataFrame, text: str = "text") -> DataFrame:
+def lexicon(documents: DataFrame, text: str = "text") -> str:
+    """The words of letters that most documents use, at most LEXICON, those of most documents last, where a compressor reaches them best."""
+    used = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z_]{4,40}"), F.lit(0)))
+    counts = documents.select(F.explode(used).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    return " ".join(r["word"] for r in reversed(counts.orderBy(F.desc("n"), "word").limit(LEXICON).collect()))
+
+
+def scan(documents: DataFrame, text: str = "text", known: str | None = None) -> DataFrame:
     """Adds spans, array<struct<kind, start, end>> in code points, end exclusive, by start and then kind as in KINDS.
 
-    Null and empty texts have none. Rows stay as they are, repeated or without id; a column spans is replaced.
-    Spans of the three patterns are never dropped for a novel one; novel spans don't overlap them.
+    ``known`` are identifiers for the dictionary, those of the documents if not given. Null and empty texts have
+    none. Rows stay as they are, repeated or without id; a column spans is replaced. Spans of the three patterns
+    are never dropped for a novel one; novel spans don't overlap them.
     """
+    shared = documents.sparkSession.sparkContext.broadcast(lexicon(documents, text) if known is None else known)
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int>>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner()
+        scanner = Scanner(shared.value)
         for texts in batches:
             yield pd.Series([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scanner.spans(t or "")] for t in texts])
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from loomwatch.llm.common import ascii_lower, shared_dir, table
 
-#: Cascades whose bits would need more than this are refused: beyond it, join the keys instead (see url_filter).
-MAX_BITS = 1 << 24
+#: Bits of a byte of a filter: seven, so that a byte is an ASCII character and its value a built-in function.
+PER_BYTE = 7
 
 
 @dataclass(frozen=True)
@@ -63,21 +63,20 @@ class Level:
     bits: int
     hashes: int
     seed: int
-    words: tuple[int, ...]
+    held: bytes
 
     def passes(self, key: Column) -> Column:
-        """Whether all of the key's bits are set; the words are a constant in the plan."""
-        words = F.array(*[F.lit(w) for w in self.words])
-        found = F.lit(True)
+        """Whether all of the key's bits are set; the bytes are one constant in the plan."""
+        held, found = F.lit(self.held), F.lit(True)
         for p in positions(key, self.bits, self.hashes, self.seed):
-            word = F.element_at(words, (F.shiftright(p, 6) + 1).cast("int"))
-            found = found & (word.bitwiseAND(bit(p)) != 0)
+            byte = F.ascii(F.substring(held, (F.floor(p / PER_BYTE) + 1).cast("int"), F.lit(1)).cast("string"))
+            found = found & (byte.bitwiseAND(bit(p)) != 0)
         return found
 
 
 def bit(p: Column) -> Column:
-    """The bit of position p within its word of 64."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(p, F.lit(64)).cast("int"))
+    """The bit of position p within its byte."""
+    return F.call_function("shiftleft", F.lit(1), F.pmod(p, F.lit(PER_BYTE)).cast("int"))
 
 
 def positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
@@ -85,18 +84,16 @@ def positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
 
 
 def build_level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    """A Bloom filter of the n keys in column key, its words made by a bitwise aggregate."""
-    bits = max(64, 64 * math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
-    if bits > MAX_BITS:
-        raise ValueError(f"a level of {bits} bits exceeds MAX_BITS")
+    """A Bloom filter of the n keys in column key, its bytes made by a bitwise aggregate."""
+    bits = max(PER_BYTE * 8, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
     hashes = max(1, round(bits / max(1, n) * math.log(2))) if n else 1
     hashes = min(hashes, 32)
     set_bits = keys.select(F.explode(F.array(*positions(F.col("key"), bits, hashes, seed))).alias("p"))
-    words = set_bits.groupBy(F.shiftright("p", 6).alias("w")).agg(
-        F.bit_or(bit(F.col("p"))).alias("v")
-    )
-    found = {r["w"]: r["v"] for r in words.collect()}  # at most MAX_BITS / 64 words
-    return Level(bits, hashes, seed, tuple(found.get(w, 0) for w in range(bits // 64)))
+    made = set_bits.groupBy(F.floor(F.col("p") / PER_BYTE).alias("at")).agg(F.bit_or(bit(F.col("p"))).alias("v"))
+    held = bytearray(-(-bits // PER_BYTE))
+    for r in made.toLocalIterator():  # as many as the list, which the driver holds, has bits
+        held[r["at"]] = r["v"]
+    return Level(bits, hashes, seed, bytes(held))
 
 
 @dataclass(frozen=True)
