@@ -47,6 +47,17 @@ def test_every_candidate_in_reach_is_measured():
         assert novel(text % value) == [value]
 
 
+def test_candidates_before_the_word():
+    value = "9fQ2xLw8Zr4TnB7vKc1Yp6Hd3Js5Gm0E"
+    assert novel(f"{value} is the private key") == [value] and novel(f"= {value}; // session") == [value]
+    assert novel("production_environment_settings is the key") == [] and novel(f"{value} " + "a " * 40 + "key") == []
+
+
+def test_words_of_many_documents_are_known(spark):
+    df = spark.createDataFrame([(i, "frobnicate_quux_handler_zyx" + (" once_only_word" if not i else "")) for i in range(25)], "doc_id long, text string")
+    assert secrets.lexicon(df) == "frobnicate_quux_handler_zyx" and secrets.lexicon(df.limit(0)) == ""
+
+
 def test_keys_without_digits_and_long_keys():
     r = random.Random(4)
     for letters, n, least in (("abcdefghijklmnopqrstuvwxyz", 16, 0.8), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 32, 0.9), ("0123456789ABCDEF", 256, 1), ("abcdefghijklmnopqrstuvwxyz234567", 512, 1)):

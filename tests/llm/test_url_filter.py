@@ -37,3 +37,10 @@ def test_cascade_is_exact_over_its_universe(spark, first_rate):
     held = {r["key"] for r in universe.where(cascade.holds(universe["key"])).collect()}
     assert held == {f"k{i}" for i in range(0, 3000, 7)} and len(cascade.levels) >= 2
     assert universe.where(uf.build_cascade(listed.limit(0), universe).holds(universe["key"])).count() == 0
+
+
+def test_many_rules(spark):
+    rules = tuple(uf.Rule("block" if i % 3 else "allow", f"h{i}.com", "/" if i % 2 else "/a/") for i in range(1500))
+    urls = [f"http://www.h{i}.com/{'a/' if i % 4 else 'b/'}x" for i in range(2000)]
+    got = uf.url_filter(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string"), rules).collect()
+    assert all((r["rule"], r["verdict"]) == plain(r["url"], rules)[2:] for r in got)
