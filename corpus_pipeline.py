@@ -1,16 +1,28 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept and returns the columns of documents, the last one packed pieces."""
+"""The corpus pipeline: each stage works on all that its predecessor kept and returns the columns of documents, the last one packed pieces.
+
+Of every stage: an empty table stays empty; repeated rows are rows of their own but for near-dedup, where one
+stays; columns of any further names are passed through as they are; whole texts are read, however long.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwatch.llm import common, mixing, packing, quality, secrets, similar
 
 
+def carrying(docs: DataFrame, needed: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The documents as they are of the rows that work leaves of the needed columns: names that it adds don't clash with theirs."""
+    return work(docs.select(*needed, F.struct(*docs.columns).alias("__row"))).select("__row.*")
+
+
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return quality.classify(docs, common.table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    """Rejected documents go, null and empty texts among them; rows without doc_id or lang are judged like others."""
+    labels = common.table(spark, sf_dir, "labels")
+    return carrying(docs, ("doc_id", "text", "lang"), lambda d: quality.classify(d, labels).where("keep"))
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +40,17 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts; all documents stay."""
+    """Secrets are cut out of the texts; all documents stay, null and empty texts as they are."""
     return secrets.redacted(docs)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stays as often as the mix takes it."""
-    mixed = mixing.mix(docs)
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document stays as often as the mix takes it; null, empty and blank texts have no words and go. A null source is one of its own."""
+
+    def repeated(d: DataFrame) -> DataFrame:
+        return mixing.mix(d).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+
+    return carrying(docs, ("doc_id", "text", "source"), repeated)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
