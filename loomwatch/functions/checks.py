@@ -9,55 +9,88 @@ from pyspark.sql import functions as F
 
 # Formats, and hex digits of each hash.
 OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-IPV4 = rf"^({OCTET}\.){{3}}{OCTET}$"
+DOTTED = rf"({OCTET}\.){{3}}{OCTET}"
 GROUP = "[0-9a-fA-F]{1,4}"
 IPV6 = "^(" + "|".join([f"({GROUP}:){{7}}{GROUP}", "::"] + [f"({GROUP}:){{{n}}}(:{GROUP}){{1,{7 - n}}}" for n in range(1, 7)] + [f":(:{GROUP}){{1,7}}", f"({GROUP}:){{1,7}}:"]) + ")$"
 UUID4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 UTC = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?Z$"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
-URL = r"^https?://[^\s/?#]+([/?#]\S*)?$"
-LABEL = "[a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
-HOSTNAME = rf"^{LABEL}(\.{LABEL})*$"
-SEMVER = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?$"
+URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://\S+$"
+HOSTNAME = "^[a-zA-Z0-9]([a-zA-Z0-9.-]*[a-zA-Z0-9])?$"
+SEMVER = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(-[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)*)?(\+[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)*)?$"
 HASHES = {"md5": 32, "sha1": 40, "sha256": 64, "sha512": 128}
+#: Hex digits of any hash, characters of a host name at most.
+LEAST_HASH, MOST_HASH, MOST_HOSTNAME = 32, 128, 253
 
 
 def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(pattern), F.lit(False))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def exact_ipv4(text: Column) -> Column:
+    return matches(text, f"^{DOTTED}$")
+
+
+def exact_ipv6(text: Column) -> Column:
+    """A dotted address may stand for the last two groups, and a zone may follow after %."""
+    address = F.regexp_replace(text, "%[^%]+$", "")
+    return matches(F.regexp_replace(address, f":{DOTTED}$", ":0:0"), IPV6)
+
+
+def exact_ip(text: Column) -> Column:
+    return exact_ipv4(text) | exact_ipv6(text)
+
+
 def is_ipv4(text: Column) -> Column:
-    return matches(text, IPV4)
+    return exact_ipv4(stripped(text))
 
 
 def is_ipv6(text: Column) -> Column:
-    return matches(text, IPV6)
+    return exact_ipv6(stripped(text))
 
 
 def is_ip(text: Column) -> Column:
     return is_ipv4(text) | is_ipv6(text)
 
 
-def is_hash(text: Column) -> Column:
-    return matches(text, "^(" + "|".join(f"[0-9a-fA-F]{{{n}}}" for n in HASHES.values()) + ")$")
+def is_hash(text: Column, length: int | None = None) -> Column:
+    found = matches(stripped(text), f"^[0-9a-fA-F]{{{LEAST_HASH},{MOST_HASH}}}$")
+    return found if length is None else found & (F.length(stripped(text)) == length)
 
 
 def is_email(text: Column) -> Column:
-    return matches(text, EMAIL)
+    return matches(stripped(text), EMAIL)
 
 
 def is_url(text: Column) -> Column:
-    return matches(text, URL)
+    """Absolute, of any scheme."""
+    return matches(stripped(text), URL)
 
 
 def is_hostname(text: Column) -> Column:
-    return matches(text, HOSTNAME) & (F.coalesce(F.length(text), F.lit(0)) <= 253)
+    return matches(stripped(text), HOSTNAME) & (F.coalesce(F.length(stripped(text)), F.lit(0)) <= MOST_HOSTNAME)
+
+
+def is_uuid(text: Column) -> Column:
+    """Of any version and in any notation: with prefix urn:uuid:, in braces, without hyphens."""
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(stripped(text), "urn:|uuid:", ""), r"^[{}]+|[{}]+$", ""), "-", "")
+    return matches(digits, "^[0-9a-fA-F]{32}$")
 
 
 def is_uuid4(text: Column) -> Column:
     return matches(text, UUID4)
 
 
+def is_canonical_uuid(text: Column) -> Column:
+    return matches(text, UUID)
+
+
 def utc_time(text: Column) -> Column:
     """The time of an RFC 3339 text that ends in Z, else null."""
     return F.when(matches(text, UTC), F.try_to_timestamp(text))
@@ -68,7 +101,7 @@ def in_range(value: Column, low: float, high: float) -> Column:
 
 
 def non_empty(text: Column) -> Column:
-    return F.coalesce(F.length(F.trim(text)) > 0, F.lit(False))
+    return F.coalesce(F.length(text) > 0, F.lit(False))
 
 
 def failures(rules: dict[str, Column]) -> Column:

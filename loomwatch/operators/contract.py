@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,91 +14,196 @@ from loomwatch.functions.severity import SEVERITIES, lookup
 from loomwatch.operators.normalize import SENSOR_TYPES
 
 # Fixed values of the contract.
-VERSION, FUTURE_MINUTES, MOST_EVENTS, MOST_EVENT_BYTES, MOST_EXTENSIONS, MOST_TAGS, MOST_DEPTH = "1.0", 5, 100, 65_536, 32, 32, 4
-BASELINE_STATUS = {"fim.baseline.created": "created", "fim.file.added": "added", "fim.file.modified": "modified", "fim.file.removed": "removed", "hash.verified": "matched"}
-FILE_TYPES = ("fim.file.added", "fim.file.modified", "fim.file.removed", "hash.verified", "hash.mismatch")
-CURRENT_HASH = ("fim.file.added", "fim.file.modified", "hash.verified", "hash.mismatch")
-PREVIOUS_HASH = ("fim.file.modified", "fim.file.removed", "hash.mismatch")
+VERSION, FUTURE_MINUTES, MOST_EVENTS, MOST_BATCH_BYTES, MOST_EVENT_BYTES = "1.0", 5, 100, 1_048_576, 65_536
+MOST_KEYS, MOST_BYTES, MOST_DEPTH, MOST_TEXT, MOST_TAGS, MOST_TAG = 32, 16_384, 4, 1024, 32, 64
+COMPONENTS = ("fim", "hash_checker", "scanner", "alert_engine")
+STATUSES = ("not_applicable", "created", "matched", "added", "modified", "removed", "invalid")
+STATUS_OF = {
+    "fim.baseline.created": ("created",), "fim.file.added": ("added",), "fim.file.modified": ("modified",), "fim.file.removed": ("removed",), "hash.verified": ("matched",),
+    "hash.mismatch": ("modified", "not_applicable"),
+}
+REQUIRED = {
+    "fim.baseline.created": ("baseline_id", "hash_algorithm", "baseline_status"),
+    "fim.scan.completed": ("scan_id", "baseline_id"),
+    "fim.file.added": ("file_path", "current_hash", "hash_algorithm", "baseline_id", "scan_id", "baseline_status"),
+    "fim.file.modified": ("file_path", "previous_hash", "current_hash", "hash_algorithm", "baseline_id", "scan_id", "baseline_status"),
+    "fim.file.removed": ("file_path", "previous_hash", "hash_algorithm", "baseline_id", "scan_id", "baseline_status"),
+    "hash.verified": ("file_path", "previous_hash", "current_hash", "hash_algorithm", "baseline_status"),
+    "hash.mismatch": ("file_path", "previous_hash", "current_hash", "hash_algorithm", "baseline_status"),
+}
+COUNTS = {"fim.baseline.created": ("file_count",), "fim.scan.completed": ("added", "modified", "removed", "unchanged", "ignored", "duration_ms")}
+TEXTS = {"alert.created": ("title", "description"), "alert.updated": ("previous_status", "current_status")}
 ROOT = ("event_id", "schema_version", "timestamp", "sequence", "source", "event_type", "severity", "asset", "evidence", "metadata")
 SOURCE = ("product", "product_version", "instance_id", "component")
 ASSET = ("asset_id", "hostname", "ip", "os")
-EVIDENCE = ("file_path", "hash_algorithm", "previous_hash", "current_hash", "baseline_id", "baseline_status", "scan_id", "file_size_bytes", "mtime", "details")
-METADATA = ("correlation_id", "tags", "alert_id", "rule_id", "dedup_fingerprint")
+EVIDENCE = ("file_path", "hash_algorithm", "previous_hash", "current_hash", "baseline_id", "baseline_status", "scan_id", "file_size_bytes", "mtime")
+#: What the first violation is called in a receipt; any other is a validation_error.
+RECEIPT_CODES = {"invalid_schema_version": "unsupported_schema_version", "invalid_event_type": "invalid_event_type", "invalid_severity": "invalid_severity", "invalid_timestamp": "invalid_timestamp", "timestamp_in_future": "invalid_timestamp", "invalid_event_id": "invalid_event_id"}
 
 
-def object_keys(variant: Column, path: str) -> Column:
-    """Keys of the JSON object at the path; null if there is none."""
-    return F.json_object_keys(F.to_json(F.try_variant_get(variant, path, "variant")))
+@dataclass(frozen=True)
+class Dialect:
+    """What differs between producers: the product's name (any if None), what event types start with, the key of an alert's id."""
 
+    product: str | None = None
+    prefix: str = ""
+    alert_id: str = "alert_id"
 
-def at(variant: Column, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(variant, path, kind)
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use refers to it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
-def explicit_null(variant: Column, path: str, names: tuple[str, ...]) -> Column:
-    """A member is there and null; absent is fine."""
-    found = [F.coalesce(F.is_variant_null(F.try_variant_get(variant, f"{path}.{n}", "variant")), F.lit(False)) for n in names]
-    return reduce(lambda a, b: a | b, found)
 
+def child(parent: Column, name: str) -> Column:
+    return F.try_variant_get(parent, f"$.{name}", "variant")
 
-def only(variant: Column, path: str, names: tuple[str, ...]) -> Column:
-    """The object has no other keys than these."""
-    return F.size(F.array_except(object_keys(variant, path), F.array(*[F.lit(n) for n in names]))) == 0
 
+def member(parent: Column, name: str) -> Column:
+    """there, void (an explicit null), kind and the text or whole number of a member; other kinds have neither."""
 
-def errors(payload: Column, now: Column, prefix: str = "") -> Column:
+    def read(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")
+        void = F.coalesce(F.is_variant_null(v), F.lit(False))
+        return F.struct(
+            (v.isNotNull() & ~void).alias("there"), void.alias("void"), F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias("text"), F.when(whole, F.try_variant_get(v, "$", "decimal(38,0)")).alias("whole")
+        )
+
+    return bind(child(parent, name), read).alias(name)
+
+
+def tree(v: Column) -> Column:
+    """json, keys (null if it is no object), longest text or key, and what remains without texts (plain) of a variant."""
+
+    def read(json: Column) -> Column:
+        unescaped = F.regexp_replace(json, r"\\(u[0-9a-fA-F]{4}|.)", "~")
+        return bind(
+            F.split(unescaped, '"', -1),
+            lambda parts: F.struct(
+                json.alias("json"), F.json_object_keys(json).alias("keys"),
+                F.coalesce(F.array_max(F.transform(F.filter(parts, lambda x, i: i % 2 == 1), F.length)), F.lit(0)).alias("longest"),
+                F.array_join(F.filter(parts, lambda x, i: i % 2 == 0), "").alias("plain"),
+            ),
+        )
+
+    return bind(F.to_json(v), read)
+
+
+def bounded(t: Column) -> Column:
+    """Whether an extension tree is an object, has no nulls and keeps to the limits of keys, bytes, texts and depth."""
+    flat = F.regexp_replace(t["plain"], r"\[\]|\{\}", "0")  # an empty object or array is not entered
+    for _ in range(MOST_DEPTH):
+        flat = F.regexp_replace(flat, r"[\[{][^\[\]{}]*[\]}]", "0")
+    fits = (F.size(t["keys"]) <= MOST_KEYS) & (F.octet_length(t["json"]) <= MOST_BYTES) & (t["longest"] <= MOST_TEXT)
+    return t["keys"].isNotNull() & fits & ~t["plain"].contains("null") & ~flat.rlike(r"[\[{]")
+
+
+def sized(m: Column, least: int, most: int) -> Column:
+    return F.coalesce(F.length(m["text"]).between(least, most), F.lit(False))
+
+
+def optional(m: Column, ok: Column) -> Column:
+    """Absent, or an explicit null, which is a violation of its own, or as it should be."""
+    return ~m["there"] | F.coalesce(ok, F.lit(False))
+
+
+def errors(payload: Column, now: Column, dialect: Dialect = Dialect()) -> Column:
     """Codes of all violations of the event in a JSON text, in a fixed order; [invalid_json] if it is none.
 
-    Text with a key twice or numbers that are not finite is no JSON. prefix: what event types start with.
+    Text with a key twice or numbers that are not finite is no JSON. Types are strict: no text counts as a number
+    and no number with a fraction as a whole one. The text is parsed once, each member drawn once.
     """
-    v = F.try_parse_json(payload)
-    kind = at(v, "$.event_type")
-    kind = F.when(F.startswith(kind, F.lit(prefix)), F.substring(kind, len(prefix) + 1, 100)) if prefix else kind
-    algorithm, current, previous = (at(v, f"$.evidence.{n}") for n in ("hash_algorithm", "current_hash", "previous_hash"))
-    time = checks.utc_time(at(v, "$.timestamp"))
-    hex_ok = lambda h: h.isNull() | (checks.matches(h, "^[0-9a-f]+$") & (F.length(h) == lookup(algorithm, checks.HASHES, 0)))
-    path, ip = at(v, "$.evidence.file_path"), at(v, "$.asset.ip")
-    extensions = F.filter(object_keys(v, "$.metadata"), lambda k: ~k.isin(*METADATA))
-    tags = F.coalesce(at(v, "$.metadata.tags", "array<string>"), F.array().cast("array<string>"))
-    expected = lookup(kind, BASELINE_STATUS)
-    rules = {
-        "unknown_field": only(v, "$", ROOT) & F.coalesce(only(v, "$.source", SOURCE), F.lit(True)) & F.coalesce(only(v, "$.asset", ASSET), F.lit(True)) & F.coalesce(only(v, "$.evidence", EVIDENCE), F.lit(True)),
-        "invalid_event_id": checks.is_uuid4(at(v, "$.event_id")),
-        "invalid_schema_version": at(v, "$.schema_version") == VERSION,
-        "invalid_timestamp": time.isNotNull(),
-        "timestamp_in_future": time.isNull() | (time <= now + F.make_interval(mins=F.lit(FUTURE_MINUTES))),
-        "invalid_sequence": at(v, "$.sequence", "long") >= 1,
-        "invalid_event_type": kind.isin(*SENSOR_TYPES),
-        "invalid_severity": at(v, "$.severity").isin(*SEVERITIES),
-        "invalid_source": checks.non_empty(at(v, "$.source.product")) & checks.matches(at(v, "$.source.product_version"), checks.SEMVER) & checks.is_uuid4(at(v, "$.source.instance_id")),
-        "invalid_asset": checks.non_empty(at(v, "$.asset.asset_id")) & checks.is_hostname(at(v, "$.asset.hostname")),
-        "null_field": ~(explicit_null(v, "$.asset", ("ip", "os")) | explicit_null(v, "$.evidence", EVIDENCE) | explicit_null(v, "$.metadata", METADATA)),
-        "invalid_ip": ip.isNull() | checks.is_ip(ip),
-        "invalid_path": path.isNull() | ~(F.startswith(path, F.lit("/")) | F.contains(path, F.lit("\\")) | path.rlike(r"(^|/)\.\.(/|$)") | (path == "")),
-        "missing_evidence": ~kind.isin(*FILE_TYPES) | (checks.non_empty(path) & algorithm.isNotNull()),
-        "invalid_hash": hex_ok(current) & hex_ok(previous) & (algorithm.isNull() | algorithm.isin(*checks.HASHES)),
-        "missing_current_hash": ~kind.isin(*CURRENT_HASH) | current.isNotNull(),
-        "missing_previous_hash": ~kind.isin(*PREVIOUS_HASH) | previous.isNotNull(),
-        "forbidden_current_hash": (kind != "fim.file.removed") | current.isNull(),
-        "hashes_equal": ~kind.isin("fim.file.modified", "hash.mismatch") | current.isNull() | previous.isNull() | (current != previous),
-        "invalid_baseline_status": expected.isNull() | F.coalesce(at(v, "$.evidence.baseline_status") == expected, F.lit(False)),
-        "invalid_metadata": F.coalesce(F.forall(extensions, lambda k: F.startswith(k, F.lit("x_"))) & (F.size(extensions) <= MOST_EXTENSIONS), F.lit(True)),
-        "invalid_tags": (F.size(tags) <= MOST_TAGS) & F.forall(tags, lambda t: F.length(t).between(1, 64)),
-        "too_deep": depth_ok(v, "$.evidence.details"),
-        "too_large": F.octet_length(payload) <= MOST_EVENT_BYTES,
-    }
-    # A type that is unknown has no further rules: they hold.
-    typed = {"missing_evidence", "missing_current_hash", "missing_previous_hash", "forbidden_current_hash", "hashes_equal"}
-    rules = {k: F.coalesce(c, F.lit(True)) if k in typed else c for k, c in rules.items()}
-    return F.when(v.isNull(), F.array(F.lit("invalid_json"))).otherwise(checks.failures(rules))
-
-
-def depth_ok(variant: Column, path: str) -> Column:
-    """No more than MOST_DEPTH brackets stand open in the JSON at the path: brackets outside texts, innermost pairs cut depth times."""
-    text = F.regexp_replace(F.to_json(F.try_variant_get(variant, path, "variant")), r'"(?:[^"\\]|\\.)*+"', "")
-    for _ in range(MOST_DEPTH):
-        text = F.regexp_replace(text, r"[\[{][^\[\]{}]*[\]}]", "")
-    return F.coalesce(~text.rlike(r"[\[{]"), F.lit(True))
+    metadata = ("correlation_id", "tags", dialect.alert_id, "rule_id", "dedup_fingerprint")
+    counts, texts = sorted({c for x in COUNTS.values() for c in x}), sorted({c for x in TEXTS.values() for c in x})
+
+    def drawn(v: Column) -> Column:
+        parts = F.struct(*[child(v, n).alias(n) for n in ("source", "asset", "evidence", "metadata")], child(v, "evidence.details").alias("details"))
+        return bind(
+            parts,
+            lambda p: F.struct(
+                F.octet_length(F.to_json(v)).alias("bytes"), F.json_object_keys(F.to_json(v)).alias("keys"),
+                F.struct(*[member(v, n) for n in ("event_id", "schema_version", "timestamp", "sequence", "event_type", "severity")]).alias("root"),
+                F.struct(*[member(p["source"], n) for n in SOURCE]).alias("source"), F.struct(*[member(p["asset"], n) for n in ASSET]).alias("asset"),
+                F.struct(*[member(p["evidence"], n) for n in EVIDENCE]).alias("evidence"), F.struct(*[member(p["metadata"], n) for n in metadata]).alias("metadata"),
+                F.struct(*[F.json_object_keys(F.to_json(p[n])).alias(n) for n in ("source", "asset", "evidence")]).alias("names"),
+                F.try_variant_get(p["metadata"], "$.tags", "array<variant>").alias("tags"), tree(p["details"]).alias("details"), tree(p["metadata"]).alias("extra"),
+                F.struct(*[member(p["details"], n) for n in counts]).alias("counts"), F.struct(*[member(p["details"], n) for n in texts]).alias("texts"),
+            ),
+        )
+
+    def judged(x: Column) -> Column:
+        r, s, a, e, m = (x[n] for n in ("root", "source", "asset", "evidence", "metadata"))
+        kind = r["event_type"]["text"]
+        kind = F.when(F.startswith(kind, F.lit(dialect.prefix)), F.substring(kind, len(dialect.prefix) + 1, 100)) if dialect.prefix else kind
+        time, path = checks.utc_time(r["timestamp"]["text"]), e["file_path"]["text"]
+        algorithm, current, previous = e["hash_algorithm"]["text"], e["current_hash"]["text"], e["previous_hash"]["text"]
+        only = lambda names, allowed: F.coalesce(F.size(F.array_except(names, F.array(*[F.lit(n) for n in allowed]))) == 0, F.lit(True))
+        void = reduce(lambda p, q: p | q, [g[n]["void"] for g, names in ((a, ("ip", "os")), (e, EVIDENCE), (m, metadata)) for n in names])
+        hashed = lambda h: optional(e[h], checks.matches(e[h]["text"], "^[0-9a-f]+$") & (F.length(e[h]["text"]) == lookup(algorithm, checks.HASHES, 0)))
+        tags = F.transform(x["tags"], lambda t: F.when(F.schema_of_variant(t) == "STRING", F.length(F.try_variant_get(t, "$", "string"))))
+        names = lambda of, ok: reduce(lambda p, q: p & q, [~(kind == k) | reduce(lambda u, w: u & w, [ok(n) for n in ns]) for k, ns in of.items()])
+        plain = checks.matches(path, "^[^/]") & ~path.rlike(r"\\|^[A-Za-z]:|\x00|//|/$|(^|/)\.{1,2}(/|$)")
+        statuses = [~(kind == k) | F.coalesce(e["baseline_status"]["text"].isin(*v), F.lit(False)) for k, v in STATUS_OF.items()]
+        rules = {
+            "too_large": x["bytes"] <= MOST_EVENT_BYTES,
+            "invalid_event_id": checks.is_uuid4(r["event_id"]["text"]),
+            "invalid_schema_version": r["schema_version"]["text"] == VERSION,
+            "invalid_timestamp": time.isNotNull(),
+            "timestamp_in_future": time.isNull() | (time <= now + F.make_interval(mins=F.lit(FUTURE_MINUTES))),
+            "invalid_sequence": r["sequence"]["whole"] >= 1,
+            "invalid_source": (s["product"]["text"] == dialect.product if dialect.product else sized(s["product"], 1, MOST_TEXT))
+            & sized(s["product_version"], 1, 32) & checks.matches(s["product_version"]["text"], checks.SEMVER) & checks.is_canonical_uuid(s["instance_id"]["text"]) & s["component"]["text"].isin(*COMPONENTS),
+            "invalid_event_type": kind.isin(*SENSOR_TYPES),
+            "invalid_severity": r["severity"]["text"].isin(*SEVERITIES),
+            "invalid_asset": sized(a["asset_id"], 1, 255) & sized(a["hostname"], 1, 255) & optional(a["os"], sized(a["os"], 1, 255)),
+            "invalid_ip": optional(a["ip"], sized(a["ip"], 2, 45) & checks.exact_ip(a["ip"]["text"])),
+            "invalid_evidence": x["names"]["evidence"].isNotNull() & optional(e["baseline_id"], sized(e["baseline_id"], 1, 255)) & optional(e["scan_id"], sized(e["scan_id"], 1, 255))
+            & optional(e["baseline_status"], e["baseline_status"]["text"].isin(*STATUSES)) & optional(e["file_size_bytes"], e["file_size_bytes"]["whole"] >= 0) & optional(e["mtime"], checks.utc_time(e["mtime"]["text"]).isNotNull()),
+            "invalid_path": optional(e["file_path"], sized(e["file_path"], 1, 4096) & plain),
+            "invalid_hash": optional(e["hash_algorithm"], algorithm.isin(*checks.HASHES)) & hashed("current_hash") & hashed("previous_hash"),
+            "invalid_details": bounded(x["details"]),
+            "invalid_metadata": bounded(x["extra"]) & F.forall(x["extra"]["keys"], lambda k: k.isin(*metadata) | F.startswith(k, F.lit("x_")))
+            & reduce(lambda p, q: p & q, [optional(m[n], sized(m[n], 1, MOST_TEXT)) for n in metadata if n != "tags"]),
+            "invalid_tags": optional(m["tags"], (F.size(x["tags"]) <= MOST_TAGS) & F.forall(tags, lambda n: F.coalesce(n.between(1, MOST_TAG), F.lit(False)))),
+            "null_field": ~void,
+            "unknown_field": only(x["keys"], ROOT) & only(x["names"]["source"], SOURCE) & only(x["names"]["asset"], ASSET) & only(x["names"]["evidence"], (*EVIDENCE, "details")),
+            "missing_evidence": names(REQUIRED, lambda n: e[n]["there"]),
+            "invalid_baseline_status": reduce(lambda p, q: p & q, statuses),
+            "forbidden_current_hash": ~(kind == "fim.file.removed") | ~e["current_hash"]["there"],
+            "hashes_equal": ~kind.isin("fim.file.modified", "hash.mismatch") | current.isNull() | previous.isNull() | (current != previous),
+            "invalid_counts": names(COUNTS, lambda n: F.coalesce(x["counts"][n]["whole"] >= 0, F.lit(False))),
+            "invalid_alert": names(TEXTS, lambda n: sized(x["texts"][n], 1, MOST_BYTES)) & (~F.startswith(kind, F.lit("alert.")) | m[dialect.alert_id]["there"]) & (~(kind == "alert.created") | m["rule_id"]["there"]),
+        }
+        # A type that is unknown has no further rules: they hold.
+        typed = list(rules)[list(rules).index("missing_evidence") :]
+        return checks.failures({k: F.coalesce(c, F.lit(True)) if k in typed else c for k, c in rules.items()})
+
+    broken = F.array(F.lit("invalid_json"))
+    whole = lambda v: F.when(v.isNull(), broken).otherwise(bind(drawn(v), judged))
+    return bind(F.try_parse_json(payload), whole)
+
+
+def receipt_code(found: Column) -> Column:
+    """What a receipt calls the first of the violations; null without any."""
+    return F.when(F.size(found) > 0, lookup(F.get(found, F.lit(0)), RECEIPT_CODES, "validation_error"))
+
+
+def batch_errors(batches: DataFrame, payload: str = "payload") -> DataFrame:
+    """Adds batch_errors to whole batches (a JSON text): too_large, invalid_batch_id, invalid_sent_at, unknown_field, invalid_events (1 to MOST_EVENTS), invalid_json."""
+
+    def judged(v: Column) -> Column:
+        events = F.try_variant_get(v, "$.events", "array<variant>")
+        rules = {
+            "too_large": (F.octet_length(payload) <= MOST_BATCH_BYTES) & (F.octet_length(F.to_json(v)) <= MOST_BATCH_BYTES),
+            "invalid_batch_id": checks.is_uuid4(member(v, "batch_id")["text"]),
+            "invalid_sent_at": checks.utc_time(member(v, "sent_at")["text"]).isNotNull(),
+            "invalid_events": F.size(events).between(1, MOST_EVENTS),
+            "unknown_field": F.size(F.array_except(F.json_object_keys(F.to_json(v)), F.array(*[F.lit(n) for n in ("batch_id", "sent_at", "events")]))) == 0,
+        }
+        return F.when(v.isNull(), F.array(F.lit("invalid_json"))).otherwise(checks.failures(rules))
+
+    return batches.withColumn("batch_errors", bind(F.try_parse_json(payload), judged))
 
 
 def classify_batch(batch: DataFrame, inbox: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -613,48 +614,107 @@ def latest_versions(spark, sf_dir):
 # ---- validation and ingestion
 
 
-@query(
-    """select page_id, regexp_full_match(url, 'https?://[^\\s/?#]+([/?#]\\S*)?') as is_url, regexp_full_match(url, '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') as is_email,
-    regexp_full_match('10.' || (page_id % 300) || '.0.1', '((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])') as is_ip,
-    length(url) in (32, 40, 64, 128) as like_hash, true as is_hash, regexp_full_match(md5(url)[1:8], '[0-9a-f]{8}') and page_id % 2 = 0 as is_uuid from pages""".replace("\\\\", "\\")
-)
+_TEXTS = [  # text, is_ipv4, is_ipv6, is_hash, is_email, is_url, is_hostname, is_uuid, as the inventory describes the validators
+    ("10.0.0.1", 1, 0, 0, 0, 0, 1, 0), (" 10.0.0.1 ", 1, 0, 0, 0, 0, 1, 0), ("10.0.0.256", 0, 0, 0, 0, 0, 1, 0), ("10.00.0.1", 0, 0, 0, 0, 0, 1, 0), ("10.0.0", 0, 0, 0, 0, 0, 1, 0),
+    ("::1", 0, 1, 0, 0, 0, 0, 0), ("::", 0, 1, 0, 0, 0, 0, 0), ("2001:db8::ff00:42:8329", 0, 1, 0, 0, 0, 0, 0), ("::ffff:10.0.0.1", 0, 1, 0, 0, 0, 0, 0), ("1:2:3:4:5:6:7.8.9.10", 0, 1, 0, 0, 0, 0, 0),
+    ("fe80::1%eth0", 0, 1, 0, 0, 0, 0, 0), ("1::2::3", 0, 0, 0, 0, 0, 0, 0), ("12345::", 0, 0, 0, 0, 0, 0, 0), ("::ffff:10.0.0.256", 0, 0, 0, 0, 0, 0, 0), ("1:2:3:4:5:6:7:8:9", 0, 0, 0, 0, 0, 0, 0),
+    ("d41d8cd98f00b204e9800998ecf8427e", 0, 0, 1, 0, 0, 1, 1), ("D41D8CD98F00B204E9800998ECF8427E01", 0, 0, 1, 0, 0, 1, 0), ("d41d8cd98f00b204e9800998ecf8427", 0, 0, 0, 0, 0, 1, 0), ("x41d8cd98f00b204e9800998ecf8427e", 0, 0, 0, 0, 0, 1, 0),
+    ("a@b.c", 0, 0, 0, 1, 0, 0, 0), (" a@b.c ", 0, 0, 0, 1, 0, 0, 0), ("a@b", 0, 0, 0, 0, 0, 0, 0), ("a b@c.d", 0, 0, 0, 0, 0, 0, 0),
+    ("ftp://h/x", 0, 0, 0, 0, 1, 0, 0), ("git+ssh://h", 0, 0, 0, 0, 1, 0, 0), ("http://", 0, 0, 0, 0, 0, 0, 0), ("1http://h", 0, 0, 0, 0, 0, 0, 0), ("http://a b", 0, 0, 0, 0, 0, 0, 0),
+    ("web-01.example", 0, 0, 0, 0, 0, 1, 0), ("-web", 0, 0, 0, 0, 0, 0, 0), ("a", 0, 0, 0, 0, 0, 1, 0), ("a..b", 0, 0, 0, 0, 0, 1, 0), ("under_score", 0, 0, 0, 0, 0, 0, 0), ("", 0, 0, 0, 0, 0, 0, 0),
+    ("12345678-1234-1234-1234-123456789abc", 0, 0, 0, 0, 0, 1, 1), ("{12345678-1234-4123-8123-123456789ABC}", 0, 0, 0, 0, 0, 0, 1), ("urn:uuid:12345678-1234-4123-8123-123456789abc", 0, 0, 0, 0, 0, 0, 1), ("12345678-1234-4123-8123-123456789ab", 0, 0, 0, 0, 0, 1, 0),
+]
+_TESTS = {"is_ipv4": checks.is_ipv4, "is_ipv6": checks.is_ipv6, "is_hash": checks.is_hash, "is_email": checks.is_email, "is_url": checks.is_url, "is_hostname": checks.is_hostname, "is_uuid": checks.is_uuid}
+_EXPECTED = "[" + ", ".join("'%s'" % "".join(map(str, t[1:])) for t in _TEXTS) + "]"
+
+
+@query(f"""select page_id, {", ".join(f"list_extract({_EXPECTED}, page_id % {len(_TEXTS)} + 1)[{i + 1}] = '1' as {n}" for i, n in enumerate(_TESTS))} from pages""")
 def validators(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    md5 = F.md5("url")
-    uuid = F.concat(F.substring(md5, 1, 8), F.lit("-0000-"), F.when(F.pmod("page_id", F.lit(2)) == 0, "4").otherwise("1"), F.lit("000-8000-000000000000"))
-    return p.select(
-        "page_id", checks.is_url(F.col("url")).alias("is_url"), checks.is_email(F.col("url")).alias("is_email"), checks.is_ip(F.concat(F.lit("10."), F.pmod("page_id", F.lit(300)).cast("string"), F.lit(".0.1"))).alias("is_ip"),
-        F.length("url").isin(*checks.HASHES.values()).alias("like_hash"), checks.is_hash(md5).alias("is_hash"), checks.is_uuid4(uuid).alias("is_uuid"),
-    )
+    """Texts whose verdicts are known, one a page."""
+    text = F.element_at(F.array(*[F.lit(t[0]) for t in _TEXTS]), (F.pmod("page_id", F.lit(len(_TEXTS))) + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", text.alias("text"))
+    return rows.select("page_id", *[test(F.col("text")).alias(n) for n, test in _TESTS.items()])
+
+
+def _event_json(**changed) -> str:
+    """A valid event of a modified file, @ID and @TS to be filled in; members are replaced by those of ``changed`` (dots as __), None takes one away."""
+    event = {
+        "event_id": "@ID", "schema_version": "1.0", "timestamp": "@TS", "sequence": 1, "source": {"product": "sensor", "product_version": "1.2.3", "instance_id": "11111111-1111-1111-8111-111111111111", "component": "fim"},
+        "event_type": "fim.file.modified", "severity": "high", "asset": {"asset_id": "a-1", "hostname": "host 1", "ip": "10.0.0.1"},
+        "evidence": {"file_path": "etc/passwd", "hash_algorithm": "md5", "previous_hash": "a" * 32, "current_hash": "b" * 32, "baseline_id": "b", "scan_id": "s", "baseline_status": "modified", "details": {"n": [1, {"m": 2.5}]}},
+        "metadata": {"correlation_id": "c", "tags": ["t"], "x_a": 1},
+    }
+    for name, value in changed.items():
+        *way, last = name.split("__")
+        at = event
+        for n in way:
+            at = at[n]
+        at.pop(last) if value is None else at.__setitem__(last, json.loads("null") if value == "NULL" else value)
+    return json.dumps(event, ensure_ascii=False)
+
+
+def _nested(depth: int, inner: object) -> object:
+    return inner if not depth else {"k": _nested(depth - 1, inner)}
+
+
+_BROKEN = [  # one thing changed in a valid event, and what the contract has against it
+    ({}, ""), ({"asset__ip": "::ffff:10.0.0.1"}, ""), ({"asset__ip": "10.0.0.300"}, "invalid_ip"), ({"asset__ip": "NULL"}, "null_field"), ({"asset__asset_id": ""}, "invalid_asset"), ({"asset__asset_id": "a" * 256}, "invalid_asset"),
+    ({"asset__hostname": 5}, "invalid_asset"), ({"asset__os": "o" * 255}, ""), ({"asset__more": 1}, "unknown_field"), ({"sequence": "5"}, "invalid_sequence"), ({"sequence": 5.7}, "invalid_sequence"), ({"sequence": 0}, "invalid_sequence"),
+    ({"sequence": True}, "invalid_sequence"), ({"source__component": 5}, "invalid_source"), ({"source__component": None}, "invalid_source"), ({"source__component": "other"}, "invalid_source"), ({"source__product_version": "1.2"}, "invalid_source"),
+    ({"source__product_version": "1.2.3-rc.1+b"}, ""), ({"source__product_version": "1.2.3-rc..1"}, "invalid_source"), ({"source__instance_id": "x"}, "invalid_source"), ({"event_id": "no-uuid"}, "invalid_event_id"), ({"event_id": None}, "invalid_event_id"),
+    ({"schema_version": "2.0"}, "invalid_schema_version"), ({"schema_version": 1.0}, "invalid_schema_version"), ({"timestamp": "2024-01-01 00:00:00"}, "invalid_timestamp"), ({"timestamp": "2024-02-30T00:00:00Z"}, "invalid_timestamp"), ({"timestamp": "2999-01-01T00:00:00Z"}, "timestamp_in_future"),
+    ({"event_type": "fim.other"}, "invalid_event_type"), ({"severity": "urgent"}, "invalid_severity"), ({"severity": "HIGH"}, "invalid_severity"), ({"more": 1}, "unknown_field"), ({"evidence__file_path": "/etc/passwd"}, "invalid_path"),
+    ({"evidence__file_path": "a/../b"}, "invalid_path"), ({"evidence__file_path": "c:x"}, "invalid_path"), ({"evidence__file_path": "a//b"}, "invalid_path"), ({"evidence__file_path": "a\\b"}, "invalid_path"), ({"evidence__file_path": "a/..b"}, ""), ({"evidence__file_path": "p" * 4097}, "invalid_path"),
+    ({"evidence__file_path": None}, "missing_evidence"), ({"evidence__scan_id": None}, "missing_evidence"), ({"evidence__scan_id": ""}, "invalid_evidence"), ({"evidence__file_size_bytes": -1}, "invalid_evidence"), ({"evidence__file_size_bytes": 0}, ""), ({"evidence__mtime": "2024-01-01T00:00:00.5Z"}, ""),
+    ({"evidence__mtime": "yesterday"}, "invalid_evidence"), ({"evidence__mtime": "NULL"}, "null_field"), ({"evidence__current_hash": "abc"}, "invalid_hash"), ({"evidence__current_hash": "B" * 32}, "invalid_hash"), ({"evidence__current_hash": "a" * 32}, "hashes_equal"),
+    ({"evidence__baseline_status": "added"}, "invalid_baseline_status"), ({"evidence__baseline_status": "odd"}, "invalid_evidence,invalid_baseline_status"), ({"evidence__details": None}, "invalid_details"), ({"evidence__details": []}, "invalid_details"), ({"evidence__details": {}}, ""),
+    ({"evidence__details": {f"k{i}": i for i in range(32)}}, ""), ({"evidence__details": {f"k{i}": i for i in range(33)}}, "invalid_details"), ({"evidence__details": {f"k{i}": "v" * 1000 for i in range(17)}}, "invalid_details"), ({"evidence__details": {"k": "v" * 1024}}, ""),
+    ({"evidence__details": {"k": "v" * 1025}}, "invalid_details"), ({"evidence__details": {"k": '"' * 1024}}, ""), ({"evidence__details": _nested(4, 1)}, ""), ({"evidence__details": _nested(4, {})}, ""), ({"evidence__details": _nested(5, 1)}, "invalid_details"), ({"evidence__details": {"k": "null [[[[[["}}, ""),
+    ({"evidence__details": {"k": ["NULL", None]}}, "invalid_details"), ({"metadata": None}, "invalid_metadata"), ({"metadata": {}}, ""), ({"metadata__y": 1}, "invalid_metadata"), ({"metadata__x_a": "NULL"}, "invalid_metadata"), ({"metadata__rule_id": "r" * 1025}, "invalid_metadata"),
+    ({"metadata__tags": [""]}, "invalid_tags"), ({"metadata__tags": ["t" * 65]}, "invalid_tags"), ({"metadata__tags": ["t"] * 33}, "invalid_tags"), ({"metadata__tags": [1]}, "invalid_tags"), ({"metadata__tags": "t"}, "invalid_tags"),
+    ({"event_type": "fim.file.removed", "evidence__baseline_status": "removed"}, "forbidden_current_hash"), ({"event_type": "fim.file.removed", "evidence__baseline_status": "removed", "evidence__current_hash": None}, ""),
+    ({"event_type": "hash.mismatch", "evidence__baseline_status": "not_applicable"}, ""), ({"event_type": "hash.mismatch", "evidence__baseline_status": "matched"}, "invalid_baseline_status"),
+    ({"event_type": "fim.baseline.created", "evidence__baseline_status": "created", "evidence__details": {"file_count": 3}}, ""), ({"event_type": "fim.baseline.created", "evidence__baseline_status": "created"}, "invalid_counts"),
+    ({"event_type": "fim.scan.completed", "evidence__details": {k: 0 for k in ("added", "modified", "removed", "unchanged", "ignored", "duration_ms")}}, ""), ({"event_type": "fim.scan.completed", "evidence__details": {k: -1 for k in ("added", "modified", "removed", "unchanged", "ignored", "duration_ms")}}, "invalid_counts"),
+    ({"event_type": "alert.created", "metadata__alert_id": "a", "metadata__rule_id": "r", "evidence__details": {"title": "t", "description": "d"}}, ""), ({"event_type": "alert.created", "metadata__alert_id": "a", "evidence__details": {"title": "t", "description": "d"}}, "invalid_alert"),
+    ({"event_type": "alert.updated", "metadata__alert_id": "a", "evidence__details": {"previous_status": "p", "current_status": ""}}, "invalid_alert"), ({"event_type": "alert.updated", "metadata__alert_id": "a", "evidence__details": {"previous_status": "p", "current_status": "c"}}, ""),
+]
 
 
 def _sensor_payloads(spark, sf_dir):
-    """A valid modification event for each event, broken in one way by the remainder of its id."""
-    k = F.pmod(F.col("event_id"), F.lit(10))
-    digest, other = F.sha2(F.col("event_id").cast("string"), 256), F.sha2(F.lit("x"), 256)
+    """An event for each event, changed by the remainder of its id."""
+    k = F.pmod(F.col("event_id"), F.lit(len(_BROKEN)))
+    digest = F.sha2(F.col("event_id").cast("string"), 256)
     uid = F.concat(F.substring(digest, 1, 8), F.lit("-0000-4000-8000-"), F.substring(digest, 9, 12))
-    source = F.struct(F.lit("sensor").alias("product"), F.lit("1.2.3").alias("product_version"), F.lit("11111111-1111-4111-8111-111111111111").alias("instance_id"), F.lit("fim").alias("component"))
-    asset = F.struct(F.when(k != 1, F.col("source_host")).otherwise("").alias("asset_id"), F.col("source_host").alias("hostname"), F.when(k == 2, F.lit("10.0.0.300")).otherwise(F.col("ip_src")).alias("ip"))
-    evidence = F.struct(
-        F.when(k == 3, "/etc/passwd").otherwise("etc/passwd").alias("file_path"), F.lit("sha256").alias("hash_algorithm"), F.when(k == 4, digest).otherwise(other).alias("previous_hash"),
-        F.when(k == 5, "abc").otherwise(digest).alias("current_hash"), F.when(k == 6, "added").otherwise("modified").alias("baseline_status"),
-    )
-    body = F.to_json(
-        F.struct(
-            F.when(k == 7, "no-uuid").otherwise(uid).alias("event_id"), F.when(k == 8, "2.0").otherwise("1.0").alias("schema_version"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
-            F.when(k == 9, 0).otherwise(1).alias("sequence"), source.alias("source"), F.lit("fim.file.modified").alias("event_type"), F.lit("high").alias("severity"), asset.alias("asset"), evidence.alias("evidence"),
-        )
-    )
+    body = F.element_at(F.array(*[F.lit(_event_json(**c)) for c, _ in _BROKEN]), (k + 1).cast("int"))
+    body = F.replace(F.replace(body, F.lit("@ID"), uid), F.lit("@TS"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     return pipeline.events(spark, sf_dir).select("event_id", "user_id", "ts", body.alias("payload"))
 
 
+_CODES = "[" + ", ".join(f"'{code}'" for _, code in _BROKEN) + "]"
+_RECEIPT = "case split_part({0}, ',', 1) when '' then null when 'invalid_schema_version' then 'unsupported_schema_version' when 'timestamp_in_future' then 'invalid_timestamp' when 'invalid_event_type' then 'invalid_event_type' when 'invalid_severity' then 'invalid_severity' when 'invalid_timestamp' then 'invalid_timestamp' when 'invalid_event_id' then 'invalid_event_id' else 'validation_error' end"
+
+
+@query(f"with e as (select event_id, list_extract({_CODES}, event_id % {len(_BROKEN)} + 1) as errors from events) select event_id, errors, {_RECEIPT.format('errors')} as receipt_code from e")
+def contract_errors(spark, sf_dir):
+    found = _sensor_payloads(spark, sf_dir).select("event_id", contract.errors(F.col("payload"), F.lit("2025-01-01").cast("timestamp")).alias("found"))
+    return found.select("event_id", F.array_join("found", ",").alias("errors"), contract.receipt_code(F.col("found")).alias("receipt_code"))
+
+
 @query(
-    """select event_id, case event_id % 10 when 1 then 'invalid_asset' when 2 then 'invalid_ip' when 3 then 'invalid_path' when 4 then 'hashes_equal' when 5 then 'invalid_hash'
-    when 6 then 'invalid_baseline_status' when 7 then 'invalid_event_id' when 8 then 'invalid_schema_version' when 9 then 'invalid_sequence' else '' end as errors from events"""
+    """with b as (select event_id, event_id % 6 as k from events)
+    select event_id as batch_no, list_extract(['', 'invalid_events', 'invalid_events', 'invalid_batch_id', 'invalid_sent_at', 'unknown_field'], k + 1) as errors from b"""
 )
-def contract_errors(spark, sf_dir):
-    rows = _sensor_payloads(spark, sf_dir)
-    return rows.select("event_id", F.array_join(contract.errors(F.col("payload"), F.lit("2025-01-01").cast("timestamp")), ",").alias("errors"))
+def batch_envelopes(spark, sf_dir):
+    """Envelopes of no, one, a hundred and a hundred and one events."""
+    k = F.pmod("event_id", F.lit(6))
+    events = F.when(k == 1, F.lit("")).when(k == 2, F.array_join(F.array_repeat(F.lit("{}"), 101), ",")).otherwise(F.array_join(F.array_repeat(F.lit("{}"), 100), ","))
+    uid = F.when(k == 3, F.lit("x")).otherwise(F.lit("12345678-1234-4123-8123-123456789abc"))
+    sent = F.when(k == 4, F.lit("now")).otherwise(F.lit("2024-01-01T00:00:00Z"))
+    more = F.when(k == 5, F.lit(',"more":1')).otherwise(F.lit(""))
+    text = F.concat(F.lit('{"batch_id":"'), uid, F.lit('","sent_at":"'), sent, F.lit('"'), more, F.lit(',"events":['), events, F.lit("]}"))
+    rows = contract.batch_errors(table(spark, sf_dir, "events").select(F.col("event_id").alias("batch_no"), text.alias("payload")))
+    return rows.select("batch_no", F.array_join("batch_errors", ",").alias("errors"))
 
 
 def _batch_rows(spark, sf_dir):

@@ -128,26 +128,19 @@ def test_window_ties_count_in_order_of_arrival(spark):
     assert [r["event_id"] for r in windows.over_threshold(df, ["k"], 2, 300, strict=True).collect()] == [3]
 
 
-EVENT = '{"event_id":"12345678-1234-4123-8123-123456789abc","schema_version":"1.0","timestamp":"2026-01-01T00:00:00Z","sequence":1,"source":{"product":"p","product_version":"1.0.0","instance_id":"12345678-1234-4123-8123-123456789abc"},"event_type":"fim.baseline.created","severity":"info","asset":{"asset_id":"a","hostname":"h"},"evidence":{"baseline_status":"created"%s}%s}'
+EVENT = '{"event_id":"12345678-1234-4123-8123-123456789abc","schema_version":"1.0","timestamp":"2026-01-01T00:00:00Z","sequence":1,"source":{"product":"p","product_version":"1.0.0","instance_id":"12345678-1234-4123-8123-123456789abc","component":"fim"},"event_type":"fim.baseline.created","severity":"info","asset":{"asset_id":"a","hostname":"h"},"evidence":{"baseline_id":"b","hash_algorithm":"md5","baseline_status":"created","details":{"file_count":1%s}}%s}'
+META = ',"metadata":{}'
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        (EVENT % ("", ""), []),
-        (EVENT % (',"details":{"a":{"b":{"c":[1]}}}', ""), []),
-        (EVENT % (',"details":{"a":{"b":{"c":[[1]]}}}', ""), ["too_deep"]),
-        (EVENT % (',"details":{"a":"[[[[[[["}', ""), []),
-        (EVENT % (',"mtime":null', ""), ["null_field"]),
-        (EVENT % (',"odd":1', ""), ["unknown_field"]),
-        (EVENT % ("", ',"more":1'), ["unknown_field"]),
-        (EVENT % ("", ',"metadata":{"x_a":1,"tags":["t"]}'), []),
-        (EVENT % ("", ',"metadata":{"y":1}'), ["invalid_metadata"]),
-        (EVENT % ("", ',"metadata":{"tags":[""]}'), ["invalid_tags"]),
-        (EVENT.replace("created\"%s", "removed\"%s") % ("", ""), ["invalid_baseline_status"]),
-        (EVENT.replace("2026-01-01T00", "2027-01-01T00") % ("", ""), ["timestamp_in_future"]),
-        (EVENT.replace("baseline.created", "other") % ("", ""), ["invalid_event_type"]),
-        (EVENT % ("", ',"sequence":2'), ["invalid_json"]),
+        (EVENT % ("", META), []),
+        (EVENT % (',"a":{"b":{"c":[1]}}', META), []),
+        (EVENT % (',"a":{"b":{"c":[[1]]}}', META), ["invalid_details"]),
+        (EVENT % (',"a":"[[[[[[[\\" null"', META), []),
+        (EVENT % ("", ""), ["invalid_metadata"]),
+        (EVENT % ("", META + ',"sequence":2'), ["invalid_json"]),
         ("{", ["invalid_json"]),
         (None, ["invalid_json"]),
     ],
@@ -176,7 +169,7 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     from loomwatch.sources import readers
     from loomwatch.streaming import ingest
 
-    event = (EVENT % ("", "")).replace("\n", "")
+    event = (EVENT % ("", META)).replace("\n", "")
     other = event.replace("123456789abc\",\"schema", "123456789abd\",\"schema")
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"batch_id":"b1","sent_at":"x","events":[%s,%s,{"event_id":1}]}\n' % (event, event))
