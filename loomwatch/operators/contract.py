@@ -62,15 +62,15 @@ def child(parent: Column, name: str) -> Column:
 def member(parent: Column, name: str) -> Column:
     """there, void (an explicit null), kind and the text or whole number of a member; other kinds have neither."""
 
-    def read(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        whole = (kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")
-        void = F.coalesce(F.is_variant_null(v), F.lit(False))
+    def read(v: Column, kind: Column) -> Column:
+        long = F.startswith(kind, F.lit("DECIMAL(")) & F.endswith(kind, F.lit(",0)")) & (F.length(kind) > len("DECIMAL(9,0)"))  # 5.0 has kind DECIMAL(1,0)
         return F.struct(
-            (v.isNotNull() & ~void).alias("there"), void.alias("void"), F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias("text"), F.when(whole, F.try_variant_get(v, "$", "decimal(38,0)")).alias("whole")
-        )
+            (~kind.isin("", "VOID")).alias("there"), (kind == "VOID").alias("void"), F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias("text"),
+            F.when((kind == "BIGINT") | long, F.try_variant_get(v, "$", "decimal(38,0)")).alias("whole"),
+        )
 
-    return bind(child(parent, name), read).alias(name)
+    absent = F.lit("")
+    return bind(child(parent, name), lambda v: bind(F.coalesce(F.schema_of_variant(v), absent), lambda kind: read(v, kind))).alias(name)
 
 
 def tree(v: Column) -> Column:
