@@ -28,8 +28,8 @@ def sized(dimension: DataFrame) -> DataFrame:
     return F.broadcast(dimension) if few else dimension
 
 
-def look_up(events: DataFrame, provider: Provider) -> DataFrame:
-    """Adds a struct column of the provider's kind, null where nothing was found. Of rows with one key value one counts."""
+def look_up(events: DataFrame, provider: Provider, out: str | None = None) -> DataFrame:
+    """Adds a struct column out (or named as the provider's kind), null where nothing was found. Of rows with one key value one counts."""
     found = []
     for i, (event_key, key) in enumerate(provider.keys):
         held = f"__{provider.kind}{i}"
@@ -40,14 +40,15 @@ def look_up(events: DataFrame, provider: Provider) -> DataFrame:
     value = F.coalesce(*found)
     if provider.categories:
         value = F.when(F.col("category").isin(*provider.categories), value)
-    return events.withColumn(provider.kind, value).drop(*found)
+    return events.withColumn(out or provider.kind, value).drop(*found)
 
 
 def enrich(events: DataFrame, providers: list[Provider]) -> DataFrame:
     """Adds enrichments, array<struct<kind, provider, data>> of JSON data, in the providers' order and without repetition."""
+    taken = {p.kind: f"__found_{p.kind}" for p in providers}  # an event may have a column of that name
     for p in providers:
-        events = look_up(events, p)
+        events = look_up(events, p, taken[p.kind])
     made: list[Column] = [
-        F.when(F.col(p.kind).isNotNull(), F.struct(F.lit(p.kind).alias("kind"), F.lit(p.name).alias("provider"), F.to_json(p.kind).alias("data"))) for p in providers
+        F.when(F.col(taken[p.kind]).isNotNull(), F.struct(F.lit(p.kind).alias("kind"), F.lit(p.name).alias("provider"), F.to_json(taken[p.kind]).alias("data"))) for p in providers
     ]
-    return events.withColumn("enrichments", F.array_distinct(F.array_compact(F.array(*made)))).drop(*[p.kind for p in providers])
+    return events.withColumn("enrichments", F.array_distinct(F.array_compact(F.array(*made)))).drop(*taken.values())

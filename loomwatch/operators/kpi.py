@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwatch.functions import severity, sla
@@ -86,12 +86,34 @@ def band(severity_: Column, sla_state: Column, owner: Column) -> Column:
     )
 
 
+def urgency() -> list[Column]:
+    return [
+        F.col("band"), sla.rank(F.col("sla_state")), F.asc_nulls_last("deadline"), F.desc(severity.rank(F.col("severity"))), F.col("owner").isNotNull(), F.desc("created_at"), F.col("id")
+    ]
+
+
+def banded(items: DataFrame) -> DataFrame:
+    return items.withColumn("band", band(F.col("severity"), F.col("sla_state"), F.col("owner")))
+
+
 def decision_queue(items: DataFrame) -> DataFrame:
     """The items (id, severity, sla_state, deadline, owner, created_at) in order of urgency, with band."""
-    ranked = items.withColumn("band", band(F.col("severity"), F.col("sla_state"), F.col("owner")))
-    return ranked.orderBy(
-        "band", sla.rank(F.col("sla_state")), F.asc_nulls_last("deadline"), F.desc(severity.rank(F.col("severity"))), F.col("owner").isNotNull(), F.desc("created_at"), "id"
-    )
+    return banded(items).orderBy(*urgency())
+
+
+def placed(items: DataFrame) -> DataFrame:
+    """The items with band and place (from 1) in the whole queue.
+
+    Bands, ranks and hours of the deadline follow one another; items are numbered within theirs, and only the
+    counts of these, few for any number of items, come to one task.
+    """
+    hour = F.coalesce(F.floor(F.unix_seconds("deadline") / 3600), F.lit(1 << 60))
+    rows = banded(items).withColumns({"__rank": sla.rank(F.col("sla_state")), "__hour": hour})
+    keys = ["band", "__rank", "__hour"]
+    before = F.sum("count").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy(*keys).count().withColumn("__before", F.coalesce(before, F.lit(0))).drop("count")
+    within = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*urgency())))
+    return within.join(offsets, keys).withColumn("place", F.col("__before") + F.col("__n")).drop("__rank", "__hour", "__before", "__n")
 
 
 def queue_sources(incidents: DataFrame, sensor_events: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +22,8 @@ SENSOR_TYPES = {
     "alert.updated": ("alert", "updated"),
 }
 
-Strategy = Callable[[DataFrame], DataFrame]
+#: Columns by name, over those of the parsed rows.
+Strategy = dict[str, Column]
 
 
 def classify(category: Column, action: Column, confidence: Column) -> Column:
@@ -47,11 +46,7 @@ def first_filled(*names: str) -> Column:
 
 def projected(ip_src: Column, ip_dst: Column, user: Column, process: Column, command: Column) -> Strategy:
     columns = {"ip_src": ip_src, "ip_dst": ip_dst, "user": user, "process": process, "command_line": command}
-
-    def run(df: DataFrame) -> DataFrame:
-        return df.withColumns(columns | {"severity": classify(F.col("category"), F.col("action"), F.col("confidence")), "schema_version": F.lit(SCHEMA_VERSION)})
-
-    return run
+    return columns | {"severity": classify(F.col("category"), F.col("action"), F.col("confidence")), "schema_version": F.lit(SCHEMA_VERSION)}
 
 
 def default_strategy() -> Strategy:
@@ -63,14 +58,16 @@ def windows_strategy() -> Strategy:
 
 
 def normalize(parsed: DataFrame, strategies: dict[str, Strategy] | None = None) -> DataFrame:
-    """Each row by the strategy of its source_type, the default for others; rows need fields, category, action, confidence."""
+    """Each row by the strategy of its source_type, the default for others, in one scan; rows need fields, category, action, confidence."""
     strategies = {"syslog": default_strategy(), "windows": windows_strategy()} if strategies is None else strategies
-    kind = F.coalesce("source_type", F.lit(""))
-    parts = [strategy(parsed.where(kind == name)) for name, strategy in strategies.items()]
-    out = default_strategy()(parsed.where(~kind.isin(*strategies)) if strategies else parsed)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    names = list(dict.fromkeys(n for s in (*strategies.values(), default_strategy()) for n in s))
+    out = {}
+    for n in names:
+        value = default_strategy().get(n, F.lit(None))
+        for kind, strategy in strategies.items():
+            value = F.when(F.coalesce(F.col("source_type") == kind, F.lit(False)), strategy.get(n, F.lit(None))).otherwise(value)
+        out[n] = value
+    return parsed.withColumns(out)
 
 
 def version_ok(events: DataFrame) -> tuple[DataFrame, DataFrame]:

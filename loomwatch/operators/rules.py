@@ -19,7 +19,7 @@ PRESENCE = ("ip_src", "ip_dst", "user", "hostname", "source_host", "event_catego
 @dataclass(frozen=True)
 class Rule:
     rule_id: str
-    matches: Callable[[DataFrame], DataFrame]  # the events that fit, with what columns they have
+    matches: Callable[[DataFrame], DataFrame] | Column  # the events that fit, with what columns they have; or a condition of a single event
     severity: str = "medium"
     confidence: float = 1.0
     risk_score: int | None = None
@@ -67,8 +67,17 @@ class Registry:
             raise ValueError("rules depend on each other in a circle")
         return out
 
-    def stats(self) -> dict[str, int]:
-        return {"total": len(self.rules), "enabled": sum(r.enabled for r in self.rules.values())}
+    def unregister(self, rule_id: str) -> Rule:
+        return self.rules.pop(rule_id)
+
+    def get(self, rule_id: str) -> Rule | None:
+        return self.rules.get(rule_id)
+
+    def stats(self) -> dict:
+        by_priority: dict[int, int] = {}
+        for r in self.rules.values():
+            by_priority[r.priority] = by_priority.get(r.priority, 0) + 1
+        return {"total": len(self.rules), "enabled": sum(r.enabled for r in self.rules.values()), "by_priority": by_priority}
 
 
 def present(df: DataFrame, names: tuple[str, ...]) -> Column:
@@ -79,17 +88,25 @@ def present(df: DataFrame, names: tuple[str, ...]) -> Column:
 
 
 def findings(events: DataFrame, rules: list[Rule], columns: list[str]) -> DataFrame:
-    """One row a rule and event that fits, with the rule's severity, confidence and risk; columns are the event's to keep."""
-    parts = []
-    for r in rules:
-        routed = events.where(F.col("category").isin(*r.categories)) if r.categories else events
-        hit = r.matches(routed.where(present(events, r.required)))
-        parts.append(
-            hit.select(
-                *columns, F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"),
-                F.lit(r.confidence).alias("confidence"), F.lit(r.risk_score).cast("int").alias("risk_score"), F.array(*[F.lit(t) for t in r.tags]).cast("array<string>").alias("tags"),
-            )
+    """One row a rule and event that fits, with the rule's severity, confidence and risk; columns are the event's to keep.
+
+    All conditions of single events are tested in one scan; each rule over windows has its own.
+    """
+
+    def made(r: Rule) -> Column:
+        return F.struct(
+            F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"),
+            F.lit(r.risk_score).cast("int").alias("risk_score"), F.array(*[F.lit(t) for t in r.tags]).cast("array<string>").alias("tags"),
         )
+
+    routed = lambda r: F.col("category").isin(*r.categories) if r.categories else F.lit(True)
+    single = [r for r in rules if isinstance(r.matches, Column)]
+    parts = [
+        r.matches(events.where(routed(r) & present(events, r.required))).select(*columns, F.inline(F.array(made(r)))) for r in rules if not isinstance(r.matches, Column)
+    ]
+    if single:
+        hits = [F.when(routed(r) & present(events, r.required) & r.matches, made(r)) for r in single]
+        parts.append(events.select(*columns, F.inline(F.array_compact(F.array(*hits)))))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -129,7 +129,8 @@ def sensor_normalize(spark, sf_dir):
 
 
 def _dsl(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
-    return df.agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
+    """Every event with the verdict of each condition."""
+    return df.select("event_id", *[c.alias(name) for name, c in conditions.items()])
 
 
 _DSL = f"""with {sql.EV}, d as (select *, case when event_id % 7 = 0 then null else {_CLASSIFY} end as severity from ev)"""
@@ -140,21 +141,21 @@ def _dsl_events(spark, sf_dir):
     return e.withColumn("severity", F.when(F.pmod("event_id", F.lit(7)) != 0, normalize.classify(F.col("category"), F.col("action"), F.col("confidence"))))
 
 
-@query(f"{_DSL} select count(*) filter (severity = 'high') as eq, count(*) filter (severity is null or severity <> 'high') as neq, count(*) filter (value = 5) as eq_number, 0 as eq_kind, count(*) as neq_kind from d")
+@query(f"{_DSL} select event_id, coalesce((severity = 'high'), false) as eq, coalesce((severity is null or severity <> 'high'), false) as neq, coalesce((value = 5), false) as eq_number, false as eq_kind, true as neq_kind from d")
 def dsl_eq_neq_null(spark, sf_dir):
     d = _dsl_events(spark, sf_dir)
     of = lambda f, op, v: dsl.leaf(d, f, op, v)
     return _dsl(d, {"eq": of("severity", "==", "high"), "neq": of("severity", "!=", "high"), "eq_number": of("value", "==", 5), "eq_kind": of("value", "==", "5"), "neq_kind": of("value", "!=", "5")})
 
 
-@query(f"{_DSL} select count(*) filter (severity in ('high', 'critical')) as gte, count(*) filter (severity in ('info', 'low')) as lt, count(*) filter (value > 100) as gt_number, 0 as gt_kind from d")
+@query(f"{_DSL} select event_id, coalesce((severity in ('high', 'critical')), false) as gte, coalesce((severity in ('info', 'low')), false) as lt, coalesce((value > 100), false) as gt_number, false as gt_kind from d")
 def dsl_ordinal_severity(spark, sf_dir):
     d = _dsl_events(spark, sf_dir)
     of = lambda f, op, v: dsl.leaf(d, f, op, v)
     return _dsl(d, {"gte": of("severity", ">=", "HIGH"), "lt": of("severity", "<", "medium"), "gt_number": of("value", ">", 100), "gt_kind": of("value", ">", "100")})
 
 
-@query(f"{_DSL} select count(*) filter (contains(source_host, '-1')) as contains, count(*) filter (category in ('auth', 'network')) as member, 0 as no_list, count(*) filter (regexp_matches(source_host, '-1[0-9]$')) as matches, 0 as bad_regex, count(*) filter (regexp_matches(cast(user_id as varchar), '^4')) as on_number from d")
+@query(f"{_DSL} select event_id, coalesce((contains(source_host, '-1')), false) as contains, coalesce((category in ('auth', 'network')), false) as member, false as no_list, coalesce((regexp_matches(source_host, '-1[0-9]$')), false) as matches, false as bad_regex, coalesce((regexp_matches(cast(user_id as varchar), '^4')), false) as on_number from d")
 def dsl_contains_in_matches(spark, sf_dir):
     d = _dsl_events(spark, sf_dir)
     of = lambda f, op, v: dsl.leaf(d, f, op, v)
@@ -167,14 +168,14 @@ def dsl_contains_in_matches(spark, sf_dir):
     )
 
 
-@query(f"{_DSL} select count(*) filter (severity = 'high' and value > 50) as both_, count(*) filter (coalesce(severity = 'high', false) or value > 50) as either, count(*) filter (not coalesce(severity = 'high', false)) as neither, 0 as nothing from d")
+@query(f"{_DSL} select event_id, coalesce((severity = 'high' and value > 50), false) as both_, coalesce((coalesce(severity = 'high', false) or value > 50), false) as either, coalesce((not coalesce(severity = 'high', false)), false) as neither, false as nothing from d")
 def dsl_bool_tree(spark, sf_dir):
     d = _dsl_events(spark, sf_dir)
     a, b = dsl.leaf(d, "severity", "==", "high"), dsl.leaf(d, "value", ">", 50)
     return _dsl(d, {"both_": dsl.tree("and", [a, b]), "either": dsl.tree("or", [a, b]), "neither": dsl.tree("not", [a]), "nothing": dsl.tree("and", [])})
 
 
-@query(f"{_DSL} select count(*) filter (category = 'auth' and severity in ('high', 'critical')) as plain, count(*) filter (not (category = 'auth')) as negated, count(*) filter (category = 'auth' and value > 10 and action = 'reject') as mixed, count(*) filter (category = 'auth' or value >= 400.5) as either from d")
+@query(f"{_DSL} select event_id, coalesce((category = 'auth' and severity in ('high', 'critical')), false) as plain, coalesce((not (category = 'auth')), false) as negated, coalesce((category = 'auth' and value > 10 and action = 'reject'), false) as mixed, coalesce((category = 'auth' or value >= 400.5), false) as either from d")
 def dsl_parsed_text(spark, sf_dir):
     d = _dsl_events(spark, sf_dir)
     texts = {
@@ -260,12 +261,24 @@ def sessions(spark, sf_dir):
     return windows.sessions(pipeline.events(spark, sf_dir), ["user_id"], "6 hours").select("user_id", text_ts("start"), "events")
 
 
-@query()
+@query(
+    f"""with recursive {sql.EV}, a as (select source_host as key, event_id as id, epoch_us(ts) / 1e6::double as t, row_number() over (partition by source_host order by ts, event_id) as k from ev), f as (
+    select key, id, k, true as allowed, [t] as held from a where k = 1
+    union all select a.key, a.id, a.k, len(list_filter(f.held, lambda x: x > a.t - 86400)) < 4,
+      case when len(list_filter(f.held, lambda x: x > a.t - 86400)) < 4 then list_append(list_filter(f.held, lambda x: x > a.t - 86400), a.t) else list_filter(f.held, lambda x: x > a.t - 86400) end
+    from f join a on a.key = f.key and a.k = f.k + 1) select key, id, allowed from f"""
+)
 def rate_limit_fold(spark, sf_dir):
     return windows.sliding_limit(pipeline.events(spark, sf_dir), "source_host", 4, 24 * 3600)
 
 
-@query()
+@query(
+    f"""with recursive {sql.EV}, a as (select source_host as key, event_id as id, epoch_us(ts) / 1e6::double as t, row_number() over (partition by source_host order by ts, event_id) as k from ev), f as (
+    select key, id, k, t, true as allowed, 1.0::double as tokens from a where k = 1
+    union all select a.key, a.id, a.k, a.t, least(2.0::double, f.tokens + (a.t - f.t) * (1.0::double / 36000)) >= 1,
+      least(2.0::double, f.tokens + (a.t - f.t) * (1.0::double / 36000)) - case when least(2.0::double, f.tokens + (a.t - f.t) * (1.0::double / 36000)) >= 1 then 1 else 0 end
+    from f join a on a.key = f.key and a.k = f.k + 1) select key, id, allowed from f"""
+)
 def token_bucket(spark, sf_dir):
     return windows.token_bucket(pipeline.events(spark, sf_dir), "source_host", 1 / 36_000, 2)
 
@@ -361,18 +374,18 @@ def asset_related(spark, sf_dir):
 
 @query(
     f"""with {sql.INCIDENTS}, c as (select 'case-' || substr(sha256('{{"asset_id":"' || asset_id || '"}}'), 1, 16) as case_id, asset_id, severity, last_seen from inc),
-    a as (select source_host, string_agg(rule_id, ',' order by rule_id) as related, count(*) as n from dd group by 1)
-    select case_id, related, n, case when last_seen + case severity when 'critical' then interval 1 hour when 'high' then interval 4 hours else interval 24 hours end < timestamp '{NOW}' then 'overdue'
+    a as (select source_host, string_agg(rule_id, ',' order by rule_id) as related, count(*) as n from dd group by 1), t as (select source_host, count(*) as events from found group by 1)
+    select case_id, related, n, t.events as trail, case when last_seen + case severity when 'critical' then interval 1 hour when 'high' then interval 4 hours else interval 24 hours end < timestamp '{NOW}' then 'overdue'
       when epoch_us(last_seen + case severity when 'critical' then interval 1 hour when 'high' then interval 4 hours else interval 24 hours end) - epoch_us(timestamp '{NOW}')
         <= 0.3 * 3600000000 * case severity when 'critical' then 1 when 'high' then 4 else 24 end then 'warning' else 'ok' end as sla_state
-    from c join a on a.source_host = c.asset_id"""
+    from c join a on a.source_host = c.asset_id join t on t.source_host = c.asset_id"""
 )
 def case_investigation(spark, sf_dir):
     cases = pipeline.case_rows(spark, sf_dir).withColumn("closed_at", F.lit(None).cast("timestamp"))
-    trail = pipeline.findings(spark, sf_dir).select(F.lit("none").alias("correlation_id"), "ts", F.lit("detect").alias("stage"), "event_id")
-    done = relations.investigations(cases, pipeline.grouping_rows(spark, sf_dir), trail.limit(0), F.lit(NOW).cast("timestamp"))
+    trail = pipeline.findings(spark, sf_dir).select(keys.fingerprint({"asset_id": F.col("source_host")}).alias("correlation_id"), "ts", F.lit("detect").alias("stage"), "event_id")
+    done = relations.investigations(cases, pipeline.grouping_rows(spark, sf_dir), trail, F.lit(NOW).cast("timestamp"))
     names = F.array_sort(F.transform("related_alerts", lambda a: a["rule_id"]))
-    return done.select("case_id", F.array_join(names, ",").alias("related"), F.size("related_alerts").cast("long").alias("n"), "sla_state")
+    return done.select("case_id", F.array_join(names, ",").alias("related"), F.size("related_alerts").cast("long").alias("n"), F.size("trail").cast("long").alias("trail"), "sla_state")
 
 
 @query(
@@ -468,16 +481,24 @@ def sla_summary(spark, sf_dir):
 
 
 @query(
-    f"""with {_ORDERS} select id, band, row_number() over (order by band, srank, deadline nulls last, sev desc, owned, created desc, id) as place from (
-    select id, created, due as deadline, case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end as sev, o_custkey % 3 <> 0 as owned,
-    case when state in ('overdue', 'missed') then 0 when state = 'warning' then 1 else 2 end as srank,
-    case when severity = 'critical' then 0 when severity = 'high' then 1 when state in ('overdue', 'missed') then 2 when state = 'warning' then 3 when o_custkey % 3 = 0 then 4 else 5 end as band from st) order by place limit 500"""
+    f"""with {_ORDERS}, v as (select event_id, case when value > 200 then 'critical' when value > 50 then 'high' else 'low' end as severity, case when value > 200 then 1 when value > 50 then 4 else 72 end as hours, ts from events where event_type = 'error'),
+    w as (select *, ts + to_hours(hours) as due from v),
+    q as (select 'incident-' || id as id, severity, state, due, created, cast(case when o_custkey % 3 <> 0 then o_custkey end as varchar) as owner from st
+      union all select 'event-' || event_id, severity, case when due < timestamp '{_ORDERS_NOW}' then 'overdue' when epoch_us(due) - epoch_us(timestamp '{_ORDERS_NOW}') <= 0.3 * 3600000000 * hours then 'warning' else 'ok' end, due, ts, null from w),
+    r as (select *, case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end as sev, case when state in ('overdue', 'missed') then 0 when state = 'warning' then 1 else 2 end as srank,
+      case when severity = 'critical' then 0 when severity = 'high' then 1 when state in ('overdue', 'missed') then 2 when state = 'warning' then 3 when owner is null then 4 else 5 end as band from q)
+    select id, band, row_number() over (order by band, srank, due nulls last, sev desc, owner is not null, created desc, id) as place from r"""
 )
 def decision_queue(spark, sf_dir):
-    items = _orders(spark, sf_dir).withColumn("owner", F.when(F.pmod("o_custkey", F.lit(3)) != 0, F.col("o_custkey").cast("string")))
-    first = kpi.decision_queue(items).limit(500)  # the console's first pages
-    place = F.row_number().over(windows.Window.orderBy("band", sla.rank(F.col("sla_state")), F.asc_nulls_last("deadline"), F.desc(severity.rank(F.col("severity"))), F.col("owner").isNotNull(), F.desc("created_at"), "id"))
-    return first.withColumn("place", place).select("id", "band", "place")
+    """Orders are incidents, error events what sensors report."""
+    incidents_ = _orders(spark, sf_dir).select(
+        F.concat(F.lit("incident-"), F.col("id").cast("string")).alias("id"), "severity", "sla_state", "deadline", "created_at", F.when(F.pmod("o_custkey", F.lit(3)) != 0, F.col("o_custkey").cast("string")).alias("owner")
+    )
+    level = F.when(F.col("value") > 200, "critical").when(F.col("value") > 50, "high").otherwise("low")
+    e = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("id"), level.alias("severity"), F.col("ts").cast("timestamp").alias("created_at"))
+    state = sla.state(F.col("severity"), F.col("created_at"), F.lit(None).cast("timestamp"), F.lit(_ORDERS_NOW).cast("timestamp"))
+    sensors = e.withColumns({"sla_state": state, "deadline": sla.deadline(F.col("severity"), F.col("created_at"))})
+    return kpi.placed(kpi.queue_sources(incidents_, sensors, incidents_.limit(0))).select("id", "band", "place")
 
 
 @query(f"with {sql.DEDUP} select count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'high') as high, count(*) filter (severity = 'medium') as medium, count(*) filter (severity = 'low') as low from dd")
@@ -751,13 +772,15 @@ def batch_receipts(spark, sf_dir):
 
 
 @query(
-    """with b as (select o_orderkey % 700 as batch_id, case when o_orderkey % 3 = 0 then 'x' else 'y' end as h from orders where o_orderkey < 1400), r as (select k as batch_id, case when k % 2 = 0 then 'x' else 'y' end as h from range(500) t(k))
-    select case when r.h is null then 'new' when r.h = b.h then 'replay' else 'conflict' end as state, count(*) as n from b left join r using (batch_id) group by 1"""
+    """with b as (select o_orderkey, case when o_orderkey % 3 = 0 then 'x' else 'y' end as h from orders), r as (select o_orderkey, case when o_orderkey % 2 = 0 then 'x' else 'y' end as h from orders where o_orderkey % 5 <> 0)
+    select o_orderkey as batch_id, case when r.h is null then 'new' when r.h = b.h then 'replay' else 'conflict' end as state from b left join r using (o_orderkey)"""
 )
 def batch_replay(spark, sf_dir):
-    b = table(spark, sf_dir, "orders").where("o_orderkey < 1400").select(F.pmod("o_orderkey", F.lit(700)).alias("batch_id"), F.when(F.pmod("o_orderkey", F.lit(3)) == 0, "x").otherwise("y").alias("content_hash"))
-    r = spark.range(500).select(F.col("id").alias("batch_id"), F.when(F.pmod("id", F.lit(2)) == 0, "x").otherwise("y").alias("content_hash"))
-    return contract.replayed(b, r).groupBy("state").agg(F.count("*").alias("n"))
+    """A batch an order; those whose key five does not divide came before."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"))
+    b = o.withColumn("content_hash", F.when(F.pmod("batch_id", F.lit(3)) == 0, "x").otherwise("y"))
+    r = o.where("batch_id % 5 <> 0").withColumn("content_hash", F.when(F.pmod("batch_id", F.lit(2)) == 0, "x").otherwise("y"))
+    return contract.replayed(b, r).select("batch_id", "state")
 
 
 @query("select sha256('{\"a\":' || user_id || ',\"b\":\"' || event_type || '\"}') as content_hash, count(*) as n from events group by 1")
@@ -771,7 +794,7 @@ def canonical_hash(spark, sf_dir):
 
 @query(
     f"""with {sql.EV}, g as (select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey)
-    select e.event_id, (c.c_custkey is not null)::int + (c.c_custkey is not null and g.n_nationkey is not null)::int + (e.user_id % 10 = 0)::int as n, c.c_mktsegment as segment, g.r_name as region, case when e.user_id % 10 = 0 then 'malicious' end as reputation
+    select e.event_id, (c.c_custkey is not null)::int + (c.c_custkey is not null and g.n_nationkey is not null)::int + (e.user_id % 10 = 0)::int + (c.c_custkey is not null)::int as n, c.c_name as name, c.c_mktsegment as segment, g.r_name as region, case when e.user_id % 10 = 0 then 'malicious' end as reputation
     from ev e left join customer c on c.c_custkey = e.user_id left join g on g.n_nationkey = c.c_nationkey"""
 )
 def enrich_asset_geo_intel_user(spark, sf_dir):
@@ -779,6 +802,7 @@ def enrich_asset_geo_intel_user(spark, sf_dir):
     host, ip = F.concat(F.lit("host-"), F.col("c_custkey").cast("string")), F.concat(F.lit("10.0."), F.floor(F.col("c_custkey") / 256).cast("string"), F.lit("."), F.pmod("c_custkey", F.lit(256)).cast("string"))
     assets = c.select(host.alias("hostname"), F.col("c_mktsegment").alias("segment"))
     geo = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(ip.alias("ip"), F.col("r_name").alias("region"))
+    people = c.select(F.concat(F.lit("user-"), F.col("c_custkey").cast("string")).alias("login"), F.col("c_name").alias("name"))
     e = pipeline.events(spark, sf_dir)
     intel = e.where(F.pmod("user_id", F.lit(10)) == 0).select(F.col("ip_src").alias("indicator"), F.lit("malicious").alias("reputation")).distinct()
     made = enrich.enrich(
@@ -787,10 +811,11 @@ def enrich_asset_geo_intel_user(spark, sf_dir):
             enrich.Provider("asset", "inventory", assets, [("source_host", "hostname")], ["segment"]),
             enrich.Provider("geo", "geo", geo, [("ip_src", "ip")], ["region"]),
             enrich.Provider("intel", "feed", intel, [("ip_src", "indicator")], ["reputation"]),
+            enrich.Provider("user", "directory", people, [("user", "login")], ["name"]),
         ],
     )
     of = lambda kind, name: F.get_json_object(F.get(F.filter("enrichments", lambda x: x["kind"] == kind), F.lit(0))["data"], f"$.{name}").alias(name)
-    return made.select("event_id", F.size("enrichments").alias("n"), of("asset", "segment"), of("geo", "region"), of("intel", "reputation"))
+    return made.select("event_id", F.size("enrichments").alias("n"), of("asset", "segment"), of("geo", "region"), of("intel", "reputation"), of("user", "name"))
 
 
 @query(f"with {sql.EV} select ip_src as value, count(*) as hits, {sql.ts('min(ts)')} as first_seen, {sql.ts('max(ts)')} as last_seen, arg_min(event_type, ts) as ioc_type, arg_max(action, ts) as reputation from ev group by 1")
@@ -831,14 +856,14 @@ def access_audit(spark, sf_dir):
 # ---- streams
 
 
-@query()
+@query(f"with {sql.EV}, {sql.LOGIN} select source_host as key, event_id, n as window_count from login_f where n > 3")
 def stream_threshold(spark, sf_dir):
     from loomwatch.plans import streams
 
     return streams.threshold(spark, sf_dir)
 
 
-@query()
+@query(f"with {sql.ALERTS} select fingerprint, event_id, row_number() over (partition by fingerprint order by ts, event_id) as occurrence from al where rule_id = 'large-reject'")
 def stream_dedup(spark, sf_dir):
     from loomwatch.plans import streams
 

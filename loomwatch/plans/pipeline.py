@@ -46,7 +46,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry(threshold: int = 3, hours: int = 72) -> rules.Registry:
     held = rules.Registry()
     held.register(rules.Rule("login-failures", lambda e: windows.login_failures(e, threshold, hours * 3600), "high", required=("source_host",), categories=("auth",), tags=("T1110",), priority=50))
-    held.register(rules.Rule("large-reject", lambda e: e.where((F.col("action") == "reject") & (F.col("value") > 200)), "critical", required=("ip_src",), categories=("network",), tags=("T1499",), depends_on=("login-failures",)))
+    held.register(rules.Rule("large-reject", (F.col("action") == "reject") & (F.col("value") > 200), "critical", required=("ip_src",), categories=("network",), tags=("T1499",), depends_on=("login-failures",)))
     held.register(rules.Rule("busy-source", lambda e: windows.threshold_by_ip(e, 8, 24 * 3600), "medium", required=("ip_src",), tags=("T1046",), priority=10))
     return held
 

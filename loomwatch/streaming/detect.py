@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,29 +11,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def threshold(events: DataFrame, key: str, threshold_: int, seconds: int, strict: bool = False, ts: str = "ts", order: str = "event_id") -> DataFrame:
+def threshold(events: DataFrame, key: str, threshold_: int, seconds: int, strict: bool = False, ts: str = "ts", order: str = "event_id", delay: str = "1 hour") -> DataFrame:
     """key, event_id, window_count of events at (strict: above) the threshold of their key's window.
 
-    The state of a key is the times within the window. Rows of one micro-batch are taken in order of time;
-    rows that come in a later batch than newer ones count what the state still holds.
+    The state of a key is the times within the window, and goes once the watermark has left it behind. Rows of
+    one micro-batch are taken in order of time, so a key's part of a micro-batch is in memory; the source's
+    limits per trigger bound it. Rows that come in a later batch than newer ones count what the state still holds.
     """
     span = seconds * 1_000_000
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["t", "id"])
-        out = []
-        for t, i in rows[["t", "id"]].itertuples(index=False):
-            held.append(t)
-            n = sum(t - span <= x <= t for x in held)
+        out, first = [], 0
+        for t, i in zip(rows["t"].tolist(), rows["id"].tolist(), strict=True):
+            insort(held, t)
+            first = bisect_left(held, t - span)
+            n = bisect_right(held, t) - first
             if n > threshold_ or (not strict and n == threshold_):
                 out.append((k[0], i, n))
-        newest = max(held)
-        state.update(([x for x in held if x >= newest - span],))
+            if first > 4096:  # later rows are not older
+                del held[:first]
+        newest = held[-1]
+        state.update((held[bisect_left(held, newest - span) :],))
+        state.setTimeoutTimestamp(max((newest + span) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["key", "event_id", "window_count"])
 
-    rows = events.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("id"), F.unix_micros(ts).alias("t"))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, event_id long, window_count long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.where(F.col(key).isNotNull()).withWatermark(ts, delay).select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("id"), F.unix_micros(ts).alias("t"), ts)
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, event_id long, window_count long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_alerts(alerts: DataFrame, ts: str = "ts", order: str = "event_id") -> DataFrame:

@@ -99,7 +99,8 @@ def test_registry():
     r.register(rules.Rule("y", lambda e: e, depends_on=("x",)))
     with pytest.raises(ValueError):
         r.ordered()
-    assert r.stats() == {"total": 6, "enabled": 6}
+    assert r.stats() == {"total": 6, "enabled": 6, "by_priority": {10: 2, 50: 1, 100: 3}}
+    assert r.get("d").priority == 10 and r.unregister("d").rule_id == "d" and r.get("d") is None
 
 
 def alert(i, asset, minute, rule="brute", user="admin", iocs=()):
