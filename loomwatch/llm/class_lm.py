@@ -1,11 +1,12 @@
 """A class-based bigram language model with exchange clustering.
 
 A token's probability is that of its class after the class before times that of the token in its class. The
-most frequent words are clustered each on its own; rarer words follow one of a fixed number of shapes (a hash
-of their last two bytes), and shapes are clustered like words. Clustering exchanges: given how often each item
-follows and precedes each class, an item moves where the likelihood of the class bigrams gains most. Those
-counts come from the whole training text in every round. All words' counts are kept, those of rare words are
-joined to the documents.
+most frequent words are exchanged: given how often each follows and precedes each class, a word moves where
+the likelihood of the class bigrams gains most, the counts coming from the whole training text in every round.
+Meanwhile rarer words stand in shapes (a hash of their last two bytes), which are exchanged like words. Then
+every rarer word of the training text goes, by its own counts of neighbouring classes, to the class in which it
+is likeliest; those counts are grouped by word, so their number may grow with the text. Only words that the
+training text lacks keep their shape's class. Counts and classes of the rarest words are joined to the documents.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from loomwatch.llm.common import table, written
 
 #: Words clustered singly, shapes of the others, classes besides that of the end, rounds.
 SINGLE, SHAPES, CLASSES, ROUNDS = 8192, 256, 48, 3
-#: Words whose counts every task holds at most (the most frequent); the others' counts are joined.
+#: Words whose counts and classes every task holds at most (the most frequent); the others' counts are joined.
 LEXICON = 200_000
 #: Distinct words a task counts before it passes the counts on, and items of a block of the statistics.
 FLUSH, ITEMS = 300_000, 256
@@ -32,7 +33,6 @@ FLUSH, ITEMS = 300_000, 256
 LOT = 256
 #: Weight of the class's own probability in that after another.
 BETA = 10.0
-END = SINGLE + SHAPES
 
 
 def words(text: str | None) -> list[bytes]:
@@ -63,7 +63,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def shape(word: bytes) -> int:
-    return SINGLE + zlib.crc32(word[-2:]) % SHAPES
+    return zlib.crc32(word[-2:]) % SHAPES
 
 
 def frequent(counts: DataFrame, most: int) -> pd.DataFrame:
@@ -85,45 +85,48 @@ def frequent(counts: DataFrame, most: int) -> pd.DataFrame:
 
 
 def coded(docs: DataFrame, lexicon: pd.DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, codes (items as unsigned 16-bit), log_sum and rare: what the lexicon lacks."""
+    """doc_id, held_out, n_tokens, n_known, codes, log_sum, rare and at: what the lexicon lacks and where it stands.
+
+    Codes (32 bits) are places in the lexicon; after them come the shapes of other words, and the end.
+    """
     index = docs.sparkSession.sparkContext.broadcast({w.encode(): i for i, w in enumerate(lexicon["word"])})
-    logs = np.log10(lexicon["c"].to_numpy(np.float64) + 1)
-    items = np.array([i if i < SINGLE else shape(w.encode()) for i, w in enumerate(lexicon["word"])], np.uint16)
-    shared = docs.sparkSession.sparkContext.broadcast((logs, items))
+    shared = docs.sparkSession.sparkContext.broadcast(np.log10(lexicon["c"].to_numpy(np.float64) + 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get, (logs, items) = index.value.get, shared.value
+        get, logs, n = index.value.get, shared.value, len(index.value)
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 tokens = words(text)
-                at = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
-                unknown = np.flatnonzero(at < 0).tolist()
-                codes = np.full(len(tokens) + 1, END, np.uint16)
-                known = at >= 0
-                codes[:-1][known] = items[at[known]]
-                rare = [tokens[i] for i in unknown]
-                codes[unknown] = [shape(w) for w in rare]
-                rows.append((len(tokens) + 1, int(known.sum()), codes.tobytes(), float(logs[at[known]].sum()), [w.decode() for w in rare]))
-            made = pd.DataFrame(rows, columns=["n_tokens", "n_known", "codes", "log_sum", "rare"])
+                codes = np.fromiter((get(w, -1) for w in tokens), np.int32, len(tokens))
+                known = codes >= 0
+                log_sum = float(logs[codes[known]].sum())
+                unknown = np.flatnonzero(~known)
+                rare = [tokens[i] for i in unknown.tolist()]
+                codes[unknown] = [n + shape(w) for w in rare]
+                rows.append((len(tokens) + 1, int(known.sum()), np.r_[codes, n + SHAPES].astype("<i4").tobytes(), log_sum, [w.decode() for w in rare], unknown.astype(np.int32)))
+            made = pd.DataFrame(rows, columns=["n_tokens", "n_known", "codes", "log_sum", "rare", "at"])
             yield pd.concat([batch[["doc_id", "held_out"]].reset_index(drop=True), made], axis=1)
 
-    return docs.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, codes binary, log_sum double, rare array<string>")
+    return docs.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, codes binary, log_sum double, rare array<string>, at array<int>")
+
 
+def class_statistics(codes: DataFrame, items: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each item follows and precedes each class; a text begins after an end. Items x classes, whatever the text's size.
 
-def class_statistics(codes: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often each item follows and precedes each class; a text begins after an end. Items x classes, whatever the text's size."""
-    width, shared = int(classes.max()) + 1, codes.sparkSession.sparkContext.broadcast(classes)
+    items: the item of each code; the last code and item are the end.
+    """
+    width, shared = int(classes.max()) + 1, codes.sparkSession.sparkContext.broadcast((items, classes))
     blocks = -(-len(classes) // ITEMS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = shared.value
+        item_of, of = shared.value
         sums = np.zeros((2, blocks * ITEMS * width), np.int64)
         for batch in batches:
-            items = np.concatenate([np.frombuffer(b, np.uint16) for b in batch["codes"]] or [np.empty(0, np.uint16)]).astype(np.int64)
-            after = of[np.r_[END, items[:-1]]] if len(items) else items
-            for way, (item, neighbour) in enumerate(((items, after), (np.r_[END, items[:-1]] if len(items) else items, of[items]))):
-                sums[way] += np.bincount(item * width + neighbour, minlength=sums.shape[1])
+            item = item_of[np.concatenate([np.frombuffer(b, "<i4") for b in batch["codes"]] or [np.empty(0, np.int32)])].astype(np.int64)
+            before = np.r_[len(of) - 1, item[:-1]][: len(item)]
+            for way, (own, other) in enumerate(((item, before), (before, item))):
+                sums[way] += np.bincount(own * width + of[other], minlength=sums.shape[1])
         parts = sums.reshape(2, blocks, -1)
         some = [(w, b) for w in range(2) for b in range(blocks) if parts[w, b].any()]
         lot = TaskContext.get().partitionId() // LOT
@@ -155,7 +158,7 @@ def exchange(classes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.n
     own = width - 1
     for i in np.argsort(-before.sum(1), kind="stable"):
         left, right, n = before[i].astype(float), after[i].astype(float), float(before[i].sum())
-        if i == END or not n:
+        if i == len(classes) - 1 or not n:
             continue
         a = classes[i]
         pairs[a] = np.maximum(pairs[a] - right, 0)
@@ -172,6 +175,65 @@ def exchange(classes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.n
     return classes
 
 
+def likeliest(counts: DataFrame, key: str, steps: np.ndarray, tokens: np.ndarray) -> DataFrame:
+    """key, class of the keys from counts (key, slot, n) of the classes before (slots from 0) and after (then)."""
+    width = len(tokens)
+    fit = np.concatenate([steps[:, :-1], steps.T[:, :-1]]), np.log10(tokens[:-1] + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = np.zeros((len(batch), 2 * width))
+            for i, found in enumerate(batch["found"]):
+                for f in found:
+                    held[i, f["slot"]] = f["n"]
+            gain = held @ fit[0] - held[:, :width].sum(1)[:, None] * fit[1]
+            yield pd.DataFrame({key: batch[key], "class": gain.argmax(1).astype(np.int32)})
+
+    one = counts.groupBy(key).agg(F.collect_list(F.struct("slot", "n")).alias("found"))  # at most two a class
+    return one.mapInPandas(run, f"{key} {dict(counts.dtypes)[key]}, class int")
+
+
+def rarer(train: DataFrame, of_code: np.ndarray, first: int, words_: bool) -> DataFrame:
+    """(code or word, slot, n): classes beside the codes from ``first`` on that are words of the lexicon, or beside the rare words."""
+    end, shared = int(of_code[-1]), train.sparkSession.sparkContext.broadcast(of_code)
+    key, shapes = ("word", "word string") if words_ else ("code", "code int")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = shared.value
+        last = len(of) - SHAPES - 1
+        counts: Counter = Counter()
+        for batch in batches:
+            for codes, rare, places in batch[["codes", "rare", "at"]].itertuples(index=False):
+                code = np.frombuffer(codes, "<i4")
+                before = np.r_[end, of[code]]  # the class before each place; that after it is two on
+                if words_:
+                    for w, i in zip(rare, places.tolist(), strict=True):
+                        counts[w, before[i]] += 1
+                        counts[w, end + 1 + before[i + 2]] += 1
+                else:
+                    at = np.flatnonzero((code >= first) & (code < last))
+                    for slot in (before[at], end + 1 + before[at + 2]):
+                        counts.update(zip(code[at].tolist(), slot.tolist(), strict=True))
+            if len(counts) > FLUSH:
+                yield out(counts)
+        if counts:
+            yield out(counts)
+
+    def out(counts: Counter) -> pd.DataFrame:
+        made = pd.DataFrame([(k, int(slot), n) for (k, slot), n in counts.items()], columns=[key, "slot", "n"])
+        counts.clear()
+        return made
+
+    return train.select("codes", "rare", "at").mapInPandas(run, f"{shapes}, slot int, n long").groupBy(key, "slot").agg(F.sum("n").alias("n"))
+
+
+def model(pairs: np.ndarray) -> np.ndarray:
+    """log10 of each class's probability after each, from how often they follow."""
+    tokens = pairs.sum(0)
+    unigram = (tokens + 1) / (tokens.sum() + len(tokens))
+    return np.log10((pairs + BETA * unigram) / (pairs.sum(1, keepdims=True) + BETA))
+
+
 def score(documents: DataFrame, held: str = "pmod(crc32(cast(doc_id as string)), 7) = 2") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities) of every document.
 
@@ -179,52 +241,75 @@ def score(documents: DataFrame, held: str = "pmod(crc32(cast(doc_id as string)),
     without doc_id take no part; repeated rows are learnt from and scored each. Without training text every
     token is unknown. Other columns are left out. An empty table stays empty.
     """
+    spark = documents.sparkSession
     docs = documents.where("doc_id is not null").select("doc_id", "text", F.expr(held).alias("held_out"))
     counts = written(word_counts(docs.where("not held_out")), "word-counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == "", F.col("c"))).alias("ends")).first()
     n, v, ends = totals["n"] or 0, totals["v"] or 0, totals["ends"] or 0
     lexicon = frequent(counts, LEXICON)
     rows = written(coded(docs, lexicon).withColumn("row", F.monotonically_increasing_id()), "coded")
-
-    classes = np.r_[np.arange(SINGLE) % CLASSES, np.arange(SHAPES) % CLASSES, CLASSES].astype(np.int64)
     train = rows.where("not held_out")
-    before, after = class_statistics(train, classes)
+
+    single = min(SINGLE, len(lexicon))
+    items = np.r_[np.arange(single), [single + shape(w.encode()) for w in lexicon["word"][single:]], single + np.arange(SHAPES + 1)].astype(np.int32)
+    classes = np.r_[np.arange(single) % CLASSES, np.arange(SHAPES) % CLASSES, CLASSES].astype(np.int64)
+    before, after = class_statistics(train, items, classes)
     for _ in range(ROUNDS):
         classes = exchange(classes, before, after)
-        before, after = class_statistics(train, classes)
-
-    spark = documents.sparkSession
-    singles = spark.createDataFrame([(w,) for w in lexicon["word"][:SINGLE]] or [], "word string")
-    tail = F.substring(F.col("word").cast("binary"), -2, 2)
-    other = counts.where("word <> ''").join(F.broadcast(singles), "word", "left_anti").groupBy(F.pmod(F.crc32(tail), F.lit(SHAPES)).alias("s")).count().collect()
-    types = np.bincount(classes[: len(lexicon["word"][:SINGLE])], minlength=CLASSES + 1).astype(float)
-    for r in other:
-        types[classes[SINGLE + r["s"]]] += r["count"]
-    types[CLASSES] = 1 if ends else 0
+        before, after = class_statistics(train, items, classes)
     pairs = np.zeros((CLASSES + 1, CLASSES + 1))
     np.add.at(pairs, classes, after.astype(float))
-    tokens = np.zeros(CLASSES + 1)
-    np.add.at(tokens, classes, before.sum(1))
-    unigram = (tokens + 1) / (tokens.sum() + len(tokens))
-    steps = np.log10((pairs + BETA * unigram) / (pairs.sum(1, keepdims=True) + BETA))
-    shared = spark.sparkContext.broadcast((classes, steps - np.log10(tokens + types + 1)))
+
+    # Every rarer word to its likeliest class beside classes as they are now.
+    of_code, steps, tokens = classes[items].astype(np.uint8), model(pairs), pairs.sum(0)
+    own = likeliest(rarer(train, of_code, single, False), "code", steps, tokens).toPandas()  # at most LEXICON rows
+    rare = written(likeliest(rarer(train, of_code, single, True), "word", steps, tokens), "rare-classes")
+    of_code[own["code"].to_numpy(np.int64)] = own["class"].to_numpy(np.uint8)
+    found = rows.select("row", F.explode(F.arrays_zip("rare", "at")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.at").alias("at"))
+    known = counts.join(rare, "word").select("word", "c", "class")
+    rarest = found.join(known, "word").groupBy("row").agg(
+        F.sum(F.log10(F.col("c") + 1)).alias("rare_sum"), F.count("*").alias("rare_known"), F.collect_list(F.struct("at", "class")).alias("placed")
+    )
+    shared = spark.sparkContext.broadcast(of_code)
+
+    def to_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for codes, placed in batch[["codes", "placed"]].itertuples(index=False):
+                c = shared.value[np.frombuffer(codes, "<i4")].astype("<i4")
+                for p in placed if placed is not None else ():
+                    c[p["at"]] = p["class"]
+                made.append(c.astype(np.uint8).tobytes())
+            yield batch.drop(columns=["codes", "placed"]).assign(classes=made)
+
+    plain = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, rare_sum double, rare_known long"
+    wide = rows.join(rarest, "row", "left").select(*[f.split()[0] for f in plain.split(", ")], "codes", "placed")
+    done = written(wide.mapInPandas(to_classes, plain + ", classes binary"), "classes")
+
+    def widened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"codes": [np.frombuffer(c, np.uint8).astype("<i4").tobytes() for c in batch["classes"]]})
+
+    same = np.arange(CLASSES + 1)
+    pairs = class_statistics(done.where("not held_out").select("classes").mapInPandas(widened, "codes binary"), same.astype(np.int32), same)[1].astype(float)
+    types = np.bincount(of_code[: len(lexicon)], minlength=CLASSES + 1).astype(float)
+    for r in rare.groupBy("class").count().collect():
+        types[r["class"]] += r["count"]
+    types[CLASSES] = 1 if ends else 0
+    value = spark.sparkContext.broadcast(model(pairs) - np.log10(pairs.sum(0) + types + 1))
 
     def class_part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, value = shared.value
         for batch in batches:
             sums = []
-            for codes in batch["codes"]:
-                c = of[np.frombuffer(codes, np.uint16)]
-                sums.append(float(value[np.r_[CLASSES, c[:-1]], c].sum()))
-            yield batch.drop(columns="codes").assign(class_sum=sums)
-
-    plain = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double"
-    scored = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "log_sum", "codes").mapInPandas(class_part, plain + ", class_sum double")
-    rare = rows.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rare_sum"), F.count("c").alias("rare_known")
-    )
+            for held in batch["classes"]:
+                c = np.frombuffer(held, np.uint8)
+                sums.append(float(value.value[np.r_[CLASSES, c[:-1]], c].sum()))
+            yield batch.drop(columns="classes").assign(class_sum=sums)
+
+    scored = done.mapInPandas(class_part, plain + ", class_sum double")
+    # Words that the training text lacks have count 0, whose logarithm after smoothing is 0.
     logs = F.col("log_sum") + F.coalesce("rare_sum", F.lit(0.0)) + F.lit(float(np.log10(ends + 1)))
-    return scored.join(rare, "row", "left").select(
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from loomwatch.llm import class_lm
@@ -50,17 +51,44 @@ def test_base_scores_and_gain(spark, monkeypatch, lexicon):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) and all(r["score"] < 0 for r in got)
 
 
-def test_probabilities_sum_to_one():
-    import numpy as np
-
+def test_exchange_moves_items_but_not_the_end():
     rng = np.random.default_rng(2)
-    classes = np.r_[rng.integers(0, 5, class_lm.END), 5]
-    before = np.zeros((class_lm.END + 1, 6), np.int64)
+    classes = np.r_[rng.integers(0, 5, 300), 5]
+    before = np.zeros((301, 6), np.int64)
     after = before.copy()
     before[:40, :5] = rng.integers(0, 9, (40, 5))
     after[:40, :5] = rng.permuted(before[:40, :5], axis=1)
     moved = class_lm.exchange(classes, before, after)
-    assert moved[class_lm.END] == 5 and (moved[:-1] < 5).all() and (moved[100:] == classes[100:]).all()
+    assert moved[-1] == 5 and (moved[:-1] < 5).all() and (moved[100:] == classes[100:]).all()
+
+
+def test_class_probabilities_sum_to_one():
+    pairs = np.random.default_rng(3).integers(0, 50, (class_lm.CLASSES + 1,) * 2).astype(float)
+    assert np.allclose((10 ** class_lm.model(pairs)).sum(1), 1)
+
+
+@pytest.mark.parametrize("lexicon", [200_000, 40])
+def test_words_that_are_not_exchanged_go_to_their_class(spark, monkeypatch, lexicon):
+    """Nouns and verbs end alike, so that their shapes do not tell them apart, but their neighbours do."""
+    monkeypatch.setattr(class_lm, "SINGLE", 20)
+    monkeypatch.setattr(class_lm, "LEXICON", lexicon)
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, row string")
+    score = lambda: sum(r["score"] for r in class_lm.score(df).where("held_out").collect())
+    own = score()
+    monkeypatch.setattr(class_lm, "likeliest", lambda counts, key, *_: counts.selectExpr(key, "0 as class").limit(0))
+    assert own > score() + 100
+
+
+def test_likeliest_class_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(0, 9, (4, 4)).astype(float)
+    steps, tokens = class_lm.model(pairs), pairs.sum(0)
+    held = rng.integers(0, 5, (30, 8))
+    rows = [(f"w{i}", s, int(n)) for i, x in enumerate(held) for s, n in enumerate(x) if n]
+    got = {r["word"]: r["class"] for r in class_lm.likeliest(spark.createDataFrame(rows, "word string, slot int, n long"), "word", steps, tokens).collect()}
+    for i, x in enumerate(held):
+        fit = [sum(x[a] * steps[a, c] for a in range(4)) + sum(x[4 + b] * steps[c, b] for b in range(4)) - x[:4].sum() * math.log10(tokens[c] + 1) for c in range(3)]
+        assert fit[got[f"w{i}"]] == pytest.approx(max(fit))
 
 
 def test_without_training_text(spark):
