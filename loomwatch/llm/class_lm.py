@@ -214,8 +214,8 @@ def rarer(train: DataFrame, of_code: np.ndarray, first: int, words_: bool) -> Da
                     at = np.flatnonzero((code >= first) & (code < last))
                     for slot in (before[at], end + 1 + before[at + 2]):
                         counts.update(zip(code[at].tolist(), slot.tolist(), strict=True))
-            if len(counts) > FLUSH:
-                yield out(counts)
+                if len(counts) > FLUSH:
+                    yield out(counts)
         if counts:
             yield out(counts)
 
