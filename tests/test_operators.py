@@ -64,8 +64,8 @@ def test_fingerprint_is_of_sorted_json_without_nulls(spark):
 
 
 def test_checks(spark):
-    good = {"is_ipv4": ["0.0.0.0", "255.1.2.3"], "is_ipv6": ["::", "::1", "2001:db8::1", "1:2:3:4:5:6:7:8", "fe80::"], "is_hash": ["a" * 32, "F" * 64], "is_email": ["a@b.c"], "is_url": ["https://a/b?c#d", "http://x"], "is_hostname": ["a", "a-b.c9"], "is_uuid4": ["12345678-1234-4123-8123-123456789abc"]}
-    bad = {"is_ipv4": ["256.1.1.1", "1.2.3", "01.2.3.4", None], "is_ipv6": [":::", "1::2::3", "g::", "1:2:3:4:5:6:7", None], "is_hash": ["a" * 33, None], "is_email": ["a@b", "@b.c", None], "is_url": ["ftp://a", "http://", None], "is_hostname": ["-a", "a..b", "a" * 64, None], "is_uuid4": ["12345678-1234-1123-8123-123456789abc", "", None]}
+    good = {"is_ipv4": ["0.0.0.0", "255.1.2.3"], "is_ipv6": ["::", "::1", "2001:db8::1", "1:2:3:4:5:6:7:8", "fe80::"], "is_hash": ["a" * 32, "a" * 33, "F" * 64, " " + "b" * 128], "is_email": ["a@b.c"], "is_url": ["https://a/b?c#d", "http://x", "ftp://a"], "is_hostname": ["a", "a-b.c9", "a..b", "a" * 64], "is_uuid4": ["12345678-1234-4123-8123-123456789abc"]}
+    bad = {"is_ipv4": ["256.1.1.1", "1.2.3", "01.2.3.4", None], "is_ipv6": [":::", "1::2::3", "g::", "1:2:3:4:5:6:7", None], "is_hash": ["a" * 31, "a" * 129, "g" * 32, None], "is_email": ["a@b", "@b.c", None], "is_url": ["://a", "http://", None], "is_hostname": ["-a", "a.", "a" * 254, None], "is_uuid4": ["12345678-1234-1123-8123-123456789abc", "", None]}
     for want, cases in ((True, good), (False, bad)):
         for name, texts in cases.items():
             for t in texts:
