@@ -11,7 +11,6 @@ it has documents, and no pair is left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,6 +29,8 @@ SHINGLE, WORDS = 5, 4
 KEYS, MINIMA = 24, 5
 #: Of 256 bits a pair at similarity 0.8 changes 40, give or take 6; very short texts up to 48.
 RADIUS = 72
+#: Texts of a part when pairs are verified: a task holds the hashes of twice as many.
+TILE = 512
 RNG = np.random.default_rng(7)
 FACTORS = RNG.integers(0, 1 << 63, (KEYS * MINIMA, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = RNG.integers(0, 1 << 63, (KEYS * MINIMA, 1), np.uint64)
@@ -41,15 +42,22 @@ def shingles(text: str | None) -> set[bytes]:
     return {b" ".join(tokens[i : i + k]) for i in range(len(tokens) - k + 1)} if tokens else set()
 
 
-def similar(a: set[bytes], b: set[bytes]) -> bool:
-    """Whether common shingles are at least 0.8 of all."""
-    common = len(a & b)
+def hashed(text: str | None) -> np.ndarray:
+    """The hashes of the set of shingles, sorted."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text)], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether common shingles are at least 0.8 of all, by their hashes."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
     return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
 def signature(text: str | None) -> tuple[bytes, bytes, np.ndarray]:
     """A digest of the set of shingles, its fingerprint and its keys (none without words)."""
-    hashes = np.array(sorted(xxhash.xxh64_intdigest(s, 42) for s in shingles(text)), np.uint64)
+    hashes = hashed(text)
     out = []
     for word in range(WORDS):
         votes = np.zeros(64, np.int64)
@@ -143,19 +151,36 @@ def candidates(nodes: DataFrame, every: bool) -> DataFrame:
 
 
 def verified(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar."""
-    ends = found.select(F.col("a").alias("row")).union(found.select(F.col("b").alias("row"))).distinct()
+    """The pairs whose texts are similar.
+
+    Texts are dealt to parts of about TILE, and the pairs of two parts are a tile, to which each of its texts
+    comes once: pairs that lie densely do not each bring two texts along. A tile holds its texts' hashes.
+    """
+    ends = written(found.select(F.col("a").alias("row")).union(found.select(F.col("b").alias("row"))).distinct(), "ends")
     texts = written(documents.select("row", "text").join(ends, "row", "left_semi"), "candidate-texts")
-    both = found
-    for end in ("a", "b"):
-        both = both.join(texts.select(F.col("row").alias(end), F.col("text").alias(f"text_{end}")), end)
+    parts = F.lit(max(1, -(-ends.count() // TILE)))
+    of_a, of_b = F.pmod(F.xxhash64("a", F.lit(5)), parts), F.pmod(F.xxhash64("b", F.lit(5)), parts)
+    dealt = found.select(F.least(of_a, of_b).alias("p"), F.greatest(of_a, of_b).alias("q"), "a", "b")
+    holds = dealt.select("p", "q", F.col("a").alias("row")).union(dealt.select("p", "q", F.col("b").alias("row"))).distinct()
+    rows = holds.join(texts, "row").select("p", "q", F.col("row").alias("a"), F.col("row").alias("b"), F.lit(False).alias("pair"), "text")
+    rows = rows.union(dealt.select("p", "q", "a", "b", F.lit(True), F.lit(None).cast("string")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = lru_cache(16)(shingles)
+        """Rows come sorted by tile, its texts before its pairs."""
+        held, tile = {}, None
         for batch in batches:
-            yield batch[["a", "b"]][[similar(held(x), held(y)) for x, y in zip(batch["text_a"], batch["text_b"], strict=True)]]
-
-    return written(both.mapInPandas(run, "a long, b long"), "verified")
+            keep = np.zeros(len(batch), bool)
+            for i, (p, q, a, b, pair, text) in enumerate(batch.itertuples(index=False)):
+                if (p, q) != tile:
+                    held, tile = {}, (p, q)
+                if pair:
+                    keep[i] = similar(held[a], held[b])
+                else:
+                    held[a] = hashed(text)
+            yield batch.loc[keep, ["a", "b"]]
+
+    tasks = max(24, found.count() // 100_000)  # few bytes but much work
+    return written(rows.repartition(tasks, "p", "q").sortWithinPartitions("p", "q", "pair").mapInPandas(run, "a long, b long"), "verified")
 
 
 def groups(documents: DataFrame) -> DataFrame:

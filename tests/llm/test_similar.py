@@ -35,9 +35,10 @@ def brute(texts):
     return label
 
 
-@pytest.mark.parametrize("hot", [20_000, 8])
-def test_groups_are_those_of_the_shingles(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "tile"), [(20_000, 512), (8, 16)])
+def test_groups_are_those_of_the_shingles(spark, monkeypatch, hot, tile):
     monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(similar, "TILE", tile)
     texts = corpus(random.Random(3))
     got = similar.groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect()
     want = brute(texts)
