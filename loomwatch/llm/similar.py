@@ -4,8 +4,8 @@ Documents meet under keys made of minima of their shingles' hashes, so whether a
 similarity alone and not on the number of rows. Those that meet are compared bit-sliced by their SimHash
 fingerprints, and what lies within the radius is a candidate. Each candidate's shingles are then compared
 themselves. First every document is held against the one that most of its group lie near; after that every
-candidate pair whose documents are still apart. So a large group of near copies takes as many comparisons as
-it has documents, and no pair is left out.
+candidate pair whose documents are still apart, in the task where they meet, so that no list of pairs leaves
+it. A large group of near copies takes about as many comparisons as it has documents, and no pair is left out.
 """
 
 from __future__ import annotations
@@ -80,76 +80,142 @@ def signatures(documents: DataFrame) -> DataFrame:
     return documents.select("row", "text").mapInPandas(run, "row long, same binary, print binary, keys array<long>")
 
 
-def pairs(bits: np.ndarray, ids: np.ndarray, labels: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within the radius that differ in label: every one, or for each row that with the row of most such pairs."""
+def stars(bits: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row that has any other within the radius one pair, with the row that most of a block lie near."""
     size = simhash.BLOCK
+    most, hub = np.zeros(len(bits), np.int64), np.zeros(len(bits), np.int64)
+
+    def noted(found: np.ndarray, row: int, column: int) -> None:
+        weights = found * (found.sum(0) + 1)[None, :]
+        best = weights.argmax(1)
+        weight, rows = weights[np.arange(len(best)), best], row + np.arange(len(best))
+        better = weight > most[rows]
+        most[rows[better]], hub[rows[better]] = weight[better], column + best[better]
+
     for i in range(0, len(bits), size):
         for j in range(i, len(bits), size):
-            found = labels[i : i + size, None] != labels[None, j : j + size]
-            if not found.any():
-                continue
-            found &= near(bits[i : i + size], bits[j : j + size], RADIUS)
-            if every:
-                left, right = np.nonzero(found)
-            else:
-                rows, columns = np.flatnonzero(found.any(1)), np.flatnonzero(found.any(0))
-                if not len(rows):
-                    continue
-                left = np.r_[rows, (found * (found.sum(1) + 1)[:, None]).argmax(0)[columns]]
-                right = np.r_[(found * (found.sum(0) + 1)[None, :]).argmax(1)[rows], columns]
-            a, b = ids[i + left], ids[j + right]
-            yield np.minimum(a, b), np.maximum(a, b)
-
-
-def candidates(nodes: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a, b) of the nodes (node, print, keys, label) that share a key, lie within the radius and differ in label.
-
-    Keys whose rows have one label have no such pair. A key that more than simhash.HOT nodes share is dealt out
-    in pairs of parts, so that every pair still meets.
+            found = near(bits[i : i + size], bits[j : j + size], RADIUS)
+            found &= ids[i : i + size, None] != ids[None, j : j + size]
+            if found.any():
+                noted(found, i, j)
+                if j > i:
+                    noted(found.T, j, i)
+    a, b = ids[most > 0], ids[hub[most > 0]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def tile_links(rows: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links of labels, at most one fewer than there are, that connect what is similar within the groups of the tile.
+
+    A pair counts in the group of the first key that its rows share. Rows that a link connects are not compared again.
     """
-    keyed = nodes.select("node", "print", "label", F.posexplode("keys").alias("at", "key")).select(F.xxhash64("at", "key").alias("group"), "node", "print", "label")
+    group, at, part, labels = (rows[c].to_numpy() for c in ("group", "at", "part", "label"))
+    bits, keys = bits_of(rows["print"].to_list()), np.stack(rows["keys"].to_list())
+    sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+    sizes = np.array([len(x) for x in sets])
+    starts = np.r_[0, np.cumsum(sizes)]
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label, links = np.zeros(len(names), bool), labels.copy(), []
+    found = near(bits, bits, RADIUS) & (group[:, None] == group[None, :])
+    found &= rows["alone"].to_numpy()[:, None] | (part[:, None] != part[None, :])
+    for i in np.flatnonzero(np.triu(found, 1).any(1)):
+        others = i + 1 + np.flatnonzero(found[i, i + 1 :] & (label[i + 1 :] != label[i]))
+        others = others[~(keys[others, : at[i]] == keys[i, : at[i]]).any(1)]
+        if not len(others):
+            continue
+        low, own = others[0], codes[starts[i] : starts[i + 1]]
+        mark[own] = True
+        held = mark[codes[starts[low] : starts[others[-1] + 1]]]
+        mark[own] = False
+        common = np.add.reduceat(held, starts[low : others[-1] + 1] - starts[low], dtype=np.int64)[others - low]
+        joined = np.unique(label[others[5 * common >= 4 * (sizes[i] + sizes[others] - common)]])
+        if len(joined):
+            links += [(int(label[i]), int(x)) for x in joined]
+            label[np.isin(label, joined)] = label[i]
+    return links
+
+
+def cuts(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+    """The rows, which come sorted by group, in cuts of whole groups: small ones share a block, groups of one row are left out."""
+
+    def whole(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        group = rows["group"].to_numpy()
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        sizes = np.diff(np.r_[first, len(group)])
+        at, few = 0, block // 4
+        some = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= few), sizes))
+        while at < len(some):
+            end = min(at + block, len(some))
+            while end < len(some) and group[some[end]] == group[some[end - 1]]:  # not within a group
+                end -= 1
+            yield rows.iloc[some[at:end]]
+            at = end
+        for a, n in zip(first, sizes, strict=True):
+            if n > few:
+                yield rows.iloc[a : a + n]
+
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        cut = int((held["group"].to_numpy() != held["group"].iloc[-1]).sum())  # the last group may go on
+        if cut:
+            yield from whole(held.iloc[:cut])
+            held = held.iloc[cut:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield from whole(held)
+
+
+def meetings(nodes: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """group, at (the key's place), part, alone (both parts are one) and the columns: each node once for each key that nodes of several labels share.
+
+    A key that more than ``most`` nodes share is dealt out in pairs of parts, so that every pair still meets.
+    """
+    keyed = nodes.select("label", *columns, F.posexplode("keys").alias("at", "key")).withColumn("group", F.xxhash64("at", "key")).drop("key")
     shared = keyed.groupBy("group").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    parts = F.when(F.col("n") > simhash.HOT, F.ceil(F.col("n") / (simhash.HOT // 2))).otherwise(1).cast("int")
+    parts = F.when(F.col("n") > most, F.ceil(F.col("n") / (most // 2))).otherwise(1).cast("int")
     shared = written(shared.select("group", parts.alias("parts")), "shared-keys")
     met = keyed.join(shared, "group").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select(F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other")).alias("group"), "node", "print", "label")
+    group = F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other"))
+    return met.select(group.alias("group"), "at", "part", (F.col("part") == F.col("other")).alias("alone"), "label", *columns)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes (node, print, keys, label) that share a key and lie within the radius: at most one a node and group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by group; small groups share a block, for a pair found between groups is a candidate too."""
-
-        def whole(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            group = rows["group"].to_numpy()
-            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            sizes = np.diff(np.r_[first, len(group)])
-            at, few, cuts = 0, simhash.BLOCK // 4, []
-            some = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= few), sizes))
-            while at < len(some):
-                end = min(at + simhash.BLOCK, len(some))
-                while end < len(some) and group[some[end]] == group[some[end - 1]]:  # not within a group
-                    end -= 1
-                cuts.append(some[at:end])
-                at = end
-            cuts += [np.arange(a, a + n) for a, n in zip(first, sizes, strict=True) if n > few]
-            for cut in cuts:
-                part = rows.iloc[cut]
-                for a, b in pairs(bits_of(part["print"].to_list()), part["node"].to_numpy(), part["label"].to_numpy(), every):
-                    yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            cut = int((held["group"].to_numpy() != held["group"].iloc[-1]).sum())  # the last group may go on
-            if cut:
-                yield from whole(held.iloc[:cut])
-                held = held.iloc[cut:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield from whole(held)
+        for cut in cuts(batches, simhash.BLOCK):  # a pair found between groups is a candidate too
+            a, b = stars(bits_of(cut["print"].to_list()), cut["node"].to_numpy())
+            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
+    met = meetings(nodes, ["node", "print"], simhash.HOT).select("group", "node", "print")
     found = met.repartition("group").sortWithinPartitions("group").mapInPandas(run, "a long, b long")
     return written(found.distinct(), "candidates")
 
 
+def links_between(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links (a, b) of labels that connect the labels of all similar nodes (node, print, keys, label) that share a key.
+
+    The hashes of the shingles go to where the nodes meet, so pairs are verified there and only links leave the task.
+    """
+    met = written(meetings(nodes, ["node", "print", "keys"], 2 * TILE), "meetings")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["row"], "hashes": [hashed(t).tobytes() for t in batch["text"]]})
+
+    texts = documents.select("row", "text").join(met.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
+    sets = written(texts.mapInPandas(read, "node long, hashes binary"), "shingle-hashes")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cut in cuts(batches, 128):
+            yield pd.DataFrame(tile_links(cut), columns=["a", "b"], dtype=np.int64)
+
+    tasks = max(24, met.count() // 20_000)  # few bytes but much work
+    found = met.join(sets, "node").repartition(tasks, "group").sortWithinPartitions("group").mapInPandas(run, "a long, b long")
+    return written(found, "label-links")
+
+
 def verified(found: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs whose texts are similar.
 
@@ -190,10 +256,10 @@ def groups(documents: DataFrame) -> DataFrame:
     """
     signed = written(signatures(documents), "signatures")
     nodes = written(signed.groupBy("same").agg(F.min("row").alias("node"), F.min("print").alias("print"), F.first("keys").alias("keys")), "nodes")
-    links = verified(candidates(nodes.withColumn("label", F.col("node")), False), documents)
+    links = verified(candidates(nodes.withColumn("label", F.col("node"))), documents)
     found = written(components(links), "components")
     apart = nodes.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    more = verified(candidates(written(apart, "labelled"), True), documents)
+    more = links_between(written(apart, "labelled"), documents)
     if not more.isEmpty():
         found = written(components(links.union(more)), "components")
     of = nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
