@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from loomwatch.llm import simhash, similar
@@ -69,3 +71,22 @@ def test_stage_tells_rows_apart_without_ids(spark):
     assert first == again
     assert [x for x in first if x[0] is None] == sorted([(None, a, "x"), (None, b, "x"), (None, c, "x")])
     assert [(i, t) for i, t, _ in first if i is not None] == [(1, a), (2, c), (7, d), (9, e)]
+
+
+def test_tile_gives_fewer_links_than_rows_and_counts_pairs_once():
+    texts = corpus(random.Random(11), 12)
+    signed = [similar.signature(t) for t in texts]
+    rows = pd.DataFrame({"group": 1, "at": 0, "part": 0, "alone": True, "label": range(len(texts)), "print": [s[1] for s in signed]})
+    rows["keys"], rows["hashes"] = [s[2] for s in signed], [similar.hashed(t).tobytes() for t in texts]
+    links = similar.tile_links(rows)
+    label = list(range(len(texts)))
+    for a, b in links:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    assert label == brute(texts) and len(links) == len(texts) - len(set(label))
+    # later keys leave a pair to the first key that both rows have; two parts leave a pair within one to its own meeting
+    common = np.array([1, 2, 3], np.int64)
+    assert similar.tile_links(rows.assign(at=2, keys=[common] * len(rows))) == []
+    assert similar.tile_links(rows.assign(alone=False)) == []
+    # groups that share a tile stay apart
+    assert similar.tile_links(rows.assign(group=range(len(rows)))) == []
