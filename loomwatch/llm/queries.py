@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwatch.llm import class_lm, embedding_dedup, mixing, neighbours, packing, quality, secrets, simhash, substring_dedup, url_filter
+from loomwatch.llm import class_lm, embedding_dedup, filter_audit, licenses, mixing, neighbours, packing, quality, secrets, simhash, spelling, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,5 +15,15 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_quality": quality.op10_quality,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_license_scan": licenses.op12_license_scan,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
+}
+ORACLE_SQL = {
+    "op1_url_filter": url_filter.SQL,
+    "op8_embedding_dedup": embedding_dedup.SQL,
+    "op9_neighbours": neighbours.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op12_license_scan": licenses.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
-ORACLE_SQL = {"op1_url_filter": url_filter.SQL, "op8_embedding_dedup": embedding_dedup.SQL, "op9_neighbours": neighbours.SQL}
