@@ -868,3 +868,45 @@ def stream_dedup(spark, sf_dir):
     from loomwatch.plans import streams
 
     return streams.dedup(spark, sf_dir)
+
+
+_STREAM_ALERTS = f"""{sql.EV}, al as (
+    select event_id, ts, epoch_us(ts) // 1000 as ms, source_host as key, user_id, rule, srank, round_even((3.0::double * srank / 4.0::double + confidence) / 4.0::double * 100.0::double, 0) as risk
+    from (select *, case when category = 'network' then 'large-reject' else 'auth-reject' end as rule, case when category = 'network' then 4 else 3 end as srank from ev
+      where (category = 'network' and value > 200) or (category = 'auth' and action = 'reject'))), wm as (select epoch_us(max(ts)) // 1000 - 3600000 as wm from al)"""
+
+
+@query(
+    f"""with {_STREAM_ALERTS}, b as (select *, case when ms - lag(ms) over (partition by key order by ts, event_id) >= 259200000 then 1 else 0 end as fresh from al),
+    s as (select *, sum(fresh) over (partition by key order by ts, event_id) as session from b),
+    k as (select *, row_number() over w as k, min(ts) over w as begun, max(srank) over w as top, cast(round_even(avg(risk) over w, 0) as integer) as mean,
+        cast(round_even((60 + case when user_id % 10 = 0 then 25 else 0 end + case when min(rule) over w = max(rule) over w then 50 else 0 end + case when ts - min(ts) over w <= interval 1 hour then 10 else 0 end) * 100.0::double / 145.0::double, 0) as integer) as score
+      from s window w as (partition by key, session order by ts, event_id)),
+    o as (select *, min(case when k >= 2 and score >= 40 then k end) over (partition by key, session) as opens, max(ts) over (partition by key, session) as latest, max(k) over (partition by key, session) as n from k),
+    told as (select o.*, f.top as held_top, f.mean as held_mean, f.score as held_score from o join o f on f.key = o.key and f.session = o.session and f.k = least(o.k, coalesce(o.opens, o.k))),
+    done as (select key, event_id, case when opens is null or k < opens then 'no_group' when k = opens then 'new' else 'dedup' end as decision, {sql.ts('ts')} as told_at, greatest(0, k - coalesce(opens, k + 1) + 1) as occurrences,
+        {sql.ts('begun')} as first_seen, {sql.ts('ts')} as last_seen, held_top, held_mean, held_score from told, wm where ms <= wm
+      union all
+      select key, null, 'ended', {sql.ts('make_timestamp((ms + 259200000) * 1000)')}, n - opens + 1, {sql.ts('begun')}, {sql.ts('latest')}, held_top, held_mean, held_score from told, wm where k = n and opens is not null and ms + 259200000 <= wm)
+    select key, event_id, decision, told_at, occurrences, first_seen, last_seen, case held_top when 4 then 'critical' else 'high' end as severity, held_mean as risk, held_score as score from done"""
+)
+def stream_incidents(spark, sf_dir):
+    """Alerts of a stream into incidents held as state: opened, deduplicated into the open one, ended by a timer."""
+    from loomwatch.plans import streams
+
+    return streams.incident_changes(spark, sf_dir).withColumns({c: text_ts(c) for c in ("told_at", "first_seen", "last_seen")})
+
+
+@query(
+    f"""with {sql.EV}, e as (select event_id, ts, epoch_us(ts) // 1000 as ms, source_host as key from ev where category = 'auth' and action = 'reject'), wm as (select epoch_us(max(ts)) // 1000 - 3600000 as wm from e),
+    c as (select *, count(*) over (partition by key order by ms range between 172800000 preceding and current row) - (count(*) over (partition by key, ms) - row_number() over (partition by key, ms order by ts, event_id)) as n from e),
+    m as (select *, max(case when n >= 3 then ms end) over (partition by key order by ms range between current row and 172800000 following) as later from c)
+    select key, event_id, case when n >= 3 then 'match' else 'deferred' end as decision, {sql.ts('ts')} as told_at, n as window_count from m, wm where ms <= wm
+    union all
+    select key, event_id, case when later is not null then 'match' else 'no_match' end, {sql.ts('make_timestamp((ms + 172800000) * 1000)')}, null from m, wm where n < 3 and ms + 172800001 <= wm"""
+)
+def stream_decisions(spark, sf_dir):
+    """A rule's match, no_match or deferred for each event; deferred ones are told again when their window closes."""
+    from loomwatch.plans import streams
+
+    return streams.decisions(spark, sf_dir).withColumn("told_at", text_ts("told_at"))

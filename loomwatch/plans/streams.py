@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwatch.operators import alerts
 from loomwatch.plans import pipeline
-from loomwatch.streaming import detect, ingest
+from loomwatch.streaming import detect, ingest, ordered
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -51,3 +51,25 @@ def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = source(spark, sf_dir).where((F.col("category") == "network") & (F.col("value") > 200))
     findings = hits.withColumns({"rule_id": F.lit("large-reject"), "severity": F.lit("critical"), "risk_score": F.lit(None).cast("int")})
     return run(spark, detect.first_alerts(alerts.build(findings)), "dedup")
+
+
+def stateless_alerts(events: DataFrame) -> DataFrame:
+    """Alerts of the rules that need no window, with what grouping looks at; every tenth user is a known indicator."""
+    large = (F.col("category") == "network") & (F.col("value") > 200)
+    refused = (F.col("category") == "auth") & (F.col("action") == "reject")
+    rule = F.when(large, "large-reject").when(refused, "auth-reject")
+    found = events.where(large | refused).withColumns({"rule_id": rule, "severity": F.when(large, "critical").otherwise("high"), "risk_score": F.lit(None).cast("int")})
+    return alerts.build(found).select(
+        "event_id", "ts", "user", F.col("source_host").alias("asset_id"), "rule_id", "fingerprint", "severity", "risk",
+        F.when(F.pmod("user_id", F.lit(10)) == 0, F.array("ip_src")).otherwise(F.array().cast("array<string>")).alias("ioc_ids"), F.array(F.lit("T1499")).alias("mitre"),
+    )
+
+
+def incident_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = ordered.session(spark)
+    return run(spark, ordered.incident_changes(stateless_alerts(source(own, sf_dir)), "asset_id", 72 * 3600), "incidents")
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refused = source(ordered.session(spark), sf_dir).where((F.col("category") == "auth") & (F.col("action") == "reject"))
+    return run(spark, ordered.threshold_decisions(refused, "source_host", 3, 48 * 3600), "decisions")
