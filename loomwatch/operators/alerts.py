@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,21 +80,52 @@ def audited(log: DataFrame, states: dict[str, tuple[str, ...]], key: str = "id",
     return log.withColumn("before", before).withColumn("valid", allowed(F.col("before"), F.col("status"), states, same))
 
 
-def replayed(log: DataFrame, states: dict[str, tuple[str, ...]], key: str = "id", initial: str = "open") -> DataFrame:
-    """key, status, transitions, refused: the log applied in order, refused entries leaving the state as it is.
+#: A power of two of entries that are folded at once: 2 ** PIECE_BITS; bits of an id below the partition's, by monotonically_increasing_id().
+PIECE_BITS, ID_BITS = 10, 33
+
 
-    An entity's log is gathered in one row: it is the history of one alert, incident or case.
+def lifecycle(log: DataFrame, states: dict[str, tuple[str, ...]], key: str = "id", initial: str = "open", terminal: str = "closed", keep_closed: bool = False) -> DataFrame:
+    """key, status, transitions, refused, moved_at, closed_at: the log (key, ts, status) applied in order, refused entries leaving the state as it is.
+
+    A piece of a log is a map from each state that it may find to what it leaves, and maps of neighbouring pieces
+    compose. The log is dealt by ranges of key and time and cut into pieces of bounded length, which are folded for
+    every state, then composed within partitions and at last by key. So no task or row has a busy key's whole log.
+    moved_at is the time of the last move, closed_at that of the last move to ``terminal``; it goes with the next move
+    unless ``keep_closed``. Staying is no move, statuses that no state knows are refused. Entries without key or time are left out.
     """
-    steps = F.array_sort(F.collect_list(F.struct("ts", "status")))
-    start = F.struct(F.lit(initial).alias("status"), F.lit(0).alias("transitions"), F.lit(0).alias("refused"))
+    names = sorted({*states, initial, *(s for following in states.values() for s in following)})
+    none = F.lit(None).cast("timestamp")
+
+    def found(status: Column) -> Column:
+        return F.struct(status.alias("status"), F.lit(0).alias("transitions"), F.lit(0).alias("refused"), none.alias("moved_at"), none.alias("closed_at"))
 
     def step(held: Column, entry: Column) -> Column:
         ok = allowed(held["status"], entry["status"], states)
         moved = ok & (held["status"] != entry["status"])
         return F.struct(
-            F.when(ok, entry["status"]).otherwise(held["status"]).alias("status"),
-            (held["transitions"] + moved.cast("int")).alias("transitions"),
-            (held["refused"] + (~ok).cast("int")).alias("refused"),
-        )
+            F.when(ok, entry["status"]).otherwise(held["status"]).alias("status"), (held["transitions"] + moved.cast("int")).alias("transitions"), (held["refused"] + (~ok).cast("int")).alias("refused"),
+            F.when(moved, entry["ts"]).otherwise(held["moved_at"]).alias("moved_at"), F.when(moved & (entry["status"] == terminal), entry["ts"]).otherwise(held["closed_at"]).alias("closed_at"),
+        )
 
-    return log.groupBy(key).agg(F.aggregate(steps, start, step).alias("s")).select(key, "s.*")
+    def after(held: Column, piece: Column) -> Column:
+        x = F.get(piece["map"], (F.array_position(F.array(*map(F.lit, names)), held["status"]) - 1).cast("int"))
+        return F.struct(
+            x["status"].alias("status"), (held["transitions"] + x["transitions"]).alias("transitions"), (held["refused"] + x["refused"]).alias("refused"),
+            F.coalesce(x["moved_at"], held["moved_at"]).alias("moved_at"), F.coalesce(x["closed_at"], held["closed_at"]).alias("closed_at"),
+        )
+
+    def of_each(items: Column, by: Callable[[Column, Column], Column]) -> Column:
+        return F.array(*[F.aggregate(items, found(F.lit(s)), by) for s in names])
+
+    usable = log.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, F.col("ts").cast("timestamp").alias("ts"), F.coalesce("status", F.lit("")).alias("status"))
+    dealt = usable.repartitionByRange(key, "ts", "status").sortWithinPartitions(key, "ts", "status").withColumn("__piece", F.shiftright(F.monotonically_increasing_id(), PIECE_BITS))
+    pieces = dealt.groupBy(key, "__piece").agg(of_each(F.array_sort(F.collect_list(F.struct("ts", "status"))), step).alias("map"))
+    composed = F.array_sort(F.collect_list(F.struct("__piece", "map")))
+    parts = pieces.groupBy(key, F.shiftright("__piece", ID_BITS - PIECE_BITS).alias("__part")).agg(of_each(composed, after).alias("map")).withColumnRenamed("__part", "__piece")
+    done = parts.groupBy(key).agg(F.aggregate(composed, found(F.lit(initial)), after).alias("s")).select(key, "s.*")
+    return done if keep_closed else done.withColumn("closed_at", F.when(F.col("status") == terminal, F.col("closed_at")))
+
+
+def replayed(log: DataFrame, states: dict[str, tuple[str, ...]], key: str = "id", initial: str = "open") -> DataFrame:
+    """key, status, transitions, refused of lifecycle()."""
+    return lifecycle(log, states, key, initial).select(key, "status", "transitions", "refused")

@@ -59,6 +59,10 @@ def child(parent: Column, name: str) -> Column:
     return F.try_variant_get(parent, f"$.{name}", "variant")
 
 
+#: A whole number of more digits than a variant holds as one.
+LONG_WHOLE = r"^[1-9][0-9]{38,}\z"
+
+
 def member(parent: Column, name: str) -> Column:
     """there, void (an explicit null), kind and the text or whole number of a member; other kinds have neither."""
 
@@ -140,10 +144,10 @@ def errors(payload: Column, now: Column, dialect: Dialect = Dialect()) -> Column
         algorithm, current, previous = e["hash_algorithm"]["text"], e["current_hash"]["text"], e["previous_hash"]["text"]
         only = lambda names, allowed: F.coalesce(F.size(F.array_except(names, F.array(*[F.lit(n) for n in allowed]))) == 0, F.lit(True))
         void = reduce(lambda p, q: p | q, [g[n]["void"] for g, names in ((a, ("ip", "os")), (e, EVIDENCE), (m, metadata)) for n in names])
-        hashed = lambda h: optional(e[h], checks.matches(e[h]["text"], "^[0-9a-f]+$") & (F.length(e[h]["text"]) == lookup(algorithm, checks.HASHES, 0)))
+        hashed = lambda h: optional(e[h], checks.matches(e[h]["text"], r"^[0-9a-f]+\z") & (F.length(e[h]["text"]) == lookup(algorithm, checks.HASHES, 0)))
         tags = F.transform(x["tags"], lambda t: F.when(F.schema_of_variant(t) == "STRING", F.length(F.try_variant_get(t, "$", "string"))))
         names = lambda of, ok: reduce(lambda p, q: p & q, [~(kind == k) | reduce(lambda u, w: u & w, [ok(n) for n in ns]) for k, ns in of.items()])
-        plain = checks.matches(path, "^[^/]") & ~path.rlike(r"\\|^[A-Za-z]:|\x00|//|/$|(^|/)\.{1,2}(/|$)")
+        plain = checks.matches(path, "^[^/]") & ~path.rlike(r"\\|^[A-Za-z]:|\x00|//|/\z|(^|/)\.{1,2}(/|\z)")
         statuses = [~(kind == k) | F.coalesce(e["baseline_status"]["text"].isin(*v), F.lit(False)) for k, v in STATUS_OF.items()]
         rules = {
             "too_large": x["bytes"] <= MOST_EVENT_BYTES,
@@ -151,7 +155,7 @@ def errors(payload: Column, now: Column, dialect: Dialect = Dialect()) -> Column
             "invalid_schema_version": r["schema_version"]["text"] == VERSION,
             "invalid_timestamp": time.isNotNull(),
             "timestamp_in_future": time.isNull() | (time <= now + F.make_interval(mins=F.lit(FUTURE_MINUTES))),
-            "invalid_sequence": r["sequence"]["whole"] >= 1,
+            "invalid_sequence": F.coalesce(r["sequence"]["whole"] >= 1, checks.matches(F.get_json_object(payload, "$.sequence"), LONG_WHOLE)),
             "invalid_source": (s["product"]["text"] == dialect.product if dialect.product else sized(s["product"], 1, MOST_TEXT))
             & sized(s["product_version"], 1, 32) & checks.matches(s["product_version"]["text"], checks.SEMVER) & checks.is_canonical_uuid(s["instance_id"]["text"]) & s["component"]["text"].isin(*COMPONENTS),
             "invalid_event_type": kind.isin(*SENSOR_TYPES),

@@ -74,7 +74,7 @@ def group(alerts: DataFrame, by: list[str], seconds: int = 3600) -> DataFrame:
     )
     kept = rolled.where((F.col("alerts") >= MIN_ALERTS) & (F.col("score") >= MIN_SCORE))
     title = F.when(F.size("rules") == 1, F.concat(F.lit("Incident: "), F.get("rules", F.lit(0)))).otherwise(F.format_string("Incident with %d alerts", "alerts"))
-    key = keys.fingerprint({c: F.col(c) for c in by})
+    key = keys.incident_fingerprint({c: F.col(c) for c in by})
     return kept.withColumns({"title": title, "priority": severity.priority(F.col("risk")), "fingerprint": key, "status": F.lit("open"), "description": description()})
 
 

@@ -355,7 +355,7 @@ def incident_group_score(spark, sf_dir):
     return i.groupBy("score", "severity", "priority").agg(F.count("*").alias("n"), F.count_if(F.size("rules") == 1).alias("single"))
 
 
-@query(f"""with {sql.INCIDENTS} select 'case-' || substr(sha256('{{"asset_id":"' || asset_id || '"}}'), 1, 16) as case_id, severity, risk, alerts as n_alerts from inc""")
+@query(f"""with {sql.INCIDENTS} select 'case-' || substr(sha256('{{"asset":"' || asset_id || '"}}'), 1, 16) as case_id, severity, risk, alerts as n_alerts from inc""")
 def cases_from_incidents(spark, sf_dir):
     return pipeline.case_rows(spark, sf_dir).select("case_id", "severity", "risk", F.size("alert_ids").cast("long").alias("n_alerts"))
 
@@ -373,7 +373,7 @@ def asset_related(spark, sf_dir):
 
 
 @query(
-    f"""with {sql.INCIDENTS}, c as (select 'case-' || substr(sha256('{{"asset_id":"' || asset_id || '"}}'), 1, 16) as case_id, asset_id, severity, last_seen from inc),
+    f"""with {sql.INCIDENTS}, c as (select 'case-' || substr(sha256('{{"asset":"' || asset_id || '"}}'), 1, 16) as case_id, asset_id, severity, last_seen from inc),
     a as (select source_host, string_agg(rule_id, ',' order by rule_id) as related, count(*) as n from dd group by 1), t as (select source_host, count(*) as events from found group by 1)
     select case_id, related, n, t.events as trail, case when last_seen + case severity when 'critical' then interval 1 hour when 'high' then interval 4 hours else interval 24 hours end < timestamp '{NOW}' then 'overdue'
       when epoch_us(last_seen + case severity when 'critical' then interval 1 hour when 'high' then interval 4 hours else interval 24 hours end) - epoch_us(timestamp '{NOW}')
@@ -382,7 +382,7 @@ def asset_related(spark, sf_dir):
 )
 def case_investigation(spark, sf_dir):
     cases = pipeline.case_rows(spark, sf_dir).withColumn("closed_at", F.lit(None).cast("timestamp"))
-    trail = pipeline.findings(spark, sf_dir).select(keys.fingerprint({"asset_id": F.col("source_host")}).alias("correlation_id"), "ts", F.lit("detect").alias("stage"), "event_id")
+    trail = pipeline.findings(spark, sf_dir).select(keys.incident_fingerprint({"asset_id": F.col("source_host")}).alias("correlation_id"), "ts", F.lit("detect").alias("stage"), "event_id")
     done = relations.investigations(cases, pipeline.grouping_rows(spark, sf_dir), trail, F.lit(NOW).cast("timestamp"))
     names = F.array_sort(F.transform("related_alerts", lambda a: a["rule_id"]))
     return done.select("case_id", F.array_join(names, ",").alias("related"), F.size("related_alerts").cast("long").alias("n"), F.size("trail").cast("long").alias("trail"), "sla_state")
@@ -430,6 +430,26 @@ def lifecycle_current_state(spark, sf_dir):
     return alerts.replayed(_log(spark, sf_dir), alerts.ALERT_STATES)
 
 
+@query(
+    f"""with recursive l as (select user_id as id, ts, row_number() over (partition by user_id order by ts, event_id) as k,
+      case event_type when 'click' then 'triage' when 'view' then 'investigating' when 'purchase' then 'closed' when 'signup' then 'resolved' else 'reopened' end as status from events),
+    may(a, b) as (values ('open', 'triage'), ('triage', 'investigating'), ('investigating', 'contained'), ('investigating', 'resolved'), ('contained', 'resolved'), ('contained', 'closed'),
+      ('resolved', 'closed'), ('resolved', 'reopened'), ('closed', 'reopened'), ('reopened', 'investigating'), ('reopened', 'triage')),
+    g as (select list(a || '>' || b) as pairs from may),
+    r as (select distinct id, 0::bigint as k, 'open' as status, 0 as transitions, 0 as refused, null::timestamp as moved_at, null::timestamp as closed_at from l
+      union all
+      select l.id, l.k, case when moved then l.status else r.status end, r.transitions + moved::int, r.refused + (not moved and r.status <> l.status)::int, case when moved then l.ts else r.moved_at end,
+        case when moved then case when l.status = 'closed' then l.ts end else r.closed_at end
+      from r join l on l.id = r.id and l.k = r.k + 1, g, lateral (select list_contains(g.pairs, r.status || '>' || l.status) as moved) o)
+    select id, status, transitions, refused, {sql.ts('moved_at')} as moved_at, {sql.ts('closed_at')} as closed_at from r qualify row_number() over (partition by id order by k desc) = 1"""
+)
+def incident_lifecycle(spark, sf_dir):
+    """Incidents' logs by composition of their pieces, with the time of closing while closed."""
+    kinds = {"click": "triage", "view": "investigating", "purchase": "closed", "signup": "resolved", "error": "reopened"}
+    log = pipeline.events(spark, sf_dir).select(F.col("user_id").alias("id"), "ts", severity.lookup(F.col("event_type"), kinds).alias("status"))
+    return alerts.lifecycle(log, alerts.INCIDENT_STATES).withColumns({c: text_ts(c) for c in ("moved_at", "closed_at")})
+
+
 @query(
     """with c as (select o_custkey as case_id, 'clerk-' || (o_orderkey % 9) as owner, o_orderdate as ts from orders where o_orderkey % 4 <> 0)
     select case_id, arg_min(owner, (ts, owner)) as owner from c group by 1"""
@@ -698,6 +718,8 @@ _BROKEN = [  # one thing changed in a valid event, and what the contract has aga
     ({"event_type": "fim.baseline.created", "evidence__baseline_status": "created", "evidence__details": {"file_count": 3}}, ""), ({"event_type": "fim.baseline.created", "evidence__baseline_status": "created"}, "invalid_counts"),
     ({"event_type": "fim.scan.completed", "evidence__details": {k: 0 for k in ("added", "modified", "removed", "unchanged", "ignored", "duration_ms")}}, ""), ({"event_type": "fim.scan.completed", "evidence__details": {k: -1 for k in ("added", "modified", "removed", "unchanged", "ignored", "duration_ms")}}, "invalid_counts"),
     ({"event_type": "alert.created", "metadata__alert_id": "a", "metadata__rule_id": "r", "evidence__details": {"title": "t", "description": "d"}}, ""), ({"event_type": "alert.created", "metadata__alert_id": "a", "evidence__details": {"title": "t", "description": "d"}}, "invalid_alert"),
+    ({"event_id": "@ID\n"}, "invalid_event_id"), ({"timestamp": "@TS\n"}, "invalid_timestamp"), ({"timestamp": "0000-01-01T00:00:00Z"}, "invalid_timestamp"), ({"source__product_version": "1.2.3\n"}, "invalid_source"), ({"evidence__current_hash": "b" * 31 + "\n"}, "invalid_hash"),
+    ({"evidence__file_path": "a/..\n"}, ""), ({"sequence": 10**40}, ""), ({"sequence": 1e40}, "invalid_sequence"),
     ({"event_type": "alert.updated", "metadata__alert_id": "a", "evidence__details": {"previous_status": "p", "current_status": ""}}, "invalid_alert"), ({"event_type": "alert.updated", "metadata__alert_id": "a", "evidence__details": {"previous_status": "p", "current_status": "c"}}, ""),
 ]
 
