@@ -932,3 +932,33 @@ def stream_decisions(spark, sf_dir):
     from loomwatch.plans import streams
 
     return streams.decisions(spark, sf_dir).withColumn("told_at", text_ts("told_at"))
+
+
+@query(
+    f"""with e as (select event_id as k, event_id % 3 as i, event_id // 3 as g from events), v as (
+      select *, (k % 17 <> 0) as valid, case when i = 2 and k % 5 = 0 then 'b' else 'a' end as h, case when k % 4 = 0 then 2 else 1 end as n, min(case when k % 17 <> 0 then k end) over (partition by g) as first from e),
+    r as (select v.*, f.h as held from v left join v f on f.k = v.first),
+    o as (select k, valid, n, g % 7 = 0 as bad, k = first as first_, h <> held as clash from r),
+    s as (select *, case when bad then 'rejected' when clash then 'conflict' else 'stored' end as st from o),
+    sent as (select *, 0 as again from s union all select *, 1 from s where k % 11 = 0 or k % 13 = 0),
+    t as (select *, case when not valid then 'invalid' when again = 0 then 'new' when k % 13 = 0 or st = 'conflict' then 'conflict' else 'replay' end as state from sent),
+    d as (select *, state in ('new', 'replay') and st <> 'conflict' as shown from t)
+    select k * 2 + again as turn, state, case when not valid then 'invalid_batch_id' end as error, case when shown then case when bad or not first_ then 0 else 1 end end as accepted,
+      case when shown then case when bad then 0 when first_ then n - 1 else n end end as duplicate, case when shown then case when bad then n else 0 end end as rejected,
+      case when not valid then 'rejected' when state = 'conflict' then 'conflict' else st end as status from d"""
+)
+def stream_ingest(spark, sf_dir):
+    """A batch for each event: three in a row send the same event, some with other content; some batches come again, some changed."""
+    from loomwatch.plans import streams
+
+    k = F.col("event_id")
+    lot = F.floor(k / 3)
+    uid = lambda of: F.concat(F.substring(F.sha2(of, 256), 1, 8), F.lit("-0000-4000-8000-"), F.substring(F.sha2(of, 256), 9, 12))
+    event = F.replace(F.replace(F.lit(_event_json()), F.lit("@ID"), uid(F.concat(F.lit("e"), lot.cast("string")))), F.lit("@TS"), F.lit("2024-01-01T00:00:00Z"))
+    event = F.when(F.pmod(lot, F.lit(7)) == 0, F.replace(event, F.lit('"high"'), F.lit('"urgent"'))).when((k % 3 == 2) & (k % 5 == 0), F.replace(event, F.lit('"sequence": 1'), F.lit('"sequence": 2'))).otherwise(event)
+    batch = F.when(k % 17 == 0, F.lit("x")).otherwise(uid(F.concat(F.lit("b"), k.cast("string"))))
+    again = F.explode(F.when((k % 11 == 0) | (k % 13 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    day = F.when((F.col("again") == 1) & (k % 13 == 0), "2").otherwise("1")
+    text = F.concat(F.lit('{"batch_id":"'), batch, F.lit('","sent_at":"2024-01-0'), day, F.lit('T00:00:00Z","events":['), event, F.when(k % 4 == 0, F.concat(F.lit(","), event)).otherwise(""), F.lit("]}"))
+    sent = table(spark, sf_dir, "events").select("event_id", again.alias("again")).select((k * 2 + F.col("again")).alias("turn"), F.pmod(lot, F.lit(8)).cast("int").alias("file"), text.alias("payload"))
+    return streams.ingested(spark, sent).select("turn", "state", "error", "accepted", "duplicate", "rejected", "status")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from loomwatch.functions import keys
 from loomwatch.operators import contract
-from pyspark.sql import functions as F
+from loomwatch.streaming.buckets import Buckets
+
+EVENT_KEY = ["source_instance_id", "event_id"]
+INBOX = "source_instance_id string, event_id string, content_hash string, payload string"
+RECEIPTS = "batch_id string, content_hash string, accepted long, duplicate long, rejected long, status string"
 
 
 def write_once(path: str):
@@ -18,26 +24,98 @@ def write_once(path: str):
     return run
 
 
+def judged_events(events: DataFrame, now: Column) -> DataFrame:
+    """The events (batch_id, position, payload) with their key, content_hash and errors of the contract."""
+    v = F.try_parse_json("payload")
+    return contract.with_hash(events).withColumns(
+        {"source_instance_id": F.try_variant_get(v, "$.source.instance_id", "string"), "event_id": F.try_variant_get(v, "$.event_id", "string"), "errors": contract.errors(F.col("payload"), now)}
+    )
+
+
 def ingest(events: DataFrame, inbox_path: str, receipts_path: str, checkpoint: str, empty_inbox: DataFrame, now: str) -> DataStreamWriter:
     """Sensor events (batch_id, position, payload) against the contract and the inbox, accepted ones into it and a receipt a batch.
 
-    A retried micro-batch leaves out its own earlier rows when it reads the inbox, and so has the same outcome.
+    A micro-batch reads the buckets of the inbox that its keys fall into (empty_inbox is no longer looked at). A
+    retried one starts from the inbox before it, and so has the same outcome.
     """
+    inbox = Buckets(inbox_path, EVENT_KEY, INBOX)
 
     def run(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        v = F.try_parse_json("payload")
-        rows = contract.with_hash(df).select(
-            "batch_id", "position", F.try_variant_get(v, "$.source.instance_id", "string").alias("source_instance_id"), F.try_variant_get(v, "$.event_id", "string").alias("event_id"),
-            "content_hash", "payload", contract.errors(F.col("payload"), F.lit(now).cast("timestamp")).alias("errors"),
-        )
-        path = spark._jvm.org.apache.hadoop.fs.Path(inbox_path)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        inbox = spark.read.parquet(inbox_path).where(F.col("batch") != batch) if there else empty_inbox
-        judged = contract.classify_batch(rows, inbox.select("source_instance_id", "event_id", "content_hash").distinct()).persist()
-        stored = judged.where((F.col("ack") == "accepted") & ~F.col("batch_conflict"))
+        rows = judged_events(df, F.lit(now).cast("timestamp")).persist()
+        judged = contract.classify_batch(rows, inbox.lookup(rows.select(*EVENT_KEY), batch).select(*EVENT_KEY, "content_hash")).persist()
         write_once(receipts_path)(contract.receipts(judged), batch)
-        write_once(inbox_path)(stored.select("source_instance_id", "event_id", "content_hash", "payload"), batch)
+        inbox.append(judged.where((F.col("ack") == "accepted") & ~F.col("batch_conflict")), batch)
         judged.unpersist()
+        rows.unpersist()
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def in_turn(rows: DataFrame, inbox: DataFrame, turn: str = "turn") -> DataFrame:
+    """Adds ack and batch_conflict to the events (turn, position, key, content_hash, errors) of several batches that come one after another.
+
+    As classify_batch() for each batch, the earlier ones' accepted events being in the inbox already. A batch with a
+    conflict stores nothing, so what it would have stored is open for those after it: rounds go on until no
+    further batch falls out, each settling at least the first.
+    """
+    gone: DataFrame | None = None
+    while True:
+        left = rows if gone is None else rows.join(gone, turn, "left_anti")
+        good = F.size("errors") == 0
+        own = Window.partitionBy(*EVENT_KEY, good).orderBy(turn, "position")
+        seen = left.withColumns({"__first": F.first("content_hash").over(own), "__from": F.first(turn).over(own), "__n": F.row_number().over(own)})
+        seen = seen.join(inbox.select(*EVENT_KEY, F.col("content_hash").alias("__held")), EVENT_KEY, "left")
+        known = F.coalesce("__held", F.when(F.col("__n") > 1, F.col("__first")))
+        ack = F.when(~good, "rejected").when(known.isNull(), "accepted").when(known == F.col("content_hash"), "duplicate").otherwise("conflict")
+        judged = seen.withColumn("ack", ack).persist()
+        wrong = judged.where("ack = 'conflict'").select(F.col(turn), F.when(F.col("__held").isNull() & (F.col("__from") < F.col(turn)), F.col("__from")).alias("by")).distinct().persist()
+        # Sure are those that no other batch in question stands against.
+        doubtful = wrong.join(wrong.select(F.col(turn).alias("by")).distinct(), "by").select(turn).distinct()
+        sure = wrong.select(turn).distinct().join(doubtful, turn, "left_anti").persist()
+        if sure.isEmpty():
+            break
+        gone = sure if gone is None else gone.union(sure)
+        judged.unpersist()
+    out = judged.select(*rows.columns, "ack", F.lit(False).alias("batch_conflict"))
+    if gone is None:
+        return out
+    return out.union(rows.join(gone, turn, "left_semi").select(*rows.columns, F.when(F.size("errors") > 0, "rejected").otherwise("conflict"), F.lit(True)))
+
+
+def receive(batches: DataFrame, path: str, checkpoint: str, now: str, each: int = 20_000) -> DataStreamWriter:
+    """Whole batches (turn, payload: a JSON text) against the limits of the envelope, earlier receipts, the contract and the inbox.
+
+    Writes a response for each to ``path``/responses: state (invalid, new, replay, conflict), the first error of the
+    envelope, accepted, duplicate and rejected events and the status; a replay gets the stored receipt's. Batches of a
+    micro-batch come in the order of turn, which is unique; what comes again with one that a conflict of its events
+    stopped is stopped too. Receipts and inbox are Buckets under ``path``.
+    """
+    inbox, receipts = Buckets(f"{path}/inbox", EVENT_KEY, INBOX, each), Buckets(f"{path}/receipts", ["batch_id"], RECEIPTS, each)
+
+    def run(df: DataFrame, batch: int) -> None:
+        v = F.try_parse_json("payload")
+        sent = contract.batch_errors(df.select("turn", "payload")).withColumns(
+            {"batch_id": F.try_variant_get(v, "$.batch_id", "string"), "content_hash": keys.content_hash(F.col("payload"))}
+        )
+        sent = sent.withColumns({"error": F.get("batch_errors", F.lit(0)), "again": F.lit(1) < F.row_number().over(Window.partitionBy("batch_id", F.size("batch_errors") == 0).orderBy("turn"))}).persist()
+        known = receipts.lookup(sent.select("batch_id"), batch).withColumnsRenamed({"content_hash": "held", "batch_id": "held_id"})
+        fresh = sent.where("error is null and not again").join(known, F.col("batch_id") == F.col("held_id"), "left_anti")
+        events = fresh.select("turn", "batch_id", F.posexplode(F.try_variant_get(v, "$.events", "array<variant>")).alias("position", "event"))
+        rows = judged_events(events.select("turn", "batch_id", "position", F.to_json("event").alias("payload")), F.lit(now).cast("timestamp")).persist()
+        judged = in_turn(rows, inbox.lookup(rows.select(*EVENT_KEY), batch)).persist()
+        counted = contract.receipts(judged).join(fresh.select("batch_id", "content_hash"), "batch_id").persist()
+        now_known = known.unionByName(counted.select(F.col("batch_id").alias("held_id"), F.col("content_hash").alias("held"), "accepted", "duplicate", "rejected", "status"))
+        first = fresh.select(F.col("turn").alias("first"))
+        answered = sent.join(now_known, (F.col("batch_id") == F.col("held_id")) & F.col("error").isNull(), "left").join(first, F.col("turn") == F.col("first"), "left")
+        aborted = F.col("status") == "conflict"  # leaves no receipt
+        state = F.when(F.col("error").isNotNull(), "invalid").when(F.col("first").isNotNull(), "new").when((F.col("held") == F.col("content_hash")) & ~aborted, "replay").otherwise("conflict")
+        shown = lambda c: F.when(state.isin("new", "replay") & ~aborted, F.col(c)).alias(c)
+        status = F.when(state == "invalid", "rejected").when(state == "conflict", "conflict").otherwise(F.col("status"))
+        out = answered.select("turn", "batch_id", state.alias("state"), "error", shown("accepted"), shown("duplicate"), shown("rejected"), status.alias("status"))
+        write_once(f"{path}/responses")(out, batch)
+        receipts.append(counted.where("status <> 'conflict'"), batch)
+        inbox.append(judged.where((F.col("ack") == "accepted") & ~F.col("batch_conflict")), batch)
+        for held in (sent, rows, judged, counted):
+            held.unpersist()
+
+    return batches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)
