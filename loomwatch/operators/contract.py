@@ -63,35 +63,36 @@ def child(parent: Column, name: str) -> Column:
 LONG_WHOLE = r"^[1-9][0-9]{38,}\z"
 
 
-def member(parent: Column, name: str) -> Column:
-    """there, void (an explicit null), kind and the text or whole number of a member; other kinds have neither."""
+def kind_of(v: Column) -> Column:
+    """The type of a variant; empty if there is none."""
+    return F.coalesce(F.schema_of_variant(v), F.lit(""))
+
 
-    def read(v: Column, kind: Column) -> Column:
-        long = F.startswith(kind, F.lit("DECIMAL(")) & F.endswith(kind, F.lit(",0)")) & (F.length(kind) > len("DECIMAL(9,0)"))  # 5.0 has kind DECIMAL(1,0)
-        return F.struct(
-            (~kind.isin("", "VOID")).alias("there"), (kind == "VOID").alias("void"), F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias("text"),
-            F.when((kind == "BIGINT") | long, F.try_variant_get(v, "$", "decimal(38,0)")).alias("whole"),
-        )
+def read(v: Column, kind: Column) -> Column:
+    """there, void (an explicit null), and the text or whole number of a variant of the kind; other kinds have neither."""
+    long = F.startswith(kind, F.lit("DECIMAL(")) & F.endswith(kind, F.lit(",0)")) & (F.length(kind) > len("DECIMAL(9,0)"))  # 5.0 has kind DECIMAL(1,0)
+    return F.struct(
+        (~kind.isin("", "VOID")).alias("there"), (kind == "VOID").alias("void"), F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias("text"),
+        F.when((kind == "BIGINT") | long, F.try_variant_get(v, "$", "decimal(38,0)")).alias("whole"),
+    )
 
-    absent = F.lit("")
-    return bind(child(parent, name), lambda v: bind(F.coalesce(F.schema_of_variant(v), absent), lambda kind: read(v, kind))).alias(name)
 
+def member(parent: Column, name: str) -> Column:
+    """read() of a member."""
+    return bind(child(parent, name), lambda v: bind(kind_of(v), lambda kind: read(v, kind))).alias(name)
 
-def tree(v: Column) -> Column:
-    """json, keys (null if it is no object), longest text or key, and what remains without texts (plain) of a variant."""
 
-    def read(json: Column) -> Column:
-        unescaped = F.regexp_replace(json, r"\\(u[0-9a-fA-F]{4}|.)", "~")
-        return bind(
-            F.split(unescaped, '"', -1),
-            lambda parts: F.struct(
-                json.alias("json"), F.json_object_keys(json).alias("keys"),
-                F.coalesce(F.array_max(F.transform(F.filter(parts, lambda x, i: i % 2 == 1), F.length)), F.lit(0)).alias("longest"),
-                F.array_join(F.filter(parts, lambda x, i: i % 2 == 0), "").alias("plain"),
-            ),
-        )
+def split_texts(json: Column) -> Column:
+    """JSON cut at its quotation marks: what is outside of texts, a text or key, what is outside and so on."""
+    return F.split(F.regexp_replace(json, r"\\(u[0-9a-fA-F]{4}|.)", "~"), '"', -1)
 
-    return bind(F.to_json(v), read)
+
+def tree(json: Column, parts: Column) -> Column:
+    """json, keys (null if it is no object), longest text or key, and what remains without texts (plain)."""
+    return F.struct(
+        json.alias("json"), F.json_object_keys(json).alias("keys"), F.coalesce(F.array_max(F.transform(F.filter(parts, lambda x, i: i % 2 == 1), F.length)), F.lit(0)).alias("longest"),
+        F.array_join(F.filter(parts, lambda x, i: i % 2 == 0), "").alias("plain"),
+    )
 
 
 def bounded(t: Column) -> Column:
@@ -112,80 +113,120 @@ def optional(m: Column, ok: Column) -> Column:
     return ~m["there"] | F.coalesce(ok, F.lit(False))
 
 
+def metadata_names(dialect: Dialect) -> tuple[str, ...]:
+    return ("correlation_id", "tags", dialect.alert_id, "rule_id", "dedup_fingerprint")
+
+
+def groups(dialect: Dialect) -> dict[str, tuple[str, tuple[str, ...]]]:
+    """The members that rules look at, by group: the path to them and their names."""
+    named = lambda of: tuple(sorted({n for names in of.values() for n in names}))
+    return {
+        "root": ("", ("event_id", "schema_version", "timestamp", "sequence", "event_type", "severity")), "source": ("source.", SOURCE), "asset": ("asset.", ASSET),
+        "evidence": ("evidence.", EVIDENCE), "metadata": ("metadata.", metadata_names(dialect)), "counts": ("evidence.details.", named(COUNTS)), "texts": ("evidence.details.", named(TEXTS)),
+    }
+
+
+#: Parts of an event whose keys or trees are judged, with the paths to them.
+PARTS = {"root": "$", "source": "$.source", "asset": "$.asset", "evidence": "$.evidence", "details": "$.evidence.details", "metadata": "$.metadata"}
+
+
+def members(v: Column, dialect: Dialect) -> Column:
+    """First step: every member as a variant, every part as JSON, the tags."""
+    return F.struct(
+        *[F.struct(*[child(v, path + n).alias(n) for n in names]).alias(g) for g, (path, names) in groups(dialect).items()],
+        F.struct(*[F.to_json(F.try_variant_get(v, path, "variant")).alias(n) for n, path in PARTS.items()]).alias("json"),
+        F.try_variant_get(v, "$.metadata.tags", "array<variant>").alias("tags"),
+    )
+
+
+def kinds(c: Column, dialect: Dialect) -> Column:
+    """Second step: the members' types, the trees cut at their texts."""
+    return F.struct(
+        *[F.struct(*[kind_of(c[g][n]).alias(n) for n in names]).alias(g) for g, (_, names) in groups(dialect).items()],
+        F.struct(*[split_texts(c["json"][n]).alias(n) for n in ("details", "metadata")]).alias("cut"),
+    )
+
+
+def drawn(c: Column, k: Column, dialect: Dialect) -> Column:
+    """Third step: all that the rules look at."""
+    j = c["json"]
+    return F.struct(
+        *[F.struct(*[read(c[g][n], k[g][n]).alias(n) for n in names]).alias(g) for g, (_, names) in groups(dialect).items()],
+        F.octet_length(j["root"]).alias("bytes"), F.json_object_keys(j["root"]).alias("keys"), F.struct(*[F.json_object_keys(j[n]).alias(n) for n in ("source", "asset", "evidence")]).alias("names"),
+        c["tags"].alias("tags"), tree(j["details"], k["cut"]["details"]).alias("details"), tree(j["metadata"], k["cut"]["metadata"]).alias("extra"),
+    )
+
+
+def judged(x: Column, payload: Column, now: Column, dialect: Dialect) -> Column:
+    """Codes of the violations in what drawn() has read."""
+    metadata = metadata_names(dialect)
+    r, s, a, e, m = (x[n] for n in ("root", "source", "asset", "evidence", "metadata"))
+    kind = r["event_type"]["text"]
+    kind = F.when(F.startswith(kind, F.lit(dialect.prefix)), F.substring(kind, len(dialect.prefix) + 1, 100)) if dialect.prefix else kind
+    time, path = checks.utc_time(r["timestamp"]["text"]), e["file_path"]["text"]
+    algorithm, current, previous = e["hash_algorithm"]["text"], e["current_hash"]["text"], e["previous_hash"]["text"]
+    only = lambda names, allowed: F.coalesce(F.size(F.array_except(names, F.array(*[F.lit(n) for n in allowed]))) == 0, F.lit(True))
+    void = reduce(lambda p, q: p | q, [g[n]["void"] for g, names in ((a, ("ip", "os")), (e, EVIDENCE), (m, metadata)) for n in names])
+    hashed = lambda h: optional(e[h], checks.matches(e[h]["text"], r"^[0-9a-f]+\z") & (F.length(e[h]["text"]) == lookup(algorithm, checks.HASHES, 0)))
+    tags = F.transform(x["tags"], lambda t: F.when(F.schema_of_variant(t) == "STRING", F.length(F.try_variant_get(t, "$", "string"))))
+    names = lambda of, ok: reduce(lambda p, q: p & q, [~(kind == k) | reduce(lambda u, w: u & w, [ok(n) for n in ns]) for k, ns in of.items()])
+    plain = checks.matches(path, "^[^/]") & ~path.rlike(r"\\|^[A-Za-z]:|\x00|//|/\z|(^|/)\.{1,2}(/|\z)")
+    statuses = [~(kind == k) | F.coalesce(e["baseline_status"]["text"].isin(*v), F.lit(False)) for k, v in STATUS_OF.items()]
+    rules = {
+        "too_large": x["bytes"] <= MOST_EVENT_BYTES,
+        "invalid_event_id": checks.is_uuid4(r["event_id"]["text"]),
+        "invalid_schema_version": r["schema_version"]["text"] == VERSION,
+        "invalid_timestamp": time.isNotNull(),
+        "timestamp_in_future": time.isNull() | (time <= now + F.make_interval(mins=F.lit(FUTURE_MINUTES))),
+        "invalid_sequence": F.coalesce(r["sequence"]["whole"] >= 1, checks.matches(F.get_json_object(payload, "$.sequence"), LONG_WHOLE)),
+        "invalid_source": (s["product"]["text"] == dialect.product if dialect.product else sized(s["product"], 1, MOST_TEXT))
+        & sized(s["product_version"], 1, 32) & checks.matches(s["product_version"]["text"], checks.SEMVER) & checks.is_canonical_uuid(s["instance_id"]["text"]) & s["component"]["text"].isin(*COMPONENTS),
+        "invalid_event_type": kind.isin(*SENSOR_TYPES),
+        "invalid_severity": r["severity"]["text"].isin(*SEVERITIES),
+        "invalid_asset": sized(a["asset_id"], 1, 255) & sized(a["hostname"], 1, 255) & optional(a["os"], sized(a["os"], 1, 255)),
+        "invalid_ip": optional(a["ip"], sized(a["ip"], 2, 45) & checks.exact_ip(a["ip"]["text"])),
+        "invalid_evidence": x["names"]["evidence"].isNotNull() & optional(e["baseline_id"], sized(e["baseline_id"], 1, 255)) & optional(e["scan_id"], sized(e["scan_id"], 1, 255))
+        & optional(e["baseline_status"], e["baseline_status"]["text"].isin(*STATUSES)) & optional(e["file_size_bytes"], e["file_size_bytes"]["whole"] >= 0) & optional(e["mtime"], checks.utc_time(e["mtime"]["text"]).isNotNull()),
+        "invalid_path": optional(e["file_path"], sized(e["file_path"], 1, 4096) & plain),
+        "invalid_hash": optional(e["hash_algorithm"], algorithm.isin(*checks.HASHES)) & hashed("current_hash") & hashed("previous_hash"),
+        "invalid_details": bounded(x["details"]),
+        "invalid_metadata": bounded(x["extra"]) & F.forall(x["extra"]["keys"], lambda k: k.isin(*metadata) | F.startswith(k, F.lit("x_")))
+        & reduce(lambda p, q: p & q, [optional(m[n], sized(m[n], 1, MOST_TEXT)) for n in metadata if n != "tags"]),
+        "invalid_tags": optional(m["tags"], (F.size(x["tags"]) <= MOST_TAGS) & F.forall(tags, lambda n: F.coalesce(n.between(1, MOST_TAG), F.lit(False)))),
+        "null_field": ~void,
+        "unknown_field": only(x["keys"], ROOT) & only(x["names"]["source"], SOURCE) & only(x["names"]["asset"], ASSET) & only(x["names"]["evidence"], (*EVIDENCE, "details")),
+        "missing_evidence": names(REQUIRED, lambda n: e[n]["there"]),
+        "invalid_baseline_status": reduce(lambda p, q: p & q, statuses),
+        "forbidden_current_hash": ~(kind == "fim.file.removed") | ~e["current_hash"]["there"],
+        "hashes_equal": ~kind.isin("fim.file.modified", "hash.mismatch") | current.isNull() | previous.isNull() | (current != previous),
+        "invalid_counts": names(COUNTS, lambda n: F.coalesce(x["counts"][n]["whole"] >= 0, F.lit(False))),
+        "invalid_alert": names(TEXTS, lambda n: sized(x["texts"][n], 1, MOST_BYTES)) & (~F.startswith(kind, F.lit("alert.")) | m[dialect.alert_id]["there"]) & (~(kind == "alert.created") | m["rule_id"]["there"]),
+    }
+    # A type that is unknown has no further rules: they hold.
+    typed = list(rules)[list(rules).index("missing_evidence") :]
+    return checks.failures({k: F.coalesce(c, F.lit(True)) if k in typed else c for k, c in rules.items()})
+
+
+
+BROKEN = ("invalid_json",)
+
+
 def errors(payload: Column, now: Column, dialect: Dialect = Dialect()) -> Column:
     """Codes of all violations of the event in a JSON text, in a fixed order; [invalid_json] if it is none.
 
     Text with a key twice or numbers that are not finite is no JSON. Types are strict: no text counts as a number
-    and no number with a fraction as a whole one. The text is parsed once, each member drawn once.
+    and no number with a fraction as a whole one. The text is parsed once. with_errors() does the same for a table, and faster.
     """
-    metadata = ("correlation_id", "tags", dialect.alert_id, "rule_id", "dedup_fingerprint")
-    counts, texts = sorted({c for x in COUNTS.values() for c in x}), sorted({c for x in TEXTS.values() for c in x})
-
-    def drawn(v: Column) -> Column:
-        parts = F.struct(*[child(v, n).alias(n) for n in ("source", "asset", "evidence", "metadata")], child(v, "evidence.details").alias("details"))
-        return bind(
-            parts,
-            lambda p: F.struct(
-                F.octet_length(F.to_json(v)).alias("bytes"), F.json_object_keys(F.to_json(v)).alias("keys"),
-                F.struct(*[member(v, n) for n in ("event_id", "schema_version", "timestamp", "sequence", "event_type", "severity")]).alias("root"),
-                F.struct(*[member(p["source"], n) for n in SOURCE]).alias("source"), F.struct(*[member(p["asset"], n) for n in ASSET]).alias("asset"),
-                F.struct(*[member(p["evidence"], n) for n in EVIDENCE]).alias("evidence"), F.struct(*[member(p["metadata"], n) for n in metadata]).alias("metadata"),
-                F.struct(*[F.json_object_keys(F.to_json(p[n])).alias(n) for n in ("source", "asset", "evidence")]).alias("names"),
-                F.try_variant_get(p["metadata"], "$.tags", "array<variant>").alias("tags"), tree(p["details"]).alias("details"), tree(p["metadata"]).alias("extra"),
-                F.struct(*[member(p["details"], n) for n in counts]).alias("counts"), F.struct(*[member(p["details"], n) for n in texts]).alias("texts"),
-            ),
-        )
-
-    def judged(x: Column) -> Column:
-        r, s, a, e, m = (x[n] for n in ("root", "source", "asset", "evidence", "metadata"))
-        kind = r["event_type"]["text"]
-        kind = F.when(F.startswith(kind, F.lit(dialect.prefix)), F.substring(kind, len(dialect.prefix) + 1, 100)) if dialect.prefix else kind
-        time, path = checks.utc_time(r["timestamp"]["text"]), e["file_path"]["text"]
-        algorithm, current, previous = e["hash_algorithm"]["text"], e["current_hash"]["text"], e["previous_hash"]["text"]
-        only = lambda names, allowed: F.coalesce(F.size(F.array_except(names, F.array(*[F.lit(n) for n in allowed]))) == 0, F.lit(True))
-        void = reduce(lambda p, q: p | q, [g[n]["void"] for g, names in ((a, ("ip", "os")), (e, EVIDENCE), (m, metadata)) for n in names])
-        hashed = lambda h: optional(e[h], checks.matches(e[h]["text"], r"^[0-9a-f]+\z") & (F.length(e[h]["text"]) == lookup(algorithm, checks.HASHES, 0)))
-        tags = F.transform(x["tags"], lambda t: F.when(F.schema_of_variant(t) == "STRING", F.length(F.try_variant_get(t, "$", "string"))))
-        names = lambda of, ok: reduce(lambda p, q: p & q, [~(kind == k) | reduce(lambda u, w: u & w, [ok(n) for n in ns]) for k, ns in of.items()])
-        plain = checks.matches(path, "^[^/]") & ~path.rlike(r"\\|^[A-Za-z]:|\x00|//|/\z|(^|/)\.{1,2}(/|\z)")
-        statuses = [~(kind == k) | F.coalesce(e["baseline_status"]["text"].isin(*v), F.lit(False)) for k, v in STATUS_OF.items()]
-        rules = {
-            "too_large": x["bytes"] <= MOST_EVENT_BYTES,
-            "invalid_event_id": checks.is_uuid4(r["event_id"]["text"]),
-            "invalid_schema_version": r["schema_version"]["text"] == VERSION,
-            "invalid_timestamp": time.isNotNull(),
-            "timestamp_in_future": time.isNull() | (time <= now + F.make_interval(mins=F.lit(FUTURE_MINUTES))),
-            "invalid_sequence": F.coalesce(r["sequence"]["whole"] >= 1, checks.matches(F.get_json_object(payload, "$.sequence"), LONG_WHOLE)),
-            "invalid_source": (s["product"]["text"] == dialect.product if dialect.product else sized(s["product"], 1, MOST_TEXT))
-            & sized(s["product_version"], 1, 32) & checks.matches(s["product_version"]["text"], checks.SEMVER) & checks.is_canonical_uuid(s["instance_id"]["text"]) & s["component"]["text"].isin(*COMPONENTS),
-            "invalid_event_type": kind.isin(*SENSOR_TYPES),
-            "invalid_severity": r["severity"]["text"].isin(*SEVERITIES),
-            "invalid_asset": sized(a["asset_id"], 1, 255) & sized(a["hostname"], 1, 255) & optional(a["os"], sized(a["os"], 1, 255)),
-            "invalid_ip": optional(a["ip"], sized(a["ip"], 2, 45) & checks.exact_ip(a["ip"]["text"])),
-            "invalid_evidence": x["names"]["evidence"].isNotNull() & optional(e["baseline_id"], sized(e["baseline_id"], 1, 255)) & optional(e["scan_id"], sized(e["scan_id"], 1, 255))
-            & optional(e["baseline_status"], e["baseline_status"]["text"].isin(*STATUSES)) & optional(e["file_size_bytes"], e["file_size_bytes"]["whole"] >= 0) & optional(e["mtime"], checks.utc_time(e["mtime"]["text"]).isNotNull()),
-            "invalid_path": optional(e["file_path"], sized(e["file_path"], 1, 4096) & plain),
-            "invalid_hash": optional(e["hash_algorithm"], algorithm.isin(*checks.HASHES)) & hashed("current_hash") & hashed("previous_hash"),
-            "invalid_details": bounded(x["details"]),
-            "invalid_metadata": bounded(x["extra"]) & F.forall(x["extra"]["keys"], lambda k: k.isin(*metadata) | F.startswith(k, F.lit("x_")))
-            & reduce(lambda p, q: p & q, [optional(m[n], sized(m[n], 1, MOST_TEXT)) for n in metadata if n != "tags"]),
-            "invalid_tags": optional(m["tags"], (F.size(x["tags"]) <= MOST_TAGS) & F.forall(tags, lambda n: F.coalesce(n.between(1, MOST_TAG), F.lit(False)))),
-            "null_field": ~void,
-            "unknown_field": only(x["keys"], ROOT) & only(x["names"]["source"], SOURCE) & only(x["names"]["asset"], ASSET) & only(x["names"]["evidence"], (*EVIDENCE, "details")),
-            "missing_evidence": names(REQUIRED, lambda n: e[n]["there"]),
-            "invalid_baseline_status": reduce(lambda p, q: p & q, statuses),
-            "forbidden_current_hash": ~(kind == "fim.file.removed") | ~e["current_hash"]["there"],
-            "hashes_equal": ~kind.isin("fim.file.modified", "hash.mismatch") | current.isNull() | previous.isNull() | (current != previous),
-            "invalid_counts": names(COUNTS, lambda n: F.coalesce(x["counts"][n]["whole"] >= 0, F.lit(False))),
-            "invalid_alert": names(TEXTS, lambda n: sized(x["texts"][n], 1, MOST_BYTES)) & (~F.startswith(kind, F.lit("alert.")) | m[dialect.alert_id]["there"]) & (~(kind == "alert.created") | m["rule_id"]["there"]),
-        }
-        # A type that is unknown has no further rules: they hold.
-        typed = list(rules)[list(rules).index("missing_evidence") :]
-        return checks.failures({k: F.coalesce(c, F.lit(True)) if k in typed else c for k, c in rules.items()})
-
-    broken = F.array(F.lit("invalid_json"))
-    whole = lambda v: F.when(v.isNull(), broken).otherwise(bind(drawn(v), judged))
-    return bind(F.try_parse_json(payload), whole)
+    found = lambda v: bind(members(v, dialect), lambda c: bind(kinds(c, dialect), lambda k: bind(drawn(c, k, dialect), lambda x: judged(x, payload, now, dialect))))
+    return bind(F.try_parse_json(payload), lambda v: F.when(v.isNull(), F.array(*map(F.lit, BROKEN))).otherwise(found(v)))
+
+
+def with_errors(events: DataFrame, payload: str, now: Column, dialect: Dialect = Dialect(), name: str = "errors") -> DataFrame:
+    """The events with errors() of their payload, step by step as columns: each step is compiled and what it draws is used often."""
+    v, c, k, x = (F.col(f"__{n}") for n in "vckx")
+    steps = events.withColumn("__v", F.try_parse_json(payload)).withColumn("__c", members(v, dialect)).withColumn("__k", kinds(c, dialect)).withColumn("__x", drawn(c, k, dialect))
+    found = F.when(v.isNull(), F.array(*map(F.lit, BROKEN))).otherwise(judged(x, F.col(payload), now, dialect))
+    return steps.withColumn(name, found).drop("__v", "__c", "__k", "__x")
 
 
 def receipt_code(found: Column) -> Column:

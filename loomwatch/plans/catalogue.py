@@ -740,7 +740,7 @@ _RECEIPT = "case split_part({0}, ',', 1) when '' then null when 'invalid_schema_
 
 @query(f"with e as (select event_id, list_extract({_CODES}, event_id % {len(_BROKEN)} + 1) as errors from events) select event_id, errors, {_RECEIPT.format('errors')} as receipt_code from e")
 def contract_errors(spark, sf_dir):
-    found = _sensor_payloads(spark, sf_dir).select("event_id", contract.errors(F.col("payload"), F.lit("2025-01-01").cast("timestamp")).alias("found"))
+    found = contract.with_errors(_sensor_payloads(spark, sf_dir).select("event_id", "payload"), "payload", F.lit("2025-01-01").cast("timestamp"), name="found")
     return found.select("event_id", F.array_join("found", ",").alias("errors"), contract.receipt_code(F.col("found")).alias("receipt_code"))
 
 

@@ -27,9 +27,8 @@ def write_once(path: str):
 def judged_events(events: DataFrame, now: Column) -> DataFrame:
     """The events (batch_id, position, payload) with their key, content_hash and errors of the contract."""
     v = F.try_parse_json("payload")
-    return contract.with_hash(events).withColumns(
-        {"source_instance_id": F.try_variant_get(v, "$.source.instance_id", "string"), "event_id": F.try_variant_get(v, "$.event_id", "string"), "errors": contract.errors(F.col("payload"), now)}
-    )
+    keyed = contract.with_hash(events).withColumns({"source_instance_id": F.try_variant_get(v, "$.source.instance_id", "string"), "event_id": F.try_variant_get(v, "$.event_id", "string")})
+    return contract.with_errors(keyed, "payload", now)
 
 
 def ingest(events: DataFrame, inbox_path: str, receipts_path: str, checkpoint: str, empty_inbox: DataFrame, now: str) -> DataStreamWriter:
