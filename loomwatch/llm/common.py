@@ -75,6 +75,15 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, m
     return left.join(F.broadcast(busy), on).unionByName(quiet)
 
 
+#: Rows of a few numbers each that are broadcast: about 40 MB of a task's memory.
+FEW = 1 << 20
+
+
+def few(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """The narrow rows, marked for broadcast if they are at most ``most``; they are counted, so best a written table. Beyond that both sides are shuffled."""
+    return F.broadcast(rows) if rows.count() <= (FEW if most is None else most) else rows
+
+
 def tasks_for(groups: int, rows: int) -> int:
     """Tasks for groups that are few bytes but much work: several a group, so that few share one, and no more than the rows need."""
     return min(4 * groups, max(64, rows // 256))

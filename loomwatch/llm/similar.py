@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwatch.llm import simhash
-from loomwatch.llm.common import written
+from loomwatch.llm.common import few, written
 from loomwatch.llm.components import components
 from loomwatch.llm.simhash import bits_of, further, near
 
@@ -204,7 +204,8 @@ def links_between(nodes: DataFrame, documents: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"node": batch["row"], "hashes": [hashed(t).tobytes() for t in batch["text"]]})
 
-    texts = documents.select("row", "text").join(met.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
+    ends = written(met.select(F.col("node").alias("row")).distinct(), "meeting-ends")
+    texts = documents.select("row", "text").join(few(ends), "row", "left_semi")
     sets = written(texts.mapInPandas(read, "node long, hashes binary"), "shingle-hashes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +224,7 @@ def verified(found: DataFrame, documents: DataFrame) -> DataFrame:
     comes once: pairs that lie densely do not each bring two texts along. A tile holds its texts' hashes.
     """
     ends = written(found.select(F.col("a").alias("row")).union(found.select(F.col("b").alias("row"))).distinct(), "ends")
-    texts = written(documents.select("row", "text").join(ends, "row", "left_semi"), "candidate-texts")
+    texts = written(documents.select("row", "text").join(few(ends), "row", "left_semi"), "candidate-texts")
     parts = F.lit(max(1, -(-ends.count() // TILE)))
     of_a, of_b = F.pmod(F.xxhash64("a", F.lit(5)), parts), F.pmod(F.xxhash64("b", F.lit(5)), parts)
     dealt = found.select(F.least(of_a, of_b).alias("p"), F.greatest(of_a, of_b).alias("q"), "a", "b")
