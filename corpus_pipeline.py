@@ -36,7 +36,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     order = rows.select(F.col("__row").alias("row"), F.struct("doc_id", F.xxhash64(*docs.columns).alias("h"), "__row").alias("order"))
     heads = found.join(order, "row").groupBy("component").agg(F.min("order")["__row"].alias("head"))
     gone = common.written(found.join(heads, "component").where("row <> head").select(F.col("row").alias("__row")), "copies")
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return rows.join(common.few(gone), "__row", "left_anti").select(*docs.columns)
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
