@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwatch.llm import simhash
-from loomwatch.llm.common import few, written
+from loomwatch.llm.common import few, join_counted, written
 from loomwatch.llm.components import components
 from loomwatch.llm.simhash import bits_of, further, near
 
@@ -256,12 +256,12 @@ def groups(documents: DataFrame) -> DataFrame:
     Texts of the same shingles are one node, null, empty and blank ones among them. An empty table stays empty.
     """
     signed = written(signatures(documents), "signatures")
-    nodes = written(signed.groupBy("same").agg(F.min("row").alias("node"), F.min("print").alias("print"), F.first("keys").alias("keys")), "nodes")
+    nodes = written(signed.groupBy("same").agg(F.min("row").alias("node"), F.min("print").alias("print"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "nodes")
     links = verified(candidates(nodes.withColumn("label", F.col("node"))), documents)
     found = written(components(links), "components")
     apart = nodes.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     more = links_between(written(apart, "labelled"), documents)
     if not more.isEmpty():
         found = written(components(links.union(more)), "components")
-    of = nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
-    return written(signed.select("row", "same").join(of, "same").select("row", "component"), "groups")
+    of = nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("component"), "copies")
+    return written(join_counted(signed.select("row", "same"), written(of, "of-nodes"), ["same"], "copies").select("row", "component"), "groups")
