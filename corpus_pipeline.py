@@ -30,12 +30,13 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are told apart by a key of their own, not by doc_id: rows that share an id are judged by their texts,
     and the row with the smallest id (then a hash of all columns) stays. Rows without doc_id take no part and stay.
+    Null, empty and blank texts have the same shingles, none: they are one group.
     """
     rows = common.written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = similar.groups(rows.where("doc_id is not null").select(F.col("__row").alias("row"), "text"))
     order = rows.select(F.col("__row").alias("row"), F.struct("doc_id", F.xxhash64(*docs.columns).alias("h"), "__row").alias("order"))
-    heads = found.join(order, "row").groupBy("component").agg(F.min("order")["__row"].alias("head"))
-    gone = common.written(found.join(heads, "component").where("row <> head").select(F.col("row").alias("__row")), "copies")
+    heads = common.written(found.join(order, "row").groupBy("component").agg(F.min("order")["__row"].alias("head"), F.count("*").alias("n")), "heads")
+    gone = common.written(common.join_counted(found, heads, ["component"], "n").where("row <> head").select(F.col("row").alias("__row")), "copies")
     return rows.join(common.few(gone), "__row", "left_anti").select(*docs.columns)
 
 
