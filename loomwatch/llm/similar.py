@@ -165,19 +165,22 @@ def cuts(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
         yield from whole(held)
 
 
-def meetings(nodes: DataFrame, columns: list[str], most: int) -> DataFrame:
+def meetings(nodes: DataFrame, columns: list[str], most: int, wide: tuple[str, ...] = ()) -> DataFrame:
     """group, at (the key's place), part, alone (both parts are one) and the columns: each node once for each key that nodes of several labels share.
 
+    Wide columns come to the nodes that meet, so that they don't go with every key.
+
     A key that more than ``most`` nodes share is dealt out in pairs of parts, so that every pair still meets.
     """
     keyed = nodes.select("label", *columns, F.posexplode("keys").alias("at", "key")).withColumn("group", F.xxhash64("at", "key")).drop("key")
     shared = keyed.groupBy("group").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
     parts = F.when(F.col("n") > most, F.ceil(F.col("n") / (most // 2))).otherwise(1).cast("int")
     shared = written(shared.select("group", parts.alias("parts")), "shared-keys")
-    met = keyed.join(shared, "group").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
+    met = keyed.join(few(shared), "group").withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     group = F.xxhash64("group", F.least("part", "other"), F.greatest("part", "other"))
-    return met.select(group.alias("group"), "at", "part", (F.col("part") == F.col("other")).alias("alone"), "label", *columns)
+    met = met.select(group.alias("group"), "at", "part", (F.col("part") == F.col("other")).alias("alone"), "label", *columns)
+    return met.join(nodes.select("node", *wide), "node") if wide else met
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -198,7 +201,7 @@ def links_between(nodes: DataFrame, documents: DataFrame) -> DataFrame:
 
     The hashes of the shingles go to where the nodes meet, so pairs are verified there and only links leave the task.
     """
-    met = written(meetings(nodes, ["node", "print", "keys"], 2 * TILE), "meetings")
+    met = written(meetings(nodes, ["node", "print"], 2 * TILE, ("keys",)), "meetings")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
