@@ -7,7 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomwatch.functions import severity
@@ -110,6 +111,52 @@ def findings(events: DataFrame, rules: list[Rule], columns: list[str]) -> DataFr
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@dataclass
+class Measured:
+    """Findings of several rules with what each did; metrics are there once an action has run over all findings."""
+
+    found: DataFrame
+    observations: dict[str, Observation]
+    failed: dict[str, str]
+
+    def metrics(self, spark: SparkSession) -> DataFrame:
+        """rule_id, executions (events that the rule was applied to), detections, failure (why it could not be planned; null otherwise)."""
+        rows = [(r, *(o.get[n] for n in ("executions", "detections")), None) for r, o in self.observations.items()]
+        rows += [(r, 0, 0, why) for r, why in self.failed.items()]
+        return spark.createDataFrame(rows, "rule_id string, executions long, detections long, failure string")
+
+
+def measured(events: DataFrame, rules: list[Rule], columns: list[str], name: str = "rules") -> Measured:
+    """findings() rule by rule, each apart from the others: one that does not fit the events is left out with its reason.
+
+    What each is applied to and finds is observed in the running plan, without another pass; a listener of a stream
+    gets the same metrics with each micro-batch. All rules have a scan of their own here.
+    """
+    parts, observations, failed = [], {}, {}
+    for k, r in enumerate(rules):
+        try:
+            part = findings(events, [r], columns)
+            part.schema  # plans it  # noqa: B018
+        except AnalysisException as error:
+            failed[r.rule_id] = error.getCondition() or str(error).splitlines()[0]
+            continue
+        seen = Observation(f"{name}-{k}-{r.rule_id}")
+        applied = (F.col("category").isin(*r.categories) if r.categories else F.lit(True)) & present(events, r.required)
+        if isinstance(r.matches, Column):
+            hit = F.coalesce(applied & r.matches, F.lit(False))
+            watched = events.observe(seen, F.count_if(F.coalesce(applied, F.lit(False))).alias("executions"), F.count_if(hit).alias("detections"))
+            parts.append(findings(watched, [r], columns))
+        else:
+            of = events.withColumn("__applied", F.coalesce(applied, F.lit(False)))
+            tagged = findings(of, [r], [*columns, "__applied"]).select(*columns, "rule_id", "severity", "confidence", "risk_score", "tags", F.lit(True).alias("__hit"))
+            rest = of.select(*[F.col(c) for c in columns], *[F.lit(None).cast(tagged.schema[c].dataType).alias(c) for c in ("rule_id", "severity", "confidence", "risk_score", "tags")], F.when(F.col("__applied"), False).alias("__hit"))
+            both = tagged.unionByName(rest).observe(seen, F.count_if(~F.col("__hit")).alias("executions"), F.count_if("__hit").alias("detections"))
+            parts.append(both.where("__hit").drop("__hit"))
+        observations[r.rule_id] = seen
+    found = reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+    return Measured(found, observations, failed)
+
+
 def outcomes(found: DataFrame) -> DataFrame:
     """Per event: number of findings, highest severity, rules sorted."""
     top = severity.by_rank(F.max(severity.rank(F.col("severity")))).alias("severity")

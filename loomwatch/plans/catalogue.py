@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwatch.functions import checks, keys, severity, sla
-from loomwatch.operators import alerts, contract, dsl, enrich, incidents, kpi, normalize, relations, rules, search, syslog, windows
+from loomwatch.operators import alerts, changes, contract, dsl, enrich, incidents, kpi, normalize, relations, rules, search, syslog, windows
 from loomwatch.plans import pipeline, sql
-from loomwatch.sources import stores
+from loomwatch.sources import stores, textindex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -962,3 +963,53 @@ def stream_ingest(spark, sf_dir):
     text = F.concat(F.lit('{"batch_id":"'), batch, F.lit('","sent_at":"2024-01-0'), day, F.lit('T00:00:00Z","events":['), event, F.when(k % 4 == 0, F.concat(F.lit(","), event)).otherwise(""), F.lit("]}"))
     sent = table(spark, sf_dir, "events").select("event_id", again.alias("again")).select((k * 2 + F.col("again")).alias("turn"), F.pmod(lot, F.lit(8)).cast("int").alias("file"), text.alias("payload"))
     return streams.ingested(spark, sent).select("turn", "state", "error", "accepted", "duplicate", "rejected", "status")
+
+
+# ---- indexed search, change feeds
+
+_NEEDLES = ("Failed password for user-4", "host-12 sshd", "JOB of user-1%3", "no such text", "ob")
+
+
+@query(
+    f"""with {_LINES}, t as (select event_id, form, lower(message) as m, source_host, process from ln)
+    select '{_NEEDLES[0]}' as needle, event_id from t where m like '%failed password for user-4%'
+    union all select '{_NEEDLES[1]}', event_id from t where form < 4 and source_host = 'host-12' and process = 'sshd'
+    union all select '{_NEEDLES[2]}', event_id from t where m like '%job of user-1%3%'
+    union all select '{_NEEDLES[4]}', event_id from t where m like '%ob%'"""
+)
+def search_indexed(spark, sf_dir):
+    """Raw lines that contain each of several texts, through a written trigram index."""
+    from loomwatch.plans import streams
+
+    held = textindex.TextIndex(streams.folder(spark, "text-index"), "event_id", "raw_payload")
+    held.write(pipeline.lines(spark, sf_dir).select("event_id", "raw_payload"))
+    found = [held.search(spark, n).select(F.lit(n).alias("needle"), "event_id") for n in _NEEDLES]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query(
+    """with b as (select o_orderkey as k, o_orderstatus as s, o_totalprice as p from orders where o_orderkey % 10 <> 0),
+    a as (select o_orderkey as k, case when o_orderkey % 6 = 0 then 'X' else o_orderstatus end as s, case when o_orderkey % 4 = 0 then o_totalprice + 1 else o_totalprice end as p from orders where o_orderkey % 7 <> 0)
+    select coalesce(a.k, b.k) as id, case when b.k is null then 'created' when a.k is null then 'deleted' when a.s is distinct from b.s then 'status_changed' else 'updated' end as change, b.s as from_status, a.s as to_status
+    from a full join b on a.k = b.k where a.k is null or b.k is null or a.s is distinct from b.s or a.p is distinct from b.p"""
+)
+def change_feed(spark, sf_dir):
+    """Two versions of the orders: some are new, some gone, some with another status or price."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    before, after = o.where("id % 10 <> 0"), o.where("id % 7 <> 0")
+    after = after.withColumns({"status": F.when(F.col("id") % 6 == 0, "X").otherwise(F.col("status")), "price": F.when(F.col("id") % 4 == 0, F.col("price") + 1).otherwise(F.col("price"))})
+    return changes.changes(before, after, "id")
+
+
+@query(
+    f"""with {sql.FOUND}, n as (select rule_id, count(*) as n from found group by 1), v(rule_id, applied) as (values ('login-failures', 'auth'), ('large-reject', 'network'), ('busy-source', null))
+    select v.rule_id, (select count(*) from ev where v.applied is null or category = v.applied) as executions, coalesce(n.n, 0) as detections, null as failure from v left join n using (rule_id)
+    union all select 'no-such-column', 0, 0, 'UNRESOLVED_COLUMN.WITH_SUGGESTION'"""
+)
+def rule_run_metrics(spark, sf_dir):
+    """What each rule of the registry was applied to and found, observed while the findings are made; a rule that does not fit is left out."""
+    held = pipeline.registry()
+    held.register(rules.Rule("no-such-column", F.col("nowhere") == 1, "low"))
+    run = rules.measured(pipeline.events(spark, sf_dir), held.ordered(), [*pipeline.COLUMNS, "value"])
+    run.found.write.format("noop").mode("overwrite").save()
+    return run.metrics(spark)
