@@ -47,29 +47,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of the counts to take of each size so that their sum comes as near below budget as it can.
 
-    First the same share of every size, then whole documents longest first until the rest is small, then the
-    dynamic program over the counts that are left.
+    filled() as long as it comes within a thousandth, or the program sees the whole budget. A source of few very long documents may need
+    other ones than the longest: then the program runs over all sums in coarser units, and filled() over what is left, and the better one counts.
     """
-    total = int((sizes * counts).sum())
-    if budget >= total:
-        return counts.copy()
-    taken = (counts.astype(object) * budget // total).astype(np.int64)
-    left = budget - int((taken * sizes).sum())
-    order = np.argsort(-sizes, kind="stable")
-    for i in order:
-        more = min(int(counts[i] - taken[i]), max(0, left - (RESERVE if sizes[i] <= RESERVE else 0)) // int(sizes[i]))
-        taken[i] += more
-        left -= more * int(sizes[i])
-    left = min(left, 2 * RESERVE)
-    reached, by = np.zeros(left + 1, bool), np.full(left + 1, -1, np.int32)
+    first = filled(sizes, counts, budget)
+    if budget <= 2 * RESERVE or 1000 * (min(budget, int((sizes * counts).sum())) - int((sizes * first).sum())) <= budget:
+        return first
+    coarse = coarse_reach(sizes, counts, budget, -(-budget // (2 * RESERVE)))
+    second = coarse + filled(sizes, counts - coarse, budget - int((sizes * coarse).sum()))
+    return max(first, second, key=lambda taken: int((sizes * taken).sum()))
+
+
+def reach(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The bounded knapsack: how many of each size make the largest sum up to budget, counts going in as powers of two."""
+    taken, reached, by = np.zeros_like(counts), np.zeros(budget + 1, bool), np.full(budget + 1, -1, np.int32)
     reached[0] = True
-    steps: list[tuple[int, int]] = []  # (size index, documents at once): counts in powers of two
-    for i in order:
-        free, k = min(int(counts[i] - taken[i]), left // int(sizes[i])), 1
-        while free > 0 and not reached[left]:
+    steps: list[tuple[int, int]] = []  # (size index, documents at once)
+    for i in np.argsort(-sizes, kind="stable"):
+        free, k = min(int(counts[i]), budget // int(sizes[i])), 1
+        while free > 0 and not reached[budget]:
             k_now, free = min(k, free), free - min(k, free)
             w = k_now * int(sizes[i])
-            fresh = np.flatnonzero(reached[: left + 1 - w] & ~reached[w:]) + w
+            fresh = np.flatnonzero(reached[: budget + 1 - w] & ~reached[w:]) + w
             reached[fresh], by[fresh] = True, len(steps)
             steps.append((i, k_now))
             k *= 2
@@ -81,6 +80,44 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
+def coarse_reach(sizes: np.ndarray, counts: np.ndarray, budget: int, unit: int) -> np.ndarray:
+    """reach() with one sum for each unit of the budget, the first that gets there; sums stay exact."""
+    taken, sums, by = np.zeros_like(counts), np.full(budget // unit + 1, -1, np.int64), np.full(budget // unit + 1, -1, np.int32)
+    sums[0] = 0
+    steps: list[tuple[int, int]] = []
+    for i in np.argsort(-sizes, kind="stable"):
+        free, k = min(int(counts[i]), budget // int(sizes[i])), 1
+        while free > 0 and sums[-1] != budget:
+            k_now, free = min(k, free), free - min(k, free)
+            to = sums[(sums >= 0) & (sums <= budget - k_now * int(sizes[i]))] + k_now * int(sizes[i])
+            to = to[sums[to // unit] < 0]
+            at, first = np.unique(to // unit, return_index=True)
+            sums[at], by[at] = to[first], len(steps)
+            steps.append((i, k_now))
+            k *= 2
+    left = int(sums.max())
+    while left:
+        i, k = steps[by[left // unit]]
+        taken[i] += k
+        left -= k * int(sizes[i])
+    return taken
+
+
+def filled(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """First the same share of every size, then whole documents longest first until the rest is small, then reach() over the counts that are left."""
+    total = int((sizes * counts).sum())
+    if budget >= total:
+        return counts.copy()
+    taken = (counts.astype(object) * budget // total).astype(np.int64)
+    left = budget - int((taken * sizes).sum())
+    order = np.argsort(-sizes, kind="stable")
+    for i in order:
+        more = min(int(counts[i] - taken[i]), max(0, left - (RESERVE if sizes[i] <= RESERVE else 0)) // int(sizes[i]))
+        taken[i] += more
+        left -= more * int(sizes[i])
+    return taken + reach(sizes, counts - taken, min(left, 2 * RESERVE))
+
+
 def choose(group: pd.DataFrame) -> pd.DataFrame:
     sizes = group["size"].to_numpy(np.int64)
     return group[["source", "size"]].assign(extra=fit(sizes, group["n"].to_numpy(np.int64), int(group["budget"].iloc[0])))

@@ -88,3 +88,37 @@ def test_ranks_do_not_gather_a_key(spark):
     got = ranked(df, ["k"], ["v"]).collect()
     for k in (0, 1, None):
         assert sorted(r["rank"] for r in got if r["k"] == k) == list(range(sum(r["k"] == k for r in got)))
+
+
+def best(sizes, counts, budget):
+    sums = {0}
+    for s, n in zip(sizes, counts):
+        sums = {x + k * s for x in sums for k in range(n + 1) if x + k * s <= budget}
+    return max(sums)
+
+
+@pytest.mark.parametrize(
+    ("sizes", "counts", "budget"),
+    [
+        ([150_000, 140_000, 139_000, 20], [1, 1, 1, 100], 280_000), ([900_000, 500_000, 499_000], [1, 1, 1], 1_000_000), ([200_000], [3], 399_999), ([300_000, 7], [1, 2], 299_999),
+        ([700_001, 400_003, 300_007, 299_993, 131_101], [1, 2, 1, 2, 1], 1_300_000), ([10_000_000, 6_000_000, 4_000_000, 1], [1, 1, 1, 10], 10_000_010),
+    ],
+)
+def test_few_very_long_documents(sizes, counts, budget):
+    sizes, counts = np.array(sizes), np.array(counts)
+    taken = mixing.fit(sizes, counts, budget)
+    assert (taken >= 0).all() and (taken <= counts).all()
+    got, most = int((taken * sizes).sum()), best(sizes.tolist(), counts.tolist(), budget)
+    assert got <= budget and got >= 0.99 * most
+
+
+def test_many_lengths_past_the_program(monkeypatch):
+    monkeypatch.setattr(mixing, "RESERVE", 64)
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = np.unique(rng.integers(1, 900, rng.integers(1, 6)))
+        counts = rng.integers(1, 4, len(sizes))
+        budget = int(rng.integers(1, (sizes * counts).sum() + 1))
+        taken = mixing.fit(sizes, counts, budget)
+        got, most = int((taken * sizes).sum()), best(sizes.tolist(), counts.tolist(), budget)
+        assert (taken >= 0).all() and (taken <= counts).all() and got <= budget and got >= most - max(0.1 * most, 30)
