@@ -76,9 +76,9 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingested(spark: SparkSession, envelopes: DataFrame) -> DataFrame:
-    """The responses to batches (turn, file, payload) that come in micro-batches of two files."""
+    """The responses to batches (turn, file, payload) that come in micro-batches of four files."""
     out = folder(spark, "ingest")
     envelopes.repartitionByRange("file").sortWithinPartitions("turn").select("turn", "payload", "file").write.partitionBy("file").parquet(f"{out}/sent")
-    sent = spark.readStream.schema("turn long, payload string, file int").option("maxFilesPerTrigger", 2).parquet(f"{out}/sent")
+    sent = spark.readStream.schema("turn long, payload string, file int").option("maxFilesPerTrigger", 4).parquet(f"{out}/sent")
     ingest.receive(sent, out, f"{out}/checkpoint", "2024-06-01").start().awaitTermination()
     return spark.read.schema("turn long, batch_id string, state string, error string, accepted long, duplicate long, rejected long, status string").parquet(f"{out}/responses")
