@@ -24,6 +24,12 @@ def write_once(path: str):
     return run
 
 
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """The rows by way of a table that the next micro-batch overwrites: what follows is planned without what made them."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def judged_events(events: DataFrame, now: Column) -> DataFrame:
     """The events (batch_id, position, payload) with their key, content_hash and errors of the contract."""
     v = F.try_parse_json("payload")
@@ -96,12 +102,15 @@ def receive(batches: DataFrame, path: str, checkpoint: str, now: str, each: int
         sent = contract.batch_errors(df.select("turn", "payload")).withColumns(
             {"batch_id": F.try_variant_get(v, "$.batch_id", "string"), "content_hash": keys.content_hash(F.col("payload"))}
         )
-        sent = sent.withColumns({"error": F.get("batch_errors", F.lit(0)), "again": F.lit(1) < F.row_number().over(Window.partitionBy("batch_id", F.size("batch_errors") == 0).orderBy("turn"))}).persist()
+        sent = sent.withColumns({"error": F.get("batch_errors", F.lit(0)), "again": F.lit(1) < F.row_number().over(Window.partitionBy("batch_id", F.size("batch_errors") == 0).orderBy("turn"))})
+        sent = staged(sent, f"{path}/_work/sent")
         known = receipts.lookup(sent.select("batch_id"), batch).withColumnsRenamed({"content_hash": "held", "batch_id": "held_id"})
         fresh = sent.where("error is null and not again").join(known, F.col("batch_id") == F.col("held_id"), "left_anti")
         events = fresh.select("turn", "batch_id", F.posexplode(F.try_variant_get(v, "$.events", "array<variant>")).alias("position", "event"))
-        rows = judged_events(events.select("turn", "batch_id", "position", F.to_json("event").alias("payload")), F.lit(now).cast("timestamp")).persist()
-        judged = in_turn(rows, inbox.lookup(rows.select(*EVENT_KEY), batch)).persist()
+        rows = judged_events(events.select("turn", "batch_id", "position", F.to_json("event").alias("payload")), F.lit(now).cast("timestamp"))
+        rows = staged(rows, f"{path}/_work/rows")
+        judged = in_turn(rows, inbox.lookup(rows.select(*EVENT_KEY), batch))
+        judged = staged(judged, f"{path}/_work/judged")
         counted = contract.receipts(judged).join(fresh.select("batch_id", "content_hash"), "batch_id").persist()
         now_known = known.unionByName(counted.select(F.col("batch_id").alias("held_id"), F.col("content_hash").alias("held"), "accepted", "duplicate", "rejected", "status"))
         first = fresh.select(F.col("turn").alias("first"))
@@ -114,7 +123,6 @@ def receive(batches: DataFrame, path: str, checkpoint: str, now: str, each: int
         write_once(f"{path}/responses")(out, batch)
         receipts.append(counted.where("status <> 'conflict'"), batch)
         inbox.append(judged.where((F.col("ack") == "accepted") & ~F.col("batch_conflict")), batch)
-        for held in (sent, rows, judged, counted):
-            held.unpersist()
+        counted.unpersist()
 
     return batches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)
