@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwatch.functions import checks, keys, severity, sla
-from loomwatch.operators import alerts, changes, contract, dsl, enrich, incidents, kpi, normalize, relations, rules, search, syslog, windows
+from loomwatch.operators import alerts, changes, contract, dsl, enrich, incidents, kpi, normalize, plugins, relations, rules, search, syslog, windows
 from loomwatch.plans import pipeline, sql
 from loomwatch.sources import stores, textindex
 
@@ -1013,3 +1013,51 @@ def rule_run_metrics(spark, sf_dir):
     run = rules.measured(pipeline.events(spark, sf_dir), held.ordered(), [*pipeline.COLUMNS, "value"])
     run.found.write.format("noop").mode("overwrite").save()
     return run.metrics(spark)
+
+
+# ---- collectors, plugins in SQL, attachments
+
+
+@query(
+    f"""with {_LINES} select coalesce(fmt, 'none') as fmt, case when fmt is not null then source_host end as host, case when fmt is not null then process end as process, case when fmt is not null then m end as message,
+    case when fmt is null then message end as unparsed, count(*) as n from parsed group by all"""
+)
+def stream_collector(spark, sf_dir):
+    """Log files through the collector's stream and the parsers."""
+    from loomwatch.plans import streams
+
+    p = syslog.parse(streams.collected(spark, pipeline.lines(spark, sf_dir)))
+    return p.groupBy(
+        F.coalesce("parsed.format", F.lit("none")).alias("fmt"), F.col("parsed.host").alias("host"), F.col("parsed.process").alias("process"), F.col("parsed.message").alias("message"),
+        F.when(~F.col("parse_ok"), F.col("raw_payload")).alias("unparsed"),
+    ).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""with {_LINES}, f as (select event_id, message, unnest(range(event_id % 3 + 1)) as position from ln)
+    select event_id, cast(position as integer) as position, case when position = 0 then message else message || ' é' || position end as message, cast(null as varchar) as error from f where event_id % 13 <> 0"""
+)
+def plugin_frames(spark, sf_dir):
+    """Frames of one to three messages, taken apart by a registered table function in a LATERAL join; every 13th event has no payload."""
+    plugins.register_parsers(spark)
+    n = F.col("event_id")
+    word = F.when(F.col("action") == "reject", "Failed password for").when(F.col("action") == "accept", "Accepted login of").when(F.col("action") == "start", "Started job of").otherwise("Seen")
+    message = F.concat_ws(" ", word, "user")
+    counted = lambda m: F.concat(F.octet_length(m).cast("string"), F.lit(" "), m)
+    more = F.transform(F.sequence(F.lit(0), (n % 3).cast("int")), lambda i: counted(F.when(i == 0, message).otherwise(F.concat(message, F.lit(" é"), i.cast("string")))))
+    frames = pipeline.events(spark, sf_dir).select("event_id", F.when(n % 13 != 0, F.array_join(more, "")).alias("payload"))
+    return spark.sql("SELECT r.event_id, p.position, p.message, p.error FROM {frames} r, LATERAL octet_counted(r.payload) p", frames=frames)
+
+
+@query(
+    """with l as (select event_id as id, user_id, cast(ts as date) as day, ts, case when event_id % 3 <> 0 then '  at ' || event_type else event_type || ' ' || event_id end as line, event_id % 3 = 0 as head from events),
+    k as (select *, row_number() over w as place, sum(cast(head as integer)) over (partition by user_id, day order by ts, id rows unbounded preceding) as m from l window w as (partition by user_id, day order by ts, id))
+    select min_by(id, place) as id, cast(count(*) as integer) as n_lines, string_agg(line, chr(10) order by place) as message from k group by user_id, day, m"""
+)
+def plugin_stitched(spark, sf_dir):
+    """Messages of several lines, put together by a registered table function over a user's lines of a day."""
+    plugins.register_stitched(spark)
+    head = F.col("event_id") % 3 == 0
+    line = F.when(head, F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("  at "), "event_type"))
+    lines = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.to_date("ts").alias("day"), "ts", line.alias("line"))
+    return spark.sql("SELECT * FROM stitched(TABLE(SELECT * FROM {lines}) PARTITION BY (user_id, day) ORDER BY (ts, id))", lines=lines)

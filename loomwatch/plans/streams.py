@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwatch.operators import alerts
 from loomwatch.plans import pipeline
+from loomwatch.sources import collector
 from loomwatch.streaming import detect, ingest, ordered
 
 
@@ -82,3 +83,11 @@ def ingested(spark: SparkSession, envelopes: DataFrame) -> DataFrame:
     sent = spark.readStream.schema("turn long, payload string, file int").option("maxFilesPerTrigger", 4).parquet(f"{out}/sent")
     ingest.receive(sent, out, f"{out}/checkpoint", "2024-06-01").start().awaitTermination()
     return spark.read.schema("turn long, batch_id string, state string, error string, accepted long, duplicate long, rejected long, status string").parquet(f"{out}/responses")
+
+
+def collected(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """The lines (raw_payload), written as log files, as the collector's stream brings them."""
+    out = folder(spark, "collector")
+    lines.select("raw_payload").write.text(f"{out}/logs")
+    collector.register(spark)
+    return run(spark, spark.readStream.format("log_lines").option("path", f"{out}/logs").option("sourceType", "syslog").load(), "collected")
