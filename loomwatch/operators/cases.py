@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,14 @@ def case_list(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", "title", "severity", "priority", severity.lookup(F.col("status"), LABELS).alias("status"), F.size("alert_ids").alias("alerts"), F.size("iocs").alias("iocs"), F.size("timeline").alias("entries"), "created_at")
 
 
+def with_counts(cases: DataFrame, **logs: DataFrame) -> DataFrame:
+    """Adds <name>_count for each log (comments, evidence, tasks, attachments; case_id), zero where a case has none. Logs are counted in one aggregate."""
+    rows = [log.select("case_id", F.lit(name).alias("__log")) for name, log in logs.items()]
+    counts = reduce(lambda a, b: a.unionByName(b), rows).groupBy("case_id").agg(*[F.count_if(F.col("__log") == name).alias(f"{name}_count") for name in logs])
+    joined = cases.join(counts, "case_id", "left")
+    return joined.withColumns({f"{name}_count": F.coalesce(f"{name}_count", F.lit(0).cast("long")) for name in logs})
+
+
 def incident_of_event(events: DataFrame, prefix: str = "sensor-event:") -> DataFrame:
     """Incidents opened by hand for sensor events (event_id, severity, ts): risk and priority by severity."""
     risk = severity.lookup(severity.known(F.col("severity")), severity.EVENT_RISK)

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwatch.operators.rules import in_order
+
 #: Dimensions of at most so many rows are broadcast; larger ones are joined as Spark sees fit.
 BROADCAST_ROWS = 200_000
 
@@ -21,6 +23,17 @@ class Provider:
     keys: list[tuple[str, str]]
     data: list[str]
     categories: tuple[str, ...] = field(default=())  # none: all
+    priority: int = 100
+    depends_on: tuple[str, ...] = ()  # names
+    enabled: bool = True
+
+
+def ordered(providers: list[Provider], category: str | None = None) -> list[Provider]:
+    """The enabled providers, dependencies first, then by priority and place in the list; of a category, those that are for it."""
+    if len({p.name for p in providers}) < len(providers):
+        raise ValueError("providers share a name")
+    found = in_order({p.name: p for p in providers})
+    return [p for p in found if category is None or not p.categories or category in p.categories]
 
 
 def sized(dimension: DataFrame) -> DataFrame:

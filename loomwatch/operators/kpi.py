@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +122,62 @@ def queue_sources(incidents: DataFrame, sensor_events: DataFrame, alerts: DataFr
     """Incidents and sensor events; alerts only where there are neither."""
     first = incidents.unionByName(sensor_events, allowMissingColumns=True)
     return alerts if first.isEmpty() else first
+
+
+def component_block(alerts: DataFrame, incidents: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row of what the dashboard counts of alerts (status, severity, risk), incidents (status, severity) and cases (status, closed_at), with the hours of the service levels."""
+    parts = {"alert": alerts, "incident": incidents, "case": cases}
+    columns = {"status": "string", "severity": "string", "risk": "int", "closed_at": "timestamp"}
+    rows = [df.select(F.lit(kind).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]) for kind, df in parts.items()]
+    every = reduce(lambda a, b: a.unionByName(b), rows)
+    of = lambda kind, more=F.lit(True): F.count_if((F.col("kind") == kind) & more)
+    level, ended = F.col("severity"), F.col("status").isin("closed", "resolved")
+    counts = {
+        "total_alerts": of("alert"),
+        "alerts_open": of("alert", F.col("status") == "open"),
+        **{f"alerts_{s}": of("alert", level == s) for s in ("critical", "high", "medium", "low")},
+        "total_incidents": of("incident"),
+        "incidents_open": of("incident", F.col("status") != "closed"),
+        "incidents_critical": of("incident", level == "critical"),
+        "total_cases": of("case"),
+        "cases_open": of("case", ~ended),
+        "cases_closed": of("case", F.col("closed_at").isNotNull()),
+        "avg_risk_score": F.coalesce(F.bround(F.avg(F.when(F.col("kind") == "alert", F.col("risk")))).cast("int"), F.lit(0)),
+    }
+    hours = {f"sla_{s}_hours": F.lit(sla.HOURS[s]) for s in ("critical", "high", "medium", "low")}
+    return every.agg(*[v.alias(k) for k, v in counts.items()]).withColumns(hours)
+
+
+def detection_stats(alerts: DataFrame, rules: DataFrame, assets: DataFrame, events: DataFrame, now: str, n: int = 10) -> DataFrame:
+    """section, value, count: alerts_by_rule, the n most frequent of top_rules, top_mitre and top_iocs (ties by value), rules_total,
+    rules_enabled, critical_assets (1 each) and trend, the events of each of the last sixty minutes.
+
+    alerts: rule_id, mitre, ioc_ids; rules: enabled; assets: hostname, criticality. Alerts are read once.
+    """
+    pair = lambda section, value: F.struct(F.lit(section).alias("section"), value.alias("value"))
+    many = lambda section, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: pair(section, v))
+    named = alerts.select(F.explode(F.concat(F.array(pair("top_rules", F.col("rule_id"))), many("top_mitre", F.col("mitre")), many("top_iocs", F.col("ioc_ids")))).alias("p"))
+    counted = named.select("p.*").groupBy("section", "value").agg(F.count("*").alias("count"))
+    first = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("count"), "value"))
+    tops = counted.withColumn("__n", first).where(F.col("__n") <= n).drop("__n")
+    by_rule = counted.where("section = 'top_rules'").withColumn("section", F.lit("alerts_by_rule"))
+    totals = rules.agg(F.count("*").alias("rules_total"), F.count_if("enabled").alias("rules_enabled")).unpivot([], ["rules_total", "rules_enabled"], "section", "count")
+    none = F.lit(None).cast("string")
+    critical = assets.where("criticality = 'critical'").select(F.lit("critical_assets").alias("section"), F.col("hostname").alias("value"), F.lit(1).cast("long").alias("count"))
+    trend = minute_series(events, now).select(F.lit("trend").alias("section"), F.date_format("minute", "HH:mm").alias("value"), F.col("events").cast("long").alias("count"))
+    return reduce(lambda a, b: a.unionByName(b), [tops, by_rule, totals.select("section", none.alias("value"), "count"), critical, trend])
+
+
+def console_metrics(block: DataFrame, series: DataFrame) -> DataFrame:
+    """mttr of the block (seconds) in minutes, half up, and the events of the last minute of the series, which the console calls its last hour."""
+    rows = block.select(F.floor(F.col("mttr") / 60 + 0.5).alias("mttr_minutes"), F.lit(None).cast("timestamp").alias("minute"), F.lit(None).cast("long").alias("events"))
+    every = rows.unionByName(series.select(F.lit(None).cast("long").alias("mttr_minutes"), "minute", F.col("events").cast("long").alias("events")))
+    return every.agg(F.max("mttr_minutes").alias("mttr_minutes"), F.coalesce(F.max_by("events", "minute"), F.lit(0).cast("long")).alias("events_last_hour"))
+
+
+def incident_metrics(changes: DataFrame) -> DataFrame:
+    """key, created, deduplicated, reopened, failures, alerts and avg_alerts (of those created) of changes (key, change, alerts), and the same in all as key null."""
+    of = lambda change: F.count_if(F.col("change") == change).alias(change if change != "failed" else "failures")
+    grouped = F.coalesce(F.sum(F.when(F.col("change") == "created", F.col("alerts"))), F.lit(0).cast("long")).alias("alerts")
+    sums = changes.select(F.coalesce("key", F.lit("")).alias("key"), "change", "alerts").rollup("key").agg(*[of(c) for c in ("created", "deduplicated", "reopened", "failed")], grouped)
+    return sums.withColumn("avg_alerts", F.when(F.col("created") > 0, F.col("alerts") / F.col("created")).otherwise(0.0))

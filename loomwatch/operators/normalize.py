@@ -100,3 +100,66 @@ def mitre_techniques(values: Column, most: int = 16) -> Column:
 def payload(event: list[str], sets: list[str]) -> Column:
     """The event's columns as JSON, its sets sorted."""
     return F.to_json(F.struct(*event, *[F.array_sort(c).alias(c) for c in sets]))
+
+
+#: The canonical event: column, type, default (None: required or null).
+CANONICAL: dict[str, tuple[str, Column | None]] = {
+    **dict.fromkeys(("event_id", "trace_id"), ("string", None)), **dict.fromkeys(("timestamp", "received_at"), ("timestamp", None)),
+    **dict.fromkeys(("source_type", "source_host", "hostname"), ("string", None)), **dict.fromkeys(("event_category", "event_action"), ("string", "")), "severity": ("string", "info"),
+    **dict.fromkeys(("user", "process", "command_line", "ip_src", "ip_dst", "vendor", "product"), ("string", None)), "event_original": ("string", ""),
+    **dict.fromkeys(("normalized_fields", "tags"), ("array<string>", ())), "confidence": ("double", 1.0), "metadata": ("string", "{}"), "schema_version": ("string", SCHEMA_VERSION),
+    "normalized_at": ("timestamp", None),
+}
+
+
+def canonical(events: DataFrame, now: Column, **columns: Column) -> DataFrame:
+    """Events with exactly the canonical columns: those given, those that the events have, else the default. Sets are sorted and distinct; metadata is JSON."""
+    out = []
+    for name, (kind, default) in CANONICAL.items():
+        empty = F.array() if default == () else F.lit(default)
+        value = columns.get(name, F.col(name) if name in events.columns else now if name == "normalized_at" else empty).cast(kind)
+        if default is not None:
+            value = F.coalesce(value, empty.cast(kind))
+        out.append((F.array_sort(F.array_distinct(value)) if kind.startswith("array") else value).alias(name))
+    return events.select(*out)
+
+
+def canonical_errors() -> Column:
+    """What a canonical event is refused for: the names of the columns at fault."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    faults = {c: blank(c) for c in ("event_id", "source_type", "source_host")}
+    faults |= {"confidence": ~F.col("confidence").between(0.0, 1.0), "schema_version": F.col("schema_version") != SCHEMA_VERSION}
+    return F.array_compact(F.array(*[F.when(bad, name) for name, bad in faults.items()]))
+
+
+def accepted(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Canonical events without errors, and the others with theirs for quarantine."""
+    found = events.withColumn("errors", canonical_errors())
+    return found.where(F.size("errors") == 0).drop("errors"), found.where(F.size("errors") > 0)
+
+
+# What the sensor's normalizer takes over.
+SENSOR_FIELDS = ("asset", "event_type", "evidence", "metadata", "severity", "source", "timestamp")
+
+
+def sensor_canonical(events: DataFrame, payload: str, received_at: Column, now: Column, source_type: str = "sensor", vendor: str | None = None, product: str | None = None) -> DataFrame:
+    """Sensor events (JSON that the contract accepts) as canonical events, other columns aside.
+
+    The trace is the correlation id, else the event's own; the original is kept as canonical JSON, and the metadata
+    hold the source, its sequence and severity, the asset, the evidence and the source's own metadata.
+    """
+    body = F.try_parse_json(F.col(payload))
+    held = events.select(body.alias("__v"), received_at.alias("__received"))
+    text = lambda path: F.try_variant_get("__v", f"$.{path}", "string")
+    part = lambda path: F.try_variant_get("__v", f"$.{path}", "variant")
+    metadata = F.struct(
+        part("asset").alias("asset"), text("schema_version").alias("contract_schema_version"), part("evidence").alias("evidence"), text("event_id").alias("origin_event_id"),
+        text("source.component").alias("source_component"), text("source.instance_id").alias("source_instance_id"), part("metadata").alias("source_metadata"),
+        text("source.product_version").alias("source_product_version"), F.try_variant_get("__v", "$.sequence", "decimal(38,0)").alias("source_sequence"), text("severity").alias("source_severity"),
+    )
+    return canonical(
+        held, now, event_id=text("event_id"), trace_id=F.coalesce(text("metadata.correlation_id"), text("event_id")), timestamp=text("timestamp").try_cast("timestamp"), received_at=F.col("__received"),
+        source_type=F.lit(source_type), source_host=text("asset.hostname"), hostname=text("asset.hostname"), event_category=sensor_category(text("event_type")), event_action=sensor_action(text("event_type")),
+        severity=text("severity"), vendor=F.lit(vendor), product=F.lit(product), event_original=F.to_json("__v"), normalized_fields=F.array(*[F.lit(c) for c in SENSOR_FIELDS]),
+        tags=F.try_variant_get("__v", "$.metadata.tags", "array<string>"), metadata=F.to_json(metadata),
+    )

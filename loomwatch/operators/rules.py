@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -32,6 +33,30 @@ class Rule:
     enabled: bool = True
 
 
+def in_order(held: dict[str, Any]) -> list[Any]:
+    """Those enabled (with enabled, priority and depends_on): dependencies first, then by priority and order of registration; ValueError for missing, disabled or circular ones."""
+    on = {k: r for k, r in held.items() if r.enabled}
+    place = {k: i for i, k in enumerate(held)}
+    for k, r in on.items():
+        if missing := [d for d in r.depends_on if d not in on]:
+            raise ValueError(f"{k} depends on {missing}")
+    waiting = {k: set(r.depends_on) for k, r in on.items()}
+    ready = [(r.priority, place[k], k) for k, r in on.items() if not r.depends_on]
+    heapq.heapify(ready)
+    out = []
+    while ready:
+        _, _, k = heapq.heappop(ready)
+        out.append(on[k])
+        for other, left in waiting.items():
+            if k in left:
+                left.discard(k)
+                if not left:
+                    heapq.heappush(ready, (on[other].priority, place[other], other))
+    if len(out) < len(on):
+        raise ValueError("they depend on each other in a circle")
+    return out
+
+
 @dataclass
 class Registry:
     rules: dict[str, Rule] = field(default_factory=dict)
@@ -46,27 +71,8 @@ class Registry:
         self.rules[rule_id] = Rule(**{**r.__dict__, "enabled": on})
 
     def ordered(self) -> list[Rule]:
-        """Dependencies first, then by priority and order of registration; ValueError for missing, disabled or circular ones."""
-        on = {k: r for k, r in self.rules.items() if r.enabled}
-        place = {k: i for i, k in enumerate(self.rules)}
-        for r in on.values():
-            if missing := [d for d in r.depends_on if d not in on]:
-                raise ValueError(f"{r.rule_id} depends on {missing}")
-        waiting = {k: set(r.depends_on) for k, r in on.items()}
-        ready = [(r.priority, place[k], k) for k, r in on.items() if not r.depends_on]
-        heapq.heapify(ready)
-        out = []
-        while ready:
-            _, _, k = heapq.heappop(ready)
-            out.append(on[k])
-            for other, left in waiting.items():
-                if k in left:
-                    left.discard(k)
-                    if not left:
-                        heapq.heappush(ready, (on[other].priority, place[other], other))
-        if len(out) < len(on):
-            raise ValueError("rules depend on each other in a circle")
-        return out
+        """The enabled rules, as in_order() has it."""
+        return in_order(self.rules)
 
     def unregister(self, rule_id: str) -> Rule:
         return self.rules.pop(rule_id)

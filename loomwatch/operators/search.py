@@ -108,6 +108,33 @@ def grid(df: DataFrame, term: str | None, columns: list[str], **equal: str | Non
     return found
 
 
+PERIODS = {"24h": 1, "7d": 7}  # days; any other is all time
+
+
+def since(df: DataFrame, period: str | None, now: Column, ts: str = "first_seen") -> DataFrame:
+    """Rows of the period before now, its start included; those without a time are of no period."""
+    return df.where(F.col(ts) >= now - F.make_interval(days=F.lit(PERIODS[period]))) if period in PERIODS else df
+
+
+def triage(alerts: DataFrame, now: Column, term: str | None = None, period: str | None = None, columns: list[str] | None = None, **equal: str | None) -> DataFrame:
+    """The triage list: a term in title, source, host or rule, equal columns (severity, source, host, rule) and a period of first_seen."""
+    return since(grid(alerts, term, columns or ["title", "source", "host", "rule"], **equal), period, now)
+
+
+def sla_bucket(state: Column) -> Column:
+    """How the queue is filtered by service level: overdue (missed too), warning, ok, and none without one."""
+    return F.when(state.isNull(), "none").when(state.isin("overdue", "missed"), "overdue").when(state == "warning", "warning").otherwise("ok")
+
+
+def queue_filter(items: DataFrame, sla: str | None = None, ownership: str | None = None, **equal: str | None) -> DataFrame:
+    """The decision queue's filters: equal columns (severity, kind, status), a service level's bucket, assigned or unassigned; 'all' or None for any. An empty owner is none."""
+    found = grid(items, None, [], **equal)
+    if sla and sla != "all":
+        found = found.where(sla_bucket(F.col("sla_state")) == sla)
+    owned = F.coalesce(F.col("owner"), F.lit("")) != ""
+    return found.where(owned if ownership == "assigned" else ~owned) if ownership in ("assigned", "unassigned") else found
+
+
 def facets(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomwatch.functions import checks, keys, severity, sla
 from loomwatch.operators import alerts, changes, contract, dsl, enrich, incidents, kpi, normalize, plugins, relations, rules, search, syslog, windows
 from loomwatch.plans import pipeline, sql
-from loomwatch.sources import stores, textindex
+from loomwatch.sources import attachments, stores, textindex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1061,3 +1061,129 @@ def plugin_stitched(spark, sf_dir):
     line = F.when(head, F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("  at "), "event_type"))
     lines = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", F.to_date("ts").alias("day"), "ts", line.alias("line"))
     return spark.sql("SELECT * FROM stitched(TABLE(SELECT * FROM {lines}) PARTITION BY (user_id, day) ORDER BY (ts, id))", lines=lines)
+
+
+@query(
+    """with f as (select page_id, page_id % 40 as case_id, case when page_id % 9 = 0 then null when page_id % 5 = 0 then 'shared evidence ' || (page_id % 7) else html end as body from pages)
+    select page_id, case_id, coalesce(octet_length(encode(body)), 0) as size, sha256(body) as sha256, case when body is null then 'link' else 'stored' end as state from f"""
+)
+def case_attachments(spark, sf_dir):
+    """Pages as attachments of cases: stored by hash in two batches, one of them twice, and checked; every ninth is a link only."""
+    from loomwatch.plans import streams
+
+    n = F.col("page_id")
+    body = F.when(n % 9 != 0, F.when(n % 5 == 0, F.concat(F.lit("shared evidence "), (n % 7).cast("string"))).otherwise(F.col("html")))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("name"), body.cast("binary").alias("content"), F.lit(NOW).cast("timestamp").alias("ts"))
+    folder = streams.folder(spark, "attachments")
+    for batch, part in (("even", 0), ("odd", 1), ("odd", 1)):
+        attachments.store(pages.where(n % 2 == part), folder, batch, "page_id")
+    entries = attachments.entries(pages.withColumn("name", n.cast("string")), n % 40, content_type=F.lit("text/html"))
+    return attachments.checked(spark, entries, folder).select(F.col("name").cast("long").alias("page_id"), "case_id", "size", "sha256", "state")
+
+
+# ---- dashboards in full, console filters, canonical sensor events
+
+
+@query(
+    f"""with {sql.INCIDENTS}, {_ORDERS} select a.*, i.*, c.*, 1 as sla_critical_hours, 4 as sla_high_hours, 24 as sla_medium_hours, 72 as sla_low_hours from
+    (select count(*) as total_alerts, count(*) filter (event_id % 5 <> 0) as alerts_open, count(*) filter (severity = 'critical') as alerts_critical, count(*) filter (severity = 'high') as alerts_high,
+      count(*) filter (severity = 'medium') as alerts_medium, count(*) filter (severity = 'low') as alerts_low, cast(coalesce(round_even(avg(risk), 0), 0) as integer) as avg_risk_score from dd) a,
+    (select count(*) as total_incidents, count(*) filter (severity <> 'medium') as incidents_open, count(*) filter (severity = 'critical') as incidents_critical from inc) i,
+    (select count(*) as total_cases, count(*) filter (o_orderstatus <> 'F') as cases_open, count(closed) as cases_closed from st) c"""
+)
+def kpi_components(spark, sf_dir):
+    """Alerts of every fifth event are acknowledged, incidents of medium severity closed; orders are cases."""
+    a = pipeline.deduplicated(spark, sf_dir).withColumn("status", F.when(F.pmod("event_id", F.lit(5)) == 0, "acknowledged").otherwise("open"))
+    i = pipeline.incident_rows(spark, sf_dir).withColumn("status", F.when(F.col("severity") == "medium", "closed").otherwise("open"))
+    c = _orders(spark, sf_dir).withColumn("status", F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open"))
+    return kpi.component_block(a, i, c)
+
+
+@query(
+    f"""with {sql.ALERTS}, p as (select 'top_rules' as section, rule_id as value from al union all select 'top_mitre', tag from al union all select 'top_iocs', ip_src from al where user_id % 10 = 0),
+    n as (select section, value, count(*) as count from p group by all), m as (select unnest(generate_series(timestamp '{NOW}' - interval 59 minutes, timestamp '{NOW}', interval 1 minute)) as minute),
+    c as (select date_trunc('minute', ts) as minute, count(*) as n from ev where ts between timestamp '{NOW}' - interval 59 minutes and timestamp '{NOW}' group by 1)
+    select * from n qualify row_number() over (partition by section order by count desc, value) <= 10
+    union all select 'alerts_by_rule', value, count from n where section = 'top_rules' union all values ('rules_total', null, 3), ('rules_enabled', null, 3)
+    union all select 'critical_assets', s_name, 1 from supplier where s_acctbal > 5000 union all select 'trend', strftime(minute, '%H:%M'), coalesce(n, 0) from m left join c using (minute)"""
+)
+def detection_stats(spark, sf_dir):
+    """Suppliers with much on their account are critical assets; every tenth user is a known indicator."""
+    a = pipeline.alert_rows(spark, sf_dir).select("rule_id", F.col("tags").alias("mitre"), F.when(F.pmod("user_id", F.lit(10)) == 0, F.array("ip_src")).alias("ioc_ids"))
+    held = spark.createDataFrame([(r.rule_id, r.enabled) for r in pipeline.registry().rules.values()], "rule_id string, enabled boolean")
+    assets = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("hostname"), F.when(F.col("s_acctbal") > 5000, "critical").otherwise("low").alias("criticality"))
+    return kpi.detection_stats(a, held, assets, pipeline.events(spark, sf_dir), NOW)
+
+
+@query(
+    f"""with {sql.EV}, {_ORDERS}, m as (select coalesce(floor(avg((epoch_us(closed) - epoch_us(created)) / 1e6)), 0) as mttr from st)
+    select cast(floor(mttr / 60.0 + 0.5) as bigint) as mttr_minutes, (select count(*) from ev where ts between date_trunc('minute', timestamp '{NOW}') and timestamp '{NOW}') as events_last_hour from m"""
+)
+def console_metrics(spark, sf_dir):
+    block = kpi.case_block(_orders(spark, sf_dir).withColumn("status", F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open")))
+    return kpi.console_metrics(block, kpi.minute_series(pipeline.events(spark, sf_dir), NOW))
+
+
+@query(
+    f"""with {sql.DEDUP}, a as (select fingerprint, rule_id, severity, source_host, usr, first_seen from dd)
+    select 'week' as list, fingerprint from a where first_seen >= timestamp '{NOW}' - interval 7 days and severity = 'high' and (lower(rule_id) like '%login%' or lower(source_host) like '%login%')
+    union all select 'day', fingerprint from a where first_seen >= timestamp '{NOW}' - interval 1 day union all select 'host', fingerprint from a where source_host = 'host-7'"""
+)
+def triage_list(spark, sf_dir):
+    a = pipeline.deduplicated(spark, sf_dir)
+    now, columns = F.lit(NOW).cast("timestamp"), ["rule_id", "source_host"]
+    lists = {
+        "week": search.triage(a, now, "LOGIN", "7d", columns, severity="high", rule_id="all"),
+        "day": search.triage(a, now, None, "24h", columns),
+        "host": search.triage(a, now, "", "all", columns, source_host="host-7"),
+    }
+    return reduce(lambda x, y: x.unionByName(y), [found.select(F.lit(name).alias("list"), "fingerprint") for name, found in lists.items()])
+
+
+@query(
+    f"""with {_ORDERS}, q as (select id, severity, o_orderstatus as status, case when id % 4 <> 0 then state end as state, case when o_custkey % 3 = 0 then null when o_custkey % 3 = 1 then '' else 'o' end as owner from st)
+    select 'late and nobody''s' as list, id from q where state in ('overdue', 'missed') and coalesce(owner, '') = '' union all select 'owned and critical', id from q where owner = 'o' and severity = 'critical'
+    union all select 'no level', id from q where state is null and status = 'O' union all select 'fine', id from q where state in ('ok', 'met')"""
+)
+def queue_lists(spark, sf_dir):
+    """The decision queue by service level, ownership and status."""
+    customer = F.pmod("o_custkey", F.lit(3))
+    q = _orders(spark, sf_dir).select(
+        "id", "severity", F.col("o_orderstatus").alias("status"), F.when(F.pmod("id", F.lit(4)) != 0, F.col("sla_state")).alias("sla_state"), F.when(customer == 1, "").when(customer == 2, "o").alias("owner")
+    )
+    lists = {
+        "late and nobody's": search.queue_filter(q, sla="overdue", ownership="unassigned"), "owned and critical": search.queue_filter(q, sla="all", ownership="assigned", severity="critical"),
+        "no level": search.queue_filter(q, sla="none", status="O"), "fine": search.queue_filter(q, sla="ok", severity="all"),
+    }
+    return reduce(lambda x, y: x.unionByName(y), [found.select(F.lit(name).alias("list"), "id") for name, found in lists.items()])
+
+
+_SENSOR_META = (
+    """'{"asset":{"asset_id":"a-1","hostname":"host-' || user_id || '","ip":"10.0.0.1"},"contract_schema_version":"1.0","evidence":{"file_path":"etc/passwd"},"origin_event_id":"e' || event_id || '","source_component":"fim","source_instance_id":"i","source_metadata":{' """
+    """|| case when event_id % 3 = 0 then '"correlation_id":"c' || user_id || '",' else '' end || '"tags":["t","b","t"]},"source_product_version":"1.2.3","source_sequence":' || event_id || ',"source_severity":"high"}'"""
+)
+
+
+@query(
+    f"""with e as (select *, list_extract(['fim.file.added', 'hash.mismatch', 'alert.created'], event_id % 3 + 1) as kind from events)
+    select 'e' || event_id as event_id, case when event_id % 3 = 0 then 'c' || user_id else 'e' || event_id end as trace_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as timestamp, 'sensor' as source_type,
+    'host-' || user_id as hostname, case kind when 'alert.created' then 'alert' else 'file' end as event_category, case kind when 'hash.mismatch' then 'hash_changed' else 'created' end as event_action, 'high' as severity, 'v' as vendor,
+    'b,t' as tags, 'asset,event_type,evidence,metadata,severity,source,timestamp' as normalized_fields, 1.0::double as confidence, {_SENSOR_META} as metadata, case when user_id % 10 = 0 then 'source_host' else '' end as errors from e"""
+)
+def canonical_sensor_events(spark, sf_dir):
+    """The sensor's events as canonical ones, with their checks: of every tenth user the source host is lost on the way."""
+    n, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    kind = F.element_at(F.array(F.lit("fim.file.added"), F.lit("hash.mismatch"), F.lit("alert.created")), (F.pmod("event_id", F.lit(3)) + 1).cast("int"))
+    text = F.concat(
+        F.lit('{"event_id":"e'), n, F.lit('","schema_version":"1.0","sequence":'), n, F.lit(',"event_type":"'), kind, F.lit('","severity":"high","timestamp":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit('","source":{"product_version":"1.2.3","instance_id":"i","component":"fim"},"asset":{"asset_id":"a-1","ip":"10.0.0.1","hostname":"host-'), user, F.lit('"},"evidence":{"file_path":"etc/passwd"},"metadata":{'),
+        F.when(F.pmod("event_id", F.lit(3)) == 0, F.concat(F.lit('"correlation_id":"c'), user, F.lit('",'))).otherwise(""), F.lit('"tags":["t","b","t"]}}'),
+    )
+    sent = table(spark, sf_dir, "events").select(text.alias("payload"), "ts")
+    held = normalize.sensor_canonical(sent, "payload", F.col("ts").cast("timestamp"), F.lit(NOW).cast("timestamp"), vendor="v", product="p")
+    ok, refused = normalize.accepted(held.withColumn("source_host", F.when(~F.col("hostname").rlike("0$"), F.col("source_host"))))
+    both = ok.withColumn("errors", F.array().cast("array<string>")).unionByName(refused)
+    return both.select(
+        "event_id", "trace_id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "source_type", "hostname", "event_category", "event_action", "severity", "vendor",
+        F.array_join("tags", ",").alias("tags"), F.array_join("normalized_fields", ",").alias("normalized_fields"), "confidence", "metadata", F.array_join("errors", ",").alias("errors"),
+    )

@@ -21,6 +21,11 @@ def trail(spark: SparkSession, path: str, stage: str | None = None, correlation_
     return rows.orderBy(F.desc("ts") if stage and not correlation_id else F.asc("ts"))
 
 
+def trail_page(rows: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the trail (event_id, ts), newest first; unlike the lists of entities its limit is as asked."""
+    return rows.orderBy(F.desc("ts"), "event_id").offset(max(0, offset)).limit(limit)
+
+
 def as_record(df: DataFrame) -> DataFrame:
     """One JSON text a row, every value as text."""
     return df.select(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns])).alias("payload"))
@@ -71,6 +76,21 @@ def audit(entries: DataFrame, entity: str | None = None, action: str | None = No
     return entries.orderBy(F.desc("ts"), "audit_id").offset(offset).limit(limit)
 
 
+AUDIT = "audit_id string, ts timestamp, actor string, action string, entity string, entity_id string, detail string"
+
+
+def append_audit(entries: DataFrame, path: str, batch: str) -> None:
+    """Entries, each with an id of its content if it has none, in a folder of the batch, which a retry overwrites. Columns that they lack are null."""
+    names = [c.split()[0] for c in AUDIT.split(", ")]
+    full = entries.select(*[F.col(c) if c in entries.columns else F.lit(None).cast(c_type).alias(c) for c, c_type in (x.split() for x in AUDIT.split(", "))])
+    own = F.sha2(F.to_json(F.struct(*names[1:]), {"ignoreNullFields": "false"}), 256)
+    full.withColumn("audit_id", F.coalesce("audit_id", own)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def audit_trail(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{AUDIT}, batch string").parquet(path).drop("batch")
+
+
 def access_audit(requests: DataFrame) -> DataFrame:
     """Audit rows of the requests that change something: method, path, status, outcome."""
     changing = requests.where(F.upper("method").isin("POST", "PUT", "PATCH", "DELETE"))
