@@ -4,14 +4,18 @@ Beside the patterns, a run of key-like characters near a sensitive word, on eith
 compressed together with the code around it, with and without the candidate, by a compressor primed with
 a dictionary of code and of the identifiers that many documents of the corpus use. The bytes that it adds measure how new it is: names, words and values
 that the surroundings or the dictionary know add few, random material adds nearly its own length. A mean per character
-sinks with length, so from LONG characters on it is held against the bits of the candidate's alphabet.
+sinks with length, so from LONG characters on it is held against the bits of the candidate's alphabet. Other
+candidates in the surroundings teach the compressor the alphabet of keys, so novelty is measured without them; with
+them a candidate need only add what random text of its alphabet does, which names that share parts don't.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,14 +31,19 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 SENSITIVE_WORDS = ("key", "token", "secret", "passw", "pwd", "auth", "cred", "bearer", "private", "signature", "session", "cookie", "salt", "nonce")
 SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-CANDIDATE_CHARACTER = re.compile("[A-Za-z0-9+/_=-]")
+#: A run of key-like characters, with the padding of base64 where no value follows.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: Characters between sensitive word and candidate, of context on either side, and least novelty (bytes a character).
 REACH, AROUND, NOVELTY = 40, 200, 0.75
+#: Share of its entropy that a candidate must add among other candidates.
+AMONG = 0.5
 #: Characters from which novelty need not exceed what random text of the same alphabet holds.
 LONG = 64
-#: A name of letters that something is assigned to, or the rest of one.
-NAME = re.compile(r"""[A-Za-z_/-]+["']?\s*[:=]""")
+#: A name of letters that a value is assigned to, or the rest of one.
+NAME = re.compile(r"""[A-Za-z_/-]+["']?[ \t]*[:=]+[ \t]*["'(\[{<]?[\w.$+/-]""")
+#: Capitals in a row before a small letter: names have few, random letters many.
+JUMBLED = re.compile("[A-Z]{2,}[a-z]")
+PREFIX = re.compile("[A-Za-z_/-]+")
 HEX_DIGITS = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 #: Words of the corpus in the dictionary at most, and documents that use such a word at least, lest it be a secret.
 LEXICON, LEAST = 8192, 20
@@ -50,14 +59,48 @@ path file name value type size length count index start end data result response
 """
 
 
-def least_novelty(own: str) -> float:
-    """NOVELTY, or for a long candidate the bytes a character of random text of its alphabet if that is less."""
-    if len(own) < LONG:
-        return NOVELTY
+def entropy(own: str) -> float:
+    """Bytes a character of random text of the candidate's alphabet."""
     digits, small, large = (any(map(test, own)) for test in (str.isdigit, str.islower, str.isupper))
     letters = 26 * max(1, small + large) if digits else 26
-    alphabet = 16 if HEX_DIGITS.fullmatch(own) else letters + 10 * digits
-    return min(NOVELTY, math.log2(alphabet) / 8)
+    alphabet = 10 if own.isdigit() else 16 if HEX_DIGITS.fullmatch(own) else letters + 10 * digits
+    return math.log2(alphabet) / 8
+
+
+def least_novelty(own: str) -> float:
+    """NOVELTY, or for a long candidate its entropy if that is less."""
+    return NOVELTY if len(own) < LONG else min(NOVELTY, entropy(own))
+
+
+def named(text: str, start: int, end: int) -> bool:
+    """Whether the run is a name that a value follows; a run padded to whole groups of four is none."""
+    return NAME.match(text, start) is not None and not (text[end - 1] == "=" and (end - start) % 4 == 0)
+
+
+def candidates(text: str, words: list[tuple[int, int]], runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs within REACH of a sensitive word, on either side; a run that starts with a name of letters that holds words begins after the last of these."""
+    starts = [s for s, _ in words]
+    for start, end in runs:
+        inside = words[bisect_left(starts, start) : bisect_left(starts, min(end, start + REACH))]
+        after = max((e for _, e in inside if PREFIX.fullmatch(text, start, e)), default=end)
+        if end - after >= 16:
+            yield after, end
+            continue
+        i = bisect_left(starts, start)
+        near = i > 0 and start - words[i - 1][1] <= REACH
+        i = bisect_left(starts, end + 1)  # what runs into a word is a name
+        if near or (i < len(words) and starts[i] - end <= REACH):
+            yield start, end
+
+
+def apart(base: list[tuple[int, int]], spans: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The spans that overlap none of the base."""
+    starts = [s for s, _ in base]
+    reach = list(accumulate((e for _, e in base), max))
+    for start, end in spans:
+        i = bisect_left(starts, end)
+        if not i or reach[i - 1] <= start:
+            yield start, end
 
 
 class Scanner:
@@ -68,16 +111,33 @@ class Scanner:
         primed.precompute_compress(level=9)
         self.compress = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False).compress
 
-    def added(self, text: str, start: int, end: int, own: str) -> float:
-        """Bytes that the span, written as own, adds to its compressed surroundings, a character."""
-        before, after = text[max(0, start - AROUND) : start].encode(), text[end : end + AROUND].encode()
+    def added(self, before: bytes, after: bytes, own: str) -> float:
+        """Bytes that own adds to its compressed surroundings, a character."""
         return (len(self.compress(before + own.encode() + after)) - len(self.compress(before + after))) / len(own)
 
-    def novelty(self, text: str, start: int, end: int) -> float:
-        """What the span adds; of spans without digits, which may be names in capitals, at most what their small letters add."""
+    def novelty(self, before: bytes, after: bytes, own: str) -> float:
+        """What own adds; of spans without digits, which may be names in capitals, at most what their small letters add."""
+        found = self.added(before, after, own)
+        plain = any(x.isdigit() for x in own) or own == own.lower() or len(JUMBLED.findall(own)) > 1
+        return found if plain else min(found, self.added(before, after, own.lower()))
+
+    def novel(self, text: str, start: int, end: int, runs: list[tuple[int, int]]) -> bool:
+        """Whether the span is new among its surroundings without other runs, and as new as random text among all."""
         own = text[start:end]
-        found = self.added(text, start, end, own)
-        return found if any(x.isdigit() for x in own) or own == own.lower() else min(found, self.added(text, start, end, own.lower()))
+        low, high = max(0, start - AROUND), min(len(text), end + AROUND)
+        sides = []
+        for a, b in ((low, start), (end, high)):
+            kept, at = [], a
+            first = max(0, bisect_left(runs, (a, 0)) - 1)
+            for s, e in runs[first : bisect_left(runs, (b, 0))]:
+                if e > at and s < b and (e - s != len(own) or text[s:e] != own):
+                    kept.append(text[at : max(at, s)])
+                    at = min(b, e)
+            sides.append("".join([*kept, text[at:b]]).encode())
+        if self.novelty(*sides, own) < least_novelty(own):
+            return False
+        around = text[low:start].encode(), text[end:high].encode()
+        return [*around] == sides or self.novelty(*around, own) >= AMONG * entropy(own)
 
     def base(self, text: str, low: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the three patterns, per kind leftmost and without overlap; those too short are dropped after matching."""
@@ -92,26 +152,12 @@ class Scanner:
         low = text.lower()
         found = self.base(text, low)
         if any(w in low for w in SENSITIVE_WORDS):
-            seen: dict[int, int] = {}
-            for m in SENSITIVE.finditer(text):
-                for c in CANDIDATE.finditer(text, m.end(), m.end() + REACH + 16):
-                    if c.start() <= m.end() + REACH and c.start() not in seen:
-                        seen[c.start()] = CANDIDATE.match(text, c.start()).end()
-                for c in CANDIDATE.finditer(text, max(0, m.start() - REACH - 16), m.start()):
-                    if m.start() - REACH <= c.end() < m.start():  # what runs into the word is a name
-                        start = c.start()
-                        while start and CANDIDATE_CHARACTER.match(text, start - 1):
-                            start -= 1
-                        seen[start] = c.end()
-            last = -1
-            for start, end in sorted(seen.items()):
-                if start < last or NAME.match(text, start):
-                    continue
-                if any(s < end and start < e for s, _, e in found):
-                    continue
-                if self.novelty(text, start, end) >= least_novelty(text[start:end]):
+            words = [m.span() for m in SENSITIVE.finditer(text)]
+            runs = [m.span() for m in CANDIDATE.finditer(text)]
+            base = sorted((s, e) for s, _, e in found)
+            for start, end in apart(base, candidates(text, words, runs)):
+                if not named(text, start, end) and self.novel(text, start, end, runs):
                     found.append((start, 3, end))
-                    last = end
         return sorted(found)
 
 

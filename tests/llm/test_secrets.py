@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from loomwatch.llm import secrets
 
@@ -65,3 +66,42 @@ def test_keys_without_digits_and_long_keys():
         assert sum(novel(f'app.session_store = open_store(signature, "{k}", retries=3)') == [k] for k in keys) >= least * len(keys)
     for text in ("session key production_environment_settings", "SECRET_KEY_AUTHORIZATION_SETTINGS = load()", "token = connection_settings_configuration", "the cookie aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"):
         assert novel(text) == []
+
+
+def test_keys_among_other_keys():
+    r = random.Random(7)
+    capitals, small, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters in (capitals + small + digits, capitals + small + digits + "+/", digits + "ABCDEF", capitals + "234567", small + digits, capitals + small, capitals):
+        for n in (20, 24, 32, 40, 64):
+            hits = 0
+            for _ in range(5):
+                keys = ["".join(r.choice(letters) for _ in range(n)) for _ in range(10)]
+                hits += len(set(keys) & set(novel("\n".join(f"AUTH {k}" for k in keys))))
+            assert hits >= 45, (letters, n, hits)
+    keys = ["".join(r.choice(capitals + small + digits) for _ in range(24)) for _ in range(2000)]
+    assert len(set(keys) & set(novel(" ".join(f"key {k}" for k in keys)))) >= 1900
+
+
+def test_padding_and_names():
+    assert novel("key qXvBnZrTfGhJkLpWsDcYmA= ") == ["qXvBnZrTfGhJkLpWsDcYmA="] and novel("auth kJhGfDsAqWeRtYuIoPzXcVb: ") == ["kJhGfDsAqWeRtYuIoPzXcVb"]
+    assert novel("bearer abcdEFGHqwzxRTYpLmnb") == ["abcdEFGHqwzxRTYpLmnb"] and novel("key9fQ2xLw8Zr4TnB7vKc1Yp6Hd3Js5Gm0E") == ["9fQ2xLw8Zr4TnB7vKc1Yp6Hd3Js5Gm0E"]
+    for text in ("the key customer_billing_address_line1 and customer_billing_address_line2, customer_billing_country_name", "auth qXvBnZrTfGhJkLpWsDcYmA: 17", "session getUserAuthTokenFromSessionStore"):
+        assert novel(text) == []
+
+
+def test_long_runs_take_linear_time():
+    began = time.perf_counter()
+    novel("keyA1b2" * 1_500_000)
+    novel("key " * 300_000 + "=" * 1_000_000)
+    assert time.perf_counter() - began < 60
+
+
+def test_novel_spans_overlap_no_other():
+    r = random.Random(3)
+    pieces = ["password=", "key ", "AKIA", "0123456789abcdef" * 2, "token: ", " ", "\n", "=", "é", "9fQ2xLw8Zr4TnB7vKc1Yp6Hd", "production_settings_name"]
+    for _ in range(300):
+        text = "".join(r.choice(pieces) for _ in range(40))
+        spans = secrets.Scanner().spans(text)
+        own = [(s, e) for s, k, e in spans if k == 3]
+        assert [x for x in spans if x[1] < 3] == base(text)
+        assert all(e <= s2 for (_, e), (s2, _) in zip(own, own[1:], strict=False)) and not any(s < e2 and s2 < e for s, e in own for s2, k, e2 in spans if k < 3)
