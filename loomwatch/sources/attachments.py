@@ -1,7 +1,7 @@
 """Attachments of cases: contents by their hash, written once, and entries that refer to them.
 
-A content is a row (sha256, size, content) below folder/contents, in partitions of the hash's first two digits; a
-batch has a folder of its own there, which a retry overwrites. Cases and lists hold hash and size only: contents are
+A content is a row (sha256, size, content) below folder/contents; a batch has a folder of its own there, which a retry
+overwrites. Contents lie where their files were read, so that writing them neither shuffles nor splits them up. Cases and lists hold hash and size only: contents are
 read where they are opened.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwatch.functions.keys import filled
 
-CONTENT = "sha256 string, size long, content binary, prefix string"
+CONTENT = "sha256 string, size long, content binary"
 ENTRY = ("case_id", "ts", "name", "content_type", "size", "sha256", "url", "added_by")
 
 
@@ -35,7 +35,7 @@ def contents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store(files: DataFrame, folder: str, batch: str, key: str = "id") -> None:
-    """Writes those contents of the files (key, content) that no other batch stored yet, each once.
+    """Writes those contents of the files (key, content) that no other batch stored yet, each once; a row that repeats with its key is written again.
 
     Which row writes a content is settled on hashes alone; contents go to no aggregate.
     """
@@ -47,8 +47,8 @@ def store(files: DataFrame, folder: str, batch: str, key: str = "id") -> None:
     if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         others = contents(spark, folder).where(F.col("batch") != batch).select("sha256").distinct()
         writers = writers.join(others, "sha256", "left_anti")
-    new = rows.join(writers, (rows[key] == F.col("__key")) & (rows["sha256"] == writers["sha256"]), "left_semi").dropDuplicates([key, "sha256"])
-    new.select("sha256", "size", "content", F.substring("sha256", 1, 2).alias("prefix")).write.mode("overwrite").partitionBy("prefix").parquet(target)
+    new = rows.join(writers, (rows[key] == F.col("__key")) & (rows["sha256"] == writers["sha256"]), "left_semi")
+    new.select("sha256", "size", "content").write.mode("overwrite").parquet(target)
 
 
 def entries(files: DataFrame, case_id: Column, content_type: Column | None = None, url: Column | None = None, added_by: Column | None = None) -> DataFrame:
@@ -85,9 +85,9 @@ def checked(spark: SparkSession, entries: DataFrame, folder: str) -> DataFrame:
 
 
 def opened(spark: SparkSession, entries: DataFrame, folder: str) -> DataFrame:
-    """The entries with their content; partitions of other hashes are not read where entries are few."""
-    held = contents(spark, folder).select("prefix", F.col("sha256").alias("__sha"), "content")
-    wanted = entries.where("sha256 is not null").withColumn("__prefix", F.substring("sha256", 1, 2))
-    one = held.join(wanted.select("__prefix", F.col("sha256").alias("__want")).distinct(), (F.col("prefix") == F.col("__prefix")) & (F.col("__sha") == F.col("__want")), "left_semi")
+    """The entries with their content."""
+    held = contents(spark, folder).select(F.col("sha256").alias("__sha"), "content")
+    wanted = entries.where("sha256 is not null").select(F.col("sha256").alias("__want")).distinct()
+    one = held.join(wanted, F.col("__sha") == F.col("__want"), "left_semi")
     first = one.groupBy("__sha").agg(F.first("content").alias("content"))
     return entries.join(first, F.col("sha256") == F.col("__sha"), "left").drop("__sha")
