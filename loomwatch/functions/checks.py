@@ -106,7 +106,8 @@ def non_empty(text: Column) -> Column:
 
 def failures(rules: dict[str, Column]) -> Column:
     """Names of all rules that do not hold, in order; null counts as not holding."""
-    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+    named = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
+    return F.array_except(named, F.array(F.lit(None).cast("string")))  # array_compact() would have the rules interpreted
 
 
 def valid_regex(pattern: str) -> bool:

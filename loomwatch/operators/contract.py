@@ -68,13 +68,14 @@ def kind_of(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit(""))
 
 
-def read(v: Column, kind: Column) -> Column:
-    """there, void (an explicit null), and the text or whole number of a variant of the kind; other kinds have neither."""
-    long = F.startswith(kind, F.lit("DECIMAL(")) & F.endswith(kind, F.lit(",0)")) & (F.length(kind) > len("DECIMAL(9,0)"))  # 5.0 has kind DECIMAL(1,0)
-    return F.struct(
-        (~kind.isin("", "VOID")).alias("there"), (kind == "VOID").alias("void"), F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias("text"),
-        F.when((kind == "BIGINT") | long, F.try_variant_get(v, "$", "decimal(38,0)")).alias("whole"),
-    )
+def read(v: Column, kind: Column, whole: bool = False) -> Column:
+    """there, void (an explicit null), and the text, or the whole number, of a variant of the kind; other kinds have none."""
+    if whole:
+        long = F.startswith(kind, F.lit("DECIMAL(")) & F.endswith(kind, F.lit(",0)")) & (F.length(kind) > len("DECIMAL(9,0)"))  # 5.0 has kind DECIMAL(1,0)
+        value = F.when((kind == "BIGINT") | long, F.try_variant_get(v, "$", "decimal(38,0)")).alias("whole")
+    else:
+        value = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias("text")
+    return F.struct((~kind.isin("", "VOID")).alias("there"), (kind == "VOID").alias("void"), value)
 
 
 def member(parent: Column, name: str) -> Column:
@@ -126,23 +127,48 @@ def groups(dialect: Dialect) -> dict[str, tuple[str, tuple[str, ...]]]:
     }
 
 
-#: Parts of an event whose keys or trees are judged, with the paths to them.
-PARTS = {"root": "$", "source": "$.source", "asset": "$.asset", "evidence": "$.evidence", "details": "$.evidence.details", "metadata": "$.metadata"}
+#: Parts of an event whose keys are judged, with the paths to them.
+PARTS = {"root": "$", "source": "$.source", "asset": "$.asset", "evidence": "$.evidence"}
+
+
+#: Members that are read as whole numbers; the others are read as texts.
+WHOLE = {"sequence", "file_size_bytes", *(n for names in COUNTS.values() for n in names)}
+#: Canonical JSON is at most so many times its source: 1e6 becomes 1000000.0, a broken byte three.
+GROWS = 4
+
+
+def drawn_type(dialect: Dialect) -> str:
+    """All members that rules look at as one type, so that a variant is walked once."""
+    g = {n: ",".join(f"{m} variant" for m in names) for n, (_, names) in groups(dialect).items()}
+    details = ",".join(f"{m} variant" for m in sorted({*groups(dialect)["counts"][1], *groups(dialect)["texts"][1]}))
+    return f"struct<{g['root']},source struct<{g['source']}>,asset struct<{g['asset']}>,evidence struct<{g['evidence']},details struct<{details}>>,metadata struct<{g['metadata']}>>"
 
 
-def members(v: Column, dialect: Dialect) -> Column:
-    """First step: every member as a variant, every part as JSON, the tags."""
+def names_of(v: Column, path: str) -> Column:
+    """The keys of the object there; null if it is none."""
+    return F.map_keys(F.try_variant_get(v, path, "map<string,variant>"))
+
+
+def members(v: Column, payload: Column, dialect: Dialect) -> Column:
+    """First step: every member as a variant, the parts' keys, the extension trees as JSON, the tags."""
+    json = lambda path: F.to_json(F.try_variant_get(v, path, "variant"))
+    few = F.octet_length(payload) <= MOST_EVENT_BYTES // GROWS
     return F.struct(
-        *[F.struct(*[child(v, path + n).alias(n) for n in names]).alias(g) for g, (path, names) in groups(dialect).items()],
-        F.struct(*[F.to_json(F.try_variant_get(v, path, "variant")).alias(n) for n, path in PARTS.items()]).alias("json"),
+        F.try_variant_get(v, "$", drawn_type(dialect)).alias("all"), F.struct(json("$.evidence.details").alias("details"), json("$.metadata").alias("metadata")).alias("json"),
+        F.when(~few, F.octet_length(F.to_json(v))).otherwise(F.octet_length(payload)).alias("bytes"), F.struct(*[names_of(v, path).alias(n) for n, path in PARTS.items()]).alias("keys"),
         F.try_variant_get(v, "$.metadata.tags", "array<variant>").alias("tags"),
-    )
+    )
+
+
+def at(all_: Column, path: str, name: str) -> Column:
+    """A member in what has drawn_type()."""
+    return reduce(lambda c, n: c[n], [n for n in path.split(".") if n], all_)[name]
 
 
 def kinds(c: Column, dialect: Dialect) -> Column:
     """Second step: the members' types, the trees cut at their texts."""
     return F.struct(
-        *[F.struct(*[kind_of(c[g][n]).alias(n) for n in names]).alias(g) for g, (_, names) in groups(dialect).items()],
+        *[F.struct(*[kind_of(at(c["all"], path, n)).alias(n) for n in names]).alias(g) for g, (path, names) in groups(dialect).items()],
         F.struct(*[split_texts(c["json"][n]).alias(n) for n in ("details", "metadata")]).alias("cut"),
     )
 
@@ -151,8 +177,8 @@ def drawn(c: Column, k: Column, dialect: Dialect) -> Column:
     """Third step: all that the rules look at."""
     j = c["json"]
     return F.struct(
-        *[F.struct(*[read(c[g][n], k[g][n]).alias(n) for n in names]).alias(g) for g, (_, names) in groups(dialect).items()],
-        F.octet_length(j["root"]).alias("bytes"), F.json_object_keys(j["root"]).alias("keys"), F.struct(*[F.json_object_keys(j[n]).alias(n) for n in ("source", "asset", "evidence")]).alias("names"),
+        *[F.struct(*[read(at(c["all"], path, n), k[g][n], n in WHOLE).alias(n) for n in names]).alias(g) for g, (path, names) in groups(dialect).items()],
+        c["bytes"].alias("bytes"), c["keys"]["root"].alias("keys"), F.struct(*[c["keys"][n].alias(n) for n in ("source", "asset", "evidence")]).alias("names"),
         c["tags"].alias("tags"), tree(j["details"], k["cut"]["details"]).alias("details"), tree(j["metadata"], k["cut"]["metadata"]).alias("extra"),
     )
 
@@ -217,14 +243,14 @@ def errors(payload: Column, now: Column, dialect: Dialect = Dialect()) -> Column
     Text with a key twice or numbers that are not finite is no JSON. Types are strict: no text counts as a number
     and no number with a fraction as a whole one. The text is parsed once. with_errors() does the same for a table, and faster.
     """
-    found = lambda v: bind(members(v, dialect), lambda c: bind(kinds(c, dialect), lambda k: bind(drawn(c, k, dialect), lambda x: judged(x, payload, now, dialect))))
+    found = lambda v: bind(members(v, payload, dialect), lambda c: bind(kinds(c, dialect), lambda k: bind(drawn(c, k, dialect), lambda x: judged(x, payload, now, dialect))))
     return bind(F.try_parse_json(payload), lambda v: F.when(v.isNull(), F.array(*map(F.lit, BROKEN))).otherwise(found(v)))
 
 
 def with_errors(events: DataFrame, payload: str, now: Column, dialect: Dialect = Dialect(), name: str = "errors") -> DataFrame:
     """The events with errors() of their payload, step by step as columns: each step is compiled and what it draws is used often."""
     v, c, k, x = (F.col(f"__{n}") for n in "vckx")
-    steps = events.withColumn("__v", F.try_parse_json(payload)).withColumn("__c", members(v, dialect)).withColumn("__k", kinds(c, dialect)).withColumn("__x", drawn(c, k, dialect))
+    steps = events.withColumn("__v", F.try_parse_json(payload)).withColumn("__c", members(v, F.col(payload), dialect)).withColumn("__k", kinds(c, dialect)).withColumn("__x", drawn(c, k, dialect))
     found = F.when(v.isNull(), F.array(*map(F.lit, BROKEN))).otherwise(judged(x, F.col(payload), now, dialect))
     return steps.withColumn(name, found).drop("__v", "__c", "__k", "__x")
 

@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt to as many tasks as there are cores, or more where they lie so: a small file whose rows are much work would be one task."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+
+
 def text_ts(c: str, name: str | None = None) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name or c)
 
@@ -732,7 +737,7 @@ def _sensor_payloads(spark, sf_dir):
     uid = F.concat(F.substring(digest, 1, 8), F.lit("-0000-4000-8000-"), F.substring(digest, 9, 12))
     body = F.element_at(F.array(*[F.lit(_event_json(**c)) for c, _ in _BROKEN]), (k + 1).cast("int"))
     body = F.replace(F.replace(body, F.lit("@ID"), uid), F.lit("@TS"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return pipeline.events(spark, sf_dir).select("event_id", "user_id", "ts", body.alias("payload"))
+    return spread(pipeline.events(spark, sf_dir).select("event_id", "user_id", "ts")).withColumn("payload", body)
 
 
 _CODES = "[" + ", ".join(f"'{code}'" for _, code in _BROKEN) + "]"
@@ -741,7 +746,8 @@ _RECEIPT = "case split_part({0}, ',', 1) when '' then null when 'invalid_schema_
 
 @query(f"with e as (select event_id, list_extract({_CODES}, event_id % {len(_BROKEN)} + 1) as errors from events) select event_id, errors, {_RECEIPT.format('errors')} as receipt_code from e")
 def contract_errors(spark, sf_dir):
-    found = contract.with_errors(_sensor_payloads(spark, sf_dir).select("event_id", "payload"), "payload", F.lit("2025-01-01").cast("timestamp"), name="found")
+    sent = _sensor_payloads(spark, sf_dir).select("event_id", "payload")
+    found = contract.with_errors(sent, "payload", F.lit("2025-01-01").cast("timestamp"), name="found")
     return found.select("event_id", F.array_join("found", ",").alias("errors"), contract.receipt_code(F.col("found")).alias("receipt_code"))
 
 
