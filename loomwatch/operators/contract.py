@@ -247,10 +247,13 @@ def errors(payload: Column, now: Column, dialect: Dialect = Dialect()) -> Column
     return bind(F.try_parse_json(payload), lambda v: F.when(v.isNull(), F.array(*map(F.lit, BROKEN))).otherwise(found(v)))
 
 
-def with_errors(events: DataFrame, payload: str, now: Column, dialect: Dialect = Dialect(), name: str = "errors") -> DataFrame:
-    """The events with errors() of their payload, step by step as columns: each step is compiled and what it draws is used often."""
+def with_errors(events: DataFrame, payload: str, now: Column, dialect: Dialect = Dialect(), name: str = "errors", parsed: str | None = None) -> DataFrame:
+    """The events with errors() of their payload, step by step as columns: each step is compiled and what it draws is used often.
+
+    ``parsed`` names a column that has the payload as a variant already.
+    """
     v, c, k, x = (F.col(f"__{n}") for n in "vckx")
-    steps = events.withColumn("__v", F.try_parse_json(payload)).withColumn("__c", members(v, F.col(payload), dialect)).withColumn("__k", kinds(c, dialect)).withColumn("__x", drawn(c, k, dialect))
+    steps = events.withColumn("__v", F.col(parsed) if parsed else F.try_parse_json(payload)).withColumn("__c", members(v, F.col(payload), dialect)).withColumn("__k", kinds(c, dialect)).withColumn("__x", drawn(c, k, dialect))
     found = F.when(v.isNull(), F.array(*map(F.lit, BROKEN))).otherwise(judged(x, F.col(payload), now, dialect))
     return steps.withColumn(name, found).drop("__v", "__c", "__k", "__x")
 
@@ -260,21 +263,24 @@ def receipt_code(found: Column) -> Column:
     return F.when(F.size(found) > 0, lookup(F.get(found, F.lit(0)), RECEIPT_CODES, "validation_error"))
 
 
-def batch_errors(batches: DataFrame, payload: str = "payload") -> DataFrame:
-    """Adds batch_errors to whole batches (a JSON text): too_large, invalid_batch_id, invalid_sent_at, unknown_field, invalid_events (1 to MOST_EVENTS), invalid_json."""
-
-    def judged(v: Column) -> Column:
-        events = F.try_variant_get(v, "$.events", "array<variant>")
-        rules = {
-            "too_large": (F.octet_length(payload) <= MOST_BATCH_BYTES) & (F.octet_length(F.to_json(v)) <= MOST_BATCH_BYTES),
-            "invalid_batch_id": checks.is_uuid4(member(v, "batch_id")["text"]),
-            "invalid_sent_at": checks.utc_time(member(v, "sent_at")["text"]).isNotNull(),
-            "invalid_events": F.size(events).between(1, MOST_EVENTS),
-            "unknown_field": F.size(F.array_except(F.json_object_keys(F.to_json(v)), F.array(*[F.lit(n) for n in ("batch_id", "sent_at", "events")]))) == 0,
-        }
-        return F.when(v.isNull(), F.array(F.lit("invalid_json"))).otherwise(checks.failures(rules))
+def batch_errors(batches: DataFrame, payload: str = "payload", canonical: str | None = None) -> DataFrame:
+    """Adds batch_errors to whole batches (a JSON text): too_large, invalid_batch_id, invalid_sent_at, unknown_field, invalid_events (1 to MOST_EVENTS), invalid_json.
 
-    return batches.withColumn("batch_errors", bind(F.try_parse_json(payload), judged))
+    ``canonical`` names a column to add for the canonical JSON, null for what is none. A batch is parsed and written once.
+    """
+    v, json = F.col("__v"), F.col("__json")
+    found = batches.withColumn("__v", F.try_parse_json(payload)).withColumn("__json", F.to_json(v)).withColumn("__c", F.try_variant_get(v, "$", "struct<batch_id variant,sent_at variant>"))
+    c = F.col("__c")
+    found = found.withColumns({"__text": F.struct(*[F.when(kind_of(c[n]) == "STRING", F.try_variant_get(c[n], "$", "string")).alias(n) for n in ("batch_id", "sent_at")]), "__n": F.size(F.try_variant_get(v, "$.events", "array<variant>"))})
+    rules = {
+        "too_large": (F.octet_length(payload) <= MOST_BATCH_BYTES) & (F.octet_length(json) <= MOST_BATCH_BYTES),
+        "invalid_batch_id": checks.is_uuid4(F.col("__text")["batch_id"]),
+        "invalid_sent_at": checks.utc_time(F.col("__text")["sent_at"]).isNotNull(),
+        "invalid_events": F.col("__n").between(1, MOST_EVENTS),
+        "unknown_field": F.size(F.array_except(F.json_object_keys(json), F.array(*[F.lit(n) for n in ("batch_id", "sent_at", "events")]))) == 0,
+    }
+    judged = found.withColumn("batch_errors", F.when(v.isNull(), F.array(F.lit("invalid_json"))).otherwise(checks.failures(rules)))
+    return judged.select(*batches.columns, "batch_errors", *([json.alias(canonical)] if canonical else []))
 
 
 def classify_batch(batch: DataFrame, inbox: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwatch.operators import alerts
@@ -13,6 +13,9 @@ from loomwatch.plans import pipeline
 from loomwatch.sources import collector
 from loomwatch.streaming import detect, ingest, ordered
 
+#: Bytes of a row group of files that a stream reads.
+ROW_GROUP = 1 << 20
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share; a local one only where the session names none."""
@@ -76,10 +79,14 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, ordered.threshold_decisions(refused, "source_host", 3, 48 * 3600), "decisions")
 
 
-def ingested(spark: SparkSession, envelopes: DataFrame) -> DataFrame:
-    """The responses to batches (turn, file, payload) that come in micro-batches of four files."""
+def ingested(spark: SparkSession, envelopes: DataFrame, payload: Column | str = "payload") -> DataFrame:
+    """The responses to batches (turn, file, and what payload is made of) that come in micro-batches of four files.
+
+    The narrow rows are dealt to files before their payload is made; row groups are small, so that a file is read by many tasks.
+    """
     out = folder(spark, "ingest")
-    envelopes.repartitionByRange("file").sortWithinPartitions("turn").select("turn", "payload", "file").write.partitionBy("file").parquet(f"{out}/sent")
+    laid = envelopes.repartitionByRange("file").sortWithinPartitions("turn").select("turn", (F.col(payload) if isinstance(payload, str) else payload).alias("payload"), "file")
+    laid.write.option("parquet.block.size", ROW_GROUP).partitionBy("file").parquet(f"{out}/sent")
     sent = spark.readStream.schema("turn long, payload string, file int").option("maxFilesPerTrigger", 4).parquet(f"{out}/sent")
     ingest.receive(sent, out, f"{out}/checkpoint", "2024-06-01").start().awaitTermination()
     return spark.read.schema("turn long, batch_id string, state string, error string, accepted long, duplicate long, rejected long, status string").parquet(f"{out}/responses")

@@ -44,3 +44,18 @@ def test_members_of_what_is_no_object(spark):
     for r in contract.with_errors(spark.createDataFrame([(t,) for t in texts], "payload string"), "payload", now()).collect():
         assert {"invalid_asset", "invalid_source", "invalid_evidence", "invalid_details", "invalid_metadata"} <= set(r["errors"])
         assert ("invalid_severity" in r["errors"]) == (r["payload"] in ("[]", "5"))
+
+
+def test_ingestion_parses_once(spark):
+    """An event is parsed once for its hash, key and rules; a batch's canonical JSON is written once for its limits, keys and hash."""
+    from loomwatch.functions import keys
+    from loomwatch.streaming import ingest
+
+    text = r'{"n": [1.50, 1e6, -0.0, 1E-7, 12345678901234567890123456789012345678901, "é\/\n"], "event_id": "x"}'
+    rows = spark.createDataFrame([("b", 0, text)], "batch_id string, position int, payload string")
+    judged = ingest.judged_events(rows, now())
+    assert explained(judged).lower().count("parsejson(") == 1
+    got, want = judged.first(), rows.select(keys.content_hash(F.col("payload")).alias("h"), keys.canonical_json(F.col("payload")).alias("c")).first()
+    assert got["content_hash"] == want["h"] and got["event_id"] == "x"
+    batches = contract.batch_errors(rows.select("payload"), canonical="c")
+    assert "lambda" not in explained(batches) and batches.first()["c"] == want["c"]
