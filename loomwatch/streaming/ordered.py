@@ -32,6 +32,29 @@ def session(spark: SparkSession) -> SparkSession:
     return own
 
 
+class Held:
+    """A value state that is read once and written once while a key's rows are folded, however many they are."""
+
+    def __init__(self, state):
+        self.state, self.value, self.changed = state, None, False
+
+    def load(self) -> None:
+        self.value, self.changed = self.state.get() if self.state.exists() else None, False
+
+    def store(self) -> None:
+        if self.changed and self.value is not None:
+            self.state.update(self.value)
+        elif self.changed and self.state.exists():
+            self.state.clear()
+        self.changed = False
+
+    def update(self, value: tuple) -> None:
+        self.value, self.changed = value, True
+
+    def clear(self) -> None:
+        self.value, self.changed = None, True
+
+
 class InOrder(StatefulProcessor):
     """Calls row() for a key's rows in order of time up to the watermark, and due() for what it has waiting before each."""
 
@@ -47,6 +70,7 @@ class InOrder(StatefulProcessor):
         self.setup(handle)
 
     def setup(self, handle) -> None:
+        """Sets folded, what the key has besides rows that wait."""
         raise NotImplementedError
 
     def row(self, key: tuple, at: int, row: list) -> Iterator[tuple]:
@@ -73,6 +97,7 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         now, out = timerValues.getCurrentWatermarkInMs(), []
         ahead = []
+        self.folded.load()
         for b in sorted(b for (b,) in self.waiting.keys()):
             if b * self.BUCKET > now:
                 ahead.append(b * self.BUCKET)
@@ -91,6 +116,7 @@ class InOrder(StatefulProcessor):
                 yield self.frame(out)
                 out = []
         out += self.overdue(key, now)
+        self.folded.store()
         if (due := self.next_due()) is not None:
             ahead.append(due)
         if ahead:
@@ -126,10 +152,10 @@ class IncidentState(InOrder):
         self.quiet, self.window = quiet_seconds * 1000, window_seconds * 1_000_000
 
     def setup(self, handle) -> None:
-        self.group = handle.getValueState("group", self.STATE)
+        self.folded = Held(handle.getValueState("group", self.STATE))
 
     def held(self) -> dict | None:
-        return dict(zip(self.NAMES, self.group.get(), strict=True)) if self.group.exists() else None
+        return None if self.folded.value is None else dict(zip(self.NAMES, self.folded.value, strict=True))
 
     def next_due(self):
         held = self.held()
@@ -137,7 +163,7 @@ class IncidentState(InOrder):
 
     def due(self, key, at):
         held = self.held()
-        self.group.clear()
+        self.folded.clear()
         if held["opened"]:
             yield self.told(key, None, "ended", at * 1000, held)
 
@@ -165,7 +191,7 @@ class IncidentState(InOrder):
             g["opened"] = g["n"] >= incidents.MIN_ALERTS and g["score"] >= incidents.MIN_SCORE
             g["occurrences"] = int(g["opened"])
             decision = "new" if g["opened"] else "no_group"
-        self.group.update(tuple(g[c] for c in self.NAMES))
+        self.folded.update(tuple(g[c] for c in self.NAMES))
         yield self.told(key, of, decision, t, g)
 
     def told(self, key, of, decision, at, g):
@@ -187,10 +213,10 @@ class ThresholdDecisions(InOrder):
 
     def setup(self, handle) -> None:
         #: Times within the window, the deferred events in order, the time of the last match.
-        self.state = handle.getValueState("window", "times array<long>, open string, matched long")
+        self.folded = Held(handle.getValueState("window", "times array<long>, open string, matched long"))
 
     def held(self) -> tuple[list[int], list, int]:
-        times, waiting, matched = self.state.get() if self.state.exists() else ([], "[]", -1)
+        times, waiting, matched = self.folded.value or ([], "[]", -1)
         return list(times), json.loads(waiting), matched
 
     def next_due(self):
@@ -202,9 +228,9 @@ class ThresholdDecisions(InOrder):
         begun, of = waiting.pop(0)
         times = [t for t in times if t >= at - self.span]
         if times or waiting:
-            self.state.update((times, json.dumps(waiting), matched))
+            self.folded.update((times, json.dumps(waiting), matched))
         else:
-            self.state.clear()
+            self.folded.clear()
         yield key[0], of, "match" if matched >= begun else "no_match", (at - 1) * 1000, None
 
     def row(self, key, at, row):
@@ -216,7 +242,7 @@ class ThresholdDecisions(InOrder):
             decision, matched = "match", at
         else:
             decision, waiting = "deferred", [*waiting, [at, of]]
-        self.state.update((times, json.dumps(waiting), matched))
+        self.folded.update((times, json.dumps(waiting), matched))
         yield key[0], of, decision, t, len(times)
 
 
