@@ -5,8 +5,8 @@ most frequent words are exchanged: given how often each follows and precedes eac
 the likelihood of the class bigrams gains most, the counts coming from the whole training text in every round.
 Meanwhile rarer words stand in shapes (a hash of their last two bytes), which are exchanged like words. Then
 every rarer word of the training text goes, by its own counts of neighbouring classes, to the class in which it
-is likeliest; those counts are grouped by word, so their number may grow with the text. Only words that the
-training text lacks keep their shape's class. Counts and classes of the rarest words are joined to the documents.
+is likeliest. The rarest meet by word, each place with the two codes beside it, and go back to their documents with
+count and class, so their number may grow with the text. Only words that the training text lacks keep their shape's class.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,31 +87,41 @@ def frequent(counts: DataFrame, most: int) -> pd.DataFrame:
     return found.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
 
+CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, codes binary, log_sum double, rare array<string>, at array<int>, beside array<long>"
+
+
 def coded(docs: DataFrame, lexicon: pd.DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, codes, log_sum, rare and at: what the lexicon lacks and where it stands.
+    """doc_id, held_out, n_tokens, n_known, codes, log_sum, rare, at and beside: what the lexicon lacks, where it stands and the codes before (high half) and after.
 
     Codes (32 bits) are places in the lexicon; after them come the shapes of other words, and the end.
     """
     index = docs.sparkSession.sparkContext.broadcast({w.encode(): i for i, w in enumerate(lexicon["word"])})
     shared = docs.sparkSession.sparkContext.broadcast(np.log10(lexicon["c"].to_numpy(np.float64) + 1))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, logs, n = index.value.get, shared.value, len(index.value)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
+            rows, rare, places, beside = [], [], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+            for text in batch.column("text").to_pylist():
                 tokens = words(text)
-                codes = np.fromiter((get(w, -1) for w in tokens), np.int32, len(tokens))
-                known = codes >= 0
-                log_sum = float(logs[codes[known]].sum())
-                unknown = np.flatnonzero(~known)
-                rare = [tokens[i] for i in unknown.tolist()]
-                codes[unknown] = [n + shape(w) for w in rare]
-                rows.append((len(tokens) + 1, int(known.sum()), np.r_[codes, n + SHAPES].astype("<i4").tobytes(), log_sum, [w.decode() for w in rare], unknown.astype(np.int32)))
-            made = pd.DataFrame(rows, columns=["n_tokens", "n_known", "codes", "log_sum", "rare", "at"])
-            yield pd.concat([batch[["doc_id", "held_out"]].reset_index(drop=True), made], axis=1)
-
-    return docs.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, codes binary, log_sum double, rare array<string>, at array<int>")
+                codes = np.full(len(tokens) + 1, n + SHAPES, np.int32)
+                codes[:-1] = np.fromiter(map(get, tokens, repeat(-1)), np.int32, len(tokens))
+                unknown = np.flatnonzero(codes < 0)
+                known = codes[:-1] if not len(unknown) else codes[:-1][codes[:-1] >= 0]
+                lacking = [tokens[i] for i in unknown.tolist()]
+                codes[unknown] = [n + shape(w) for w in lacking]
+                rare += lacking
+                places.append(unknown.astype(np.int32))
+                beside.append(np.where(unknown > 0, codes[unknown - 1], n + SHAPES).astype(np.int64) << 32 | codes[unknown + 1])
+                rows.append((len(tokens) + 1, len(known), codes.astype("<i4").tobytes(), float(logs[known].sum())))
+            ends = pa.array(np.cumsum([0] + [len(x) for x in places[1:]]), pa.int32())
+            listed = (pa.array(rare, pa.binary()).cast(pa.string()), pa.array(np.concatenate(places)), pa.array(np.concatenate(beside)))
+            n_tokens, n_known, held, sums = zip(*rows, strict=True) if rows else ((),) * 4
+            made = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(held, pa.binary()), pa.array(sums, pa.float64())]
+            made += [pa.ListArray.from_arrays(ends, x) for x in listed]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], [f.split()[0] for f in CODED.split(", ")])
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, CODED)
 
 
 def class_statistics(codes: DataFrame, items: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,47 +197,82 @@ def likeliest(counts: DataFrame, key: str, steps: np.ndarray, tokens: np.ndarray
         for batch in batches:
             held = np.zeros((len(batch), 2 * width))
             for i, found in enumerate(batch["found"]):
-                for f in found:
-                    held[i, f["slot"]] = f["n"]
+                held[i, found % (2 * width)] = found // (2 * width)
             gain = held @ fit[0] - held[:, :width].sum(1)[:, None] * fit[1]
             yield pd.DataFrame({key: batch[key], "class": gain.argmax(1).astype(np.int32)})
 
-    one = counts.groupBy(key).agg(F.collect_list(F.struct("slot", "n")).alias("found"))  # at most two a class
+    one = counts.groupBy(key).agg(F.collect_list(F.col("n") * F.lit(2 * width) + F.col("slot")).alias("found"))  # at most two a class
     return one.mapInPandas(run, f"{key} {dict(counts.dtypes)[key]}, class int")
 
 
-def rarer(train: DataFrame, of_code: np.ndarray, first: int, words_: bool) -> DataFrame:
-    """(code or word, slot, n): classes beside the codes from ``first`` on that are words of the lexicon, or beside the rare words."""
+def rarer(train: DataFrame, of_code: np.ndarray, first: int) -> DataFrame:
+    """(code, slot, n): classes beside the codes from ``first`` on that are words of the lexicon."""
     end, shared = int(of_code[-1]), train.sparkSession.sparkContext.broadcast(of_code)
-    key, shapes = ("word", "word string") if words_ else ("code", "code int")
+    slots = 2 * (end + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = shared.value
+        of = shared.value.astype(np.int64)
         last = len(of) - SHAPES - 1
-        counts: Counter = Counter()
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            for codes, rare, places in batch[["codes", "rare", "at"]].itertuples(index=False):
-                code = np.frombuffer(codes, "<i4")
-                before = np.r_[end, of[code]]  # the class before each place; that after it is two on
-                if words_:
-                    for w, i in zip(rare, places.tolist(), strict=True):
-                        counts[w, before[i]] += 1
-                        counts[w, end + 1 + before[i + 2]] += 1
-                else:
-                    at = np.flatnonzero((code >= first) & (code < last))
-                    for slot in (before[at], end + 1 + before[at + 2]):
-                        counts.update(zip(code[at].tolist(), slot.tolist(), strict=True))
-                if len(counts) > FLUSH:
-                    yield out(counts)
-        if counts:
-            yield out(counts)
+            code = np.concatenate([np.frombuffer(b, "<i4") for b in batch["codes"]] or [np.empty(0, np.int32)]).astype(np.int64)
+            at = np.flatnonzero((code >= first) & (code < last))  # never an end, by which each text is followed
+            own = code[at] * slots
+            new, n = np.unique(np.concatenate([own + np.where(at > 0, of[code[at - 1]], end), own + end + 1 + of[code[at + 1]]]), return_counts=True)
+            keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            if len(keys) > FLUSH:
+                yield out(keys, counts)
+                keys, counts = keys[:0], counts[:0]
+        if len(keys):
+            yield out(keys, counts)
+
+    def out(keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"code": (keys // slots).astype(np.int32), "slot": (keys % slots).astype(np.int32), "n": counts})
+
+    return train.select("codes").mapInPandas(run, "code int, slot int, n long").groupBy("code", "slot").agg(F.sum("n").alias("n"))
+
 
-    def out(counts: Counter) -> pd.DataFrame:
-        made = pd.DataFrame([(k, int(slot), n) for (k, slot), n in counts.items()], columns=[key, "slot", "n"])
-        counts.clear()
-        return made
+def placed(rows: DataFrame, of_code: np.ndarray, steps: np.ndarray, tokens: np.ndarray) -> DataFrame:
+    """(row, at, class, c, first) of every place of a word that the lexicon lacks and the training text has: its likeliest class, its count, whether the place stands for the word.
+
+    A word's places meet, the training text's decide. They are at most as many as those of a word of the lexicon.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(of_code)
+    fit = np.ascontiguousarray(steps[:, :-1]), np.ascontiguousarray(steps.T[:, :-1]), np.log10(tokens[:-1] + 1)
+
+    def likeliest_of(part: pa.Table) -> pa.RecordBatch:
+        words_, beside = part.column("word").combine_chunks(), part.column("beside").to_numpy()
+        starts = np.r_[0, np.flatnonzero(pc.not_equal(words_[1:], words_[:-1]).to_numpy(zero_copy_only=False)) + 1]
+        learnt = ~part.column("held_out").to_numpy()
+        gain = fit[0][shared.value[beside >> 32]] + fit[1][shared.value[beside & 0xFFFFFFFF]] - fit[2]
+        gain[~learnt] = 0
+        c = np.add.reduceat(learnt.astype(np.int64), starts)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(beside)]))
+        first = np.zeros(len(beside), bool)
+        first[starts] = True
+        kept = np.flatnonzero(c[group] > 0)
+        own = group[kept]
+        columns = [part.column("row").to_numpy()[kept], part.column("at").to_numpy()[kept], np.add.reduceat(gain, starts).argmax(1).astype(np.int32)[own], c[own], first[kept]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "at", "class", "c", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by word; the last word of a batch may go on in the next."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = batch.column("word")
+            if held and held[0].column("word")[0] != last[batch.num_rows - 1] or last[0] != last[batch.num_rows - 1]:
+                whole = pc.index(last, last[batch.num_rows - 1]).as_py()
+                yield likeliest_of(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                held, batch = [], batch.slice(whole)
+            held.append(batch)
+        if held:
+            yield likeliest_of(pa.Table.from_batches(held))
 
-    return train.select("codes", "rare", "at").mapInPandas(run, f"{shapes}, slot int, n long").groupBy(key, "slot").agg(F.sum("n").alias("n"))
+    found = rows.select("row", "held_out", F.explode(F.arrays_zip("rare", "at", "beside")).alias("x")).select(F.col("x.rare").alias("word"), "row", "held_out", "x.at", "x.beside")
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "row long, at int, class int, c long, first boolean")
 
 
 def model(pairs: np.ndarray) -> np.ndarray:
@@ -262,24 +310,22 @@ def score(documents: DataFrame, held: str = "pmod(crc32(cast(doc_id as string)),
 
     # Every rarer word to its likeliest class beside classes as they are now.
     of_code, steps, tokens = classes[items].astype(np.uint8), model(pairs), pairs.sum(0)
-    own = likeliest(rarer(train, of_code, single, False), "code", steps, tokens).toPandas()  # at most LEXICON rows
-    rare = written(likeliest(rarer(train, of_code, single, True), "word", steps, tokens), "rare-classes")
+    own = likeliest(rarer(train, of_code, single), "code", steps, tokens).toPandas()  # at most LEXICON rows
+    rare = written(placed(rows, of_code, steps, tokens), "rare-places")
     of_code[own["code"].to_numpy(np.int64)] = own["class"].to_numpy(np.uint8)
-    found = rows.select("row", F.explode(F.arrays_zip("rare", "at")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.at").alias("at"))
-    known = counts.join(rare, "word").select("word", "c", "class")
-    rarest = found.join(known, "word").groupBy("row").agg(
-        F.sum(F.log10(F.col("c") + 1)).alias("rare_sum"), F.count("*").alias("rare_known"), F.collect_list(F.struct("at", "class")).alias("placed")
+    rarest = rare.groupBy("row").agg(
+        F.sum(F.log10(F.col("c") + 1)).alias("rare_sum"), F.count("*").alias("rare_known"), F.collect_list(F.col("at").cast("long") * CLASSES + F.col("class")).alias("placed")
     )
     shared = spark.sparkContext.broadcast(of_code)
 
     def to_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = []
-            for codes, placed in batch[["codes", "placed"]].itertuples(index=False):
-                c = shared.value[np.frombuffer(codes, "<i4")].astype("<i4")
-                for p in placed if placed is not None else ():
-                    c[p["at"]] = p["class"]
-                made.append(c.astype(np.uint8).tobytes())
+            for codes, spots in batch[["codes", "placed"]].itertuples(index=False):
+                c = shared.value[np.frombuffer(codes, "<i4")]
+                if spots is not None:
+                    c[spots // CLASSES] = spots % CLASSES
+                made.append(c.tobytes())
             yield batch.drop(columns=["codes", "placed"]).assign(classes=made)
 
     plain = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, rare_sum double, rare_known long"
@@ -293,7 +339,7 @@ def score(documents: DataFrame, held: str = "pmod(crc32(cast(doc_id as string)),
     same = np.arange(CLASSES + 1)
     pairs = class_statistics(done.where("not held_out").select("classes").mapInPandas(widened, "codes binary"), same.astype(np.int32), same)[1].astype(float)
     types = np.bincount(of_code[: len(lexicon)], minlength=CLASSES + 1).astype(float)
-    for r in rare.groupBy("class").count().collect():
+    for r in rare.where("first").groupBy("class").count().collect():
         types[r["class"]] += r["count"]
     types[CLASSES] = 1 if ends else 0
     value = spark.sparkContext.broadcast(model(pairs) - np.log10(pairs.sum(0) + types + 1))

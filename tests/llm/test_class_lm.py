@@ -96,3 +96,33 @@ def test_without_training_text(spark):
     got = class_lm.score(df).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in got)
     assert class_lm.score(df.limit(0)).count() == 0
+
+
+def test_places_of_a_word_over_several_batches_by_brute_force(spark):
+    """Rare words meet by word and go back by place; a word's places may lie in several batches."""
+    rng = np.random.default_rng(6)
+    pairs = rng.integers(0, 9, (4, 4)).astype(float)
+    steps, tokens, of_code = class_lm.model(pairs), pairs.sum(0), np.array([0, 1, 2, 1, 3], np.uint8)
+    rows = []
+    for row in range(40):
+        n = int(rng.integers(0, 6))
+        words = [f"w{i}" for i in rng.integers(0, 7, n)]
+        rows.append((row, row % 5 == 0, [*words, "held"] if row % 5 == 0 else words, list(range(n + (row % 5 == 0))), [int(a) << 32 | int(b) for a, b in rng.integers(0, 5, (n + (row % 5 == 0), 2))]))
+    df = spark.createDataFrame(rows, "row long, held_out boolean, rare array<string>, at array<int>, beside array<long>")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        got = {(r["row"], r["at"]): (r["class"], r["c"], r["first"]) for r in class_lm.placed(df, of_code, steps, tokens).collect()}
+    finally:
+        spark.conf.set(size, own)
+    places = {}
+    for row, held, words, at, beside in rows:
+        for w, i, b in zip(words, at, beside, strict=True):
+            places.setdefault(w, []).append((row, i, held, of_code[b >> 32], of_code[b & 0xFFFFFFFF]))
+    assert len(got) == sum(len(p) for w, p in places.items() if w != "held")
+    for w, found in places.items():
+        learnt = [p for p in found if not p[2]]
+        fit = [sum(steps[p[3], c] + steps[c, p[4]] - math.log10(tokens[c] + 1) for p in learnt) for c in range(3)]
+        mine = [got[p[:2]] for p in found if w != "held"]
+        assert all(fit[c] == pytest.approx(max(fit)) and n == len(learnt) for c, n, _ in mine) and sum(f for *_, f in mine) == (w != "held")
