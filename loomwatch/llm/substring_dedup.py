@@ -6,7 +6,8 @@ The windows of one anchor occurrence follow one another; their context is the by
 that occur twice are repeated whole. The other contexts of a gram meet in one part, where the gram, which
 they share, counts as one symbol; a suffix array over them shows at each start whether a neighbour agrees to
 the window's end. A gram with too many contexts for one array is halved first: windows that reach far to the
-left of the gram by the bytes that they then share there, the others by those on its right.
+left of the gram by the bytes that they then share there, the others by those on its right. What of a context
+is sorted is what windows can need whose bytes next to the gram another context of its part has too.
 
 The suffix array is made by grouping. Suffixes with one first symbol are a group; groups are taken from the
 highest down, and the previous smaller suffix of each member is moved to a new group whose prefix is longer
@@ -29,6 +30,8 @@ from loomwatch.llm.common import join_counted, table, written
 
 #: Bytes of an anchor's gram, of a repeat; contexts of a part that are sorted at once at most; symbols of one suffix array.
 GRAM, LENGTH, MOST, SYMBOLS = 300, 400, 500, 200_000
+#: Bands of places of a gram in its windows; a context is sorted where a band's least bytes are another's too.
+BANDS = 10
 #: Bytes of a text that are hashed at once.
 SEGMENT = 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -50,12 +53,39 @@ def suffix_array(s: list[int]) -> list[int]:
         members.append(firsts[x])
     above = [*range(1, len(members)), -1]
     below = list(range(-1, len(members) - 1))
-    size = [1] * len(members)
+    size, left = [1] * len(members), [len(m) for m in members]
     smaller = list(range(-1, n - 1))  # nearest earlier suffix that may be in a lower group
     done = bytearray(n)
     group, final = len(members) - 1, []
     while group >= 0:
         own = [i for i in members[group] if of[i] == group]
+        if len(own) == 1:  # as below, for the most frequent case
+            k = i = own[0]
+            done[i] = 1
+            j = smaller[i]
+            while j >= 0 and done[j]:
+                j = smaller[j]
+            while (m := smaller[k]) != j:
+                smaller[k] = j
+                k = m
+            if j >= 0:
+                old = of[j]
+                if left[old] == 1:
+                    size[old] += size[group]
+                else:
+                    left[old] -= 1
+                    of[j] = new = len(members)
+                    members.append([j])
+                    left.append(1)
+                    size.append(size[old] + size[group])
+                    up = above[old]
+                    above.append(up)
+                    below.append(old)
+                    above[old] = below[up] = new
+            members[group] = own
+            final.append(group)
+            group = below[group]
+            continue
         for i in own:
             done[i] = 1
         counts: dict[int, int] = {}
@@ -74,8 +104,13 @@ def suffix_array(s: list[int]) -> list[int]:
             moved.setdefault((of[j], -times), []).append(j)
         for old, times in sorted(moved):  # more repetitions stand higher; each goes right above the old group
             js = moved[old, times]
+            if len(js) == left[old]:  # all that are left of a group stay together
+                size[old] -= times * size[group]
+                continue
             new = len(members)
             members.append(js)
+            left[old] -= len(js)
+            left.append(len(js))
             size.append(size[old] - times * size[group])
             up = above[old]
             above.append(up)
@@ -166,9 +201,6 @@ def data_of(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
 
-ANCHOR = "doc_id long, version long, start long, n int, lead int, gram long, context long"
-
-
 ANCHOR = "tid long, start long, n int, lead int, gram long, context long"
 
 
@@ -218,22 +250,43 @@ def sorted_repeats(lefts: list[bytes], rights: list[bytes], grams: list[int]) ->
         symbols.append(names[g])
         symbols += [1 + b for b in right]
         symbols.append(0)
-    order = suffix_array(symbols)
-    text = np.array(symbols, np.int32)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    raw = text.tobytes()
-    out = []
+    order, text = np.array(suffix_array(symbols), np.int64), np.array(symbols, np.int32)
+    valid = np.zeros(len(text), bool)
     for begin, left, right in zip(starts, lefts, rights, strict=True):
-        found = []
-        for i in range(begin, begin + len(left) + 1):
-            if i + window > begin + len(left) + 1 + len(right):
-                break
-            own = raw[4 * i : 4 * (i + window)]
-            r = rank[i]
-            if any(0 <= k < len(order) and raw[4 * order[k] : 4 * (order[k] + window)] == own for k in (r - 1, r + 1)):
-                found.append(i - begin)
-        out.append(found)
+        valid[begin : begin + max(0, min(len(left) + 1, len(left) + len(right) + 2 - window))] = True
+    # Neighbours in order whose windows are equal, compared symbol by symbol.
+    one = np.flatnonzero(valid[order[:-1]] & valid[order[1:]])
+    for d in range(window - 1, -1, -1):
+        one = one[text[order[one] + d] == text[order[one + 1] + d]]
+    met = np.zeros(len(text), bool)
+    met[order[one]] = met[order[one + 1]] = True
+    return [np.flatnonzero(met[begin : begin + len(left) + 1]).tolist() for begin, left in zip(starts, lefts, strict=True)]
+
+
+def cut_to_shared(lefts: list[bytes], rights: list[bytes], parts: list[int]) -> list[tuple[int, int, int]]:
+    """(context, bytes of its left part, bytes of its right part) that windows can need which another context of its part has too.
+
+    A window has 0 to LENGTH - GRAM bytes on the left of the gram and the others on its right. Windows with numbers
+    of one band all hold the band's least bytes left and right of the gram; where no other context has these, none
+    of the band's windows is found elsewhere. Bytes are compared. Windows of the outermost bands that are left, and
+    of those between, stay whole.
+    """
+    width = LENGTH - GRAM
+    bands = [(b.start, b.stop - 1) for i in range(BANDS) if (b := range((width + 1) * i // BANDS, (width + 1) * (i + 1) // BANDS))]
+    held: list[list[tuple]] = []
+    times: dict[tuple, int] = {}
+    for left, right, part in zip(lefts, rights, parts, strict=True):
+        keys = []
+        for low, high in bands:
+            if max(low, width - len(right)) <= min(high, len(left)):
+                keys.append((part, low, high, left[len(left) - low :], right[: width - high]))
+                times[keys[-1]] = times.get(keys[-1], 0) + 1
+        held.append(keys)
+    out = []
+    for i, keys in enumerate(held):
+        found = [k for k in keys if times[k] > 1]
+        if found:
+            out.append((i, min(len(lefts[i]), found[-1][2]), min(len(rights[i]), width - found[0][1])))
     return out
 
 
@@ -253,11 +306,15 @@ def solved(rows: DataFrame) -> DataFrame:
         """Rows come sorted by part; parts share a suffix array until it has enough symbols."""
 
         def solve(rows: pd.DataFrame) -> pd.DataFrame:
-            found = sorted_repeats(rows["left"].to_list(), rows["right"].to_list(), rows["part"].to_list())
+            lefts, rights, parts = rows["left"].to_list(), rows["right"].to_list(), rows["part"].to_list()
+            some = cut_to_shared(lefts, rights, parts)
+            found = sorted_repeats([lefts[i][len(lefts[i]) - a :] for i, a, _ in some], [rights[i][:b] for i, _, b in some], [parts[i] for i, *_ in some])
+            own = rows[["tid", "start", "times"]].to_numpy()
             out = [np.empty((0, 3), np.int64)]
-            for (tid, start, times), at in zip(rows[["tid", "start", "times"]].itertuples(index=False), found, strict=True):
+            for (i, a, _), at in zip(some, found, strict=True):
+                tid, start, times = own[i].tolist()
                 if at and times == 1:
-                    first, last = runs(np.array(at) + start)
+                    first, last = runs(np.array(at) + start + len(lefts[i]) - a)
                     out.append(np.stack([np.full(len(first), tid), first, last + LENGTH], 1))
             return pd.DataFrame(np.concatenate(out), columns=["tid", "a", "b"])
 
@@ -328,8 +385,9 @@ def split_repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(tid, a, b): bytes a to b (exclusive) of the texts (tid, text), all different, that lie in repeats; spans may overlap."""
-    grams = written(anchor_rows(texts).select("gram").groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "grams")
-    alive = written(join_counted(anchor_rows(texts), grams, ["gram"], "times").drop("times"), "anchors")
+    all_anchors = written(anchor_rows(texts), "all-anchors")
+    grams = written(all_anchors.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "grams")
+    alive = written(join_counted(all_anchors, grams, ["gram"], "times").drop("times"), "anchors")
 
     contexts = alive.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("tid", "start", "n", "lead")).alias("first"))
     contexts = written(contexts, "contexts")

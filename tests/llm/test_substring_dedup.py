@@ -78,3 +78,27 @@ def test_long_texts_in_segments(monkeypatch):
     monkeypatch.setattr(sd, "SEGMENT", 700)
     starts = np.concatenate([np.arange(a, a + n) for s, n, *_ in sd.anchors(data) for a, n in zip(s, n)])
     assert starts.tolist() == list(range(len(data) - sd.LENGTH + 1)) and whole[1].sum() == len(starts)
+
+
+def test_contexts_are_cut_to_what_windows_can_share():
+    """Nothing is sorted that no other context of the part has next to the gram, and no shared window is lost."""
+    r = random.Random(7)
+    width = sd.LENGTH - sd.GRAM
+    text = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    near_left, near_right = text(width), text(width)
+    lefts, rights, parts = [], [], []
+    for i in range(120):
+        a, b = r.randint(0, width), r.randint(0, width)
+        left, right = (text(width) + near_left[width - a :])[-r.randint(0, width) or width :], (near_right[:b] + text(width))[: r.randint(0, width)]
+        if len(left) + len(right) >= width:
+            lefts, rights, parts = [*lefts, left], [*rights, right], [*parts, i % 3]
+    lefts, rights, parts = [*lefts, text(width)], [*rights, text(width)], [*parts, 0]
+    seen = {}
+    for i, (left, right, part) in enumerate(zip(lefts, rights, parts, strict=True)):
+        for k in range(max(0, width - len(right)), len(left) + 1):
+            seen.setdefault((part, left[len(left) - k :], right[: width - k]), []).append((i, len(left) - k))
+    want = sorted(x for places in seen.values() if len(places) > 1 for x in places)
+    some = sd.cut_to_shared(lefts, rights, parts)
+    found = sd.sorted_repeats([lefts[i][len(lefts[i]) - a :] for i, a, _ in some], [rights[i][:b] for i, _, b in some], [parts[i] for i, *_ in some])
+    assert want and sorted((i, at + len(lefts[i]) - a) for (i, a, _), places in zip(some, found, strict=True) for at in places) == want
+    assert len(lefts) - 1 not in [i for i, *_ in some] and sum(a + b for _, a, b in some) < sum(map(len, lefts + rights))
