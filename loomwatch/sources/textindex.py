@@ -1,7 +1,7 @@
 """Text search by a written index of trigrams: posting lists are met before any text is read.
 
 The index has three tables, all sorted so that a scan touches few row groups: the texts by id, the posting lists
-(gram, id), and how many rows each gram has. A search looks up the counts of its grams, meets the posting lists of
+(gram, id), and how many rows each gram has. A fourth, lists of each row's grams, is only there to write the second. A search looks up the counts of its grams, meets the posting lists of
 the rarest few, and reads only the rows that are left, which it then tests for the text itself.
 """
 
@@ -37,11 +37,16 @@ class TextIndex:
     text: str = "text"
 
     def write(self, rows: DataFrame) -> None:
-        """Writes the index anew. Rows without text or id are not in it. A gram of many rows spreads over tasks by id."""
+        """Writes the index anew. Rows without text or id are not in it. A gram of many rows spreads over tasks by id.
+
+        Lists of grams are written before they are dealt by range, which looks at its rows twice: once for the bounds.
+        """
         kept = rows.where(F.col(self.id).isNotNull() & F.col(self.text).isNotNull())
         sorted_by = lambda df, *c: df.repartitionByRange(*c).sortWithinPartitions(*c).write.mode("overwrite").option("parquet.block.size", ROW_GROUP)
         sorted_by(kept, self.id).parquet(f"{self.path}/texts")
-        posted = rows.sparkSession.read.parquet(f"{self.path}/texts").select(F.explode(grams(F.col(self.text))).alias("gram"), self.id)
+        listed = rows.sparkSession.read.parquet(f"{self.path}/texts").select(self.id, grams(F.col(self.text)).alias("gram"))
+        listed.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/lists")
+        posted = rows.sparkSession.read.parquet(f"{self.path}/lists").select(F.explode("gram").alias("gram"), self.id)
         sorted_by(posted, "gram", self.id).parquet(f"{self.path}/postings")
         counted = rows.sparkSession.read.parquet(f"{self.path}/postings").groupBy("gram").agg(F.count("*").alias("rows"))
         sorted_by(counted, "gram").parquet(f"{self.path}/grams")

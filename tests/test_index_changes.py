@@ -33,6 +33,22 @@ def test_search_reads_candidates_only(spark, index):
     assert index.search(spark, "zzz never").count() == 0
 
 
+def test_grams_are_computed_once_a_row(spark, tmp_path, monkeypatch):
+    """Dealing rows by range looks at them twice; the grams are not worked out again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def listed(text):
+        seen.add(1)
+        return sorted({ord(c) for c in text})
+
+    monkeypatch.setattr(textindex, "grams", F.udf(listed, "array<bigint>"))
+    held = textindex.TextIndex(str(tmp_path))
+    held.write(spark.createDataFrame([(i, f"row {i} of many") for i in range(500)], "id long, text string"))
+    assert seen.value == 500
+    want = sorted((ord(c), i) for i in range(500) for c in set(f"row {i} of many"))
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{held.path}/postings").select("gram", "id").collect()) == want
+
+
 def test_changes_and_hooks(spark):
     schema = "id long, status string, v double"
     before = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, None, None), (4, "x", 0.0)], schema)
