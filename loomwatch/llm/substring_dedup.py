@@ -383,11 +383,22 @@ def split_repeats(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, spans)
 
 
+def of_grams(rows: DataFrame, grams: DataFrame, most: int = 1024, parts: int = 64) -> DataFrame:
+    """The rows whose gram is one of the grams (gram, times), each of these once; rows are read once.
+
+    Rows of the ``most`` grams with most rows are dealt to ``parts`` parts of their gram, so no task gets all of them.
+    """
+    busy = F.broadcast(grams.orderBy(F.desc("times"), "gram").limit(most).select("gram", F.lit(True).alias("busy")))
+    dealt = rows.join(busy, "gram", "left").withColumn("part", F.when(F.col("busy"), F.pmod(F.xxhash64("tid", "start"), F.lit(parts))).otherwise(F.lit(0)).cast("int"))
+    each = F.when(F.col("busy"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    wanted = grams.join(busy, "gram", "left").select("gram", F.explode(each).alias("part"))
+    return dealt.join(wanted, ["gram", "part"]).select(*rows.columns)
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(tid, a, b): bytes a to b (exclusive) of the texts (tid, text), all different, that lie in repeats; spans may overlap."""
-    all_anchors = written(anchor_rows(texts), "all-anchors")
-    grams = written(all_anchors.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "grams")
-    alive = written(join_counted(all_anchors, grams, ["gram"], "times").drop("times"), "anchors")
+    grams = written(anchor_rows(texts).select("gram").groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "grams")
+    alive = written(of_grams(anchor_rows(texts), grams), "anchors")
 
     contexts = alive.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("tid", "start", "n", "lead")).alias("first"))
     contexts = written(contexts, "contexts")

@@ -102,3 +102,11 @@ def test_contexts_are_cut_to_what_windows_can_share():
     found = sd.sorted_repeats([lefts[i][len(lefts[i]) - a :] for i, a, _ in some], [rights[i][:b] for i, _, b in some], [parts[i] for i, *_ in some])
     assert want and sorted((i, at + len(lefts[i]) - a) for (i, a, _), places in zip(some, found, strict=True) for at in places) == want
     assert len(lefts) - 1 not in [i for i, *_ in some] and sum(a + b for _, a, b in some) < sum(map(len, lefts + rights))
+
+
+def test_rows_of_repeated_grams_once_each(spark):
+    rows = [(t, a, 1, 0, 7 if t % 2 else t, a) for t in range(40) for a in range(5)]
+    df = spark.createDataFrame(rows, sd.ANCHOR)
+    grams = df.groupBy("gram").agg(F.count("*").alias("times")).where("gram <> 4")
+    for most in (0, 1, 1024):
+        assert sorted(tuple(r) for r in sd.of_grams(df, grams, most, 8).collect()) == sorted(r for r in rows if r[4] != 4)
