@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -110,3 +111,55 @@ def test_rows_of_repeated_grams_once_each(spark):
     grams = df.groupBy("gram").agg(F.count("*").alias("times")).where("gram <> 4")
     for most in (0, 1, 1024):
         assert sorted(tuple(r) for r in sd.of_grams(df, grams, most, 8).collect()) == sorted(r for r in rows if r[4] != 4)
+
+
+def brute_words(rows):
+    """n_shared_words and n_passages of each (doc_id, text)."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    seen = {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - 50):
+            seen.setdefault(tuple(w[k : k + 51]), set()).add(i)
+    out = []
+    for w in words:
+        shared = [False] * len(w)
+        for k in range(len(w) - 50):
+            if len(seen[tuple(w[k : k + 51])]) > 1:
+                shared[k : k + 51] = [True] * 51
+        out.append((sum(shared), sum(1 for k, x in enumerate(shared) if x and (k == 0 or not shared[k - 1]))))
+    return out
+
+
+def test_passages_of_over_fifty_words(spark):
+    """Passages that are too short for LENGTH bytes stay, but are found in every document that shares them."""
+    r = random.Random(11)
+    text = lambda n: " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 7))) for _ in range(n))
+    passages = {n: text(n) for n in (50, 51, 52, 58, 70)}
+    assert all(len(p.encode()) < sd.LENGTH for p in passages.values())
+    texts = [None, "", " \n", "a" * 300, text(51), text(400), " ".join("a" * 120), " ".join("a" * 90)]
+    for n, p in passages.items():
+        texts += [f"{text(r.randint(0, 90))}\n{p} {text(r.randint(0, 90))}" for _ in range(3)]
+        texts += [f"{text(70)} {p} {text(70)} {p}", f"{p} {passages[58]}", p.replace(" ", "\t\n")]
+    once, short = text(60), passages[52]
+    texts += [f"{once} {text(20)} {once}", short, short, text(50), texts[5], " ".join([text(30), texts[5].split(" ", 5)[5], text(9)])]
+    rows = list(enumerate(texts))
+    got = sorted(tuple(x) for x in sd.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shared_words", "n_passages", "n_removed").collect())
+    assert [x[1:3] for x in got] == brute_words(rows)
+    assert [x[3] for x in got] == [b[1] for b in brute(texts)]
+    planted = [i for i, t in rows if t and any(p in t for n, p in passages.items() if n > 50)]
+    assert all(got[i][1] > 50 for i in planted) and sum(got[i][3] == 0 for i in planted) > 9
+
+
+@pytest.mark.parametrize("segment", [90, 1 << 22])
+def test_words_in_segments_and_groups(monkeypatch, segment):
+    """Every window of every text has one anchor, the same wherever the text stands."""
+    monkeypatch.setattr(sd, "SEGMENT", segment)
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abé") for _ in range(r.randint(1, 9))) for _ in range(n)).encode() for n in (0, 60, 51, 50, 400, 1, 130)] + [b" \n", b"x" * 500]
+    alone = {}
+    for i, t in enumerate(texts):
+        for _, starts, ns, grams in sd.word_anchors([t]):
+            alone |= {(i, k): g for s, n, g in zip(starts.tolist(), ns.tolist(), grams.tolist()) for k in range(s, s + n)}
+    together = [((i, k), g) for found in sd.word_anchors(texts) for i, s, n, g in zip(*[c.tolist() for c in found]) for k in range(s, s + n)]
+    assert sorted(together) == sorted(alone.items())
+    assert sorted(alone) == [(i, k) for i, t in enumerate(texts) for k in range(len(t.split()) - 50)]
