@@ -16,8 +16,8 @@ order, and each puts the suffixes whose Lyndon prefix ends where it begins into
 group. Nothing is renamed and no smaller string is sorted.
 
 Passages that are shorter in bytes stay, but are counted in words: windows of ``WORDS`` words that another text
-has too. Their anchors are found as above, over hashes of words, and the windows of anchors that two texts have
-meet by 64-bit hashes.
+has too. Their anchors are found as above, over hashes of words. Contexts that two texts have are settled whole by
+64-bit hashes; the windows of the others meet, by such hashes too, with one of each settled context of their gram.
 """
 
 from __future__ import annotations
@@ -438,13 +438,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(number of the text, first start in it, number of starts, gram's hash) of the texts' windows of words, by anchor."""
+    """(number of the text, first start in it, number of starts, gram's hash, context's hash) of the texts' windows of words, by anchor."""
     words, begins = word_hashes(texts)
+    hashes = Hashes(words)
     for start, n, lead, gram, _ in anchors(words, WORDS, WORD_GRAM):
         of = np.searchsorted(begins, start + lead, "right") - 1  # the text of the gram; windows that leave it are cut off
         low, high = np.maximum(start, begins[of]), np.minimum(start + n, begins[of + 1] - WORDS + 1)
         own = high > low
-        yield of[own], (low - begins[of])[own], (high - low)[own], gram[own]
+        of, low, n, lead = of[own], low[own], (high - low)[own], (start + lead - low)[own]
+        yield of, low - begins[of], n, gram[own], hashes.of(low, n + WORDS - 1, lead * 65536 + n)
 
 
 def in_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -459,14 +461,14 @@ def word_anchor_rows(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in in_groups(batches):
             tids = rows["tid"].to_numpy()
-            for of, start, n, gram in word_anchors([t.encode() for t in rows["text"]]):
-                yield pd.DataFrame({"tid": tids[of], "start": start, "n": n, "gram": gram.view(np.int64)})
+            for of, start, n, gram, context in word_anchors([t.encode() for t in rows["text"]]):
+                yield pd.DataFrame({"tid": tids[of], "start": start, "n": n, "gram": gram.view(np.int64), "context": context.view(np.int64)})
 
-    return texts.select("tid", "text").mapInPandas(run, "tid long, start long, n int, gram long")
+    return texts.select("tid", "text").mapInPandas(run, "tid long, start long, n int, gram long, context long")
 
 
 def word_window_rows(texts: DataFrame) -> DataFrame:
-    """(tid, start, gram): the windows of words of the texts' runs (starts, ns), keyed by the hash of their words."""
+    """(tid, start, settled, gram): the windows of words of the texts' runs (starts, ns, settled), keyed by the hash of their words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in in_groups(batches):
@@ -474,31 +476,39 @@ def word_window_rows(texts: DataFrame) -> DataFrame:
             runs = rows["starts"].map(len).to_numpy()
             starts, ns = np.concatenate(rows["starts"].to_list()), np.concatenate(rows["ns"].to_list())
             start = np.repeat(starts - (np.cumsum(ns) - ns), ns) + np.arange(ns.sum())
-            of = np.repeat(np.repeat(np.arange(len(rows)), runs), ns)
-            yield pd.DataFrame({"tid": rows["tid"].to_numpy()[of], "start": start, "gram": Hashes(words).of(begins[of] + start, WORDS).view(np.int64)})
+            of, settled = np.repeat(np.repeat(np.arange(len(rows)), runs), ns), np.repeat(np.concatenate(rows["settled"].to_list()), ns)
+            yield pd.DataFrame({"tid": rows["tid"].to_numpy()[of], "start": start, "settled": settled, "gram": Hashes(words).of(begins[of] + start, WORDS).view(np.int64)})
 
-    return texts.select("tid", "text", "starts", "ns").mapInPandas(run, "tid long, start long, gram long")
-
-
-def in_other_texts(rows: DataFrame) -> DataFrame:
-    """(gram, times): the grams of the rows (tid, gram) that two texts have."""
-    found = rows.groupBy("gram").agg(F.count("*").alias("times"), F.min("tid").alias("a"), F.max("tid").alias("b"))
-    return found.where("a < b").select("gram", "times")
+    return texts.select("tid", "text", "starts", "ns", "settled").mapInPandas(run, "tid long, start long, settled boolean, gram long")
 
 
 def shared_words(texts: DataFrame) -> DataFrame:
     """(tid, n_shared_words, n_passages) of the texts (tid, text), all different, that share a passage of WORDS words with another one."""
-    grams = written(in_other_texts(word_anchor_rows(texts).select("tid", "gram")), "word-grams")
-    alive = of_grams(word_anchor_rows(texts), grams)
-    per_text = alive.groupBy("tid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # within one text
-    per_text = written(per_text.select("tid", F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns")), "word-runs")
+    two = F.min("tid") < F.max("tid")
+    grams = word_anchor_rows(texts).groupBy("gram").agg(F.count("*").alias("times"), two.alias("two"))
+    grams = written(grams.where("two").drop("two"), "word-grams")
+    alive = written(of_grams(word_anchor_rows(texts), grams), "word-anchors")
+
+    contexts = alive.groupBy("gram", "context").agg(F.count("*").alias("times"), two.alias("settled"), F.min(F.struct("tid", "start")).alias("first"))
+    contexts = written(contexts, "word-contexts")
+    per_gram = contexts.groupBy("gram").agg(F.count("*").alias("of"), (~F.every("settled")).alias("open"))
+    contexts = written(join_counted(contexts, per_gram, ["gram"], "of").drop("of"), "word-contexts-open")
+    alive = written(join_counted(alive, contexts, ["gram", "context"], "times").drop("gram", "context", "times"), "word-runs")
+
+    wanted = alive.where(F.col("open") & (~F.col("settled") | (F.struct("tid", "start") == F.col("first"))))
+    per_text = wanted.groupBy("tid").agg(F.collect_list(F.struct("start", "n", "settled")).alias("runs"))  # within one text
+    per_text = written(per_text.select("tid", F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns"), F.col("runs.settled").alias("settled")), "open-runs")
     windows = word_window_rows(texts.join(few(per_text.select("tid")), "tid", "left_semi").join(per_text, "tid"))
     windows = written(windows, "word-windows")
-    shared = of_grams(windows, written(in_other_texts(windows), "shared-windows"))
-    starts = shared.groupBy("tid").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    gaps = starts.select("tid", F.zip_with(F.expr("slice(starts, 2, size(starts))"), "starts", lambda b, a: b - a).alias("gaps"))  # the last is null
-    words = F.aggregate("gaps", F.lit(0).cast("long"), lambda n, gap: n + F.least(gap, F.lit(WORDS)))
-    passages = F.size(F.filter("gaps", lambda gap: gap.isNull() | (gap > WORDS))).cast("long")
+    shared = windows.groupBy("gram").agg(F.count("*").alias("times"), (two | F.some("settled")).alias("two"))
+    found = of_grams(windows.where("not settled"), written(shared.where("two").drop("two"), "shared-windows"))
+
+    runs = alive.where("settled").select("tid", "start", "n").unionByName(found.select("tid", "start", F.lit(1).alias("n")))
+    runs = runs.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("runs"))
+    later = F.expr("slice(runs, 2, size(runs))")  # one fewer: the last run's gap is null
+    gaps = runs.select("tid", F.zip_with("runs", later, lambda a, b: F.struct(a["n"].alias("n"), (b["start"] - a["start"] - a["n"] + 1).alias("gap"))).alias("gaps"))
+    words = F.aggregate("gaps", F.lit(0).cast("long"), lambda n, x: n + x["n"] - 1 + F.least(x["gap"], F.lit(WORDS)))
+    passages = F.size(F.filter("gaps", lambda x: x["gap"].isNull() | (x["gap"] > WORDS))).cast("long")
     return gaps.select("tid", words.alias("n_shared_words"), passages.alias("n_passages"))
 
 

@@ -158,8 +158,8 @@ def test_words_in_segments_and_groups(monkeypatch, segment):
     texts = [" ".join("".join(r.choice("abé") for _ in range(r.randint(1, 9))) for _ in range(n)).encode() for n in (0, 60, 51, 50, 400, 1, 130)] + [b" \n", b"x" * 500]
     alone = {}
     for i, t in enumerate(texts):
-        for _, starts, ns, grams in sd.word_anchors([t]):
+        for _, starts, ns, grams, _ in sd.word_anchors([t]):
             alone |= {(i, k): g for s, n, g in zip(starts.tolist(), ns.tolist(), grams.tolist()) for k in range(s, s + n)}
-    together = [((i, k), g) for found in sd.word_anchors(texts) for i, s, n, g in zip(*[c.tolist() for c in found]) for k in range(s, s + n)]
+    together = [((i, k), g) for found in sd.word_anchors(texts) for i, s, n, g, _ in zip(*[c.tolist() for c in found]) for k in range(s, s + n)]
     assert sorted(together) == sorted(alone.items())
     assert sorted(alone) == [(i, k) for i, t in enumerate(texts) for k in range(len(t.split()) - 50)]
