@@ -95,3 +95,37 @@ def test_the_model_is_fitted_on_a_whole_half(spark, monkeypatch):
     labels = df.selectExpr("doc_id", "1 as quality", "0 as toxic")
     assert quality.classify(df, labels).where("keep").count() > 24_000
     assert seen == [labels.where("pmod(xxhash64(doc_id, 23), 2) = 0").count()] and seen[0] > 12_000
+
+
+def many_scripts(r, n):
+    """Texts of several hundred characters, few of them frequent, some outside the basic plane."""
+    rare = [chr(c) for c in (*range(0x410, 0x450), *range(0x5D0, 0x5EA), *range(0x4E00, 0x4E80), *range(0x1F600, 0x1F620))]
+    return ["".join(r.choice(rare) if r.random() < 0.2 else r.choice("etaoin shrdlu") for _ in range(r.randint(1, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("held", [quality.HELD, 100])
+def test_every_character_is_a_symbol(spark, monkeypatch, held):
+    """Perplexities over more characters than the dense table has symbols are those of the definition, whether the model is held or joined."""
+    monkeypatch.setattr(quality, "HELD", held)
+    r = random.Random(5)
+    texts = many_scripts(r, 60)
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert set(model.alphabet.tolist()) == {ord(c) for t in texts for c in t} | {10} and len(model.alphabet) > quality.ALPHABET
+    asked = [*many_scripts(r, 20), texts[0], texts[0], "\u0434", "plain", "\u0e01 lacks", "", None]
+    got = {x["text"]: x["x"] for x in quality.with_perplexity(spark.createDataFrame([(t,) for t in asked], "text string"), model, "x").collect()}
+    monkeypatch.setattr(quality, "ALPHABET", model.size)
+    want = brute(texts, model.alphabet)
+    assert (model.tables is not None) == (held == 100)
+    for t in asked:
+        assert got[t] == (pytest.approx(want(t), rel=1e-4) if t else None)
+
+
+def test_rare_letters_in_disorder_are_found(spark):
+    """Letters beyond the most frequent ones are told apart: words of them in the trusted order stay likelier than the same letters shuffled."""
+    r = random.Random(6)
+    words = ["".join(map(chr, range(0x410 + 8 * k, 0x418 + 8 * k))) for k in range(8)]
+    texts = [sentence(r, 40) + "".join(f" {c}" for c in map(chr, range(33, 127))) * 3 + " " + " ".join(r.choice(words) for _ in range(3)) for _ in range(60)]
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    ordered = " ".join(words)
+    shuffled = " ".join("".join(r.sample(w, len(w))) for w in words)
+    assert model.perplexity(shuffled) > 2 * model.perplexity(ordered)
