@@ -263,24 +263,30 @@ def receipt_code(found: Column) -> Column:
     return F.when(F.size(found) > 0, lookup(F.get(found, F.lit(0)), RECEIPT_CODES, "validation_error"))
 
 
-def batch_errors(batches: DataFrame, payload: str = "payload", canonical: str | None = None) -> DataFrame:
+def batch_errors(batches: DataFrame, payload: str = "payload", canonical: str | None = None, events: str | None = None, batch_id: str | None = None) -> DataFrame:
     """Adds batch_errors to whole batches (a JSON text): too_large, invalid_batch_id, invalid_sent_at, unknown_field, invalid_events (1 to MOST_EVENTS), invalid_json.
 
-    ``canonical`` names a column to add for the canonical JSON, null for what is none. A batch is parsed and written once.
+    ``canonical`` names a column to add for the canonical JSON, null for what is none, ``events`` one for the JSON of
+    each event, null for what has no list of them, ``batch_id`` one for the id as a text. A batch is parsed and written once.
     """
-    v, json = F.col("__v"), F.col("__json")
+    v, json, c = F.col("__v"), F.col("__json"), F.col("__c")
     found = batches.withColumn("__v", F.try_parse_json(payload)).withColumn("__json", F.to_json(v)).withColumn("__c", F.try_variant_get(v, "$", "struct<batch_id variant,sent_at variant>"))
-    c = F.col("__c")
-    found = found.withColumns({"__text": F.struct(*[F.when(kind_of(c[n]) == "STRING", F.try_variant_get(c[n], "$", "string")).alias(n) for n in ("batch_id", "sent_at")]), "__n": F.size(F.try_variant_get(v, "$.events", "array<variant>"))})
+    found = found.withColumns({"__text": F.struct(*[F.when(kind_of(c[n]) == "STRING", F.try_variant_get(c[n], "$", "string")).alias(n) for n in ("batch_id", "sent_at")]), "__cut": F.from_json(json, "events array<string>")["events"]})
+    # Cut out of the canonical JSON as they stand, events need not be written again; the cut holds where it adds up to the whole.
+    text, cut = F.col("__text"), F.col("__cut")
+    whole = F.concat(F.lit('{"batch_id":"'), text["batch_id"], F.lit('","events":['), F.array_join(cut, ","), F.lit('],"sent_at":"'), text["sent_at"], F.lit('"}'))
+    found = found.withColumn("__plain", F.coalesce(json == whole, F.lit(False)))
+    plain, listed = F.col("__plain"), F.try_variant_get(v, "$.events", "array<variant>")
     rules = {
         "too_large": (F.octet_length(payload) <= MOST_BATCH_BYTES) & (F.octet_length(json) <= MOST_BATCH_BYTES),
-        "invalid_batch_id": checks.is_uuid4(F.col("__text")["batch_id"]),
-        "invalid_sent_at": checks.utc_time(F.col("__text")["sent_at"]).isNotNull(),
-        "invalid_events": F.col("__n").between(1, MOST_EVENTS),
-        "unknown_field": F.size(F.array_except(F.json_object_keys(json), F.array(*[F.lit(n) for n in ("batch_id", "sent_at", "events")]))) == 0,
+        "invalid_batch_id": checks.is_uuid4(text["batch_id"]),
+        "invalid_sent_at": checks.utc_time(text["sent_at"]).isNotNull(),
+        "invalid_events": F.when(plain, F.size(cut)).otherwise(F.size(listed)).between(1, MOST_EVENTS),
+        "unknown_field": plain | (F.size(F.array_except(F.json_object_keys(json), F.array(*[F.lit(n) for n in ("batch_id", "sent_at", "events")]))) == 0),
     }
     judged = found.withColumn("batch_errors", F.when(v.isNull(), F.array(F.lit("invalid_json"))).otherwise(checks.failures(rules)))
-    return judged.select(*batches.columns, "batch_errors", *([json.alias(canonical)] if canonical else []))
+    made = {canonical: json, events: F.when(plain, cut).otherwise(F.transform(listed, lambda e: F.to_json(e))), batch_id: F.try_variant_get(v, "$.batch_id", "string")}
+    return judged.select(*batches.columns, "batch_errors", *[c.alias(name) for name, c in made.items() if name])
 
 
 def classify_batch(batch: DataFrame, inbox: DataFrame) -> DataFrame:

@@ -967,7 +967,7 @@ def stream_ingest(spark, sf_dir):
     again = F.explode(F.when((k % 11 == 0) | (k % 13 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     day = F.when((F.col("again") == 1) & (k % 13 == 0), "2").otherwise("1")
     text = F.concat(F.lit('{"batch_id":"'), batch, F.lit('","sent_at":"2024-01-0'), day, F.lit('T00:00:00Z","events":['), event, F.when(k % 4 == 0, F.concat(F.lit(","), event)).otherwise(""), F.lit("]}"))
-    sent = table(spark, sf_dir, "events").select("event_id", again.alias("again")).withColumns({"turn": k * 2 + F.col("again"), "file": F.pmod(lot, F.lit(8)).cast("int")})
+    sent = table(spark, sf_dir, "events").select("event_id", again.alias("again")).withColumns({"turn": k * 2 + F.col("again"), "file": F.pmod(lot, F.lit(streams.FILES)).cast("int")})
     return streams.ingested(spark, sent, text).select("turn", "state", "error", "accepted", "duplicate", "rejected", "status")
 
 

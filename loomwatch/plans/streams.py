@@ -15,6 +15,8 @@ from loomwatch.streaming import detect, ingest, ordered
 
 #: Bytes of a row group of files that a stream reads.
 ROW_GROUP = 1 << 20
+#: Files that batches are dealt to, each written by a task of its own, and those of a micro-batch.
+FILES, AT_ONCE = 64, 32
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -80,14 +82,14 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingested(spark: SparkSession, envelopes: DataFrame, payload: Column | str = "payload") -> DataFrame:
-    """The responses to batches (turn, file, and what payload is made of) that come in micro-batches of four files.
+    """The responses to batches (turn, file below FILES, and what payload is made of) that come in micro-batches of AT_ONCE files.
 
     The narrow rows are dealt to files before their payload is made; row groups are small, so that a file is read by many tasks.
     """
     out = folder(spark, "ingest")
-    laid = envelopes.repartitionByRange("file").sortWithinPartitions("turn").select("turn", (F.col(payload) if isinstance(payload, str) else payload).alias("payload"), "file")
+    laid = envelopes.repartitionByRange(FILES, "file").sortWithinPartitions("turn").select("turn", (F.col(payload) if isinstance(payload, str) else payload).alias("payload"), "file")
     laid.write.option("parquet.block.size", ROW_GROUP).partitionBy("file").parquet(f"{out}/sent")
-    sent = spark.readStream.schema("turn long, payload string, file int").option("maxFilesPerTrigger", 4).parquet(f"{out}/sent")
+    sent = spark.readStream.schema("turn long, payload string, file int").option("maxFilesPerTrigger", AT_ONCE).parquet(f"{out}/sent")
     ingest.receive(sent, out, f"{out}/checkpoint", "2024-06-01").start().awaitTermination()
     return spark.read.schema("turn long, batch_id string, state string, error string, accepted long, duplicate long, rejected long, status string").parquet(f"{out}/responses")
 

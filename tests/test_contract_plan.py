@@ -59,3 +59,16 @@ def test_ingestion_parses_once(spark):
     assert got["content_hash"] == want["h"] and got["event_id"] == "x"
     batches = contract.batch_errors(rows.select("payload"), canonical="c")
     assert "lambda" not in explained(batches) and batches.first()["c"] == want["c"]
+
+
+def test_events_of_a_batch_are_its_members_however_they_look(spark):
+    """Texts are cut out of the canonical JSON only where that is the same as writing each member."""
+    head = '{"sent_at":"2024-01-01T00:00:00Z","batch_id":"12345678-0000-4000-8000-123456789012","events":'
+    of = {
+        '[{"b":"x\\"y\\u00e9","a":1e6},{"t":"},{"}]': ['{"a":1000000.0,"b":"x\\"yé"}', '{"t":"},{"}'], '["{}",{}]': ['"{}"', "{}"], '[1,null,[1],true]': ["1", "null", "[1]", "true"],
+        '[{"a":{"events":[{}]}}]': ['{"a":{"events":[{}]}}'], "[]": [], "{}": None,
+    }
+    rows = spark.createDataFrame([(k, head + k + "}") for k in of] + [("more", head + '[{}],"x":1}')], "k string, payload string")
+    got = {r["k"]: (r["e"], r["batch_errors"]) for r in contract.batch_errors(rows, events="e").collect()}
+    assert {k: got[k][0] for k in of} == of
+    assert got["more"] == (["{}"], ["unknown_field"]) and got["[]"][1] == got["{}"][1] == ["invalid_events"]

@@ -117,6 +117,27 @@ def test_batches_in_turn_store_nothing_of_one_with_a_conflict(spark):
     assert [got[k][0] for k in ((2, 0), (2, 1), (4, 0), (4, 1), (4, 2), (4, 3), (5, 0))] == ["accepted", "accepted", "duplicate", "duplicate", "rejected", "duplicate", "duplicate"]
 
 
+def test_an_event_that_many_batches_send_is_judged_once(spark, tmp_path, monkeypatch):
+    """What a batch is answered does not depend on it, and the inbox has the accepted event's text."""
+    from loomwatch.plans import catalogue
+
+    seen, judge = [], ingest.judged_events
+    monkeypatch.setattr(ingest, "judged_events", lambda events, now: (seen.append(events.count()), judge(events, now))[1])
+    uid = lambda n: f"{n:08x}-0000-4000-8000-{n:012x}"
+    event = catalogue._event_json().replace("@ID", uid(1)).replace("@TS", "2024-01-01T00:00:00Z")
+    batch = lambda n, *events: (n, f'{{"batch_id":"{uid(n)}","sent_at":"2024-01-01T00:00:00Z","events":[{",".join(events)}]}}')
+    rows = [batch(n, event) for n in range(20)] + [batch(20, event, event), batch(21, event.replace('"sequence": 1', '"sequence": 2')), batch(22, '"text"'), (23, "{}")]
+    spark.createDataFrame(rows, "turn long, payload string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    sent = spark.readStream.schema("turn long, payload string").parquet(str(tmp_path / "in"))
+    ingest.receive(sent, str(tmp_path / "out"), str(tmp_path / "ck"), "2024-06-01").start().awaitTermination()
+    got = {r["turn"]: (r["state"], r["accepted"], r["duplicate"], r["rejected"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out/responses")).collect()}
+    assert seen == [3]
+    assert got[0] == ("new", 1, 0, 0, "stored") and all(got[n] == ("new", 0, 1, 0, "stored") for n in range(1, 20)) and got[20] == ("new", 0, 2, 0, "stored")
+    assert got[21] == ("new", None, None, None, "conflict") and got[22] == ("new", 0, 0, 1, "rejected") and got[23][0] == "invalid"
+    held = buckets.Buckets(str(tmp_path / "out/inbox"), ingest.EVENT_KEY, ingest.INBOX).all(spark).collect()
+    assert len(held) == 1 and held[0]["event_id"] == uid(1) and '"sequence":1' in held[0]["payload"]
+
+
 def brute(log, states, terminal="closed", keep=False):
     status, moves, refused, moved, closed = "open", 0, 0, None, None
     for ts, s in sorted(log):
